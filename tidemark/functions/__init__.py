@@ -1 +1 @@
-"""functions of the engine."""
+"""Column functions: null discipline, ratios, labels."""
