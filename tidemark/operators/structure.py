@@ -42,7 +42,7 @@ def runs(bars: DataFrame, inside: Column, gap: int = 2) -> DataFrame:
     return grouped.groupBy("symbol", "__run").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("__run")
 
 
-def confirmation_bodies(bars: DataFrame, level: Column) -> Column:
+def confirmation_bodies(level: Column) -> Column:
     """How many bodies up to this bar lie wholly above the level, without a break."""
     above = F.least("open", "close") > level
     n = F.row_number().over(BY_SYMBOL)
