@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import BY_SYMBOL
+from tidemark.operators.windows import by_symbol
 
 
 def last_swings(swings: DataFrame, flag: str, price: str, n: int) -> DataFrame:
@@ -27,31 +27,31 @@ def last_two_structure(swings: DataFrame) -> DataFrame:
 
 def breaks(bars: DataFrame, lookback: int = 20, buffer: float = 0.003) -> DataFrame:
     """1 where the close first passes the highest high of `lookback` bars before by the buffer, -1 for lows, 0 else."""
-    w = BY_SYMBOL.rowsBetween(-lookback, -1)
+    w = by_symbol().rowsBetween(-lookback, -1)
     full = F.count("close").over(w) == lookback
     state = F.when(full & (F.col("close") > F.max("high").over(w) * (1 + buffer)), 1).when(full & (F.col("close") < F.min("low").over(w) * (1 - buffer)), -1).otherwise(0)
     out = bars.withColumn("state", state)
-    return out.withColumn("bos", F.when(F.col("state") != F.coalesce(F.lag("state").over(BY_SYMBOL), F.lit(0)), F.col("state")).otherwise(0))
+    return out.withColumn("bos", F.when(F.col("state") != F.coalesce(F.lag("state").over(by_symbol()), F.lit(0)), F.col("state")).otherwise(0))
 
 
 def runs(bars: DataFrame, inside: Column, gap: int = 2) -> DataFrame:
     """symbol, first, last, n of each run of bars that are inside, runs no more than `gap` bars apart joined."""
-    numbered = bars.withColumn("__rn", F.row_number().over(BY_SYMBOL)).where(inside)
-    far = F.coalesce(F.col("__rn") - F.lag("__rn").over(BY_SYMBOL) > gap + 1, F.lit(False)).cast("int")
-    grouped = numbered.withColumn("__far", far).withColumn("__run", F.sum("__far").over(BY_SYMBOL))
+    numbered = bars.withColumn("__rn", F.row_number().over(by_symbol())).where(inside)
+    far = F.coalesce(F.col("__rn") - F.lag("__rn").over(by_symbol()) > gap + 1, F.lit(False)).cast("int")
+    grouped = numbered.withColumn("__far", far).withColumn("__run", F.sum("__far").over(by_symbol()))
     return grouped.groupBy("symbol", "__run").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("__run")
 
 
 def confirmation_bodies(level: Column) -> Column:
     """How many bodies up to this bar lie wholly above the level, without a break."""
     above = F.least("open", "close") > level
-    n = F.row_number().over(BY_SYMBOL)
-    return n - F.coalesce(F.max(F.when(~above, n)).over(BY_SYMBOL.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    n = F.row_number().over(by_symbol())
+    return n - F.coalesce(F.max(F.when(~above, n)).over(by_symbol().rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
 
 
 def stop_volume(bars: DataFrame, n: int = 6) -> DataFrame:
     """Per symbol, the n bars that trade most volume in the narrowest range, as a share of the mean volume."""
-    w = BY_SYMBOL.rowsBetween(-(n - 1), 0)
+    w = by_symbol().rowsBetween(-(n - 1), 0)
     mean = F.avg("volume").over(W.partitionBy("symbol"))
     width = (F.max("high").over(w) - F.min("low").over(w)) / F.avg("close").over(w)
     score = F.try_divide(F.avg("volume").over(w) / mean, F.greatest(width, F.lit(0.01)))
@@ -62,6 +62,6 @@ def stop_volume(bars: DataFrame, n: int = 6) -> DataFrame:
 def level_worked(bars: DataFrame, level: Column, tolerance: float = 0.006, move: float = 0.025, within: int = 5, skip_last: int = 3) -> DataFrame:
     """Per symbol, touches of the level that a move away of `move` followed within some bars; the newest bars don't count."""
     from_end = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("ts")))
-    ahead = F.max("high").over(BY_SYMBOL.rowsBetween(1, within))
+    ahead = F.max("high").over(by_symbol().rowsBetween(1, within))
     hit = (F.abs(F.col("low") / level - 1) <= tolerance) & (ahead >= level * (1 + move)) & (F.col("__end") > skip_last)
     return bars.withColumns({"__end": from_end, "__hit": F.lit(0)}).withColumn("__hit", hit.cast("int")).groupBy("symbol").agg(F.sum("__hit").alias("worked"))

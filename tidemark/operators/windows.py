@@ -11,24 +11,31 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import clip, col, finite_or, ratio
 
-BY_SYMBOL = W.partitionBy("symbol").orderBy("ts")
-BY_DAY = W.partitionBy("symbol", F.floor(F.unix_seconds("ts") / 86_400)).orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+
+def by_symbol() -> WindowSpec:
+    return W.partitionBy("symbol").orderBy("ts")
+
+
+def by_day() -> WindowSpec:
+    """From the first bar of the UTC day to this one."""
+    return W.partitionBy("symbol", F.floor(F.unix_seconds("ts") / 86_400)).orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
 
 
 def last_rows(n: int, end: int = 0):
-    return BY_SYMBOL.rowsBetween(end - n + 1, end)
+    return by_symbol().rowsBetween(end - n + 1, end)
 
 
 def lag(c: Column | str, n: int = 1) -> Column:
-    return F.lag(col(c), n).over(BY_SYMBOL)
+    return F.lag(col(c), n).over(by_symbol())
 
 
 def lead(c: Column | str, n: int = 1) -> Column:
-    return F.lead(col(c), n).over(BY_SYMBOL)
+    return F.lead(col(c), n).over(by_symbol())
 
 
 def rolling(aggregate, c: Column | str, n: int, least: int | None = None) -> Column:
@@ -51,7 +58,7 @@ def rolling_vwap(n: int = 20) -> Column:
 
 def session_deviation(level: Column | str) -> Column:
     """Root of the running mean of (close - level)^2 within a UTC day."""
-    return F.sqrt(F.avg(F.pow(F.col("close") - col(level), 2)).over(BY_DAY))
+    return F.sqrt(F.avg(F.pow(F.col("close") - col(level), 2)).over(by_day()))
 
 
 def bar_delta() -> Column:
@@ -60,7 +67,7 @@ def bar_delta() -> Column:
 
 
 def session_cvd() -> Column:
-    return F.sum(bar_delta()).over(BY_DAY)
+    return F.sum(bar_delta()).over(by_day())
 
 
 def cvd_24h() -> Column:
@@ -135,7 +142,7 @@ def with_hull(bars: DataFrame, n: int, name: str) -> DataFrame:
 def with_ols(bars: DataFrame, n: int = 20) -> DataFrame:
     """Slope of close on bar number over n rows, and the residual of the last row."""
     w = last_rows(n)
-    t = F.row_number().over(BY_SYMBOL).cast("double")
+    t = F.row_number().over(by_symbol()).cast("double")
     full = F.count("close").over(w) == n
     out = bars.withColumn("__t", t)
     slope = F.regr_slope("close", "__t").over(w)
@@ -145,7 +152,7 @@ def with_ols(bars: DataFrame, n: int = 20) -> DataFrame:
 
 def with_sharpe_drawdown(bars: DataFrame, n: int = 20) -> DataFrame:
     out = with_returns(bars)
-    peak = F.max("close").over(BY_SYMBOL.rowsBetween(W.unboundedPreceding, 0))
+    peak = F.max("close").over(by_symbol().rowsBetween(W.unboundedPreceding, 0))
     return out.withColumns({"sharpe": ratio(rolling(F.avg, "ret", n), rolling(F.stddev_samp, "ret", n)), "drawdown": ratio("close", peak) - 1})
 
 
@@ -197,7 +204,7 @@ def with_balance_volume(bars: DataFrame) -> DataFrame:
     """Adds obv: volume signed by the direction of close, summed from the first bar."""
     step = F.coalesce(F.signum(F.col("close") - lag("close")), F.lit(0.0))
     out = bars.withColumn("__s", step * F.col("volume"))
-    return out.withColumn("obv", F.sum("__s").over(BY_SYMBOL.rowsBetween(W.unboundedPreceding, 0))).drop("__s")
+    return out.withColumn("obv", F.sum("__s").over(by_symbol().rowsBetween(W.unboundedPreceding, 0))).drop("__s")
 
 
 def rate_of_change(n: int = 10) -> Column:
@@ -243,7 +250,7 @@ def candle_patterns() -> dict[str, Column]:
 
 def swing(left: int, right: int) -> tuple[Column, Column]:
     """Pivot highs and lows: strictly beyond `left` bars before and `right` after, all of them present."""
-    w_left, w_right = BY_SYMBOL.rowsBetween(-left, -1), BY_SYMBOL.rowsBetween(1, right)
+    w_left, w_right = by_symbol().rowsBetween(-left, -1), by_symbol().rowsBetween(1, right)
     there = (F.count("high").over(w_left) == left) & (F.count("high").over(w_right) == right)
     high = there & (F.col("high") > F.max("high").over(w_left)) & (F.col("high") > F.max("high").over(w_right))
     low = there & (F.col("low") < F.min("low").over(w_left)) & (F.col("low") < F.min("low").over(w_right))

@@ -211,7 +211,7 @@ def bollinger20(spark: SparkSession, folder: str) -> DataFrame:
 )
 def aroon14(spark: SparkSession, folder: str) -> DataFrame:
     up, down = R.aroon(14)
-    df = hourly(spark, folder).withColumn("rn", F.row_number().over(R.BY_SYMBOL))
+    df = hourly(spark, folder).withColumn("rn", F.row_number().over(R.by_symbol()))
     return shown(df, aroon_up=up, aroon_down=down)
 
 

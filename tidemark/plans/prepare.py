@@ -91,7 +91,7 @@ def _bb(df: DataFrame) -> DataFrame:
 @group("oscillators")
 def _oscillators(df: DataFrame) -> DataFrame:
     up, down = R.aroon(14)
-    df = df.withColumn("rn", F.row_number().over(R.BY_SYMBOL)).withColumns({"aroon_up": up, "aroon_down": down}).drop("rn")
+    df = df.withColumn("rn", F.row_number().over(R.by_symbol())).withColumns({"aroon_up": up, "aroon_down": down}).drop("rn")
     df = R.with_money_index(R.with_balance_volume(df))
     return df.withColumns({"uo": R.ultimate(), "stoch_k14": R.stochastic(14), "willr14": R.williams(14), "cci20": R.channel_index(20), "roc10": R.rate_of_change(10)})
 
