@@ -1,0 +1,401 @@
+"""The training-data operators against brute force, on small inputs with nulls, empties, repeats and clashing columns."""
+
+import binascii
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import ann, chat, common, html, mixing, neardup, packing, quality, repeats, secrets, topk
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, digest string, spans string, id long, th long, key string"
+
+
+def documents(spark, rows):
+    """Rows of (doc_id, text) with extra columns whose names operators use inside."""
+    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), 1.0, "d", "s", 7, 8, "k") for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(400)]
+    make = lambda n: [rng.choice(words) for _ in range(n)]
+    passage = make(60)
+    rows = []
+    for i in range(60):
+        w = make(rng.randint(1, 160))
+        if i % 4 == 0:
+            w = w[:20] + passage[: rng.randint(15, 60)] + w[20:]
+        if i % 9 == 0:
+            w += ["again"] * rng.randint(5, 50)
+        rows.append((i, " ".join(w)))
+    rows += [(100, rows[5][1]), (101, rows[5][1]), (102, rows[6][1] + " tail"), (103, None), (104, ""), (105, " \t\n"), (106, "x"), (106, "x"), (107, rows[4][1] * 40)]
+    rows += [(None, rows[4][1]), (None, None)]
+    return rows
+
+
+def test_words_of_a_slice():
+    texts = pa.array(["a b", None, "", "c", " d\te f ", "\n"])
+    w = common.Words(texts)
+    got = [[bytes(w.raw[w.start[i] : w.end[i]]).decode() for i in range(a, b)] for a, b in zip(w.first[:-1], w.first[1:])]
+    assert got == [["a", "b"], [], [], ["c"], ["d", "e f"], []]
+    h = w.hashes()
+    assert len(set(h.tolist())) == 5 and h[0] == common.Words(pa.array(["a"])).hashes()[0]
+
+
+def test_slices_cover_all_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in (5, 0, 30, 1, 1, 90)])], names=["t"])
+    parts = list(common.slices(batch, "t", 10))
+    assert sum(len(p) for p in parts) == 6 and all(len(p) for p in parts)
+    assert not list(common.slices(batch.slice(0, 0), "t"))
+
+
+# 1
+
+
+def test_chat_collapse(spark):
+    rows = [("a", 0, "user", "hi"), ("b", 0, "user", "hi"), ("b", 1, "assistant", "yo"), ("c", 0, "user", "hi"), ("c", 1, "assistant", "yo"), ("c", 2, "user", None), ("d", 0, "user", "hi"), ("d", 1, "assistant", "other")]
+    rows += [("e", 0, "user", "hi"), ("e", 1, "assistant", "other"), ("e", 1, "assistant", "other"), ("f", 0, None, ""), ("g", 0, None, None), ("h", None, "user", "lone"), (None, 0, "user", "nobody")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id string, turn int, role string, text string, hash string, turns string")
+    got = {r["conv_id"]: (r["n_turns"], r["text"]) for r in chat.format_chats(df).collect()}
+    assert set(got) == {"c", "d", "f", "g", "h", None}
+    assert got["c"] == (3, "<|user|>\nhi\n<|assistant|>\nyo\n<|user|>\n\n")
+    assert got["f"] == (1, "<|unknown|>\n\n") == got["g"]
+    assert chat.format_chats(df.where("false")).count() == 0
+
+
+# 2
+
+
+def brute_repeats(rows, k):
+    seen, out = {}, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        gone = [False] * len(w)
+        for j in range(len(w) - k + 1):
+            g = tuple(w[j : j + k])
+            first = seen.setdefault(g, (i, j, t))
+            if first != (i, j, t) and not (first[0] == i and first[2] != t):
+                gone[j : j + k] = [True] * k
+        kept = " ".join(x for x, r in zip(w, gone) if not r)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("k", [20, 4])
+def test_repeats_against_brute_force(spark, corpus, k):
+    got = [tuple(r) for r in repeats.remove_repeats(documents(spark, corpus), k).collect()]
+    assert sorted(got, key=repr) == brute_repeats(corpus, k)
+
+
+def test_repeats_texts_and_empty(spark):
+    words = [f"q{i}" for i in range(30)]
+    rows = [(1, " ".join(words)), (2, "before " + " ".join(words[3:28]) + " after")]
+    got = {r["doc_id"]: r["kept_text"] for r in repeats.remove_repeats(documents(spark, rows), 20, with_text=True).collect()}
+    assert got == {1: rows[0][1], 2: "before after"}
+    assert repeats.remove_repeats(documents(spark, rows).where("false")).count() == 0
+
+
+# 3
+
+
+def test_additive_model_learns_a_pair():
+    rng = np.random.default_rng(0)
+    x = rng.uniform(size=(3000, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.fit(x[:2000], y[:2000])
+    assert (0, 1) in model.pairs
+    assert ((model.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
+
+
+def test_model_without_two_labels():
+    x = np.zeros((3, len(quality.FEATURES)))
+    assert quality.fit(x, np.ones(3)).score(x).tolist() == pytest.approx([0.8] * 3)
+    assert quality.fit(x[:0], np.zeros(0)).score(x).tolist() == [0.5] * 3
+
+
+def test_quality_on_held_out_rows(spark, sf):
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    scored = quality.quality_scores(docs, quality.train(docs, labels)).withColumn("held", quality.held_out())
+    met = scored.join(labels, "doc_id").where("held").select("predicted", "quality").toPandas()
+    assert len(met) > 20 and (met.predicted == met.quality).mean() > 0.93
+    assert scored.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
+
+
+def test_quality_of_odd_rows(spark, corpus):
+    docs = documents(spark, corpus)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert quality.quality_scores(docs, model).count() == len(corpus)
+    assert quality.train(docs, labels.where("false")).score(np.zeros((1, len(quality.FEATURES)))).tolist() == [0.5]
+    assert quality.quality_scores(docs.where("false"), model).count() == 0
+
+
+# 4
+
+
+def vectors(spark, n, dims, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = [(i, [float(v) for v in rng.normal(size=dims).astype(np.float32)]) for i in range(n)]
+    rows += [(n, None), (n + 1, []), (n + 2, [float("nan")] * dims), (n + 3, [float("inf")] * dims), (n + 4, [0.0] * dims), (None, rows[0][1]), (n + 5, rows[3][1]), (n + 6, rows[3][1]), (n + 7, [None] * dims), (n + 8, [1.0] * (dims + 1))]
+    return rows, spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, q string")
+
+
+def brute_top(rows, queries, k, score, valid):
+    ok = [(i, v) for i, v in rows if i is not None and valid(v)]
+    out = []
+    for qi, q in ok:
+        if qi in queries:
+            found = sorted((-score(q, v), i) for i, v in ok if i != qi and len(v) == len(q))[:k]
+            out += [(qi, r, i, -s) for r, (s, i) in enumerate(found, 1)]
+    return sorted(out)
+
+
+def is_finite(v):
+    return bool(v) and all(x is not None and np.isfinite(x) for x in v)
+
+
+@pytest.mark.parametrize("n", [4, 300, 3000])
+def test_topk_against_brute_force(spark, n):
+    rows, df = vectors(spark, n, 12)
+    asked = set(range(0, n + 9, max(1, n // 20)))
+    whole = lambda v: [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]
+    want = brute_top(rows, asked, 5, lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b))), is_finite)
+    got = sorted(tuple(r) for r in topk.top_k(df.where(F.col("vec_id").isin(*asked)), df, 5).collect())
+    assert got == want
+
+
+def test_index_stops_on_proof():
+    rng = np.random.default_rng(1)
+    v = (rng.normal(size=(4000, 16)) * 100).astype(np.int64)
+    v[7] = v[0] * 5
+    index = topk.ImpactIndex(np.arange(4000), v, np.argsort(-v, axis=0, kind="stable").T)
+    got = index.search(0, v[0], 1)
+    assert got == [(int(v[7] @ v[0]), 7)] and index.processed < 16 * topk.SEGMENTS
+
+
+def test_topk_of_nothing(spark):
+    _, df = vectors(spark, 5, 3)
+    assert topk.top_k(df.where("false"), df).count() == 0 and topk.top_k(df, df.where("false")).count() == 0
+
+
+# 5
+
+PAGES = {
+    "<p>one<p>two": "one\n\ntwo",
+    "<ul><li>a<li>b<ul><li>c</ul></ul>": "- a\n- b\n  - c",
+    "<ol start=3><li>x</li><li>y</li></ol>z": "3. x\n4. y\n\nz",
+    "<table><tr><th>k<th>value<tr><td>longer<td>1</table>": "k       value\nlonger  1",
+    "a<script>var t='</p>';</script>b<style>p{}</style>": "ab",
+    "<div hidden>no</div><div style='display: none'>no</div><div>yes</div>": "yes",
+    "<pre>a  b\n c</pre>": "a  b\n c",
+    "x<br>y &amp; z&nbsp;!": "x\ny & z !",
+    "<title>t</title><h1>H</h1>text": "H\n\ntext",
+    "a <b> b</b>c<!-- no --> d": "a bc d",
+    "</div></p>stray": "stray",
+    "": "",
+    "<": "<",
+    "<p": "",
+    "<dl><dt>t<dd>d</dl>": "t\n  d",
+}
+
+
+@pytest.mark.parametrize("source", PAGES)
+def test_page(source):
+    assert html.rendered(source) == PAGES[source]
+
+
+def test_deep_and_odd_pages(spark):
+    deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
+    rows = [(1, "u", deep), (2, "u", None), (3, None, ""), (3, None, ""), (4, "u", "<table>" * 300 + "x")]
+    df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
+    got = [r["text"] for r in html.page_texts(df).orderBy("page_id").collect()]
+    assert got[:4] == ["deep", None, "", ""] and "x" in got[4]
+    assert html.page_texts(df.where("false")).count() == 0
+
+
+# 6
+
+
+def test_mixing_meets_weights_and_stays_native(spark):
+    rows = [(i, "word " * 20, "en", "big" if i % 10 else None, 100) for i in range(4000)] + [(9999, None, "en", "empty", 0)]
+    df = spark.createDataFrame([(*r, 5, 5.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, copy int, rate double")
+    mixed = mixing.mix_sources(df, {"big": 1.0}, default_weight=3.0)
+    n = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert set(n) == {"big", None} and n["big"] / (n["big"] + n[None]) == pytest.approx(0.25, abs=0.03)
+    assert sum(n.values()) == pytest.approx(4000, rel=0.06)
+    assert "Python" not in mixed._jdf.queryExecution().toString() and "Pandas" not in mixed._jdf.queryExecution().toString()
+    again = mixing.mix_sources(df, {"big": 1.0}, default_weight=3.0)
+    assert again.exceptAll(mixed).count() == 0
+    assert mixing.mix_sources(df.where("false")).count() == 0
+
+
+def test_draws_are_poisson(spark):
+    means = spark.createDataFrame([(0.3,), (3.0,), (40.0,)], "rate double").withColumn("draws", F.greatest(F.ceil(F.col("rate") / mixing.DRAW_MEAN), F.lit(1)).cast("int"))
+    means = means.withColumn("sums", mixing.distribution(F.col("rate") / F.col("draws")))
+    got = means.join(spark.range(4000), how="cross").withColumn("n", mixing.copies_of(F.col("id"), 3)).groupBy("rate").agg(F.avg("n"), F.var_samp("n")).collect()
+    for rate, mean, var in got:
+        assert mean == pytest.approx(rate, rel=0.08) and var == pytest.approx(rate, rel=0.12)
+
+
+# 7
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(2)
+    words = [f"v{i}" for i in range(2000)]
+    rows = []
+    for g in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 300))]
+        for c in range(4):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 12])):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(500, "one two three four five six"), (501, "one  two three four five six"), (502, "a b"), (503, "a b"), (504, None), (505, ""), (505, ""), (506, " "), (None, "a b"), (507, rows[0][1]), (507, rows[0][1])]
+    got = neardup.near_duplicate_classes(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    classes = {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None}
+    sets = {}
+    for i, t in rows:
+        w = (t or "").split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else None
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = [i for i in sets if i is not None]
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert classes == {i: find(i) for i in ids}
+    kept = neardup.without_near_duplicates(documents(spark, rows))
+    ids = sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect())
+    assert ids == sorted({find(i) for i in sets if i is not None and sets[i]} | {504, 505, 506}) + [] or ids == sorted([*{find(i) for i in sets if i is not None and sets[i]}, 504, 505, 505, 506])
+    assert kept.columns == documents(spark, rows).columns
+    assert neardup.near_duplicate_classes(documents(spark, rows).where("false")).count() == 0
+
+
+def test_alignment_is_about_order():
+    a = np.arange(100, dtype=np.uint32)
+    assert neardup.similarity(a, a) == 1
+    assert neardup.similarity(a, np.concatenate([a[50:], a[:50]])) < 0.5
+    assert neardup.similarity(a, a[:90]) == pytest.approx(0.9)
+
+
+# 8
+
+
+def test_recall(spark):
+    rows, df = vectors(spark, 3000, 32)
+    asked = set(range(0, 3000, 60))
+    want = brute_top(rows, asked, 20, lambda a, b: float(np.dot(np.float64(a), np.float64(b))), lambda v: is_finite(v) and any(v) and len(v) == 32)
+    got = ann.nearest(df.where(F.col("vec_id").isin(*asked)), df, 20).collect()
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    assert len(got) == len(want) and len(found & {(q, i) for q, _, i, _ in want}) / len(want) >= 0.9
+    for q, r, i, s in want[:200]:
+        hit = [x["score"] for x in got if (x["query_id"], x["vec_id"]) == (q, i)]
+        assert not hit or hit[0] == pytest.approx(s, abs=1e-9)
+
+
+def test_nearest_of_few(spark):
+    rows, df = vectors(spark, 6, 4)
+    got = ann.nearest(df.where("vec_id = 0"), df, 20).collect()
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and len(got) == 7
+    assert ann.nearest(df.where("false"), df).count() == 0 and ann.nearest(df, df.where("false")).count() == 0
+
+
+# 9
+
+ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
+
+
+def base_spans(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16])
+
+
+def checked_token(body="Zy" * 15):
+    n, digits = binascii.crc32(body.encode()), ""
+    for _ in range(6):
+        n, r = divmod(n, 62)
+        digits = secrets.BASE62.decode()[r] + digits
+    return "ghp_" + body + digits
+
+
+def test_base_spans_against_expressions():
+    rng = random.Random(3)
+    parts = ["password", "PassWD=", ": ", "secret", "token='", "api_key = ", "ApiKey:", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", "é", "ſ", "K", " ", "\n", "=", "x", "-----BEGIN ", "'", '"', "abcdefghijkl"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        raw = text.encode()
+        assert [s for s in secrets.to_points(raw, secrets.scan(raw)) if s[1] < 3] == base_spans(text), text
+
+
+def test_checksums_decide():
+    good = checked_token().encode()
+    assert [k for _, k, _ in secrets.scan(b"x " + good)] == [3]
+    assert secrets.scan(b"x " + good[:-1] + (b"0" if good[-1:] != b"0" else b"1")) == []
+    assert [k for _, k, _ in secrets.scan(b"eyJhbGciOiJub25lIn0.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl")] == [4]
+    assert secrets.scan(b"eyJxxxxxxxxxxxxxxxx.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl") == []
+
+
+def test_secret_rows(spark):
+    text = "é password: abcdefghijklmnop, " + checked_token()
+    rows = [(1, text), (1, text), (2, None), (3, ""), (4, "plain"), (None, "AKIA" + "A1" * 9)]
+    got = secrets.secret_spans(documents(spark, rows)).collect()
+    one = [r for r in got if r["doc_id"] == 1]
+    assert len(one) == 2 and one[0] == one[1] and one[0]["spans"] == "assign:2:28,checked:30:70"
+    assert one[0]["base_sha256"] == hashlib.sha256(b"assign:2:28").hexdigest()
+    clean = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.without_secrets(documents(spark, rows)).collect()}
+    assert clean[1] == ("é [ASSIGN], [CHECKED]", 21) and clean[2] == (None, 0) and clean[4] == ("plain", 5) and clean[None][0] == "[ACCESS]"
+    assert secrets.secret_spans(documents(spark, rows).where("false")).count() == 0
+
+
+# 10
+
+
+def test_packing_round_trip(spark, corpus):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    rows = [*corpus, (200, "It's  don't <|endoftext|>x \x01 \x01y z é 12 ΣΑΣ"), (201, "word " * 9000)]
+    pieces = packing.pack(documents(spark, rows), with_ids=True).collect()
+    by_text = {}
+    for i, x in rows:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        by_text.setdefault(i, []).append(ids)
+    for i, wanted in by_text.items():
+        own = sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: (r["doc_tokens"], r["start"]))
+        assert sorted({r["doc_tokens"] for r in own}) == sorted({len(w) for w in wanted})
+        if len(wanted) == 1:
+            assert [x for r in own for x in r["ids"]] == wanted[0]
+            assert [r["start"] for r in own] == np.cumsum([0] + [r["length"] for r in own])[:-1].tolist()
+    for r in pieces:
+        assert r["length"] == 1 << r["bucket"] <= 4096 and r["offset"] == 0
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes())
+    assert len({r["sequence_id"] for r in pieces}) == len(pieces)
+    assert packing.pack(documents(spark, rows).where("false")).count() == 0
+
+
+def test_piece_lengths():
+    for n in [1, 2, 3, 4095, 4096, 4097, 12_345]:
+        got = packing.piece_lengths(n)
+        assert sum(got) == n and got == sorted(got, reverse=True) and all(x & (x - 1) == 0 for x in got)
+
+
+def test_buckets_hold_equal_lengths(spark, tmp_path, corpus):
+    packing.write_buckets(packing.pack(documents(spark, corpus), with_ids=True), str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.where("length <> shiftleft(1L, bucket)").count() == 0

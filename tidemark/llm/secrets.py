@@ -192,8 +192,11 @@ def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 def without_secrets(docs: DataFrame) -> DataFrame:
     """`docs` with secrets replaced in `text`, and n_chars following where it is a column."""
     names = docs.columns
-    rest = tuple(c for c in names if c != "text")
-    out = secret_spans(docs, keep=rest, clean=True).withColumn("text", F.col("clean_text"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*names)
+    # Under other names on the way, since any column may be called as one of the results.
+    kept = {c: f"__kept{i}" for i, c in enumerate(names) if c != "text"}
+    out = secret_spans(docs.select("text", *[F.col(f"`{c}`").alias(k) for c, k in kept.items()]), keep=tuple(kept.values()), clean=True)
+    columns = {c: F.col(k) for c, k in kept.items()} | {"text": F.col("clean_text")}
+    if "n_chars" in kept:
+        size = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("spans") == "", F.col(kept["n_chars"])).otherwise(size)
+    return out.select(*[columns[c].alias(c) for c in names])
