@@ -248,3 +248,44 @@ def equity_curve(trades: DataFrame, risk: float = 0.01, most_at_risk: float = 0.
         return pd.DataFrame(out, columns=["account", "trade_id", "taken", "equity", "drawdown"])
 
     return trades.select("account", "trade_id", "opened", "closed", "r").groupBy("account").applyInPandas(run, "account string, trade_id long, taken int, equity double, drawdown double")
+
+
+def kdj(bars: DataFrame, n: int = 9) -> DataFrame:
+    """k and d smooth the place in the n-bar range by thirds from 50; j = 3 k - 2 d. A flat range counts 50."""
+
+    def kernel(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        top, bottom = pd.Series(v["high"]).rolling(n).max().to_numpy(), pd.Series(v["low"]).rolling(n).min().to_numpy()
+        k, d = np.full(len(top), np.nan), np.full(len(top), np.nan)
+        a = b = 50.0
+        for i in range(n - 1, len(top)):
+            place = 100 * (v["close"][i] - bottom[i]) / (top[i] - bottom[i]) if top[i] > bottom[i] else 50.0
+            a += (place - a) / 3
+            b += (a - b) / 3
+            k[i], d[i] = a, b
+        return {"k": k, "d": d, "j": 3 * k - 2 * d}
+
+    return by_symbol(bars, ["high", "low", "close"], ["k", "d", "j"], kernel)
+
+
+def cusum(bars: DataFrame, value: str, span: int = 96, bound: float = 50.0) -> DataFrame:
+    """Running sum of the value less its exponential mean with full weights (adjusted), within bounds; NULL counts 0."""
+
+    def kernel(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        s = pd.Series(v[value])
+        return {"cusum": (s - s.ewm(span=span, adjust=True).mean()).fillna(0.0).cumsum().clip(-bound, bound).to_numpy()}
+
+    return by_symbol(bars, [value], ["cusum"], kernel)
+
+
+def trix_ppo(bars: DataFrame, n: int = 14, fast: int = 12, slow: int = 26) -> DataFrame:
+    """trix: change of the triple average in percent; ppo: fast less slow average over slow, in percent."""
+
+    def kernel(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        c = v["close"]
+        three = ema_of(ema_of(ema_of(c, n), n, n - 1), n, 2 * (n - 1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            trix = 100 * (three / np.concatenate([[np.nan], three[:-1]]) - 1) if len(c) else three
+            slow_line = ema_of(c, slow)
+            return {"trix": trix, "ppo": 100 * (ema_of(c, fast, slow - fast) - slow_line) / slow_line}
+
+    return by_symbol(bars, ["close"], ["trix", "ppo"], kernel)
