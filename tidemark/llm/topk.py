@@ -30,7 +30,9 @@ from .vectors import QUERY_BLOCK, ROW_BLOCK, blocked, finite, paired
 
 SCALE = 256
 #: Segments per dimension, segments between two tests of the bound, and the possible members at which it stops.
-SEGMENTS, STEP, FEW = 12, 16, 256
+SEGMENTS, STEP, FEW = 8, 32, 512
+#: Sums below it are exact in double precision; beyond it all rows are scored.
+EXACT = 2**52
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -59,47 +61,27 @@ def _index_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 class ImpactIndex:
     def __init__(self, ids: np.ndarray, values: np.ndarray, postings: np.ndarray):
-        self.ids, self.values, self.postings = ids, values, postings
-        self.sorted = np.take_along_axis(values.T, postings.astype(np.int64), axis=1)
+        self.ids, self.values, self.postings = ids, values, postings.astype(np.int64)
+        self.sorted = np.take_along_axis(values.T, self.postings, axis=1).astype(np.float64)
         self.cuts = np.unique(np.linspace(0, len(ids), SEGMENTS + 1).astype(np.int64))
+        self.heads, self.lows = self.sorted[:, self.cuts[:-1]], self.sorted[:, self.cuts[1:] - 1]
+        self.largest = np.abs(self.sorted).max()
         self.processed = 0
 
     def search(self, query_id: int, weights: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), best first."""
-        n, cuts = len(self.ids), self.cuts
+        n = len(self.ids)
         used = np.flatnonzero(weights)
-        w = weights[used]
-        # Parts of each dimension in the order its segments are taken, highest first.
-        down = w > 0
-        heads, lows = self.sorted[used][:, cuts[:-1]], self.sorted[used][:, cuts[1:] - 1]
-        impact = np.where(down[:, None], w[:, None] * heads, (w[:, None] * lows)[:, ::-1])
-        least = np.where(down, w * self.sorted[used, -1], w * self.sorted[used, 0])
-        impact = impact - least[:, None]
-        segments = impact.shape[1]
-        order = np.argsort(-impact, axis=None, kind="stable")
-        sums = np.zeros(n, dtype=np.int64)
-        # bound: what all open parts can add to a row that has none of them yet.
-        open_at = impact[:, 0].astype(np.int64).copy()
-        base = int(least.sum())
+        w = weights[used].astype(np.float64)
         own = slice(np.searchsorted(self.ids, query_id, "left"), np.searchsorted(self.ids, query_id, "right"))
         members = None
-        for done, o in enumerate(order.tolist(), 1):
-            d, s = divmod(o, segments)
-            seg = s if down[d] else segments - 1 - s
-            a, b = cuts[seg], cuts[seg + 1]
-            sums[self.postings[used[d], a:b]] += w[d] * self.sorted[used[d], a:b] - least[d]
-            open_at[d] = impact[d, s + 1] if s + 1 < segments else 0
-            if done % STEP == 0 or done == len(order):
-                low = sums.copy()
-                low[own] = -1
-                if n > k:
-                    best = np.argpartition(-low, k)[:k]
-                    floor = (self.values[best] @ weights)[low[best] >= 0]
-                    if len(floor) == k:
-                        members = np.flatnonzero((low >= 0) & (low + int(open_at.sum()) + base >= floor.min()))
-                        if len(members) <= FEW:
-                            break
-                self.processed = done
+        if n > k and len(used) and np.abs(w).sum() * self.largest < EXACT:
+            # Parts of each dimension in the order its segments are taken, highest first.
+            down = w > 0
+            heads, lows = self.heads[used], self.lows[used]
+            least = np.where(down, w * lows[:, -1], w * heads[:, 0])
+            impact = np.where(down[:, None], w[:, None] * heads, (w[:, None] * lows)[:, ::-1]) - least[:, None]
+            members = self._possible(weights, k, used, w, down, least, impact, own)
         if members is None:
             members = np.arange(n)
         members = members[(members < own.start) | (members >= own.stop)]
@@ -107,6 +89,36 @@ class ImpactIndex:
         best = np.lexsort((self.ids[members], -exact))[:k]
         return [(int(exact[i]), int(self.ids[members[i]])) for i in best]
 
+    def _possible(self, weights, k, used, w, down, least, impact, own) -> np.ndarray:
+        """Rows that can be among the k best: what the open parts can still add is the bound of the others."""
+        n, segments, base = len(self.ids), impact.shape[1], least.sum()
+        order = np.argsort(-impact, axis=None, kind="stable")
+        dims, places = np.divmod(order, segments)
+        begin = self.cuts[np.where(down[dims], places, segments - 1 - places)]
+        end = self.cuts[np.where(down[dims], places, segments - 1 - places) + 1]
+        after = np.concatenate([impact[:, 1:], np.zeros((len(used), 1))], axis=1)[dims, places]
+        sums, open_at, members = np.zeros(n), impact[:, 0].copy(), np.arange(n)
+        for at in range(0, len(order), STEP):
+            rows, parts = [], []
+            for i in range(at, min(at + STEP, len(order))):
+                d, a, b = dims[i], begin[i], end[i]
+                rows.append(self.postings[used[d], a:b])
+                parts.append(w[d] * self.sorted[used[d], a:b] - least[d])
+                open_at[d] = after[i]
+            sums += np.bincount(np.concatenate(rows), np.concatenate(parts), n)
+            self.processed = at + STEP
+            if 3 * at < len(order):
+                continue  # a third of the parts proves nothing yet
+            low = sums.copy()
+            low[own] = -1
+            best = np.argpartition(-low, k)[:k]
+            best = best[low[best] >= 0]
+            if len(best) == k:
+                members = np.flatnonzero(low + (open_at.sum() + base) >= (self.values[best] @ weights).min())
+                if len(members) <= FEW:
+                    break
+        return members
+
 
 def _searcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
