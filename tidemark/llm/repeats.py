@@ -8,7 +8,9 @@ document). Nonbranching paths of repeated edges are compacted to spans of
 span are looked up in the source's own text, and the span's words are compared
 there before anything is removed.
 
-What is shuffled stays small. Windows are first grouped by minimiser: of each
+What is shuffled stays small. A text that another document of smaller id has as a
+whole is one path from end to end and takes no part in the search; its source is
+the first such document. Windows are first grouped by minimiser: of each
 window's seeds (SEED words) the one of least hash. A window whose minimiser
 occurs once cannot repeat, so only seeds are counted for the whole corpus, about
 one in seven words, and window hashes are made only where a seed is repeated.
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, signed, slices
+from .common import Words, checkpointed, gram_hashes, signed, slices
 
 WINDOW, SEED = 20, 8
 _LAST = (1 << 63) - 1
@@ -121,6 +123,23 @@ def _edges(k: int):
     return run
 
 
+def _whole_copies(k: int):
+    """A copy's path: all its windows, from the first word of its source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "__text"):
+                words = Words(batch.column("__text"))
+                n = words.counts() - k + 1
+                hit = np.flatnonzero(n > 0)
+                taken = batch.take(pa.array(hit, pa.int64()))
+                zeros = pa.array(np.zeros(len(hit), np.int64))
+                digests = pa.array([_digest(words, words.first[i], words.first[i + 1]) for i in hit], pa.binary())
+                yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("th"), zeros, pa.array(n[hit]), taken.column("src"), zeros, digests], names=["id", "th", "start", "n", "src", "src_start", "digest"])
+
+    return run
+
+
 SPANS = "id long, th long, start long, n long, src long, src_start long, digest binary"
 
 
@@ -241,21 +260,30 @@ def _remover(k: int, names: list[str], with_text: bool):
 def remove_repeats(docs: DataFrame, k: int = WINDOW, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of each row of `docs` (doc_id, text).
 
-    One plan: all joins with the texts are on `id` alone, so their one exchange is reused.
+    One plan (but for the small table of copies): all joins with the texts are on `id` alone, so their one exchange is reused.
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("th"), F.col("text").alias("__text"))
+    # 0. Whole copies.
+    sums = texts.select("id", "th", F.md5(F.col("__text").cast("binary")).alias("sum"))
+    origins = sums.groupBy("sum").agg(F.min("id").alias("src"), F.max("id").alias("top")).where("src < top").drop("top")
+    copies = checkpointed(sums.join(origins, "sum").where("id > src").groupBy("id").agg(F.collect_set(F.struct("th", "src")).alias("origins")))
+    tagged = texts.join(copies, "id", "left").withColumn("src", F.expr("try_element_at(filter(origins, x -> x.th = th), 1).src")).drop("origins")
+    single = tagged.where("src IS NULL").drop("src")
     # 1. Seeds that occur more than once.
-    repeated = texts.select("__text").mapInArrow(_seeds(k, False), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
+    repeated = single.select("__text").mapInArrow(_seeds(k, False), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
     # 2. Per document, its repeated seeds; then the windows that have one.
-    own = texts.select("id", "__text").mapInArrow(_seeds(k, True), "seed long, id long").join(repeated, "seed").groupBy("id").agg(F.collect_set("seed").alias("seeds"))
-    edges = texts.join(own, "id").select("id", "__text", "seeds").mapInArrow(_edges(k), "edge long, id long, place long")
+    own = single.select("id", "__text").mapInArrow(_seeds(k, True), "seed long, id long").join(repeated, "seed").groupBy("id").agg(F.collect_set("seed").alias("seeds"))
+    edges = single.join(own, "id").select("id", "__text", "seeds").mapInArrow(_edges(k), "edge long, id long, place long")
     # 3. Edges of two or more documents, with their first place; per document, the edges that start earlier.
     firsts = edges.groupBy("edge").agg(F.min("id").alias("src"), F.max("id").alias("top"), F.min_by("place", "id").alias("src_place")).where("src < top").drop("top")
     later = edges.select("edge", "id").join(firsts, "edge").where("id > src").groupBy("id").agg(F.collect_set(F.struct("edge", "src", "src_place")).alias("edges"))
     # 4. Paths, and those that hold at their source's coordinates.
-    paths = texts.join(later, "id").select("id", "th", "__text", "edges").mapInArrow(_compactor(k), SPANS)
+    paths = (
+        single.join(later, "id").select("id", "th", "__text", "edges").mapInArrow(_compactor(k), SPANS)
+        .unionAll(tagged.where("src IS NOT NULL").select("id", "th", "__text", "src").mapInArrow(_whole_copies(k), SPANS))
+    )
     asked = paths.select(F.col("src").alias("id"), "src_start", "n", "digest").distinct().groupBy("id").agg(F.collect_list(F.struct("src_start", "n", "digest")).alias("asked"))
-    proven = texts.join(asked, "id").select("id", "__text", "asked").mapInArrow(_source_check(k), "src long, src_start long, n long, digest binary").distinct()
+    proven = texts.join(asked, "id").select("id", "th", "__text", "asked").mapInArrow(_source_check(k), "src long, src_start long, n long, digest binary").distinct()
     spans = paths.join(proven, ["src", "src_start", "n", "digest"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("th", "start", "n")).alias("spans"))
     # 5. Removal.
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
