@@ -29,7 +29,7 @@ from .common import ragged, slices
 LONGEST = 4096
 CLOSING_ID = 2
 #: Chunks a task remembers; the table is emptied beyond it.
-REMEMBERED = 1_200_000
+REMEMBERED = 250_000
 #: Bytes of text encoded together: more text has fewer distinct chunks to its size.
 ENCODED_BYTES = 8 << 20
 #: Stands between chunks that are encoded in one call.
@@ -137,6 +137,7 @@ def _packer(path: str, keep: list[str], longest: int, with_ids: bool):
                     arrays.append(pa.array(tokens, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        pa.default_memory_pool().release_unused()
 
     return run
 
