@@ -216,3 +216,33 @@ def test_malformed_rows_are_left_out(spark):
 def test_empty_tables(spark):
     none = bars(spark, [1.0]).where("false")
     assert prepare(none).count() == 0 and K.macd(none).count() == 0 and P.levels(none).count() == 0 and B.gaps(none, 3600).count() == 0
+
+
+def test_ladder_merges_by_running_mean(spark):
+    from tidemark.operators import book, context
+
+    v = F.array(*[F.lit(x) for x in (100.0, 101.0, 102.0, 110.0)])
+    assert spark.range(1).select(book.merged_ladder(v, 0.015)).first()[0] == pytest.approx([101.0, 110.0])
+    assert spark.range(1).select(context.ladder(v, F.lit(99.0), 0.01, 2)).first()[0] == pytest.approx([100.0, 101.0])
+
+
+def test_burst_counts_over_cell_borders(spark):
+    from tidemark.operators import book
+
+    rows = [(i, f"s{i}", "long", T0 + dt.timedelta(seconds=s)) for i, s in enumerate((0, 295, 305, 310, 700))]
+    got = book.within_caps(spark.createDataFrame(rows, "signal_id long, symbol string, direction string, ts timestamp"), 2, 2, 300).orderBy("signal_id").collect()
+    assert [r["in_burst"] for r in got] == [1, 2, 2, 3, 1]
+
+
+def test_cusum_follows_adjusted_mean(spark):
+    import pandas as pd
+
+    x = [1.0, 0.0, 2.0, 5.0, 1.0]
+    s = pd.Series(x)
+    want = (s - s.ewm(span=96, adjust=True).mean()).cumsum()
+    assert column(K.cusum(bars(spark, x), "close"), "cusum") == pytest.approx(want.tolist())
+
+
+def test_kdj_of_a_flat_range_stays_in_the_middle(spark):
+    rows = [("A", T0 + dt.timedelta(hours=i), 5.0, 5.0, 5.0, 5.0, 1.0, 5.0, 0.0, 1) for i in range(12)]
+    assert column(K.kdj(spark.createDataFrame(rows, BAR)), "k")[8:] == [50.0] * 4
