@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .vectors import blocked, finite, matrix, paired
 
 FIT_ROWS = 16_384
-BOOKS, WORDS, BEAM, ROUNDS = 16, 64, 4, 8
+BOOKS, WORDS, BEAM, ROUNDS = 32, 64, 4, 8
 #: Rows of a query that are scored exactly, and block sizes of the scan.
-SHORTLIST = 256
+SHORTLIST = 320
 QUERY_BLOCK, ROW_BLOCK = 512, 16_384
 
 
