@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import rounded
-from tidemark.operators import bars as B
 from tidemark.operators import flow as L
 from tidemark.operators import profile as P
 from tidemark.operators import stats as S
