@@ -15,6 +15,7 @@ each on its own (sequence ids differ). Extra columns do not take part.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices
+from .common import ragged, slices, tidy
 
 LONGEST = 4096
 CLOSING_ID = 2
-#: Chunks a task remembers; the table is emptied beyond it.
-REMEMBERED = 250_000
+#: Chunks a worker remembers; the table is emptied beyond it.
+REMEMBERED = 400_000
 #: Bytes of text encoded together: more text has fewer distinct chunks to its size.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 2 << 20
 #: Stands between chunks that are encoded in one call.
 MARK = "\x01"
 
@@ -48,6 +49,7 @@ class ChunkEncoder:
     """Ids of texts by a tokenizer that drops white space."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -74,13 +76,13 @@ class ChunkEncoder:
         marks = np.flatnonzero(ids == self.mark_ids[0])
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
         """All ids after one another, and how many each text has."""
         chunks = pc.split_pattern(_spaced(texts), " ")
         per_text = pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = chunks.flatten().dictionary_encode()
         distinct = coded.dictionary
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > remembered:
             self._forget()
         words = distinct.to_pylist()
         place = np.array([self.known.get(x, -1) for x in words], dtype=np.int64)
@@ -109,12 +111,12 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _packer(path: str, keep: list[str], longest: int, with_ids: bool):
+def _packer(path: str, keep: list[str], longest: int, with_ids: bool, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(path)
         for whole in batches:
             for batch in slices(whole, "__text", ENCODED_BYTES):
-                ids, counts = encoder.encode(batch.column("__text"))
+                ids, counts = encoder.encode(batch.column("__text"), remembered)
                 owner, start, length, crc, total, tokens, at = [], [], [], [], [], [], 0
                 for i, n in enumerate(counts.tolist()):
                     own = np.append(ids[at : at + n], np.uint32(CLOSING_ID)).astype("<u4")
@@ -137,22 +139,22 @@ def _packer(path: str, keep: list[str], longest: int, with_ids: bool):
                     arrays.append(pa.array(tokens, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
-        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, longest: int = LONGEST, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, longest: int = LONGEST, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: where it lies in its document, its sequence, and `bucket` (log2 of the length).
 
-    with_ids: also `ids`, the piece's tokens, for write_buckets().
+    with_ids: also `ids`, the piece's tokens, for write_buckets(). remembered: chunks that a worker keeps, about 200
+    bytes each; more of them save time where the worker has the memory.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     given = docs.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]] + ["start long, length long, ids_crc32 long, doc_tokens long"] + ["ids array<int>"] * with_ids)
     return (
-        given.mapInArrow(_packer(path or tokenizer_path(), list(keep), longest, with_ids), schema)
+        given.mapInArrow(tidy(_packer(path or tokenizer_path(), list(keep), longest, with_ids, remembered)), schema)
         .withColumn("sequence_id", F.monotonically_increasing_id())
         .withColumn("offset", F.lit(0).cast("long"))
         .withColumn("bucket", F.log2("length").cast("int"))

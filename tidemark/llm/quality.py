@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, slices
+from .common import Words, gram_hashes, slices, tidy
 
 #: The most labelled rows that the model is fitted on.
 TRAIN_ROWS = 12_000
@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Additiv
     )
     # `chosen` has at most `most` rows of two numbers, so sending it to all tasks is bounded.
     texts = docs.select("doc_id", F.col("text").alias("__text")).join(F.broadcast(chosen), "doc_id").select("__y", "__text")
-    got = texts.mapInArrow(_extractor(["__y"]), "__y double, features array<double>").toArrow()
+    got = texts.mapInArrow(tidy(_extractor(["__y"])), "__y double, features array<double>").toArrow()
     y = got.column("__y").to_numpy()
     x = got.column("features").combine_chunks()
     x = (x.flatten() if isinstance(x, pa.Array) else pa.chunked_array(x).combine_chunks().flatten()).to_numpy(zero_copy_only=False).reshape(len(y), len(FEATURES))
@@ -237,4 +237,4 @@ def quality_scores(docs: DataFrame, model: AdditiveModel, keep: tuple[str, ...]
     """The columns in `keep`, score (0 to 1) and predicted (score >= THRESHOLD), for each row of `docs`."""
     given = docs.select(*keep, F.col("text").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]] + ["score double"])
-    return given.mapInArrow(_scorer(model, list(keep)), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return given.mapInArrow(tidy(_scorer(model, list(keep))), schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

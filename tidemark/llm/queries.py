@@ -50,7 +50,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), remembered=1_000_000)
 
 
 QUERIES = {f.__name__: f for f in (op1_chat, op2_substring, op3_quality, op4_topk, op5_html, op6_mixing, op7_minhash, op8_ann, op9_secrets, op10_packing)}

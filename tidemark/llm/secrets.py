@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 # Patterns and lengths of the base kinds.
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
@@ -186,7 +186,7 @@ def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     """
     given = docs.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]] + ["n_assign long, n_access long, n_hex long, base_sha256 string, spans string"] + ["clean_text string"] * clean)
-    return given.mapInArrow(_scanner(list(keep), clean), schema)
+    return given.mapInArrow(tidy(_scanner(list(keep), clean)), schema)
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
