@@ -7,6 +7,7 @@ megabytes, so memory per task does not follow the batch or partition size.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,11 +50,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder."""
+    """Cuts the lineage through the shared folder, and lets go of the shuffle files that only the cut part needed.
+
+    Spark deletes them when the driver collects what refers to them, which a driver with little to do seldom does; in
+    an iterative job they would pile up on the executors' disks.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
