@@ -286,6 +286,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicate_classes(documents(spark, rows).where("false")).count() == 0
 
 
+def test_one_document_of_each_class_stays_whatever_its_id(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(80)) for _ in range(8)]
+    near = texts[0] + " tail"
+    rows = [(None, texts[0]), (None, near), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[5]), (7, texts[5]), (8, texts[5] + " tail"), (None, texts[6]), (9, texts[6]), (None, texts[7]), (None, None), (None, "")]
+    kept = [(r["doc_id"], r["text"]) for r in neardup.without_near_duplicates(documents(spark, rows)).collect()]
+    either = min(texts[0], near, key=lambda x: hashlib.md5(x.encode()).digest())
+    expected = [(None, either), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[5]), (9, texts[6]), (None, texts[7]), (None, None), (None, "")]
+    assert sorted(kept, key=str) == sorted(expected, key=str)
+
+
 def test_alignment_is_about_order():
     a = np.arange(100, dtype=np.uint32)
     assert neardup.similarity(a, a) == 1

@@ -187,8 +187,8 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), class_id, class_size for each row of `docs`; digest is null without words."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """Columns of near_duplicate_classes and root, the least digest of the class; both digests are null without words."""
     given = _keyed(docs)
     sketched = checkpointed(given.mapInArrow(tidy(_sketcher), "doc_id long, digest binary, keys array<long>"))
     worded = sketched.where("keys IS NOT NULL")
@@ -240,14 +240,20 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
             rooted = components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(fresh.where("near").select("a", "b")))
     placed = worded.select("doc_id", "digest").join(rooted.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    alone = sketched.where("keys IS NULL").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return placed.join(classes, "root").select("doc_id", "digest", "class_id", "class_size").unionAll(alone)
+    alone = sketched.where("keys IS NULL").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("binary").alias("root"))
+    return placed.join(classes, "root").select("doc_id", "digest", "class_id", "class_size", "root").unionAll(alone)
+
+
+def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), class_id, class_size for each row of `docs`; digest is null without words."""
+    return _classes(docs).drop("root")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each class: the smallest doc_id, of it the smallest digest, once. Documents without words all stay."""
-    classes = near_duplicate_classes(docs).where("digest IS NOT NULL")
-    keeper = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("__id")).agg(F.min("digest").alias("__digest"))
+    classes = _classes(docs).where("digest IS NOT NULL")
+    # By root: a class id need not be unique, as ids can be null or repeat.
+    keeper = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")).select(F.col("least.doc_id").alias("__id"), F.col("least.digest").alias("__digest"))
     keyed = docs.withColumn("__key", F.unhex(F.md5(F.col("text").cast("binary"))))
     stay = keyed.join(keeper, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__digest"))).drop("__id", "__digest")
     wordless = keyed.where(F.coalesce(F.length(F.regexp_replace("text", "[\\x09-\\x0D\\x20]+", "")), F.lit(0)) == 0)
