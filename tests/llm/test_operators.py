@@ -297,6 +297,40 @@ def test_one_document_of_each_class_stays_whatever_its_id(spark):
     assert sorted(kept, key=str) == sorted(expected, key=str)
 
 
+def test_barely_similar_texts_of_a_dense_family_meet(spark):
+    # Of 185 shingles the two texts of a pair share 165: 165 / 205 = 0.805; texts of other pairs mostly 155 or 160.
+    rng, rows, sets = random.Random(4), [], []
+    for g in range(12):
+        for p in range(10):
+            both, *spots = [9 * x + 4 for x in rng.sample(range(21), 5)]
+            for own in (spots[:2], spots[2:]):
+                w = [f"g{g}v{i}" for i in range(189)]
+                for spot in (both, *own):
+                    w[spot] = f"g{g}p{p}v{spot}"
+                rows.append((len(rows), " ".join(w)))
+                sets.append({tuple(w[j : j + 5]) for j in range(185)})
+    least = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i // 20 * 20, i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(documents(spark, rows)).collect()}
+    assert got == dict(enumerate(least))
+
+
+def test_parities_leave_no_similar_pair_out():
+    rng = np.random.default_rng(5)
+    for n in (3, 40, 200, 3000):
+        a = rng.integers(0, 2**32, n, dtype=np.uint32)
+        for changed in range(0, n // 5 + 1, max(n // 25, 1)):
+            b = a.copy()
+            b[n - changed :] = rng.integers(0, 2**32, changed, dtype=np.uint32)
+            apart = sum(bin(int(x)).count("1") for x in (neardup.parities(a) ^ neardup.parities(b)).view(np.uint64))
+            s = neardup.similarity(a, b)
+            assert apart <= len(np.setxor1d(a, b)) and (not s or apart <= (1 - s) / (1 + s) * 2 * n + 1e-6)
+
+
 def test_alignment_is_about_order():
     a = np.arange(100, dtype=np.uint32)
     assert neardup.similarity(a, a) == 1

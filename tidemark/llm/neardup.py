@@ -16,12 +16,12 @@ Skew: equal texts collapse first into one representative, by an aggregate that
 combines before the shuffle. In a bucket each member is compared with one lead,
 so a bucket of m makes m - 1 pairs. Where members then lie in several components,
 those outside the largest are compared with another lead in it. Last, members of
-different components of a bucket are compared with one another, the closest
-first: those whose signatures (least shingle hash of each of BINS ranges) agree
-in the shares CLOSE. No list of members or candidates is cut. What can be missed:
-two texts that no lead connects, whose signatures understate their similarity
-below the last share: at similarity 0.8 exactly one pair in eight, at 0.84 one in
-a hundred.
+different components of a bucket are compared with one another, in the buckets of
+all orders, the closest first (CLOSE), unless lengths or parities show that they
+can't be similar. Parities of the number of shingles in each of BITS hash ranges
+differ in no more ranges than shingles differ, and texts of n1 and n2 shingles at
+similarity s differ in at most (1 - s) / (1 + s) (n1 + n2). So no link between two
+texts of a bucket is lost, and no list of members or candidates is cut.
 
 A document of fewer than five words has its words as one shingle. Documents
 without words (null, empty, blank) are alone in their class. Repeated rows and
@@ -48,10 +48,8 @@ SKETCHES, PICKS = 32, 6
 SHORT_SKETCHES, SHORT_PICKS, LONG_FROM, SHORT_BELOW = 8, 2, 32, 40
 #: How far a diagonal may lie from the main one, as a share of the longer sequence; similar texts need at most 1 - SIMILARITY.
 BAND = 0.25
-#: Signature: ranges of hashes, and the shares of ranges that texts have in common before the last comparisons, the closest first.
-BINS, CLOSE = 128, (0.8, 0.76)
-#: Orders whose buckets take part in them; similar texts share none of these with probability 0.008.
-LAST_ORDERS = 16
+#: Hash ranges whose parities are compared before alignment, and the similarities that they must allow, the closest first; the last leaves no similar pair out.
+BITS, CLOSE = 1024, (0.85, SIMILARITY)
 
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 
@@ -98,13 +96,10 @@ def sketches(items: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signature(items: np.ndarray) -> np.ndarray:
-    """The least item of each of BINS hash ranges, as one byte; 0 where there is none."""
-    out = np.zeros(BINS, dtype=np.uint8)
-    ranked = np.sort(items)[::-1]
-    # Later assignments win, so the least of a range stays.
-    out[(ranked >> np.uint64(57)).astype(np.int64)] = np.maximum((ranked & np.uint64(0xFF)).astype(np.uint8), 1)
-    return out
+def parities(items: np.ndarray) -> np.ndarray:
+    """Whether each of BITS ranges holds an odd number of the different items (of 32 bits), 64 ranges a number."""
+    odd = np.bincount(np.unique(items) // np.uint32(2**32 // BITS), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -151,9 +146,9 @@ def _sequencer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = Words(batch.column("__text"))
             hashes = w.hashes()
             wide = [shingles(hashes[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-            items = [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in wide]
-            marks = [signature(x).view(np.int8) for x in wide]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(items, pa.binary()), pa.array(marks, pa.list_(pa.int8()))], names=["digest", "items", "marks"])
+            items = [(x >> np.uint64(32)).astype(np.uint32) for x in wide]
+            odd = [parities(x) for x in items]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([x.tobytes() for x in items], pa.binary()), pa.array(odd, pa.list_(pa.int64()))], names=["digest", "items", "odd"])
 
 
 def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +196,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     # The texts that share a bucket with another, one row each, as sequences.
     holders = buckets.groupBy("digest").agg(F.min("holder").alias("__holder"))
     held = given.join(holders, "digest").where(F.col("doc_id").eqNullSafe(F.col("__holder"))).select("digest", "__text")
-    sequences = checkpointed(held.mapInArrow(tidy(_sequencer), "digest binary, items binary, marks array<tinyint>").dropDuplicates(["digest"]))
+    sequences = checkpointed(held.mapInArrow(tidy(_sequencer), "digest binary, items binary, odd array<long>").dropDuplicates(["digest"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sequences.select(F.col("digest").alias("a"), F.col("items").alias("a_items"))
@@ -223,17 +218,18 @@ def _classes(docs: DataFrame) -> DataFrame:
     fresh = verified(_pairs(pairs).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     tested = tested.unionAll(fresh)
     rooted = components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(fresh.where("near").select("a", "b")))
-    same = F.size(F.filter(F.zip_with("marks", "b_marks", lambda x, y: (x == y) & (x != 0)), lambda v: v))
-    some = F.size(F.filter(F.zip_with("marks", "b_marks", lambda x, y: (x != 0) | (y != 0)), lambda v: v))
-    short = lambda k: F.shiftright(k, 32).cast("int")  # noqa: E731  enough to tell a text's own keys apart
-    few = texts.select("digest", F.transform(F.slice("keys", 1, LAST_ORDERS), short).alias("keys"))
+    apart = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("b_odd")[i])) for i in range(BITS // 64)), F.lit(0))
+    sized = sequences.select("digest", "odd", (F.length("items") / 4).cast("int").alias("n"))
     for close in CLOSE:
         placed, parts = split()
-        open_ones = checkpointed(placed.join(parts.select("key"), "key").join(sequences.select("digest", "marks"), "digest").join(few, "digest").where(F.array_contains("keys", short(F.col("key")))))
-        others = open_ones.select(F.col("key").alias("b_key"), F.col("digest").alias("b"), F.col("root").alias("b_root"), F.col("marks").alias("b_marks"), F.col("keys").alias("b_keys"))
+        open_ones = checkpointed(placed.join(parts.select("key", "main"), "key").join(sized, "digest").join(texts.select("digest", "keys"), "digest"))
+        others = open_ones.select(F.col("key").alias("b_key"), F.col("digest").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("odd").alias("b_odd"), F.col("keys").alias("b_keys"))
+        # One of two members of different roots at least is outside the largest.
+        differ = (F.col("b_root") == F.col("main")) | (F.col("root") < F.col("b_root"))
+        may = (F.least("n", "b_n") >= SIMILARITY * F.greatest("n", "b_n")) & (apart <= (1 - close) / (1 + close) * (F.col("n") + F.col("b_n")) + 1e-6)
         # A pair counts in one of the buckets it shares, the one of the least key.
-        once = F.array_min(F.array_intersect("keys", "b_keys")) == short(F.col("key"))
-        met = open_ones.join(others, (F.col("key") == F.col("b_key")) & (F.col("root") < F.col("b_root")) & (same >= close * some) & once)
+        once = F.array_min(F.array_intersect("keys", "b_keys")) == F.col("key")
+        met = open_ones.where("root <> main").join(others, (F.col("key") == F.col("b_key")) & differ & may & once)
         fresh = verified(_pairs(met.select(F.col("digest").alias("a"), "b")).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         tested = tested.unionAll(fresh)
         if not fresh.where("near").isEmpty():
