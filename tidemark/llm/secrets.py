@@ -4,7 +4,8 @@ One pass over the text in map tasks, no shuffle. An Aho-Corasick automaton over
 the lower-cased bytes reports keyword positions. Only there are regular
 expressions tried, anchored at the hit. Token families with a checksum inside
 (CRC-32 in base 62) are reported only if it holds; base64 web tokens only if
-their header decodes to JSON. Hexadecimal runs have no keyword: a run of 16
+their header (of at most HEADER_MOST characters) decodes to a JSON object; one
+nested beyond what the parser takes does not count. Hexadecimal runs have no keyword: a run of 16
 holds two neighbouring positions of a stride of 8, so those are probed.
 
 Null and empty texts have no spans. Repeated rows are scanned each on its own;
@@ -36,9 +37,14 @@ HEX = re.compile(rb"[0-9a-f]+")
 HEX_LEAST = 16
 # Token families known by prefix.
 CHECKED = re.compile(rb"(?:gh[pousr]_|npm_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-WEB_TOKEN = re.compile(rb"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})")
+# A web token: a header (letters of URL-safe base64), then this.
+HEADER = re.compile(rb"[A-Za-z0-9_-]+")
+AFTER_HEADER = re.compile(rb"\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+HEADER_LEAST = 11
 PRIVATE_KEY = re.compile(rb"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: A web token's header is decoded only up to this length; real ones have some dozens of characters.
+HEADER_MOST = 8192
 #: Kinds in the order that breaks ties of a start.
 KINDS = ("assign", "access", "hex", "checked", "webtoken", "privatekey")
 KEYWORDS = {
@@ -75,7 +81,7 @@ def checksum_holds(body: bytes, check: bytes) -> bool:
 def header_is_json(part: bytes) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested beyond what the parser takes
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -99,6 +105,7 @@ def scan(raw: bytes) -> list[tuple[int, int, int]]:
     """(start, kind number, end) in bytes, sorted. Each kind: leftmost, non-overlapping."""
     found: list[tuple[int, int, int]] = [(a, 2, b) for a, b in hex_runs(raw)] if len(raw) >= HEX_LEAST else []
     free: dict[str, int] = {}
+    run_end = token_end = 0
     # Bytes over 127 become single characters that no keyword holds, so offsets stay.
     for last, (length, kind) in sorted((end - info[0] + 1, info) for end, info in automaton().iter(raw.lower().decode("latin-1"))):
         at = last
@@ -119,9 +126,14 @@ def scan(raw: bytes) -> list[tuple[int, int, int]]:
                 free[kind] = m.end()
                 found.append((at, 3, m.end()))
         elif kind == "webtoken":
-            if (m := WEB_TOKEN.match(raw, at)) and header_is_json(m[1]):
-                free[kind] = m.end()
-                found.append((at, 4, m.end()))
+            if at >= run_end and raw[at : at + 3] == b"eyJ":
+                # Hits inside one run of letters share its end and what follows, so each run is read once.
+                run_end = HEADER.match(raw, at).end()
+                m = AFTER_HEADER.match(raw, run_end)
+                token_end = m.end() if m else 0
+            if token_end and HEADER_LEAST <= run_end - at <= HEADER_MOST and raw[at : at + 3] == b"eyJ" and header_is_json(raw[at:run_end]):
+                free[kind] = token_end
+                found.append((at, 4, token_end))
         elif m := PRIVATE_KEY.match(raw, at):
             free[kind] = m.end()
             found.append((at, 5, m.end()))
@@ -151,8 +163,6 @@ def redacted(raw: bytes, spans: list[tuple[int, int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-
-
 def _scanner(keep: list[str], clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
