@@ -10,15 +10,19 @@ norms. The best SHORTLIST rows of each query are scored again exactly on the
 original vectors, and the nearest are returned.
 
 Rows of null id or of a vector that is null, empty, zero or holds null or
-non-finite components take no part. The commonest length is searched; vectors of
-other lengths are compared with no other. Rows of the query's id are not its
-candidates. Ties go to the smaller id, in the shortlist too, so copies of one
-vector rank as in an exact search. Repeated rows count once.
+non-finite components take no part. Vectors of different lengths are not compared;
+each length has its own codebooks and its own part of the plan, so lengths should
+be few. Rows of the query's id are not its candidates. Ties go to the smaller id,
+in the shortlist too, so copies of one vector rank as in an exact search. Rows
+equal in id and vector count once; different vectors under one id are candidates
+each, and queries each, with a ranking of their own under that id. Shortlists of
+blocks are merged FAN at a time, so no group grows with the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +38,8 @@ BOOKS, WORDS, BEAM, ROUNDS = 32, 64, 4, 8
 #: Rows of a query that are scored exactly, and block sizes of the scan.
 SHORTLIST = 320
 QUERY_BLOCK, ROW_BLOCK = 512, 16_384
+#: Shortlists of a query that are merged at once.
+FAN = 64
 
 
 def _nearest_words(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -86,19 +92,27 @@ def _encoder(books: np.ndarray):
                 codes, norms = encode(x, books)
                 ratio = np.sqrt((x**2).sum(1)) / np.maximum(norms, 1e-30)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio.astype(np.float64))], names=["vec_id", "code", "ratio"]
+                    [batch.column("vec_id"), batch.column("own"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio.astype(np.float64))], names=["vec_id", "own", "code", "ratio"]
                 )
 
     return run
 
 
+def _longs(pdf: pd.DataFrame, column: str) -> list[bytes]:
+    return [pdf[column].to_numpy(np.int64).tobytes()]
+
+
 def _query_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"lb": [key[0]], "query_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(pdf["embedding"].to_list()).astype(np.float32).tobytes()]})
+    return pd.DataFrame({"lb": [key[0]], "query_ids": _longs(pdf, "vec_id"), "query_owns": _longs(pdf, "own"), "vectors": [np.stack(pdf["embedding"].to_list()).astype(np.float32).tobytes()]})
 
 
 def _code_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("vec_id", kind="stable")
-    return pd.DataFrame({"rb": [key[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "codes": [b"".join(pdf["code"])], "ratios": [pdf["ratio"].to_numpy(np.float32).tobytes()]})
+    pdf = pdf.sort_values(["vec_id", "own"], kind="stable")
+    return pd.DataFrame({"rb": [key[0]], "ids": _longs(pdf, "vec_id"), "owns": _longs(pdf, "own"), "codes": [b"".join(pdf["code"])], "ratios": [pdf["ratio"].to_numpy(np.float32).tobytes()]})
+
+
+#: The best rows of a query in a block, or in several.
+LISTS = "query_id long, query_own long, rb int, ids array<long>, owns array<long>, scores array<double>"
 
 
 def _scanner(books: np.ndarray, most: int):
@@ -108,12 +122,13 @@ def _scanner(books: np.ndarray, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, ratios = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ratios"], np.float32)
+                ids, owns, ratios = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["owns"], np.int64), np.frombuffer(r["ratios"], np.float32)
                 codes = np.frombuffer(r["codes"], np.uint8).reshape(-1, n_books)
                 columns = [np.ascontiguousarray(codes[:, m]) for m in range(n_books)]
                 out: tuple[list, list, list] = ([], [], [])
+                asked = np.frombuffer(r["query_ids"], np.int64)
                 tables = np.einsum("qd,mwd->qmw", np.frombuffer(r["vectors"], np.float32).reshape(-1, dims), books, optimize=True).astype(np.float32)
-                for q, t in zip(np.frombuffer(r["query_ids"], np.int64).tolist(), tables, strict=True):
+                for q, t in zip(asked.tolist(), tables, strict=True):
                     score = t[0][columns[0]]
                     for m in range(1, n_books):
                         score += t[m][columns[m]]
@@ -127,19 +142,25 @@ def _scanner(books: np.ndarray, most: int):
                     else:
                         best = np.arange(len(score))
                     best = best[score[best] > -np.inf]
-                    out[0].append(q)
-                    out[1].append(ids[best])
+                    out[0].append(ids[best])
+                    out[1].append(owns[best])
                     out[2].append(score[best].astype(np.float64))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asked), pa.array(np.frombuffer(r["query_owns"], np.int64)), pa.array(np.full(len(asked), r["rb"], np.int32)), pa.array(out[0], longs), pa.array(out[1], longs), pa.array(out[2], pa.list_(pa.float64()))],
+                    names=["query_id", "query_own", "rb", "ids", "owns", "scores"],
+                )
 
     return run
 
 
-def _shortlister(most: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, scores = np.concatenate(pdf["ids"].to_list()), np.concatenate(pdf["scores"].to_list())
-        best = np.lexsort((ids, -scores))[:most]
-        return pd.DataFrame({"query_id": np.full(len(best), pdf["query_id"].iat[0]), "vec_id": ids[best]})
+def _merger(most: int):
+    """One list of a query's lists."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, owns, scores = (np.concatenate(pdf[c].to_list()) for c in ("ids", "owns", "scores"))
+        best = np.lexsort((owns, ids, -scores))[:most]
+        return pd.DataFrame({"query_id": [key[0]], "query_own": [key[1]], "rb": [key[2]], "ids": [ids[best]], "owns": [owns[best]], "scores": [scores[best]]})
 
     return run
 
@@ -147,27 +168,32 @@ def _shortlister(most: int):
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, shortlist: int = SHORTLIST, fit_rows: int = FIT_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found. Inputs have vec_id and embedding."""
     zero = ~F.exists("embedding", lambda x: x != 0)
-    usable = lambda df: df.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & finite() & ~zero).dropDuplicates(["vec_id", "embedding"])
+    usable = lambda df: df.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & finite() & ~zero).dropDuplicates(["vec_id", "embedding"]).withColumn("own", F.xxhash64("embedding"))
     rows, asked = usable(vectors), usable(queries)
-    lengths = rows.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
-    dims = lengths[0]["dims"] if lengths else 1
-    rows, asked = [df.where(F.size("embedding") == dims) for df in (rows, asked)]
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("embedding").toArrow().column(0).combine_chunks()
+    lengths = [r[0] for r in rows.select(F.size("embedding").alias("dims")).distinct().orderBy("dims").collect()]
+    found = [_nearest(asked.where(F.size("embedding") == d), rows.where(F.size("embedding") == d), d, k, shortlist, fit_rows) for d in lengths or [1]]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _nearest(asked: DataFrame, rows: DataFrame, dims: int, k: int, shortlist: int, fit_rows: int) -> DataFrame:
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "own").limit(fit_rows).select("embedding").toArrow().column(0).combine_chunks()
     x = matrix(sample if isinstance(sample, pa.Array) else sample.chunk(0)) if len(sample) else np.zeros((1, dims))
     books = fit_codebooks(x)
-    coded = rows.mapInArrow(_encoder(books), "vec_id long, code binary, ratio double")
-    (left, n_left), (right, n_right) = blocked(asked, QUERY_BLOCK, "lb"), blocked(coded, ROW_BLOCK, "rb")
-    left = left.groupBy("lb").applyInPandas(_query_block, "lb int, query_ids binary, vectors binary")
-    right = right.groupBy("rb").applyInPandas(_code_block, "rb int, ids binary, codes binary, ratios binary")
-    pairs = paired(left, n_left, right, n_right).select("query_ids", "vectors", "ids", "codes", "ratios")
-    found = pairs.mapInArrow(_scanner(books, shortlist), "query_id long, ids array<long>, scores array<double>")
-    short = found.groupBy("query_id").applyInPandas(_shortlister(shortlist), "query_id long, vec_id long")
+    coded = rows.mapInArrow(_encoder(books), "vec_id long, own long, code binary, ratio double")
+    (left, _), (right, n_right) = blocked(asked, asked.count(), QUERY_BLOCK, "lb", "vec_id", "own"), blocked(coded, rows.count(), ROW_BLOCK, "rb", "vec_id", "own")
+    left = left.groupBy("lb").applyInPandas(_query_block, "lb int, query_ids binary, query_owns binary, vectors binary")
+    right = right.groupBy("rb").applyInPandas(_code_block, "rb int, ids binary, owns binary, codes binary, ratios binary")
+    pairs = paired(left, right, n_right).select("rb", "query_ids", "query_owns", "vectors", "ids", "owns", "codes", "ratios")
+    lists = pairs.mapInArrow(_scanner(books, shortlist), LISTS)
+    while n_right > 1:
+        n_right = -(-n_right // FAN)
+        lists = lists.withColumn("rb", F.expr(f"cast(rb div {FAN} as int)")).groupBy("query_id", "query_own", "rb").applyInPandas(_merger(shortlist), LISTS)
+    short = lists.select("query_id", "query_own", F.explode(F.arrays_zip("ids", "owns")).alias("c")).select("query_id", "query_own", F.col("c.ids").alias("vec_id"), F.col("c.owns").alias("own"))
     product = F.aggregate(F.zip_with("a", "b", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
     exact = (
-        short.dropDuplicates()
-        .join(rows.select("vec_id", F.col("embedding").alias("b")), "vec_id")
-        .join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), "query_id")
-        .select("query_id", "vec_id", product.alias("score"))
+        short.join(rows.withColumnRenamed("embedding", "b"), ["vec_id", "own"])
+        .join(asked.select(F.col("vec_id").alias("query_id"), F.col("own").alias("query_own"), F.col("embedding").alias("a")), ["query_id", "query_own"])
+        .select("query_id", "query_own", "vec_id", product.alias("score"))
     )
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = W.partitionBy("query_id", "query_own").orderBy(F.desc("score"), "vec_id")
     return exact.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

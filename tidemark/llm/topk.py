@@ -11,12 +11,18 @@ possible members are scored exactly. Ties go to the smaller id.
 
 Rows of null id or of a vector that is null, empty or holds null or non-finite
 components take no part. Vectors of different lengths are not compared. Rows of
-the query's id are not its candidates; among rows repeated under one id each is
-a candidate. Without queries or candidates the result is empty.
+the query's id are not its candidates. Rows equal in id and vector count once, as
+query and as candidate; different vectors under one id are candidates each, and
+queries each, with a ranking of their own under that id. Without queries or
+candidates the result is empty. Sums are exact whatever the components: in double
+precision up to EXACT, in 64 bits up to WHOLE, in numbers of any size beyond. A
+score that a long doesn't hold is shown as the nearest long; its rank is that of
+the exact sum.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,38 +37,52 @@ from .vectors import QUERY_BLOCK, ROW_BLOCK, blocked, finite, paired
 SCALE = 256
 #: Segments per dimension, segments between two tests of the bound, and the possible members at which it stops.
 SEGMENTS, STEP, FEW = 8, 32, 512
-#: Sums below it are exact in double precision; beyond it all rows are scored.
-EXACT = 2**52
+#: Sums below it are exact in double precision; beyond it all rows are scored. Below WHOLE they are exact in 64 bits.
+EXACT, WHOLE = 2**52, 2.0**62
+#: What orders sums beyond a long: the sum plus this, as so many bytes. Components of 4 bytes give sums far below it.
+SHIFT, WIDE = 2**400, 51
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, dims, q: the integer components of the vectors that take part."""
-    return vectors.where(F.col("vec_id").isNotNull() & finite()).select(
-        "vec_id", F.size("embedding").alias("dims"), F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("q")
-    )
+    """vec_id, dims, embedding of the vectors that take part, each once."""
+    return vectors.where(F.col("vec_id").isNotNull() & finite()).select("vec_id", F.size("embedding").alias("dims"), "embedding").dropDuplicates(["vec_id", "embedding"])
 
 
 def _block_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and the integer components as doubles (a double times 256 is exact)."""
     pdf = pdf.sort_values("vec_id", kind="stable")
-    return pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["q"].to_list()).astype(np.int64)
+    return pdf["vec_id"].to_numpy(np.int64), np.floor(np.stack(pdf["embedding"].to_list()).astype(np.float64) * SCALE)
 
 
 def _query_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     ids, q = _block_of(pdf)
-    return pd.DataFrame({"dims": [key[0]], "lb": [key[1]], "n": [len(ids)], "query_ids": [ids.tobytes()], "weights": [q.tobytes()]})
+    return pd.DataFrame({"dims": [key[0]], "lb": [key[1]], "query_ids": [ids.tobytes()], "weights": [q.tobytes()]})
 
 
 def _index_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Postings by dimension: row numbers in descending value."""
     ids, v = _block_of(pdf)
     order = np.argsort(-v, axis=0, kind="stable").T.astype(np.int32)
-    return pd.DataFrame({"dims": [key[0]], "rb": [key[1]], "m": [len(ids)], "ids": [ids.tobytes()], "values": [v.tobytes()], "postings": [order.tobytes()]})
+    return pd.DataFrame({"row_dims": [key[0]], "rb": [key[1]], "ids": [ids.tobytes()], "values": [v.tobytes()], "postings": [order.tobytes()]})
+
+
+def whole_products(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer components given as doubles: 64-bit numbers, or Python's where they may not do."""
+    wide = np.abs(values).max(axis=1, initial=0) * np.abs(weights).sum() >= WHOLE
+    if not wide.any():
+        return values.astype(np.int64) @ weights.astype(np.int64)
+    out = np.empty(len(values), dtype=object)
+    # Where the product is narrow but the weights are not, the row is all zeros.
+    out[~wide] = [int(x) for x in (values[~wide].astype(np.int64) @ weights.astype(np.int64) if np.abs(weights).max() < WHOLE else np.zeros((~wide).sum()))]
+    w = [int(x) for x in weights]
+    out[wide] = [sum(int(x) * y for x, y in zip(row, w, strict=True)) for row in values[wide]]
+    return out
 
 
 class ImpactIndex:
     def __init__(self, ids: np.ndarray, values: np.ndarray, postings: np.ndarray):
-        self.ids, self.values, self.postings = ids, values, postings.astype(np.int64)
-        self.sorted = np.take_along_axis(values.T, self.postings, axis=1).astype(np.float64)
+        self.ids, self.values, self.postings = ids, values.astype(np.float64), postings.astype(np.int64)
+        self.sorted = np.take_along_axis(self.values.T, self.postings, axis=1)
         self.cuts = np.unique(np.linspace(0, len(ids), SEGMENTS + 1).astype(np.int64))
         self.heads, self.lows = self.sorted[:, self.cuts[:-1]], self.sorted[:, self.cuts[1:] - 1]
         self.largest = np.abs(self.sorted).max()
@@ -70,9 +90,9 @@ class ImpactIndex:
 
     def search(self, query_id: int, weights: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), best first."""
-        n = len(self.ids)
+        n, weights = len(self.ids), weights.astype(np.float64)
         used = np.flatnonzero(weights)
-        w = weights[used].astype(np.float64)
+        w = weights[used]
         own = slice(np.searchsorted(self.ids, query_id, "left"), np.searchsorted(self.ids, query_id, "right"))
         members = None
         if n > k and len(used) and np.abs(w).sum() * self.largest < EXACT:
@@ -85,8 +105,9 @@ class ImpactIndex:
         if members is None:
             members = np.arange(n)
         members = members[(members < own.start) | (members >= own.stop)]
-        exact = self.values[members] @ weights
-        best = np.lexsort((self.ids[members], -exact))[:k]
+        exact = whole_products(self.values[members], weights)
+        # Ids rise with the place, so a stable sort breaks ties by the smaller id.
+        best = np.argsort(-exact, kind="stable")[:k]
         return [(int(exact[i]), int(self.ids[members[i]])) for i in best]
 
     def _possible(self, weights, k, used, w, down, least, impact, own) -> np.ndarray:
@@ -125,33 +146,43 @@ def _searcher(k: int):
         for batch in batches:
             for r in batch.to_pylist():
                 dims = r["dims"]
-                index = ImpactIndex(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["values"], np.int64).reshape(-1, dims), np.frombuffer(r["postings"], np.int32).reshape(dims, -1))
-                weights = np.frombuffer(r["weights"], np.int64).reshape(-1, dims)
-                out = [(q, i, s) for q, w in zip(np.frombuffer(r["query_ids"], np.int64).tolist(), weights, strict=True) for s, i in index.search(q, w, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+                index = ImpactIndex(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["values"], np.float64).reshape(-1, dims), np.frombuffer(r["postings"], np.int32).reshape(dims, -1))
+                weights = np.frombuffer(r["weights"], np.float64).reshape(-1, dims)
+                out = []
+                for q, w in zip(np.frombuffer(r["query_ids"], np.int64).tolist(), weights, strict=True):
+                    own = hashlib.md5(w.tobytes()).digest()
+                    for s, i in index.search(q, w, k):
+                        shown = min(max(s, -(2**63)), 2**63 - 1)
+                        out.append((q, own, i, shown, None if s == shown else (s + SHIFT).to_bytes(WIDE, "big")))
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=["query_id", "own", "vec_id", "score", "beyond"])
 
     return run
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of the k highest integer inner products. Inputs have vec_id and embedding."""
-    (left, n_left), (right, n_right) = blocked(quantised(queries), QUERY_BLOCK, "lb"), blocked(quantised(vectors), ROW_BLOCK, "rb")
-    left = left.groupBy("dims", "lb").applyInPandas(_query_block, "dims int, lb int, n int, query_ids binary, weights binary")
-    right = right.groupBy("dims", "rb").applyInPandas(_index_block, "dims int, rb int, m int, ids binary, values binary, postings binary").withColumnRenamed("dims", "row_dims")
-    pairs = paired(left, n_left, right, n_right).where("dims = row_dims").select("dims", "query_ids", "weights", "ids", "values", "postings")
-    found = pairs.mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked, rows = quantised(queries), quantised(vectors)
+    left, _ = blocked(asked, asked.count(), QUERY_BLOCK, "lb", "vec_id", "embedding")
+    right, n_right = blocked(rows, rows.count(), ROW_BLOCK, "rb", "vec_id", "embedding")
+    left = left.groupBy("dims", "lb").applyInPandas(_query_block, "dims int, lb int, query_ids binary, weights binary")
+    right = right.groupBy("dims", "rb").applyInPandas(_index_block, "row_dims int, rb int, ids binary, values binary, postings binary")
+    pairs = paired(left, right, n_right).where("dims = row_dims").select("dims", "query_ids", "weights", "ids", "values", "postings")
+    found = pairs.mapInArrow(_searcher(k), "query_id long, own binary, vec_id long, score long, beyond binary")
+    # A sum beyond the longs has `beyond` too; above them it is larger than the largest long itself, below them smaller than the smallest.
+    beyond = F.coalesce("beyond", F.lit(SHIFT.to_bytes(WIDE, "big")))
+    w = W.partitionBy("query_id", "own").orderBy(F.desc("score"), beyond.desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same for DuckDB.
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  SELECT DISTINCT vec_id, embedding AS own, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  SELECT a.vec_id AS query_id, a.own, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
 )
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

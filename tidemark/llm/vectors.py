@@ -1,8 +1,9 @@
 """Vectors in blocks, shared by the two searches.
 
 Searches compare a stated query set with all rows. Both sides are dealt to
-blocks of a fixed number of rows by id hash; a pair of blocks is one row of a
-join on the pair's key, so a task holds one pair at a time, whatever the input.
+blocks of a fixed number of rows by hash. An index block is shuffled once; the
+blocks of queries, a small part of the rows, are sent to each. A pair of blocks
+is one row of that join, so a task holds one pair at a time, whatever the input.
 """
 
 from __future__ import annotations
@@ -24,16 +25,15 @@ def finite(vector: str = "embedding") -> Column:
     return c.isNotNull() & (F.size(c) > 0) & F.coalesce(F.forall(c, lambda x: F.coalesce(ok(x), F.lit(False))), F.lit(False))
 
 
-def blocked(vectors: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Adds the block number `name`; each block has about `size` rows. Also the number of blocks."""
-    n = max(1, math.ceil(vectors.count() / size))
-    return vectors.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(n)).cast("int")), n
+def blocked(vectors: DataFrame, rows: int, size: int, name: str, *by: str) -> tuple[DataFrame, int]:
+    """Adds the block number `name`, by hash of the columns `by`; of the `rows` rows about `size` fall in each. Also the number of blocks."""
+    n = max(1, math.ceil(rows / size))
+    return vectors.withColumn(name, F.pmod(F.xxhash64(*by, F.lit(name)), F.lit(n)).cast("int")), n
 
 
-def paired(left: DataFrame, n_left: int, right: DataFrame, n_right: int) -> DataFrame:
-    """One row for each pair of a left block `lb` and a right block `rb`. Inputs have one row per block."""
-    spread = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return spread(left, n_right, "rb").join(spread(right, n_left, "lb"), ["lb", "rb"])
+def paired(left: DataFrame, right: DataFrame, n_right: int) -> DataFrame:
+    """One row for each pair of a query block and an index block `rb`. Inputs have one row per block."""
+    return left.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).join(right, "rb")
 
 
 def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
