@@ -4,8 +4,13 @@ Per page, a tree builder turns tags into well-nested elements (implied ends of
 p, li, dt, dd, option, tr, td, th and table sections; unmatched ends ignored),
 visibility rules drop what a browser doesn't show, and a renderer writes blocks
 with blank or new lines, list markers with indentation, preformatted text as it
-is, and tables as lines whose cells are padded to their column. Nothing recurses,
-so depth is not limited. One map over the pages, no shuffle.
+is, and tables as lines whose cells start at their column, spans included. Nothing
+recurses, and of each element name the places where it is open are kept, so work
+grows with the length of a page, not with its depth. What layout adds is bounded:
+indentation ends at INDENT_MOST, a cell reserves at most CELL_MOST places and no
+padding goes beyond LINE_MOST (text there follows after two spaces), columns from
+COLUMNS_MOST on are not told apart, and a table inside TABLES_DEEP others is
+written as plain lines. No text is left out. One map over the pages, no shuffle.
 
 Null pages give null, empty ones the empty text. Repeated rows are rendered each
 on its own; extra columns do not take part.
@@ -15,7 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +50,7 @@ IMPLIED = {
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'](?=[^\"']*>))*)>?", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+INDENT_MOST, CELL_MOST, LINE_MOST, COLUMNS_MOST, TABLES_DEEP = 40, 80, 400, 1000, 6
 SPACES = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -103,36 +109,76 @@ class Block:
 
 
 class Element:
-    __slots__ = ("name", "hidden", "indent", "ordinal", "pre", "block", "rows")
+    __slots__ = ("name", "hidden", "indent", "ordinal", "pre", "block", "rows", "wide", "high")
 
     def __init__(self, name: str, up: "Element | None"):
         self.name = name
         self.hidden, self.indent, self.pre = (up.hidden, up.indent, up.pre) if up else (False, "", False)
         self.block: Block = up.block if up else Block()
         self.ordinal: int | None = None
-        self.rows: list[list[list[str]]] | None = None
-
-
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of a table: cells are padded to the widest of their column, two spaces apart."""
-    rows = [r for r in rows if any(any(c) for c in r)]
-    widths: list[int] = []
-    for row in rows:
-        for j, cell in enumerate(row):
-            wide = max(map(len, cell), default=0)
-            if j == len(widths):
-                widths.append(wide)
-            widths[j] = max(widths[j], wide)
+        self.rows: list[list[tuple[list[str], int, int]]] | None = None
+        self.wide = self.high = 1
+
+
+def placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Of cells (lines, columns, rows that each spans) the first column, the column after, and the lines."""
+    taken = [0] * (COLUMNS_MOST + 1)  # the row from which a column is free; the last one is shared
     out = []
-    for row in rows:
-        for i in range(max(map(len, row))):
-            out.append("  ".join((c[i] if i < len(c) else "").ljust(widths[j]) for j, c in enumerate(row)).rstrip())
+    for n, row in enumerate(rows):
+        at, cells = 0, []
+        for lines, wide, high in row:
+            while at < COLUMNS_MOST and taken[at] > n:
+                at += 1
+            to = max(min(at + wide, COLUMNS_MOST), at + 1)
+            if high > 1:
+                taken[at:to] = [n + high] * (to - at)
+            cells.append((at, to, lines))
+            at = min(to, COLUMNS_MOST)
+        out.append(cells)
     return out
 
 
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table: each cell starts two places after the widest cell that ends before its column."""
+    grid = [r for r in placed(rows) if any(any(lines) for _, _, lines in r)]
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for row in grid:
+        for a, b, lines in row:
+            ends.setdefault(b, []).append((a, min(max(map(len, lines), default=0), CELL_MOST)))
+    # A column in which no cell begins or ends takes no place.
+    offset, have = {0: 0}, 0
+    for b in sorted(ends.keys() | {a for row in grid for a, _, _ in row}):
+        have = max([have, *(offset[a] + wide + 2 for a, wide in ends.get(b, ()))])
+        offset[b] = have
+    out = []
+    for row in grid:
+        parts: dict[int, list[tuple[int, str]]] = {i: [] for i in range(max(len(lines) for _, _, lines in row))}
+        for a, _, lines in row:
+            for i, x in enumerate(lines):
+                if x:
+                    parts[i].append((min(offset[a], LINE_MOST), x))
+        for cells in parts.values():
+            line, size = [], 0
+            for at, x in cells:
+                pad = max(at - size, 2 if line else 0)
+                line += [" " * pad, x]
+                size += pad + len(x)
+            out.append("".join(line).rstrip())
+    return out
+
+
+def spanned(value: str, most: int) -> int:
+    return min(int(value), most) if re.fullmatch(r"[1-9]\d{0,5}", value) else 1
+
+
 class Page:
     def __init__(self):
         self.stack = [Element("", None)]
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, names: Iterable[str]) -> int:
+        """Where in the stack the innermost open element of these names is; 0 if there is none."""
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=0)
 
     @property
     def top(self) -> Element:
@@ -142,7 +188,7 @@ class Page:
         e = self.top
         if e.hidden or not text:
             return
-        if e.rows is not None or e.name in SECTIONS or e.name == "tr":
+        if e.name == "table" or e.name in SECTIONS or e.name == "tr":
             if not text.strip():
                 return
         if e.pre:
@@ -159,17 +205,15 @@ class Page:
         else:
             e.block.put(text, e.indent)
 
-    def close_to(self, names: set[str] | frozenset[str], bounds: set[str]) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name in names:
-                while len(self.stack) > i:
-                    self.pop()
-                return
-            if self.stack[i].name in bounds:
-                return
+    def close_to(self, names: Iterable[str], bounds: Iterable[str]) -> None:
+        at = self.last(names)
+        if at and at > self.last(bounds):
+            while len(self.stack) > at:
+                self.pop()
 
     def table(self) -> Element | None:
-        return next((e for e in reversed(self.stack) if e.rows is not None), None)
+        at = self.last(("table",))
+        return self.stack[at] if at else None
 
     def open(self, name: str, rest: str) -> None:
         if name in IMPLIED:
@@ -178,7 +222,7 @@ class Page:
             self.close_to({"p"}, {"table", "td", "th", "button", "caption"})
         if name == "body":
             self.close_to({"head"}, set())
-        if name in ("td", "th") and (t := self.table()) is not None and not any(e.name == "tr" for e in self.stack[self.stack.index(t) :]):
+        if name in ("td", "th") and self.last(("table",)) and self.last(("tr",)) < self.last(("table",)):
             self.open("tr", "")
         up = self.top
         attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if rest else {}
@@ -203,38 +247,45 @@ class Page:
             e.ordinal = (int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1) if name == "ol" else None
             e.indent = up.indent
         if name == "li":
-            holder = next((x for x in reversed(self.stack) if x.name in ("ul", "ol", "menu")), None)
+            holder = self.stack[self.last(("ul", "ol", "menu"))]
             mark = "- "
-            if holder is not None and holder.ordinal is not None:
+            if holder.ordinal is not None:
                 mark, holder.ordinal = f"{holder.ordinal}. ", holder.ordinal + 1
             if not hidden:
                 block.prefix = up.indent + mark
-            e.indent = up.indent + " " * len(mark)
+            e.indent = (up.indent + " " * len(mark))[:INDENT_MOST]
         if name in ("blockquote", "dd"):
-            e.indent = up.indent + "  "
-        if name == "table":
+            e.indent = (up.indent + "  ")[:INDENT_MOST]
+        if name == "table" and len(self.places.get("table", ())) < TABLES_DEEP:
             e.rows = []
-        if name == "tr" and not hidden and (t := self.table()) is not None:
+        t = self.table()
+        if name == "tr" and not hidden and t is not None and t.rows is not None:
             t.rows.append([])
         if name in ("td", "th"):
-            e.block, e.indent, e.pre = Block(), "", False
+            e.pre = False
+            if t is not None and t.rows is None:
+                block.space |= bool(block.line)
+            else:
+                e.block, e.indent = Block(), ""
+                e.wide, e.high = spanned(attributes.get("colspan", ""), COLUMNS_MOST), spanned(attributes.get("rowspan", ""), 65534)
+        self.places.setdefault(name, []).append(len(self.stack))
         self.stack.append(e)
 
     def pop(self) -> None:
         e = self.stack.pop()
+        self.places[e.name].pop()
         up = self.top
         if e.hidden:
             return
         if e.name in ("td", "th"):
-            lines = e.block.done()
             t = self.table()
             if t is None:
-                up.block.put_lines(lines, up.indent)
-            else:
+                up.block.put_lines(e.block.done(), up.indent)
+            elif t.rows is not None:
                 if not t.rows:
                     t.rows.append([])
-                t.rows[-1].append(lines)
-        elif e.name == "table":
+                t.rows[-1].append((e.block.done(), e.wide, e.high))
+        elif e.name == "table" and e.rows is not None:
             e.block.end_line(2)
             e.block.put_lines(aligned(e.rows), up.indent)
             e.block.end_line(2)
@@ -247,8 +298,6 @@ class Page:
                 e.block.prefix = ""
 
     def close(self, name: str) -> None:
-        if name == "p" and not any(e.name == "p" for e in self.stack):
-            return
         bounds = set() if name in ("table", "body", "html", "td", "th", "tr") or name in SECTIONS else {"td", "th", "table"}
         self.close_to({name}, bounds if name != "table" else set())
 
