@@ -7,7 +7,6 @@ megabytes, so memory per task does not follow the batch or partition size.
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,42 +26,50 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[int, np.ndarray] = {}
 
 
-#: Rows of an Arrow batch where the session doesn't say: texts are long, and a batch is held in whole on both sides.
+#: Rows of an Arrow batch where nothing says otherwise: texts are long, and a batch is held in whole on both sides.
 BATCH_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows) == "10000":  # Spark's own default
-        spark.conf.set(rows, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For applications (the registered queries, the pipeline): Arrow batches of BATCH_ROWS, unless the session or its start says otherwise."""
+    if spark.sparkContext.getConf().get(_ARROW_ROWS) is None and spark.conf.get(_ARROW_ROWS) == "10000":  # Spark's own default
+        spark.conf.set(_ARROW_ROWS, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir. Where none is set a local session (as in tests) gets a folder; on a cluster that is an error."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; executors need a folder that all of them share")
         import tempfile
 
         at = tempfile.mkdtemp(prefix="tidemark-shared-")
-        spark.sparkContext.setCheckpointDir(at)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(at)
     return at
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder, and lets go of the shuffle files that only the cut part needed.
+    """Cuts the lineage through the shared folder. The shuffle files behind it have no other reader, so Spark deletes them at the end of the job.
 
-    Spark deletes them when the driver collects what refers to them, which a driver with little to do seldom does; in
-    an iterative job they would pile up on the executors' disks.
+    In an iterative job they would pile up on the executors' disks. The setting holds while this one job runs.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    out = df.checkpoint()
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+    shared_folder(spark)
+    before = spark.conf.get(_FREE_SHUFFLES)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:

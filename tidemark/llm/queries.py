@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, html, mixing, neardup, packing, quality, repeats, secrets, topk
-from .common import table
+from .common import small_batches
+from .common import table as _table
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return _table(spark, sf_dir, name)
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
