@@ -10,7 +10,9 @@ so the table that is inverted stays short.
 
 Size is counted in code points. A null source is a source of its own; a null
 text has size 0 and is drawn like any other. Repeated rows draw alike, each for
-itself. A source whose documents are all empty, and every source of an empty
+itself. A source of little text has a high rate: from PART draws on, a row's draws
+are dealt over tasks in parts of PART, whose copies are numbered from part x PART x
+TERMS + 1 (so with gaps between parts). A source whose documents are all empty, and every source of an empty
 input, has rate 0. Columns of the input are kept; `copy` (from 1), `rate` and
 `mix_key` are added, replacing columns of those names.
 """
@@ -22,12 +24,16 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Largest mean that is drawn at once; terms beyond TERMS weigh less than 2**-52 there.
 DRAW_MEAN, TERMS = 8.0, 60
 #: Up to so many sources, the rates (two numbers and an array of TERMS each) go to all tasks.
 BROADCAST_SOURCES = 20_000
 #: Parts that each source is dealt over where rates are joined by a shuffle.
 SALTS = 64
+#: Draws of a row that one task makes at once.
+PART = 1024
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -59,15 +65,15 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, default_w
     return (
         weighed.crossJoin(F.broadcast(total))  # one row
         .select("source", (F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size")).alias("rate"))
-        .withColumn("draws", F.greatest(F.ceil(F.col("rate") / DRAW_MEAN), F.lit(1)).cast("int"))
+        .withColumn("draws", F.greatest(F.ceil(F.col("rate") / DRAW_MEAN), F.lit(1)))
         .withColumn("sums", distribution(mean))
     )
 
 
-def copies_of(key: Column, seed: int) -> Column:
-    """The number drawn for a row that has draws and sums."""
+def copies_of(key: Column, seed: int, first: Column | None = None, last: Column | None = None) -> Column:
+    """The number drawn for a row that has draws and sums, by the draws from first to last."""
     return F.aggregate(
-        F.sequence(F.lit(1), F.col("draws")),
+        F.sequence(F.lit(1).cast("long") if first is None else first, F.col("draws") if last is None else last),
         F.lit(0),
         lambda n, k: n + F.size(F.filter("sums", lambda p: p <= uniform(seed, key, k))),
     )
@@ -77,19 +83,30 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, def
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("copy", "rate", "mix_key")]
     given = docs.select(*names)
-    table = rates(given, weights, default_weight)
-    few = given.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    table = table.withColumnRenamed("source", "__source")
-    if few:
-        met = given.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source")))
-    else:
+    # A table of one row per source, written once; its size and its highest rate choose the joins.
+    table = checkpointed(rates(given, weights, default_weight).withColumnRenamed("source", "__source"))
+    sources, most = table.agg(F.count("*"), F.coalesce(F.max("draws"), F.lit(1))).first()
+
+    def meet(rows: DataFrame, some: DataFrame) -> DataFrame:
+        if sources <= BROADCAST_SOURCES:
+            return rows.join(F.broadcast(some), F.col("source").eqNullSafe(F.col("__source")))
         # Each source is dealt over SALTS keys, and its one row of rates is repeated for each.
-        left = given.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        right = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        met = left.join(right, F.col("source").eqNullSafe(F.col("__source")) & (left["__salt"] == right["__salt"]))
-    copied = met.withColumn("__n", copies_of(F.col("doc_id"), seed)).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    keyed = copied.select(*names, "copy", "rate", F.md5(F.concat_ws("|", F.lit(f"mix{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), "copy").cast("binary")).alias("mix_key"))
+        left = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        right = some.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        return left.join(right, F.col("source").eqNullSafe(F.col("__source")) & (left["__salt"] == right["__salt"]))
+
+    shown = [*names, "rate", "__n", "__before"]
+    zero = F.lit(0).cast("long")
+    copied = meet(given, table.where(F.col("draws") <= PART)).withColumn("__n", copies_of(F.col("doc_id"), seed)).withColumn("__before", zero).select(*shown)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if most > PART:
+        many = meet(given, table.where(F.col("draws") > PART)).withColumn("__part", F.explode(F.sequence(zero, F.expr(f"(draws - 1) div {PART}"))))
+        many = many.repartition(parts, F.xxhash64("doc_id", "__part"))
+        first = F.col("__part") * PART + 1
+        drawn = copies_of(F.col("doc_id"), seed, first, F.least(first + (PART - 1), F.col("draws")))
+        copied = copied.unionByName(many.withColumn("__n", drawn).withColumn("__before", F.col("__part") * (PART * TERMS)).select(*shown))
+    copied = copied.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.col("__before") + 1, F.col("__before") + F.col("__n"))))
+    keyed = copied.select(*names, "copy", "rate", F.md5(F.concat_ws("|", F.lit(f"mix{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), "copy").cast("binary")).alias("mix_key"))
     return keyed.repartition(parts, "mix_key").sortWithinPartitions("mix_key")
 
 
@@ -110,7 +127,7 @@ WITH sizes AS (
     len(list_filter(sums, lambda p: p <= ('0x' || md5('17|' || coalesce(d.doc_id::VARCHAR, '~') || '|' || k)[1:13])::BIGINT::DOUBLE / 4503599627370496.0)))) AS n
   FROM documents d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source
 )
-SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, round(rate, 9) AS rate,
+SELECT doc_id, text, lang, source, n_chars, copy::BIGINT AS copy, round(rate, 9) AS rate,
   md5('mix17|' || coalesce(doc_id::VARCHAR, '~') || '|' || copy) AS mix_key
 FROM (SELECT *, unnest(range(1, n::BIGINT + 1)) AS copy FROM counted WHERE n > 0)
 """
