@@ -15,13 +15,23 @@ at least SIMILARITY. Classes are the connected components of verified pairs.
 Skew: equal texts collapse first into one representative, by an aggregate that
 combines before the shuffle. In a bucket each member is compared with one lead,
 so a bucket of m makes m - 1 pairs. Where members then lie in several components,
-those outside the largest are compared with another lead in it. Last, members of
-different components of a bucket are compared with one another, in the buckets of
-all orders, the closest first (CLOSE), unless lengths or parities show that they
-can't be similar. Parities of the number of shingles in each of BITS hash ranges
-differ in no more ranges than shingles differ, and texts of n1 and n2 shingles at
-similarity s differ in at most (1 - s) / (1 + s) (n1 + n2). So no link between two
-texts of a bucket is lost, and no list of members or candidates is cut.
+links may be left between them:
+
+* in a bucket of at most LISTED texts, all members of different components are
+  compared;
+* texts of larger buckets are compared through their rarest shingles. Two texts
+  are similar only if they share one of the first n - 0.8 n + 1 of their n
+  shingles, in any order common to all texts; in ascending order of the number of
+  texts that hold a shingle these are the rare ones, and what many unlike texts
+  have in common (a licence, a menu) comes too late to bring them together. Texts
+  that share a rare shingle are compared with one of them first, then those still
+  in different components with one another.
+
+Pairs whose lengths, places of the shared shingle, or parities show that they
+can't be similar are left out. Parities of the number of shingles in each of BITS
+hash ranges differ in no more ranges than shingles differ, and texts of n1 and n2
+shingles at similarity s differ in at most (1 - s) / (1 + s) (n1 + n2). So no link
+between two texts of a bucket is lost, and no list of members or candidates is cut.
 
 A document of fewer than five words has its words as one shingle. Documents
 without words (null, empty, blank) are alone in their class. Repeated rows and
@@ -37,7 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, checkpointed, gram_hashes, mix, signed, slices, tidy
@@ -48,8 +58,12 @@ SKETCHES, PICKS = 32, 6
 SHORT_SKETCHES, SHORT_PICKS, LONG_FROM, SHORT_BELOW = 8, 2, 32, 40
 #: How far a diagonal may lie from the main one, as a share of the longer sequence; similar texts need at most 1 - SIMILARITY.
 BAND = 0.25
-#: Hash ranges whose parities are compared before alignment, and the similarities that they must allow, the closest first; the last leaves no similar pair out.
-BITS, CLOSE = 1024, (0.85, SIMILARITY)
+#: Hash ranges whose parities are compared before alignment.
+BITS = 1024
+#: Up to so many texts of a bucket are listed in one row and compared with one another.
+LISTED = 64
+#: The share of n1 + n2 shingles that two similar texts have in common at least (twice), and may differ in at most.
+COMMON, APART = SIMILARITY / (1 + SIMILARITY), (1 - SIMILARITY) / (1 + SIMILARITY)
 
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 
@@ -108,7 +122,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     if not n or not m or min(n, m) < SIMILARITY * max(n, m):
         return 0.0
     _, at, to = np.intersect1d(a, b, return_indices=True)
-    if len(at) < SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-9:
+    if len(at) < COMMON * (n + m) - 1e-9:
         return 0.0
     order = np.argsort(at)
     at, to = at[order], to[order]
@@ -155,7 +169,56 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = batch.column("a_items"), batch.column("b_items")
         ok = [similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) >= SIMILARITY for x, y in zip(left, right, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "near"])
+        yield batch.select(["a_root", "b_root"]).append_column("near", pa.array(ok, pa.bool_()))
+
+
+def _listed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a listed bucket's members of different roots that lengths and parities allow."""
+    for batch in batches:
+        out: dict[str, list] = {"a": [], "b": [], "a_root": [], "b_root": []}
+        for members in batch.column("members"):
+            m = members.values
+            digests, roots, n = m.field("digest").to_pylist(), m.field("root").to_pylist(), m.field("n").to_numpy()
+            odd = m.field("odd").flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+            group = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+            for i in range(len(n) - 1):
+                both = n[i] + n[i + 1 :]
+                may = (group[i + 1 :] != group[i]) & (np.minimum(n[i], n[i + 1 :]) >= SIMILARITY * np.maximum(n[i], n[i + 1 :]))
+                may &= np.bitwise_count(odd[i] ^ odd[i + 1 :]).sum(axis=1) <= APART * both + 1e-6
+                for j in (np.flatnonzero(may) + i + 1).tolist():
+                    x, y = (i, j) if digests[i] > digests[j] else (j, i)
+                    for name, value in (("a", digests[x]), ("b", digests[y]), ("a_root", roots[x]), ("b_root", roots[y])):
+                        out[name].append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in out.values()], names=list(out))
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles and how many texts of the batch hold each."""
+    for batch in batches:
+        each = [np.unique(np.frombuffer(x.as_py(), np.uint32)) for x in batch.column("items")]
+        if each:
+            value, n = np.unique(np.concatenate(each), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n)], names=["shingle", "texts"])
+
+
+def _distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's different shingles and their number."""
+    for batch in batches:
+        each = [np.unique(np.frombuffer(x.as_py(), np.uint32)).astype(np.int64) for x in batch.column("items")]
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(each, pa.list_(pa.int64()))], names=["digest", "shingles"])
+
+
+def _rarest(sequences: DataFrame) -> DataFrame:
+    """digest, n, shingle, place: of each text (digest, items) the shingles that a similar text must share one of, by rarity.
+
+    Shingles of one text only come first, since they are rarest; they meet nothing and are counted, not kept.
+    """
+    counts = sequences.mapInArrow(tidy(_shingle_counts), "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts")).where("texts > 1")
+    each = sequences.mapInArrow(tidy(_distinct_shingles), "digest binary, shingles array<long>").select("digest", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    held = each.join(counts, "shingle").groupBy("digest", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("held"))
+    alone = F.col("n") - F.size("held")
+    first = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1 - alone
+    return held.where(first > 0).select("digest", "n", alone.alias("alone"), F.posexplode(F.slice("held", 1, first.cast("int"))).alias("i", "h")).select("digest", "n", (F.col("alone") + F.col("i")).alias("place"), F.col("h.shingle").alias("shingle"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,8 +241,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.col("text").alias("__text"))
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+def _pair(a: str, b: str) -> list[Column]:
+    """Columns a, b, a_root, b_root of two structs of digest and root; the larger digest is a."""
+    x, y = F.col(a), F.col(b)
+    swap = x["digest"] < y["digest"]
+    return [F.when(swap, q[f]).otherwise(p[f]).alias(n) for n, f, p, q in (("a", "digest", x, y), ("b", "digest", y, x), ("a_root", "root", x, y), ("b_root", "root", y, x))]
+
+
+def _may_share(n: str, place: str, b_n: str, b_place: str) -> Column:
+    """Lengths, and the places of a shared shingle, allow a similarity of SIMILARITY: what follows it and it are enough."""
+    left, right = F.col(n) - F.col(place), F.col(b_n) - F.col(b_place)
+    return (F.least(n, b_n) >= SIMILARITY * F.greatest(n, b_n)) & (F.least(left, right) >= COMMON * (F.col(n) + F.col(b_n)) - 1e-6)
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -190,56 +262,62 @@ def _classes(docs: DataFrame) -> DataFrame:
     # One row per text, however many copies it has; its buckets are those that another text is in too.
     texts = worded.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.first("keys").alias("keys"))
     entries = texts.select("digest", "holder", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("digest").alias("first")).where("members > 1")
     buckets = checkpointed(entries.join(shared, "key"))
-    leads = buckets.groupBy("key").agg(F.min("digest").alias("first"))
     # The texts that share a bucket with another, one row each, as sequences.
     holders = buckets.groupBy("digest").agg(F.min("holder").alias("__holder"))
     held = given.join(holders, "digest").where(F.col("doc_id").eqNullSafe(F.col("__holder"))).select("digest", "__text")
     sequences = checkpointed(held.mapInArrow(tidy(_sequencer), "digest binary, items binary, odd array<long>").dropDuplicates(["digest"]))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = sequences.select(F.col("digest").alias("a"), F.col("items").alias("a_items"))
-        right = sequences.select(F.col("digest").alias("b"), F.col("items").alias("b_items"))
-        return checkpointed(pairs.join(left, "a").join(right, "b").mapInArrow(tidy(_verifier), "a binary, b binary, near boolean"))
-
-    def split() -> tuple[DataFrame, DataFrame]:
-        """Buckets with their members' roots, and those of several roots with the largest root and a lead in it."""
-        placed = buckets.join(rooted.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("root"))
-        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("digest", F.xxhash64("digest", "key")).alias("lead"))
-        parts = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by(F.struct("root", "lead"), F.struct("n", "root")).alias("main")).where("parts > 1")
-        return placed, parts.select("key", F.col("main.root").alias("main"), F.col("main.lead").alias("lead"))
-
-    tested = verified(_pairs(buckets.join(leads, "key").select(F.col("digest").alias("a"), F.col("first").alias("b"))))
-    links = tested.where("near").select("a", "b")
-    rooted = components(links)
-    placed, parts = split()
-    pairs = placed.join(parts, "key").where("root <> main").select(F.col("digest").alias("a"), F.col("lead").alias("b"))
-    fresh = verified(_pairs(pairs).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    tested = tested.unionAll(fresh)
-    rooted = components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(fresh.where("near").select("a", "b")))
-    apart = sum((F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("b_odd")[i])) for i in range(BITS // 64)), F.lit(0))
-    sized = sequences.select("digest", "odd", (F.length("items") / 4).cast("int").alias("n"))
-    for close in CLOSE:
-        placed, parts = split()
-        open_ones = checkpointed(placed.join(parts.select("key", "main"), "key").join(sized, "digest").join(texts.select("digest", "keys"), "digest"))
-        others = open_ones.select(F.col("key").alias("b_key"), F.col("digest").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("odd").alias("b_odd"), F.col("keys").alias("b_keys"))
-        # One of two members of different roots at least is outside the largest.
-        differ = (F.col("b_root") == F.col("main")) | (F.col("root") < F.col("b_root"))
-        may = (F.least("n", "b_n") >= SIMILARITY * F.greatest("n", "b_n")) & (apart <= (1 - close) / (1 + close) * (F.col("n") + F.col("b_n")) + 1e-6)
-        # A pair counts in one of the buckets it shares, the one of the least key.
-        once = F.array_min(F.array_intersect("keys", "b_keys")) == F.col("key")
-        met = open_ones.where("root <> main").join(others, (F.col("key") == F.col("b_key")) & differ & may & once)
-        fresh = verified(_pairs(met.select(F.col("digest").alias("a"), "b")).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        tested = tested.unionAll(fresh)
-        if not fresh.where("near").isEmpty():
-            rooted = components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(fresh.where("near").select("a", "b")))
-    placed = worded.select("doc_id", "digest").join(rooted.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    def near(pairs: DataFrame) -> DataFrame:
+        """Of pairs a, b with their roots, the different pairs of roots that a similar pair joins."""
+        side = lambda c: sequences.select(F.col("digest").alias(c), F.col("items").alias(f"{c}_items"))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a_root", "b_root", "a_items", "b_items")
+        return checkpointed(met.mapInArrow(tidy(_verifier), "a_root binary, b_root binary, near boolean").where("near").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+
+    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """node, root for all texts in buckets, after links between roots."""
+        if links.isEmpty():
+            return roots
+        merged = components(links).select(F.col("node").alias("root"), F.col("root").alias("__root"))
+        return checkpointed(roots.join(merged, "root", "left").select("digest", F.coalesce("__root", "root").alias("root")))
+
+    start = holders.select("digest", F.col("digest").alias("root"))
+    leads = buckets.where("digest <> first").select(F.col("digest").alias("a"), F.col("first").alias("b")).distinct()
+    roots = joined(start, near(leads.select("a", "b", F.col("a").alias("a_root"), F.col("b").alias("b_root"))))
+    # Buckets of several components.
+    placed = buckets.select("key", "digest", "members").join(roots, "digest")
+    parted = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    opened = checkpointed(placed.join(parted, "key"))
+    if not opened.isEmpty():
+        sized = sequences.select("digest", "odd", F.expr("cast(length(items) div 4 as int)").alias("n"))
+        lists = opened.where(F.col("members") <= LISTED).join(sized, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "root", "n", "odd")).alias("members"))
+        listed = lists.select("members").mapInArrow(tidy(_listed_pairs), "a binary, b binary, a_root binary, b_root binary").distinct()
+        crowded = opened.where(F.col("members") > LISTED).select("digest").distinct()
+        rarest = checkpointed(_rarest(sequences.join(crowded, "digest", "left_semi").select("digest", "items")))
+        rare = rarest.join(roots, "digest").select("shingle", F.struct("digest", "root", "n", "place").alias("x"))
+        lead = rare.groupBy("shingle").agg(F.min("x").alias("y"))
+        star = rare.join(lead, "shingle").where(F.col("x.root") != F.col("y.root")).where(_may_share("x.n", "x.place", "y.n", "y.place"))
+        roots = joined(roots, near(_plausible(listed.unionAll(star.select(*_pair("x", "y")).distinct()).distinct(), sized)))
+        # What is left: texts that share a rare shingle and are still apart.
+        rare = rarest.join(roots, "digest").select("shingle", F.struct("digest", "root", "n", "place").alias("x"))
+        apart = checkpointed(rare.join(rare.groupBy("shingle").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high")).where("low < high").select("shingle"), "shingle"))
+        met = apart.join(apart.withColumnRenamed("x", "y"), "shingle").where(F.col("x.root") < F.col("y.root")).where(_may_share("x.n", "x.place", "y.n", "y.place"))
+        roots = joined(roots, near(_plausible(met.select(*_pair("x", "y")).distinct(), sized)))
+    placed = worded.select("doc_id", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     alone = sketched.where("keys IS NULL").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("binary").alias("root"))
     return placed.join(classes, "root").select("doc_id", "digest", "class_id", "class_size", "root").unionAll(alone)
 
 
+def _plausible(pairs: DataFrame, sized: DataFrame) -> DataFrame:
+    """Of pairs a, b those whose parities allow a similarity of SIMILARITY."""
+    side = lambda c: sized.select(F.col("digest").alias(c), F.col("odd").alias(f"{c}_odd"), F.col("n").alias(f"{c}_n"))
+    differ = sum((F.bit_count(F.col("a_odd")[i].bitwiseXOR(F.col("b_odd")[i])) for i in range(BITS // 64)), F.lit(0))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= APART * (F.col("a_n") + F.col("b_n")) + 1e-6)
+    return met.select("a", "b", "a_root", "b_root")
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the text), class_id, class_size for each row of `docs`; digest is null without words."""
     return _classes(docs).drop("root")
