@@ -299,11 +299,15 @@ def _classes(docs: DataFrame) -> DataFrame:
         lead = rare.groupBy("shingle").agg(F.min("x").alias("y"))
         star = rare.join(lead, "shingle").where(F.col("x.root") != F.col("y.root")).where(_may_share("x.n", "x.place", "y.n", "y.place"))
         roots = joined(roots, near(_plausible(listed.unionAll(star.select(*_pair("x", "y")).distinct()).distinct(), sized)))
-        # What is left: texts that share a rare shingle and are still apart.
-        rare = rarest.join(roots, "digest").select("shingle", F.struct("digest", "root", "n", "place").alias("x"))
+        # What is left: texts that share a rare shingle and are still apart. A pair meets at the first shingle it shares.
+        rare = rarest.join(roots, "digest").select("digest", "shingle", F.struct("digest", "root", "n", "place").alias("x"))
         apart = checkpointed(rare.join(rare.groupBy("shingle").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high")).where("low < high").select("shingle"), "shingle"))
-        met = apart.join(apart.withColumnRenamed("x", "y"), "shingle").where(F.col("x.root") < F.col("y.root")).where(_may_share("x.n", "x.place", "y.n", "y.place"))
-        roots = joined(roots, near(_plausible(met.select(*_pair("x", "y")).distinct(), sized)))
+        own = rarest.join(apart.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("place", "shingle")).alias("own"))
+        earlier = F.transform(F.filter("own", lambda e: e["place"] < F.col("x.place")), lambda e: e["shingle"])
+        left = apart.join(own, "digest").select("shingle", "x", earlier.alias("x_before"))
+        right = left.select("shingle", F.col("x").alias("y"), F.col("x_before").alias("y_before"))
+        met = left.join(right, "shingle").where((F.col("x.root") < F.col("y.root")) & _may_share("x.n", "x.place", "y.n", "y.place") & ~F.arrays_overlap("x_before", "y_before"))
+        roots = joined(roots, near(_plausible(met.select(*_pair("x", "y")), sized)))
     placed = worded.select("doc_id", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     alone = sketched.where("keys IS NULL").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("binary").alias("root"))
