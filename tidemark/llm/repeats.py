@@ -140,7 +140,8 @@ def paths(edges: DataFrame) -> DataFrame:
 
     `edges`: begin, end (nodes), id, place, each edge once a document.
     """
-    firsts = edges.groupBy("begin", "end").agg(F.min("id").alias("src"), F.max("id").alias("top"), F.min_by("place", "id").alias("src_place")).where("src < top").drop("top")
+    # Far fewer than their occurrences, so they are written once and met three times.
+    firsts = checkpointed(edges.groupBy("begin", "end").agg(F.min("id").alias("src"), F.max("id").alias("top"), F.min_by("place", "id").alias("src_place")).where("src < top").drop("top"))
     none = F.lit(None)
     into = firsts.select(F.col("end").alias("node"), F.lit(1).alias("ins"), F.lit(0).alias("outs"), F.col("src").alias("before"), F.col("src_place").alias("before_place"))
     out = firsts.select(F.col("begin").alias("node"), F.lit(0).alias("ins"), F.lit(1).alias("outs"), none.cast("long").alias("before"), none.cast("int").alias("before_place"))
@@ -251,7 +252,8 @@ def _remover(k: int, names: list[str], with_text: bool):
 def remove_repeats(docs: DataFrame, k: int = WINDOW, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of each row of `docs` (doc_id, text).
 
-    One plan (but for the small table of copies): all joins with the texts are on `id` alone, so their one exchange is reused.
+    Three small tables are written on the way (copies, repeated seeds, repeated edges), and the shuffles behind them let
+    go. In the plan after them all joins with the texts are on `id` alone, so their one exchange is reused.
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("text").alias("__text"))
     # 0. Whole copies, by id and text.
@@ -263,7 +265,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, with_text: bool = False) ->
     # 1. Seeds that occur more than once.
     repeated = single.select("__text").mapInArrow(_seeds(k, False), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
     # 2. Per document, its repeated seeds; then the edges that have one.
-    own = single.select("id", "__text").mapInArrow(_seeds(k, True), "seed long, id long").join(repeated, "seed").groupBy("id").agg(F.collect_set("seed").alias("seeds"))
+    own = checkpointed(single.select("id", "__text").mapInArrow(_seeds(k, True), "seed long, id long").join(repeated, "seed").groupBy("id").agg(F.collect_set("seed").alias("seeds")))
     edges = single.join(own, "id").select("id", "__text", "seeds").mapInArrow(_edges(k), "begin long, end long, id long, place int")
     # 3. Paths of the graph, and the spans in which later documents follow them.
     later = edges.join(paths(edges), ["begin", "end"]).where("id > src").select("id", "src", "path", (F.col("place") - F.col("src_place")).alias("shift"), "place")
