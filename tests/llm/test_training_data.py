@@ -1,9 +1,11 @@
 """The training-data operators against brute force, on small inputs with nulls, empties, repeats and clashing columns."""
 
+import base64
 import binascii
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -94,6 +96,23 @@ def test_repeats_against_brute_force(spark, corpus, k):
     assert sorted(got, key=repr) == brute_repeats(corpus, k)
 
 
+def test_a_path_ends_where_a_node_branches(spark):
+    rows = [(1, 10, 11, 0), (1, 11, 12, 1), (1, 12, 13, 2), (2, 10, 11, 5), (2, 11, 12, 6), (2, 12, 13, 7), (3, 11, 99, 4), (4, 11, 99, 0)]
+    edges = spark.createDataFrame([(b, e, i, p) for i, b, e, p in rows], "begin long, end long, id long, place int")
+    got = {(r["begin"], r["end"]): (r["src"], r["path"]) for r in repeats.paths(edges).collect()}
+    # Node 11 has one edge in and two out, so its edges begin paths; node 12 does not branch.
+    assert got == {(10, 11): (1, 0), (11, 12): (1, 1), (12, 13): (1, 1), (11, 99): (3, 4)}
+
+
+def test_own_repeats_are_compared_by_words(monkeypatch):
+    w = repeats.Windows(pa.array(["a b c d e f g h"]), 3)
+    monkeypatch.setattr(repeats.Windows, "keys", lambda self: np.array([1, 2, 3, 1, 2, 3], np.uint64))
+    assert list(repeats._own_repeats(w)) == []
+    w = repeats.Windows(pa.array(["a b c x a b c"]), 3)
+    monkeypatch.undo()
+    assert list(repeats._own_repeats(w)) == [(4, 1)]
+
+
 def test_repeats_texts_and_empty(spark):
     words = [f"q{i}" for i in range(30)]
     rows = [(1, " ".join(words)), (2, "before " + " ".join(words[3:28]) + " after")]
@@ -114,6 +133,32 @@ def test_additive_model_learns_a_pair():
     assert ((model.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
 
 
+def brute_score(model, row):
+    at = [sum(1 for c in cuts if c <= v) for cuts, v in zip(model.cuts, row)]
+    margin = model.base + sum(t[b] for t, b in zip(model.tables, at)) + sum(t[at[i], at[j]] for (i, j), t in zip(model.pairs, model.pair_tables))
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_shallow_tree_takes_the_best_split():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        g, h = rng.normal(size=12), rng.uniform(1, 3, 12)
+        gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+        best = max(range(1, 12), key=lambda k: gain(0, k) + gain(k, 12) if min(h[:k].sum(), h[k:].sum()) >= 4 else -1)
+        got = quality._tree(g, h, depth=1)
+        if gain(0, best) + gain(best, 12) > gain(0, 12) + 1e-9:
+            assert got[:best] == pytest.approx(g[:best].sum() / (h[:best].sum() + 1)) and got[best:] == pytest.approx(g[best:].sum() / (h[best:].sum() + 1))
+
+
+def test_score_is_the_sum_of_the_table_entries():
+    """A brute-force reading of the tables: bins by counting cuts below, entries added one by one."""
+    rng = np.random.default_rng(1)
+    x = rng.uniform(size=(400, 3))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float))
+    for row, score in zip(x[:60], model.score(x[:60])):
+        assert score == pytest.approx(brute_score(model, row), abs=1e-9)
+
+
 def test_model_without_two_labels():
     x = np.zeros((3, len(quality.FEATURES)))
     assert quality.fit(x, np.ones(3)).score(x).tolist() == pytest.approx([0.8] * 3)
@@ -180,6 +225,24 @@ def test_index_stops_on_proof():
     assert got == [(int(v[7] @ v[0]), 7)] and index.processed < 16 * topk.SEGMENTS
 
 
+def test_topk_is_exact_beyond_longs_and_ranks_each_query_once(spark):
+    big = float(np.float32(1e30))
+    rows = [(50, [big, 1.0]), (50, [big, 1.0]), (1, [big, 2.0]), (2, [big * 2, 0.0]), (3, [-big, 5.0]), (4, [0.5, 1.0]), (5, [1e18, 1.0]), (6, [1e18, 2.0]), (6, [1e18, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df.where("vec_id = 50"), df, 5).orderBy("rank").collect()]
+    whole = lambda v: [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]
+    exact = sorted({(-sum(a * b for a, b in zip(whole(rows[0][1]), whole(v))), i) for i, v in rows if i != 50})[:5]
+    assert got == [(k, i, min(-s, 2**63 - 1)) for k, (s, i) in enumerate(exact, 1)] and [i for _, i in exact] == [2, 1, 6, 5, 4]
+
+
+def test_queries_of_one_id_and_other_vectors_rank_apart(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for found in (topk.top_k(df.where("vec_id = 50"), df, 5), ann.nearest(df.where("vec_id = 50"), df, 5)):
+        got = sorted((r["rank"], r["vec_id"]) for r in found.collect())
+        assert got == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
 def test_topk_of_nothing(spark):
     _, df = vectors(spark, 5, 3)
     assert topk.top_k(df.where("false"), df).count() == 0 and topk.top_k(df, df.where("false")).count() == 0
@@ -211,6 +274,117 @@ def test_page(source):
     assert html.rendered(source) == PAGES[source]
 
 
+def render_tree(node, out, indent, hidden):
+    """The layout rules said over a tree: out is [lines, gap]; a line is begun by an indent or a list mark."""
+    kind, parts = node
+    for i, part in enumerate(parts):
+        if isinstance(part, str):
+            if not hidden:
+                if out[0] and out[1] > 1:
+                    out[0].append("")
+                out[0].append((out[2] or indent) + part)
+                out[1], out[2] = 0, ""
+            continue
+        name = part[0]
+        spaced = 2 if name in ("p", "blockquote") or (name in ("ul", "ol") and kind != "li") else 1
+        if not hidden and out[0]:
+            out[1] = max(out[1], spaced)
+        inner, gone = indent, hidden or name == "hidden"
+        if name == "li":
+            mark = f"{i + 1}. " if kind == "ol" else "- "
+            if not gone:
+                out[2] = indent + mark
+            inner = indent + " " * len(mark)
+        elif name == "blockquote":
+            inner = indent + "  "
+        render_tree(part, out, inner, gone)
+        if name == "li":
+            out[2] = ""
+        if not gone and out[0]:
+            out[1] = max(out[1], spaced)
+
+
+def random_tree(rng, depth):
+    kind = rng.choice(["div", "p", "blockquote", "ul", "ol", "hidden"]) if depth else "p"
+    if kind in ("ul", "ol"):
+        return kind, [("li", [f"w{rng.randrange(99)}", *([random_tree(rng, depth - 1)] if rng.random() < 0.4 and depth > 1 else [])]) for _ in range(rng.randint(1, 3))]
+    if kind == "p" or not depth:
+        return kind, [f"w{rng.randrange(99)} v{rng.randrange(99)}"]
+    parts, text = [], False
+    for _ in range(rng.randint(1, 4)):
+        if rng.random() < 0.3 and not text:
+            parts.append(f"t{rng.randrange(99)}")
+            text = True
+        else:
+            parts.append(random_tree(rng, depth - 1))
+            text &= parts[-1][0] == "hidden"  # text on both sides of what is hidden would be one line
+    return kind, parts
+
+
+def as_html(node, rng):
+    kind, parts = node
+    inner = rng.choice(["", "\n", "  "]).join(x if isinstance(x, str) else as_html(x, rng) for x in parts)
+    tag = "section hidden" if kind == "hidden" else kind
+    close = "" if kind in ("li", "p") and rng.random() < 0.5 and all(isinstance(x, str) for x in parts) and kind == "li" else f"</{tag.split()[0]}>"
+    return f"<{tag}>{inner}{close}"
+
+
+def test_pages_against_the_rules_over_their_trees():
+    rng = random.Random(8)
+    for _ in range(400):
+        tree = ("body", [random_tree(rng, 3) for _ in range(rng.randint(1, 4))])
+        out = [[], 0, ""]
+        render_tree(tree, out, "", False)
+        source = "<body>" + "".join(as_html(x, rng) for x in tree[1])
+        assert html.rendered(source) == "\n".join(out[0]), source
+
+
+def brute_table(rows):
+    """Cells (text, columns, rows) on a grid; each starts two places after the widest cell that ends before its column."""
+    grid, starts = {}, []
+    for r, row in enumerate(rows):
+        c = 0
+        for text, wide, high in row:
+            while (r, c) in grid:
+                c += 1
+            for i in range(high):
+                for j in range(wide):
+                    grid[r + i, c + j] = True
+            starts.append((r, c, c + wide, text))
+            c += wide
+    offset = {}
+
+    def at(c):
+        if c not in offset:
+            offset[c] = max([0] + [at(a) + len(t) + 2 for _, a, b, t in starts if b == c] + [at(d) for d in {x for _, a, b, _ in starts for x in (a, b)} if d < c])
+        return offset[c]
+
+    lines = []
+    for r in range(len(rows)):
+        line = ""
+        for q, a, _, t in starts:
+            if q == r and t:
+                line = line.ljust(max(at(a), len(line) + 2 if line else 0)) + t
+        if any(q == r and t for q, _, _, t in starts):
+            lines.append(line.rstrip())
+    return lines
+
+
+def test_tables_with_spans_against_a_grid():
+    rng = random.Random(9)
+    for _ in range(300):
+        rows = [[("x" * rng.randint(1, 9), rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2])) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 5))]
+        source = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan='{h}'>{t}" for t, w, h in row) for row in rows) + "</table>"
+        assert html.rendered(source).split("\n") == brute_table(rows), source
+
+
+@pytest.mark.parametrize("source", ["<div>" * 160_000 + "x", "<table><tr><td>x" * 20_000, "<ul><li>a" * 20_000, "<p><table><tr><td>" + "<div>" * 50_000 + "z", "<table><tr><td>" + "x" * 100_000 + "<td>q" + "<tr><td>y<td>r" * 20_000, "<table><tr>" + "<td rowspan=60000>a" * 2000 + "<tr><td>b" * 20_000])
+def test_hostile_pages_take_time_and_space_by_their_length(source):
+    begin = time.process_time()
+    out = html.rendered(source)
+    assert time.process_time() - begin < 20 and len(out) < 60 * len(source)
+
+
 def test_deep_and_odd_pages(spark):
     deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
     rows = [(1, "u", deep), (2, "u", None), (3, None, ""), (3, None, ""), (4, "u", "<table>" * 300 + "x")]
@@ -236,6 +410,18 @@ def test_mixing_meets_weights_and_stays_native(spark):
     assert mixing.mix_sources(df.where("false")).count() == 0
 
 
+def test_a_source_of_little_text_is_drawn_in_parts(spark):
+    rows = [(i, "x" * 4000, "en", "big", 4000) for i in range(40)] + [(99, "y", "en", "tiny", 1), (100, None, "en", "tiny", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mixing.mix_sources(df)
+    tiny = mixed.where("source = 'tiny'")
+    n = {r["doc_id"]: (r["n"], r["d"]) for r in tiny.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d")).collect()}
+    assert n[99][0] == pytest.approx(80_000, rel=0.02) and n[99][0] == n[99][1] and n[100][0] == pytest.approx(80_000, rel=0.02)
+    assert tiny.agg(F.max("rate")).first()[0] / mixing.DRAW_MEAN > mixing.PART
+    again = mixing.mix_sources(df).where("source = 'tiny'")
+    assert again.exceptAll(tiny).count() == 0
+
+
 def test_draws_are_poisson(spark):
     means = spark.createDataFrame([(0.3,), (3.0,), (40.0,)], "rate double").withColumn("draws", F.greatest(F.ceil(F.col("rate") / mixing.DRAW_MEAN), F.lit(1)).cast("int"))
     means = means.withColumn("sums", mixing.distribution(F.col("rate") / F.col("draws")))
@@ -317,6 +503,53 @@ def test_barely_similar_texts_of_a_dense_family_meet(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def linked(sets):
+    """All pairs of texts whose shingles are similar, by an inverted list; similarity by pair."""
+    holders, out = {}, {}
+    for i, x in sets.items():
+        for g in x:
+            holders.setdefault(g, []).append(i)
+    shared = {}
+    for ids in holders.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    for (a, b), n in shared.items():
+        s = n / (len(sets[a]) + len(sets[b]) - n)
+        if s >= 0.8:
+            out[a, b] = s
+    return out
+
+
+def test_recall_by_band_of_similarity(spark):
+    """Every pair from 0.8 up shares a class, band by band, in a few thousand texts: families, a common passage, noise."""
+    rng, rows = random.Random(6), []
+    words = [f"u{i}" for i in range(5000)]
+    licence = [rng.choice(words) for _ in range(90)]
+    for family in range(110):
+        base = [rng.choice(words) for _ in range(rng.choice([12, 40, 90, 250]))]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((len(rows), " ".join(w + licence if family % 3 == 0 else w)))
+    rows += [(len(rows) + i, " ".join([rng.choice(words) for _ in range(rng.randint(6, 60))] + licence)) for i in range(900)]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(documents(spark, rows)).collect()}
+    bands = {}
+    for (a, b), s in linked(sets).items():
+        bands.setdefault(min(int(s * 50), 49), []).append(got[a] == got[b])
+    assert set(bands) == set(range(40, 50)) and min(sum(x) / len(x) for x in bands.values()) >= 0.99, {k: (len(x), sum(x)) for k, x in bands.items()}
+
+
+def test_pairs_of_large_buckets_meet_by_rare_shingles(spark, monkeypatch):
+    """The same classes whatever the size from which buckets are large."""
+    rows = barely_similar(60)
+    monkeypatch.setattr(neardup, "LISTED", 2)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(documents(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_parities_leave_no_similar_pair_out():
     rng = np.random.default_rng(5)
     for n in (3, 40, 200, 3000):
@@ -394,6 +627,17 @@ def test_checksums_decide():
     assert secrets.scan(b"eyJxxxxxxxxxxxxxxxx.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl") == []
 
 
+def test_hostile_web_tokens():
+    nested = base64.urlsafe_b64encode(b'{"' + b'a":' + b"[" * 5000 + b"]" * 100).rstrip(b"=")
+    assert secrets.scan(nested + b".eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl") == []
+    run = b"eyJ" * 300_000
+    begin = time.process_time()
+    assert secrets.scan(run) == [] and secrets.scan(run + b".eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl") == []
+    assert time.process_time() - begin < 20
+    token = b"eyJeyJhbGciOiJub25lIn0.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl"
+    assert [(a, k) for a, k, _ in secrets.scan(token)] == [(3, 4)]
+
+
 def test_secret_rows(spark):
     text = "é password: abcdefghijklmnop, " + checked_token()
     rows = [(1, text), (1, text), (2, None), (3, ""), (4, "plain"), (None, "AKIA" + "A1" * 9)]
