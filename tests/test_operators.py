@@ -115,8 +115,12 @@ def test_wilder_seed():
 
 
 def test_stop_and_reverse_flips_once(spark):
-    got = column(K.parabolic(bars(spark, [10.0, 11.0, 12.0, 13.0, 5.0, 4.0])), "sar_side")
-    assert got == [1.0, 1.0, 1.0, 1.0, -1.0, -1.0]
+    df = K.parabolic(bars(spark, [10.0, 11.0, 12.0, 13.0, 5.0, 4.0]))
+    assert column(df, "psar_reversal") == [0.0, 0.0, 0.0, 0.0, -1.0, 0.0]
+    assert column(df, "psar_long")[:2] == pytest.approx([9.0, 9.0]) and column(df, "psar_long")[4:] == [0.0, 0.0]
+    assert column(df, "psar_short") == pytest.approx([0.0] * 4 + [14.0, 13.8])
+    falling = K.parabolic(bars(spark, [10.0, 9.0, 8.0]))
+    assert column(falling, "psar_short")[0] == 11.0 and column(falling, "psar_long") == [0.0] * 3
 
 
 def test_histogram_keeps_volume_and_control_is_inside(spark):

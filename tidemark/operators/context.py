@@ -49,29 +49,54 @@ def classic_pivots(bars: DataFrame, n: int = 48) -> DataFrame:
     return s.select("symbol", p.alias("pivot"), (2 * p - F.col("l")).alias("r1"), (2 * p - F.col("h")).alias("s1"), (p + F.col("h") - F.col("l")).alias("r2"), (p - F.col("h") + F.col("l")).alias("s2"))
 
 
-#: Weights of the microstructure scores.
-SCORES = {"funding": 1.0, "long_short": 1.0, "taker": 1.5, "open_interest": 1.0, "book": 1.0, "spread": 0.5, "basis": 0.5, "liquidations": 1.0}
+# Weights of the microstructure scores.
+SCORES = {"funding": 0.18, "long_short": 0.15, "taker": 0.18, "open_interest": 0.16, "book": 0.12, "spread": 0.06, "basis": 0.07, "liquidations": 0.08}
 
 
-def microstructure(snapshots: DataFrame) -> DataFrame:
-    """score in [-1, 1] and confidence from the scores that are measured; label at +-0.25."""
-    parts = {
-        "funding": clip(-F.col("funding") * 2000, -1, 1),
-        "long_short": clip((1 - F.col("long_short")) / 1.0, -1, 1),
-        "taker": clip((F.col("taker") - 0.5) * 4, -1, 1),
-        "open_interest": clip(F.col("open_interest") / 10, -1, 1),
-        "book": clip(F.col("book"), -1, 1),
-        "spread": clip(-F.col("spread") / 10, -1, 0),
-        "basis": clip(-F.col("basis") * 100, -1, 1),
-        "liquidations": clip(F.col("liquidations"), -1, 1),
+def microstructure_scores() -> dict[str, Column]:
+    """Each plane's score for the direction of a snapshot; NULL where it isn't measured.
+
+    Input columns: direction (long, short or none), funding, long_short, taker, oi_change, price_change, bid_qty,
+    ask_qty, depth_imbalance, bid, ask, basis_pct, liquidation_score, liq_long, liq_short.
+    """
+    # Bands and scores.
+    d = F.when(F.col("direction") == "long", 1).when(F.col("direction") == "short", -1).otherwise(0)
+    up = d > 0
+    side = lambda a, b: F.when(up, a).otherwise(b)
+    f, ls, tk, oi, dp = (F.col(c) for c in ("funding", "long_short", "taker", "oi_change", "price_change"))
+    crowd = F.when(F.abs(f) < 0.0002, F.lit(0.05)).when(f > 0, side(-0.25, 0.25)).otherwise(side(0.25, -0.25))
+    fresh, along = oi > 0, ((dp > 0) & up) | (~(dp > 0) & (d < 0))
+    quadrant = F.when(fresh & along, 0.35).when(fresh, -0.25).when(along, 0.15).otherwise(-0.10)
+    both = F.col("bid_qty") + F.col("ask_qty")
+    lean = F.when(both > 0, (F.col("bid_qty") - F.col("ask_qty")) / both).otherwise(clip("depth_imbalance", -1, 1))
+    spread = F.when((F.col("bid") > 0) & (F.col("ask") > 0), (F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2) * 10_000)
+    basis = F.col("basis_pct")
+    longs, shorts = (F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in ("liq_long", "liq_short"))
+    swept = F.coalesce(F.col("liquidation_score"), F.when(longs + shorts > 0, (shorts - longs) / (longs + shorts)))
+    return {
+        "funding": F.when(f.isNotNull(), F.when(F.abs(f) >= 0.001, crowd * 2).otherwise(crowd)),
+        "long_short": F.when(ls > 0, F.when(ls >= 2, side(-0.40, 0.25)).when(ls >= 1.6, side(-0.25, 0.18)).when(ls <= 0.5, side(0.25, -0.40)).when(ls <= 0.65, side(0.18, -0.25)).otherwise(0.0)),
+        "taker": F.when(tk > 0, F.when(tk >= 1.25, side(0.45, -0.35)).when(tk <= 0.8, side(-0.35, 0.45)).otherwise(0.0)),
+        "open_interest": F.when(oi.isNotNull(), F.when(F.abs(oi) < 0.15, 0.0).when(dp.isNull() | (d == 0), F.when(fresh, 0.10).otherwise(-0.05)).otherwise(quadrant)),
+        "book": lean * d,
+        "spread": F.when(spread.isNotNull(), F.when(spread <= 2, 0.15).when(spread <= 8, 0.0).otherwise(-0.35)),
+        "basis": F.when(basis.isNotNull(), F.when(basis > 0.08, side(0.18, -0.12)).when(basis < -0.04, side(-0.12, 0.18)).otherwise(0.0)),
+        "liquidations": clip(swept * d, -1, 1),
     }
+
+
+def microstructure(snapshots: DataFrame) -> DataFrame:
+    """Adds score (the weighted mean of the measured scores), confidence (their share of all weights), label and warnings."""
+    parts = microstructure_scores()
     score, confidence = weighted_available([(parts[k], w) for k, w in SCORES.items()])
-    label = F.when(score >= 0.25, "bullish").when(score <= -0.25, "bearish").when(score.isNotNull(), "neutral")
-    return snapshots.withColumns({"score": score, "confidence": confidence, "label": label})
+    score, confidence = F.coalesce(clip(score, -1, 1), F.lit(0.0)), F.coalesce(confidence, F.lit(0.0))
+    label = F.when(score >= 0.35, "supportive").when(score <= -0.35, "against").otherwise("mixed")
+    said = [F.when(F.abs("funding") >= 0.001, "extreme_funding"), F.when((F.col("long_short") >= 2) | (F.col("long_short") <= 0.5), "crowded_long_short_ratio"), F.when(parts["spread"] == -0.35, "wide_spread")]
+    return snapshots.withColumns({"score": score, "confidence": confidence, "label": label, "warnings": F.array_compact(F.array(*said))})
 
 
 def summarised(contexts: DataFrame) -> DataFrame:
-    return contexts.groupBy("label").agg(F.count("*").alias("n"), F.avg("score").alias("score"), F.avg("confidence").alias("confidence"))
+    return contexts.groupBy("label").agg(F.count("*").alias("n"), F.avg("score").alias("score"), F.avg("confidence").alias("confidence"), F.sum(F.size("warnings")).alias("warnings"))
 
 
 def universe_health(rows: DataFrame, reason: Column, warn: float = 0.5, critical: float = 0.9) -> DataFrame:
@@ -104,14 +129,6 @@ def narrowing(bars: DataFrame, n: int = 40, most: float = 0.7) -> DataFrame:
     return s.where(F.col("n") == n).select("symbol", shrink.alias("range_ratio"), drift.alias("drift"), (shrink <= most).alias("narrow"), ((shrink <= most) & (F.abs(drift) >= 0.05)).alias("wedge"))
 
 
-def head_and_shoulders(swings: DataFrame, head: float = 0.03, shoulders: float = 0.08) -> DataFrame:
-    """Triples of neighbouring pivot highs whose middle one stands out and whose sides are near one another."""
-    w = W.partitionBy("symbol").orderBy("ts")
-    tops = swings.where("ph").select("symbol", "ts", F.col("high").alias("right"), F.lag("high").over(w).alias("top"), F.lag("high", 2).over(w).alias("left"))
-    shape = (F.col("top") >= F.greatest("left", "right") * (1 + head)) & (F.abs(ratio("left", "right") - 1) <= shoulders)
-    return tops.where(shape)
-
-
 def pivot_divergence(swings: DataFrame, indicator: str) -> DataFrame:
     """Neighbouring pivots whose prices and indicator move apart: regular and hidden, both kinds."""
     w = W.partitionBy("symbol").orderBy("ts")
@@ -171,15 +188,18 @@ def flow_divergence(trades: DataFrame, least: float = 0.1) -> DataFrame:
     return s.withColumn("share", share).withColumn("divergence", F.when((F.col("p1") > F.col("p0")) & (share <= -least), "bearish").when((F.col("p1") < F.col("p0")) & (share >= least), "bullish")).select("symbol", "share", "divergence")
 
 
-def overlapping(zones: DataFrame) -> DataFrame:
+def overlapping(zones: DataFrame, width: float = 0.02) -> DataFrame:
     """Zones of one symbol on different horizons that overlap: kept is the one of more volume (the smaller id of equals).
 
-    Zones of a symbol are few (a bounded list per horizon), so their meeting is.
+    Zones meet in the log-price buckets that they reach into, so a symbol's zones are compared only near one another.
     """
-    a, b = zones.alias("a"), zones.alias("b")
-    clash = (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.horizon") != F.col("b.horizon")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))
+    bucket = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1e-300))) / F.lit(width))
+    spread = zones.withColumn("__bucket", F.explode(F.sequence(bucket("lo"), bucket("hi"))))
+    a, b = spread.alias("a"), spread.select("symbol", "horizon", "lo", "hi", "volume", "zone_id", "__bucket").alias("b")
+    clash = (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.__bucket") == F.col("b.__bucket")) & (F.col("a.horizon") != F.col("b.horizon")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))
     weaker = (F.col("a.volume") < F.col("b.volume")) | ((F.col("a.volume") == F.col("b.volume")) & (F.col("a.zone_id") > F.col("b.zone_id")))
-    return a.join(b, clash & weaker, "left_anti")
+    beaten = a.join(b, clash & weaker, "left_semi").select("a.symbol", "a.horizon", "a.zone_id").distinct()
+    return zones.join(beaten, ["symbol", "horizon", "zone_id"], "left_anti")
 
 
 def extended_columns() -> dict[str, Column]:

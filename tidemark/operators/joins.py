@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 def asof(left: DataFrame, right: DataFrame, value: str, by: str = "symbol", on: str = "ts", chunk_s: int = 86_400) -> DataFrame:
     """left with the last `value` of right at or before each row's time (NULL if there is none).
 
+    Every row of left stays; one without key or time has NULL.
+
     Rows of both sides meet in (key, time chunk) windows. What a chunk inherits is
     the last value of the chunks before it, from a table of one row per chunk.
     """
@@ -32,7 +34,10 @@ def asof(left: DataFrame, right: DataFrame, value: str, by: str = "symbol", on:
     inherited = chunks.select(by, "__chunk", F.last("__last", ignorenulls=True).over(before).alias("__inherited"))
     inside = W.partitionBy(by, "__chunk").orderBy(on, "__left").rowsBetween(W.unboundedPreceding, 0)
     seen = rows.withColumn(value, F.last(value, ignorenulls=True).over(inside)).where("__left = 1")
-    return seen.join(inherited, [by, "__chunk"]).select(by, on, *[F.col("__row")[c].alias(c) for c in extra], F.coalesce(value, "__inherited").alias(value))
+    # Rows without key or time meet no chunk, and nothing that a window of such rows has seen counts.
+    met = seen.join(inherited, [by, "__chunk"], "left")
+    found = F.when(F.col(by).isNotNull() & F.col(on).isNotNull(), F.coalesce(value, "__inherited"))
+    return met.select(by, on, *[F.col("__row")[c].alias(c) for c in extra], found.alias(value))
 
 
 def positional(left: DataFrame, right: DataFrame, by: str = "symbol", on: str = "ts", value: str = "value") -> DataFrame:
@@ -49,18 +54,22 @@ def intervals(points: DataFrame, spans: DataFrame, by: str, at: str, start: str,
 
 
 def near_band(left: DataFrame, right: DataFrame, by: str, price: str, tolerance: float) -> DataFrame:
-    """left rows that have a right row of the same key within tolerance (a share of the right price).
+    """left rows that have a right row of the same key within tolerance (a share of the right price), each as often as it is there.
 
-    Log-price buckets of the tolerance's width; a left row looks in its own and both neighbours.
+    Each right price stands in all log-price buckets that its band reaches into; a left price looks in its own. Prices
+    of 0 or less have no band on the right and are in no band on the left; the tolerance is below 1.
     """
     import math
 
-    width = math.log1p(2 * tolerance)
-    bucket = F.floor(F.log(F.col(price)) / width)
-    r = right.select(by, F.col(price).alias("__price"), bucket.alias("__bucket"))
-    l = left.withColumn("__id", F.xxhash64(*left.columns)).withColumn("__bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))  # noqa: E741
-    hits = l.join(r, [by, "__bucket"]).where(F.abs(F.col(price) - F.col("__price")) <= tolerance * F.col("__price"))
-    return hits.select(*left.columns).distinct()
+    if not 0 <= tolerance < 1:
+        raise ValueError("tolerance must be from 0 to below 1")
+    width = max(math.log1p(tolerance), 1e-4)
+    bucket = lambda x: F.floor(F.log(x) / width)
+    p = F.col(price)
+    reach = F.sequence(bucket(p * (1 - tolerance)) - 1, bucket(p * (1 + tolerance)) + 1)
+    r = right.where(p > 0).select(F.col(by).alias("__by"), p.alias("__price"), F.explode(reach).alias("__bucket_r")).distinct()
+    near = (F.col(by) == F.col("__by")) & (F.col("__bucket") == F.col("__bucket_r")) & (F.abs(p - F.col("__price")) <= tolerance * F.col("__price"))
+    return left.withColumn("__bucket", F.when(p > 0, bucket(p))).join(r, near, "left_semi").drop("__bucket")
 
 
 def not_archived(new: DataFrame, archive: DataFrame, keys: list[str]) -> DataFrame:

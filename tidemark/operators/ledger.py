@@ -7,13 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ratio
-from tidemark.operators.stats import wilson
+from tidemark.operators.stats import quantiles, wilson
 from tidemark.sources.tables import instant
 
 
 def trades_from_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """Shipped lines as closed trades: opened on the order's date; discount less tax is the move, tax the cost."""
-    o = orders.select(F.col("o_orderkey").alias("l_orderkey"), instant(orders, "o_orderdate").alias("opened_at"), F.col("o_orderpriority").alias("phase"))
+    o = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer"), instant(orders, "o_orderdate").alias("opened_at"), F.col("o_orderpriority").alias("phase"))
     entry = F.col("l_extendedprice") / F.col("l_quantity")
     long = F.col("l_linestatus") == "O"
     move = F.col("l_discount") - F.col("l_tax")
@@ -23,7 +23,7 @@ def trades_from_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"),
         F.col("l_returnflag").alias("symbol"),
         F.when(long, "long").otherwise("short").alias("direction"),
-        "phase", "opened_at", "closed_at",
+        "customer", "phase", "opened_at", "closed_at",
         entry.alias("entry"),
         (entry * (1 + move)).alias("exit"),
         F.when(long, entry * (1 - stop_share)).otherwise(entry * (1 + stop_share)).alias("stop"),
@@ -70,26 +70,34 @@ def stop_bands(trades: DataFrame, cuts: tuple[float, ...] = (1.5, 2.5, 3.5, 4.5)
     band = F.lit(len(cuts))
     for i, c in reversed(list(enumerate(cuts))):
         band = F.when(F.col("stop_pct") < c, i).otherwise(band)
-    return trades.where("r IS NOT NULL").groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.avg("r").alias("mean_r"), F.percentile("r", F.lit(0.5)).alias("median_r"))
+    banded = trades.where("r IS NOT NULL").select(band.alias("band"), "r")
+    return banded.groupBy("band").agg(F.count("*").alias("n"), F.avg("r").alias("mean_r")).join(quantiles(banded, "band", "r", {"median_r": 0.5}), "band")
 
 
 def concentration(trades: DataFrame, k: int = 10) -> DataFrame:
     """Per symbol, the share of gains that the k best trades make."""
-    place = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("r"), "trade_id"))
-    won = trades.where("r > 0").withColumn("n", place)
-    return won.groupBy("symbol").agg(F.sum(F.when(F.col("n") <= k, F.col("r"))).alias("top"), F.sum("r").alias("all_gains")).withColumn("share", ratio("top", "all_gains"))
+    won = trades.where("r > 0").select("symbol", "trade_id", "r")
+    # A rank with a limit: each task passes on no more than k rows a symbol.
+    best = won.withColumn("n", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("r"), "trade_id"))).where(F.col("n") <= k)
+    sums = won.groupBy("symbol").agg(F.sum("r").alias("all_gains"))
+    return best.groupBy("symbol").agg(F.sum("r").alias("top")).join(sums, "symbol").withColumn("share", ratio("top", "all_gains"))
 
 
-def trimmed_mean(trades: DataFrame, key: str, value: str, cut: float = 0.1) -> DataFrame:
-    """Mean of the values between two quantiles."""
-    bounds = trades.groupBy(key).agg(F.percentile(value, F.lit(cut)).alias("lo"), F.percentile(value, F.lit(1 - cut)).alias("hi"))
-    return trades.join(bounds, key).where(F.col(value).between(F.col("lo"), F.col("hi"))).groupBy(key).agg(F.avg(value).alias("trimmed"), F.count("*").alias("n"))
+def trimmed_mean(trades: DataFrame, key: str, value: str, cut: float = 0.1, slack: float = 0.0) -> DataFrame:
+    """Mean of the values between two quantiles, widened by the slack."""
+    bounds = quantiles(trades, key, value, {"lo": cut, "hi": 1 - cut})
+    return trades.join(bounds, key).where(F.col(value).between(F.col("lo") - slack, F.col("hi") + slack)).groupBy(key).agg(F.avg(value).alias("trimmed"), F.count("*").alias("n"))
 
 
 def repeat_losers(trades: DataFrame, lookback: int, floor: float) -> DataFrame:
-    """Trades opened while the symbol's last `lookback` closed results in that direction sum below the floor."""
+    """Trades opened while the symbol's last `lookback` closed results in that direction sum below the floor.
+
+    Results are summed in whole millionths, so that the sum doesn't depend on its order.
+    """
     w = W.partitionBy("symbol", "direction").orderBy("closed_at", "trade_id").rowsBetween(-lookback, -1)
-    return trades.withColumns({"before": F.sum("r").over(w), "seen": F.count("r").over(w)}).where((F.col("seen") == lookback) & (F.col("before") < floor))
+    millionths = F.round(F.col("r") * 1_000_000).cast("long")
+    summed = trades.withColumns({"__sum": F.sum(millionths).over(w), "seen": F.count("r").over(w)}).where((F.col("seen") == lookback) & (F.col("__sum") < round(floor * 1_000_000)))
+    return summed.withColumn("before", F.col("__sum") / 1_000_000).drop("__sum")
 
 
 def loss_streak(trades: DataFrame, hours: int, least: int) -> DataFrame:

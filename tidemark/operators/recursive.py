@@ -1,20 +1,91 @@
 """Indicators that depend on their own last value.
 
-Spark has no recursive window. A symbol's bars of one width are bounded (trades
-are already aggregated), so each kernel runs over one symbol's columns in an
-Arrow-fed pandas group, with only the columns it needs. Prefixes are NULL until
-the seed is full, and a NULL inside a seed leaves the column NULL.
+Spark has no recursive window. Smoothed values y = w y + b are linear in the last
+one, so they need none: rows are numbered over time chunks, cut into runs of
+consecutive numbers, and summed inside a run with weights w^-place; a run hands
+its end on through a table of one row per run. All of it is built-in functions,
+and a symbol's runs are worked on in parallel (`smoothed`). Only what is not
+linear (the stop-and-reverse rules, the adaptive average, clipped filters) runs
+in order over one symbol's columns, in an Arrow-fed pandas group with the columns
+it needs; bars of one width are bounded, as trades are already aggregated.
+
+Values are NULL until the seed is full. Rows in which an input is NULL have none,
+and the recursion goes on after them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import by_symbol as symbol_line
+from tidemark.operators.windows import lag, true_range
+
+#: Seconds of a time chunk in which rows are numbered, and the weight below which what lies before a run adds nothing.
+CHUNK_S, NEGLIGIBLE = 30 * 86_400, 2.0**-60
+
+
+@dataclass(frozen=True)
+class Smooth:
+    """y = y + alpha (x - y), seeded with the mean of rows offset + 1 .. offset + n, or from `start` before the first row; alpha is below 1."""
+
+    x: str
+    alpha: float
+    n: int = 1
+    offset: int = 0
+    start: float | None = None
+
+
+def smoothed(rows: DataFrame, series: dict[str, Smooth], chunk_s: int = CHUNK_S, least_run: int = 64) -> DataFrame:
+    """`rows` (symbol, ts, ...) with the series as columns. Rows in which an input of any of them is NULL don't count."""
+    there = F.lit(True)
+    for q in series.values():
+        there = there & F.col(q.x).isNotNull()
+    timed = rows.withColumns({"__in": there.cast("int"), "__chunk": F.floor(F.unix_seconds("ts") / chunk_s)})
+    before = W.partitionBy("symbol").orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    counts = timed.groupBy("symbol", "__chunk").agg(F.sum("__in").alias("__c")).select("symbol", "__chunk", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
+    so_far = F.sum("__in").over(W.partitionBy("symbol", "__chunk").orderBy("ts").rowsBetween(W.unboundedPreceding, 0))
+    # A run is so long that the value before the last one weighs nothing.
+    slowest = max(1 - q.alpha for q in series.values())
+    run = max(least_run, math.ceil(math.log(NEGLIGIBLE) / math.log(slowest)))
+    numbered = timed.withColumn("__so_far", so_far).join(counts, ["symbol", "__chunk"]).withColumn("__rn", F.col("__base") + F.col("__so_far"))
+    numbered = numbered.withColumns({"__run": F.floor(F.col("__rn") / run), "__at": F.col("__rn") % run}).drop("__chunk", "__base", "__so_far")
+    inside = lambda q: (F.col("__in") == 1) & F.col("__rn").between(q.offset + 1, q.offset + q.n)
+    seeds = numbered.groupBy("symbol").agg(*[F.when(F.count_if(inside(q)) == q.n, F.avg(F.when(inside(q), F.col(q.x)))).alias(f"__seed_{c}") for c, q in series.items()])
+    active, given = F.col("__in") == 1, {}
+    for c, q in series.items():
+        x, first, w = F.col(q.x).cast("double"), q.offset + q.n, 1 - q.alpha
+        seed = F.col(f"__seed_{c}") if q.start is None else q.alpha * x + w * q.start
+        b = F.when(active & (F.col("__rn") == first), seed).when(active & (F.col("__rn") > first), q.alpha * x)
+        given[f"__b_{c}"] = b * F.pow(F.lit(w), -F.col("__at"))
+    weighed = numbered.join(seeds, "symbol").withColumns(given)
+    ends = weighed.groupBy("symbol", "__run").agg(*[(F.sum(f"__b_{c}") * F.lit((1 - q.alpha) ** (run - 1))).alias(f"__end_{c}") for c, q in series.items()])
+    carried = ends.select("symbol", "__run", *[F.coalesce(F.lag(f"__end_{c}").over(W.partitionBy("symbol").orderBy("__run")), F.lit(0.0)).alias(f"__end_{c}") for c in series])
+    within = W.partitionBy("symbol", "__run").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    out = {}
+    for c, q in series.items():
+        w = F.lit(1 - q.alpha)
+        y = F.pow(w, F.col("__at")) * F.coalesce(F.sum(f"__b_{c}").over(within), F.lit(0.0)) + F.pow(w, F.col("__at") + 1) * F.col(f"__end_{c}")
+        seeded = F.lit(True) if q.start is not None else F.col(f"__seed_{c}").isNotNull()
+        out[c] = F.when(active & seeded & (F.col("__rn") >= q.offset + q.n), y)
+    return weighed.join(carried, ["symbol", "__run"]).withColumns(out).select(*rows.columns, *series)
+
+
+def ema_series(x: str, n: int, offset: int = 0) -> Smooth:
+    return Smooth(x, 2 / (n + 1), n, offset)
+
+
+def wilder_series(x: str, n: int, offset: int = 0) -> Smooth:
+    return Smooth(x, 1 / n, n, offset)
+
+
 Kernel = Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]
 
 
@@ -59,10 +130,6 @@ def ewm(x: np.ndarray, alpha: float) -> np.ndarray:
     return out
 
 
-def ema_of(x: np.ndarray, n: int, offset: int = 0) -> np.ndarray:
-    return smooth(x, 2 / (n + 1), n, offset)
-
-
 def wilder_of(x: np.ndarray, n: int, offset: int = 0) -> np.ndarray:
     return smooth(x, 1 / n, n, offset)
 
@@ -74,60 +141,56 @@ def ranges(v: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
+def _bars(bars: DataFrame, *inputs: str) -> DataFrame:
+    return bars.select("symbol", "ts", *inputs)
+
+
 def ema(bars: DataFrame, n: int, name: str | None = None) -> DataFrame:
-    name = name or f"ema{n}"
-    return by_symbol(bars, ["close"], [name], lambda v: {name: ema_of(v["close"], n)})
+    return smoothed(_bars(bars, "close"), {name or f"ema{n}": ema_series("close", n)})
 
 
 def atr(bars: DataFrame, n: int = 14) -> DataFrame:
-    return by_symbol(bars, ["high", "low", "close"], [f"atr{n}"], lambda v: {f"atr{n}": wilder_of(ranges(v), n)})
+    ranged = _bars(bars, "high", "low", "close").withColumn("__tr", true_range())
+    return smoothed(ranged, {f"atr{n}": wilder_series("__tr", n)}).drop("__tr")
 
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's index; NULL where nothing moved."""
-
-    def kernel(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        step = np.diff(v["close"], prepend=np.nan)
-        up, down = wilder_of(np.maximum(step, 0), n, 1), wilder_of(np.maximum(-step, 0), n, 1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return {f"rsi{n}": np.where(up + down > 0, 100 * up / (up + down), np.nan)}
-
-    return by_symbol(bars, ["close"], [f"rsi{n}"], kernel)
+    step = F.col("close") - lag("close")
+    moved = _bars(bars, "close").withColumns({"__up": F.greatest(step, step * 0), "__down": F.greatest(-step, step * 0)})
+    out = smoothed(moved, {"__u": wilder_series("__up", n), "__d": wilder_series("__down", n)})
+    both = F.col("__u") + F.col("__d")
+    return out.select("symbol", "ts", "close", F.when(both > 0, 100 * F.col("__u") / both).alias(f"rsi{n}"))
 
 
 def adx(bars: DataFrame, n: int = 14) -> DataFrame:
     """plus_di, minus_di, adx by Wilder smoothing; seeds begin at the second bar."""
-
-    def kernel(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        h, l = v["high"], v["low"]  # noqa: E741
-        up, down = np.diff(h, prepend=np.nan), -np.diff(l, prepend=np.nan)
-        plus = np.where((up > down) & (up > 0), up, 0.0)
-        minus = np.where((down > up) & (down > 0), down, 0.0)
-        tr = wilder_of(ranges(v), n, 1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            p, m = 100 * wilder_of(plus, n, 1) / tr, 100 * wilder_of(minus, n, 1) / tr
-            dx = np.where(p + m > 0, 100 * np.abs(p - m) / (p + m), 0.0)
-        return {"plus_di": p, "minus_di": m, "adx": wilder_of(dx, n, n)}
-
-    return by_symbol(bars, ["high", "low", "close"], ["plus_di", "minus_di", "adx"], kernel)
+    up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
+    moved = _bars(bars, "high", "low", "close").withColumns({
+        "__tr": F.when(up.isNotNull(), true_range()),
+        "__p": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)),
+        "__m": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)),
+    })
+    out = smoothed(moved, {"__t": wilder_series("__tr", n), "__u": wilder_series("__p", n), "__d": wilder_series("__m", n)})
+    out = out.withColumns({"plus_di": F.try_divide(100 * F.col("__u"), "__t"), "minus_di": F.try_divide(100 * F.col("__d"), "__t")})
+    p, m = F.col("plus_di"), F.col("minus_di")
+    out = out.withColumn("__dx", F.when(p + m > 0, 100 * F.abs(p - m) / (p + m)).when(F.col("__t").isNotNull(), 0.0))
+    return smoothed(out, {"adx": wilder_series("__dx", n)}).select("symbol", "ts", "high", "low", "close", "plus_di", "minus_di", "adx")
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    def kernel(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        # The fast average is seeded so that both begin with the same bar.
-        line = ema_of(v["close"], fast, slow - fast) - ema_of(v["close"], slow)
-        s = ema_of(line, signal, slow - 1)
-        return {"macd": line, "macd_signal": s, "macd_hist": line - s}
-
-    return by_symbol(bars, ["close"], ["macd", "macd_signal", "macd_hist"], kernel)
+    # The fast average is seeded so that both begin with the same bar.
+    both = smoothed(_bars(bars, "close"), {"__f": ema_series("close", fast, slow - fast), "__s": ema_series("close", slow)})
+    line = both.select("symbol", "ts", "close", (F.col("__f") - F.col("__s")).alias("macd"))
+    out = smoothed(line, {"macd_signal": ema_series("macd", signal)})
+    return out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
 def keltner(bars: DataFrame, n: int = 20, width: float = 2.0, atr_n: int = 10) -> DataFrame:
-    def kernel(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        middle, reach = ewm((v["high"] + v["low"] + v["close"]) / 3, 2 / (n + 1)), wilder_of(ranges(v), atr_n)
-        return {"kc_middle": middle, "kc_upper": middle + width * reach, "kc_lower": middle - width * reach}
-
-    return by_symbol(bars, ["high", "low", "close"], ["kc_middle", "kc_upper", "kc_lower"], kernel)
+    given = _bars(bars, "high", "low", "close").withColumns({"__tp": (F.col("high") + F.col("low") + F.col("close")) / 3, "__tr": true_range()})
+    out = smoothed(given, {"kc_middle": Smooth("__tp", 2 / (n + 1)), "__reach": wilder_series("__tr", atr_n)})
+    middle, reach = F.col("kc_middle"), width * F.col("__reach")
+    return out.withColumns({"kc_upper": middle + reach, "kc_lower": middle - reach}).drop("__tp", "__tr", "__reach")
 
 
 def kama(bars: DataFrame, n: int = 10, fast: int = 2, slow: int = 30) -> DataFrame:
@@ -149,58 +212,62 @@ def kama(bars: DataFrame, n: int = 10, fast: int = 2, slow: int = 30) -> DataFra
 
 
 def supertrend(bars: DataFrame, n: int = 10, width: float = 3.0) -> DataFrame:
-    """Bands that only tighten while the close stays inside them; the line is the band on the trend's side."""
+    """Bands that only tighten while the close before lies inside them; the line is the band on the trend's side.
+
+    The first bar's trend is up, and the range counts 0 until its average is seeded.
+    """
 
     def kernel(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        c, reach = v["close"], wilder_of(ranges(v), n)
+        c, reach = v["close"], np.nan_to_num(wilder_of(ranges(v), n))
         mid = (v["high"] + v["low"]) / 2
-        line, way = np.full(len(c), np.nan), np.full(len(c), np.nan)
-        top = bottom = trend = None
-        for i in range(len(c)):
-            if np.isnan(reach[i]):
-                continue
-            up, down = mid[i] + width * reach[i], mid[i] - width * reach[i]
-            if top is None:
-                top, bottom, trend = up, down, 1 if c[i] >= mid[i] else -1
-            else:
-                top = up if up < top or c[i - 1] > top else top
-                bottom = down if down > bottom or c[i - 1] < bottom else bottom
-                trend = -1 if trend == 1 and c[i] < bottom else 1 if trend == -1 and c[i] > top else trend
-            line[i], way[i] = (bottom if trend == 1 else top), trend
+        tops, bottoms = mid + width * reach, mid - width * reach
+        line, way = np.empty(len(c)), np.empty(len(c))
+        top, bottom, trend, before = np.inf, -np.inf, 1.0, np.nan
+        for i, (up, down) in enumerate(zip(tops, bottoms, strict=True)):
+            top = min(up, top) if before < top else up
+            bottom = max(down, bottom) if before > bottom else down
+            before = c[i]
+            if i and (before < bottom if trend > 0 else before > top):
+                trend = -trend
+            line[i], way[i] = (bottom if trend > 0 else top), trend
         return {"supertrend": line, "trend": way}
 
     return by_symbol(bars, ["high", "low", "close"], ["supertrend", "trend"], kernel)
 
 
 def parabolic(bars: DataFrame, step: float = 0.02, most: float = 0.2) -> DataFrame:
-    """Stop and reverse: starts rising from the first low; the stop never passes the two bars before."""
+    """Stop and reverse: psar_long, psar_short (0 on the side that is not held), psar_reversal (1 to long, -1 to short).
+
+    The first side is long unless the second close is below the first. The stop never passes the two bars before.
+    """
 
     def kernel(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        h, l = v["high"], v["low"]  # noqa: E741
-        out, way = np.full(len(h), np.nan), np.full(len(h), np.nan)
-        if len(h):
-            up, sar, peak, a = True, l[0], h[0], step
-            out[0], way[0] = sar, 1
-            for i in range(1, len(h)):
-                sar += a * (peak - sar)
-                sar = min(sar, l[i - 1], l[max(i - 2, 0)]) if up else max(sar, h[i - 1], h[max(i - 2, 0)])
-                if (l[i] < sar) if up else (h[i] > sar):
-                    up, sar, peak, a = not up, peak, (l[i] if up else h[i]), step
-                elif (h[i] > peak) if up else (l[i] < peak):
-                    peak, a = (h[i] if up else l[i]), min(a + step, most)
-                out[i], way[i] = sar, 1 if up else -1
-        return {"sar": out, "sar_side": way}
-
-    return by_symbol(bars, ["high", "low"], ["sar", "sar_side"], kernel)
+        h, l, c = v["high"], v["low"], v["close"]  # noqa: E741
+        sides, turned = np.zeros((2, len(h))), np.zeros(len(h))
+        up = len(c) < 2 or bool(c[1] >= c[0])
+        with_, against = (h, l) if up else (l, h)
+        stop, peak, pace = (against[0], with_[0], step) if len(h) else (0.0, 0.0, step)
+        for i in range(len(h)):
+            if i:
+                stop += pace * (peak - stop)
+                recent = against[max(i - 2, 0) : i]
+                stop = min(stop, recent.min()) if up else max(stop, recent.max())
+                if against[i] < stop if up else against[i] > stop:
+                    up, stop, peak, pace = not up, peak, against[i], step
+                    with_, against = against, with_
+                    turned[i] = 1 if up else -1
+                elif with_[i] > peak if up else with_[i] < peak:
+                    peak, pace = with_[i], min(pace + step, most)
+            sides[0 if up else 1, i] = stop
+        return {"psar_long": sides[0], "psar_short": sides[1], "psar_reversal": turned}
+
+    return by_symbol(bars, ["high", "low", "close"], ["psar_long", "psar_short", "psar_reversal"], kernel)
 
 
 def heikin_ashi(bars: DataFrame) -> DataFrame:
-    def kernel(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        close = (v["open"] + v["high"] + v["low"] + v["close"]) / 4
-        opened = ewm(np.concatenate([close[:1], close[:-1]]), 0.5)
-        return {"ha_open": opened, "ha_high": np.maximum(v["high"], np.maximum(opened, close)), "ha_low": np.minimum(v["low"], np.minimum(opened, close)), "ha_close": close}
-
-    return by_symbol(bars, ["open", "high", "low", "close"], ["ha_open", "ha_high", "ha_low", "ha_close"], kernel)
+    mean = _bars(bars, "open", "high", "low", "close").withColumn("ha_close", (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4)
+    out = smoothed(mean.withColumn("__x", F.coalesce(lag("ha_close"), F.col("ha_close"))), {"ha_open": Smooth("__x", 0.5)})
+    return out.withColumns({"ha_high": F.greatest("high", "ha_open", "ha_close"), "ha_low": F.least("low", "ha_open", "ha_close")}).drop("__x")
 
 
 def fisher(bars: DataFrame, n: int = 9) -> DataFrame:
@@ -252,19 +319,11 @@ def equity_curve(trades: DataFrame, risk: float = 0.01, most_at_risk: float = 0.
 
 def kdj(bars: DataFrame, n: int = 9) -> DataFrame:
     """k and d smooth the place in the n-bar range by thirds from 50; j = 3 k - 2 d. A flat range counts 50."""
-
-    def kernel(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        top, bottom = pd.Series(v["high"]).rolling(n).max().to_numpy(), pd.Series(v["low"]).rolling(n).min().to_numpy()
-        k, d = np.full(len(top), np.nan), np.full(len(top), np.nan)
-        a = b = 50.0
-        for i in range(n - 1, len(top)):
-            place = 100 * (v["close"][i] - bottom[i]) / (top[i] - bottom[i]) if top[i] > bottom[i] else 50.0
-            a += (place - a) / 3
-            b += (a - b) / 3
-            k[i], d[i] = a, b
-        return {"k": k, "d": d, "j": 3 * k - 2 * d}
-
-    return by_symbol(bars, ["high", "low", "close"], ["k", "d", "j"], kernel)
+    w = symbol_line().rowsBetween(1 - n, 0)
+    top, bottom = F.max("high").over(w), F.min("low").over(w)
+    place = F.when(F.count("close").over(w) == n, F.when(top > bottom, 100 * (F.col("close") - bottom) / (top - bottom)).otherwise(50.0))
+    first = smoothed(_bars(bars, "high", "low", "close").withColumn("__place", place), {"k": Smooth("__place", 1 / 3, start=50.0)})
+    return smoothed(first, {"d": Smooth("k", 1 / 3, start=50.0)}).withColumn("j", 3 * F.col("k") - 2 * F.col("d")).drop("__place")
 
 
 def cusum(bars: DataFrame, value: str, span: int = 96, bound: float = 50.0) -> DataFrame:
@@ -279,13 +338,7 @@ def cusum(bars: DataFrame, value: str, span: int = 96, bound: float = 50.0) -> D
 
 def trix_ppo(bars: DataFrame, n: int = 14, fast: int = 12, slow: int = 26) -> DataFrame:
     """trix: change of the triple average in percent; ppo: fast less slow average over slow, in percent."""
-
-    def kernel(v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        c = v["close"]
-        three = ema_of(ema_of(ema_of(c, n), n, n - 1), n, 2 * (n - 1))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            trix = 100 * (three / np.concatenate([[np.nan], three[:-1]]) - 1) if len(c) else three
-            slow_line = ema_of(c, slow)
-            return {"trix": trix, "ppo": 100 * (ema_of(c, fast, slow - fast) - slow_line) / slow_line}
-
-    return by_symbol(bars, ["close"], ["trix", "ppo"], kernel)
+    out = smoothed(_bars(bars, "close"), {"__f": ema_series("close", fast, slow - fast), "__s": ema_series("close", slow), "__1": ema_series("close", n)})
+    out = smoothed(smoothed(out, {"__2": ema_series("__1", n)}), {"__3": ema_series("__2", n)})
+    trix = 100 * (F.try_divide("__3", lag("__3")) - 1)
+    return out.select("symbol", "ts", "close", trix.alias("trix"), (100 * F.try_divide(F.col("__f") - F.col("__s"), "__s")).alias("ppo"))

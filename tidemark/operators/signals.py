@@ -1,4 +1,4 @@
-"""Flips and graded signals: joins and column expressions over all symbols at once."""
+"""Graded signals: joins and column expressions over all symbols at once."""
 
 from __future__ import annotations
 
@@ -7,16 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import clip, ratio
-from tidemark.operators.windows import by_symbol
-
-def flips(swings: DataFrame) -> DataFrame:
-    """Bars that close beyond the last pivot against the trend of the last two: up after lower highs, down after higher lows."""
-    before = by_symbol().rowsBetween(W.unboundedPreceding, -2)  # a pivot is known one bar after it
-    last = lambda flag, c: F.last(F.when(F.col(flag), F.col(c)), ignorenulls=True).over(before)
-    out = swings.withColumns({"lh": last("ph", "high"), "ll": last("pl", "low")})
-    up = (F.col("close") > F.col("lh")) & (F.lag("close").over(by_symbol()) <= F.col("lh"))
-    down = (F.col("close") < F.col("ll")) & (F.lag("close").over(by_symbol()) >= F.col("ll"))
-    return out.withColumn("flip", F.when(up, "up").when(down, "down")).where("flip IS NOT NULL").withColumn("level", F.when(F.col("flip") == "up", F.col("lh")).otherwise(F.col("ll")))
 
 
 def risk_reward(direction: Column, entry: Column, stop: Column, target: Column) -> Column:

@@ -9,10 +9,40 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import clip, ratio
 
 
+def cumulated(rows: DataFrame, key: str, value: str, *sums: Column, parts: int = 64) -> DataFrame:
+    """key, value, n, the sums, below (rows of smaller values) and total: one row for each different value, ranked without one task per key.
+
+    Rows are counted by value first; a key's values are then cut at sketched quantiles into parts that are cumulated
+    side by side, each from the total of the parts before it. NULL values don't count.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), *sums)
+    cuts = counts.groupBy(key).agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10_000)).alias("__cuts"), F.sum("n").alias("total"))
+    placed = counts.join(cuts, key).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    before = placed.groupBy(key, "__part").agg(F.sum("n").alias("__n"))
+    before = before.select(key, "__part", F.coalesce(F.sum("__n").over(W.partitionBy(key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    inside = F.sum("n").over(W.partitionBy(key, "__part").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    return placed.withColumn("__to", inside).join(before, [key, "__part"]).withColumn("below", F.col("__base") + F.col("__to") - F.col("n")).drop("__part", "__base", "__to")
+
+
+def quantiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """key and one column per share: exact quantiles, between neighbouring values by distance."""
+    c = cumulated(rows, key, value)
+    out = []
+    for name, p in shares.items():
+        at = p * (F.col("total") - 1)
+        covers = lambda i: (F.col("below") <= i) & (i < F.col("below") + F.col("n"))
+        v = F.col(value).cast("double")
+        low, high = F.max(F.when(covers(F.floor(at)), v)), F.max(F.when(covers(F.ceil(at)), v))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return c.groupBy(key).agg(*out)
+
+
 def robust_z(rows: DataFrame, key: str, value: str, order: str, least: int = 30, bound: float = 12.0) -> DataFrame:
     """The last value's distance from the median in scaled median absolute deviations (else population sigma)."""
-    middle = rows.groupBy(key).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.max_by(value, order).alias("last"), F.count(value).alias("n"), F.stddev_pop(value).alias("sigma"))
-    spread = rows.join(middle, key).groupBy(key).agg(F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5)).alias("mad"))
+    summary = rows.groupBy(key).agg(F.max_by(value, order).alias("last"), F.count(value).alias("n"), F.stddev_pop(value).alias("sigma"))
+    middle = summary.join(quantiles(rows, key, value, {"median": 0.5}), key)
+    spread = quantiles(rows.join(middle.select(key, "median"), key).withColumn("__d", F.abs(F.col(value) - F.col("median"))), key, "__d", {"mad": 0.5})
     scale = F.when(F.col("mad") > 1e-12, F.col("mad") * 1.4826 * F.col("n") / (F.col("n") - 0.8)).otherwise(F.col("sigma"))
     z = F.when((F.col("n") >= least) & (scale > 0), clip((F.col("last") - F.col("median")) / scale, -bound, bound))
     return middle.join(spread, key).select(key, z.alias("z"), "n")
@@ -48,14 +78,12 @@ def two_sample(rows: DataFrame, key: str, value: str, late: str, alpha: float =
     return out.withColumn("critical", critical).withColumn("broken", F.col("ks") > F.col("critical"))
 
 
-def average_rank(value: str, partition: list[str]) -> Column:
-    w = W.partitionBy(*partition) if partition else W.partitionBy(F.lit(0))
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*partition, value) if partition else W.partitionBy(value)) - 1) / 2
-
-
 def spearman(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """a, b, rho per key for all pairs of columns: correlation of average ranks."""
-    ranked = rows.withColumns({f"__r_{c}": F.rank().over(W.partitionBy(key).orderBy(c)) + (F.count("*").over(W.partitionBy(key, c)) - 1) / 2 for c in columns})
+    """a, b, rho per key for all pairs of columns: correlation of average ranks (of the rows where the column is not NULL)."""
+    ranked = rows
+    for c in columns:
+        met = cumulated(rows, key, c).select(F.col(key).alias("__k"), F.col(c).alias("__v"), (F.col("below") + (F.col("n") + 1) / 2).alias(f"__r_{c}"))
+        ranked = ranked.join(met, (F.col(key) == F.col("__k")) & (F.col(c) == F.col("__v")), "left").drop("__k", "__v")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     wide = ranked.groupBy(key).agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}|{b}") for a, b in pairs])
     long = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("rho")) for a, b in pairs])
@@ -72,21 +100,33 @@ def wilson(wins: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 def auc(rows: DataFrame, key: str, score: str, positive: str) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties half, by average ranks."""
-    rank = F.rank().over(W.partitionBy(key).orderBy(score)) + (F.count("*").over(W.partitionBy(key, score)) - 1) / 2
-    out = rows.withColumn("__r", rank).groupBy(key).agg(F.sum(F.when(F.col(positive), F.col("__r"))).alias("s"), F.count_if(F.col(positive)).alias("n1"), F.count_if(~F.col(positive)).alias("n0"))
-    return out.select(key, ratio(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("auc"), "n1", "n0")
+    c = cumulated(rows, key, score, F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
+    out = c.groupBy(key).agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("s"), F.sum("pos").alias("n1"), F.sum("neg").alias("n0"))
+    return out.select(key, ratio(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1").cast("double") * F.col("n0")).alias("auc"), "n1", "n0")
 
 
-def regime(tickers: DataFrame, least_volume: float, least: int) -> DataFrame:
-    """One row over the liquid cross-section: quantiles of change, breadth, share of hot names, label."""
-    liquid = tickers.where(F.col("quote_volume") >= least_volume)
-    q = lambda p: F.percentile("change_pct", F.lit(p))
-    out = liquid.agg(
-        F.count("*").alias("n"), q(0.5).alias("median"), q(0.9).alias("p90"), q(0.4).alias("p40"),
-        F.avg((F.col("change_pct") > 0).cast("double")).alias("breadth"), F.avg((F.abs("change_pct") >= 8).cast("double")).alias("hot"),
-    )
-    label = F.when(F.col("n") < least, "unknown").when(F.col("hot") >= 0.25, "hot").when(F.col("median") >= 1, "up").when(F.col("median") <= -1, "down").otherwise("calm")
-    return out.withColumn("label", label)
+def regime(tickers: DataFrame, least_volume: float = 1e7, least: int = 20) -> DataFrame:
+    """One row over the liquid cross-section: absolute changes, ranges, volumes, breadth and the regime; NULL below `least` names.
+
+    Input columns: quote_volume, change_pct, high, low.
+    """
+    # The regimes' cuts and the gates that follow from them.
+    liquid = tickers.where(F.col("quote_volume") >= least_volume).select(
+        F.lit(1).alias("__all"), F.abs("change_pct").alias("change"), F.col("change_pct") > 0, "quote_volume", F.when((F.col("low") > 0) & (F.col("high") > F.col("low")), (F.col("high") / F.col("low") - 1) * 100).alias("range")
+    ).toDF("__all", "change", "rose", "quote_volume", "range")
+    base = liquid.groupBy("__all").agg(F.count("*").alias("n"), (100 * F.avg((F.col("change") >= 8).cast("double"))).alias("hot"), (100 * F.avg(F.col("rose").cast("double"))).alias("breadth"))
+    for column, shares in (("change", {"median": 0.5, "p75": 0.75, "p90": 0.9}), ("range", {"median_range": 0.5, "p75_range": 0.75}), ("quote_volume", {"p40_volume": 0.4})):
+        base = base.join(quantiles(liquid, "__all", column, shares), "__all", "left")
+    label = F.when((F.col("median") < 2.5) & (F.col("hot") < 8), "quiet").when((F.col("p90") > 15) | (F.col("hot") > 30), "extreme").when((F.col("median") > 5) | (F.col("hot") > 15), "hot").otherwise("normal")
+    gates = {
+        "regime": label,
+        "anomaly_change": clip(F.round(F.col("p75") * 0.85, 1), 4, 22),
+        "anomaly_range": clip(F.round(F.greatest(F.col("median_range") * 1.6, F.col("p75_range") * 0.9), 1), 6, 28),
+        "ignition": clip(F.round(F.col("median") * 0.55, 2), 1, 4.5),
+        "ignition_volume": clip("p40_volume", 2_500_000, 40_000_000),
+    }
+    enough = F.col("n") >= least
+    return base.select("n", *[F.when(enough, F.col(c)).alias(c) for c in ("median", "p75", "p90", "median_range", "p75_range", "hot", "breadth", "p40_volume")], *[F.when(enough, v).alias(k) for k, v in gates.items()])
 
 
 def cosine(a: str, b: str) -> Column:
@@ -95,20 +135,35 @@ def cosine(a: str, b: str) -> Column:
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def bootstrap_interval(rows: DataFrame, key: str, value: str, resamples: int = 2000, seed: int = 1) -> DataFrame:
-    """key, mean, lo, hi (95 %) by Poisson bootstrap.
+def bootstrap_interval(rows: DataFrame, key: str, value: str, resamples: int = 20_000, seed: int = 1, chunk: int = 256) -> DataFrame:
+    """key, mean, lo, hi (95 %) by Poisson bootstrap over `resamples` resamples.
 
-    Each resample weighs each row by a Poisson(1) count hashed from (row, resample),
-    so partial sums combine over partitions and no group is collected.
+    A resample weighs each row by a Poisson(1) count. Each task draws for the rows it holds, and keeps per key one
+    weighted sum and one weight for each resample, in numpy; a sum over tasks combines them. Rows that are equal draw
+    apart, by their place in the partition. The seed fixes the result for a given partitioning.
     """
-    u = (F.pmod(F.xxhash64("__row", "b", F.lit(seed)), F.lit(1 << 53)).cast("double")) / float(1 << 53)
-    cuts, term, acc = [], 2.718281828459045**-1, 0.0
-    for k in range(1, 12):
-        acc += term
-        cuts.append(acc)
-        term /= k
-    weight = sum((u >= c).cast("int") for c in cuts)
-    sampled = rows.withColumn("__row", F.xxhash64(*rows.columns)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
-    means = sampled.groupBy(key, "b").agg(ratio(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
-    interval = means.groupBy(key).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    import numpy as np
+    import pandas as pd
+
+    def drawn(batches):
+        from pyspark import TaskContext
+
+        rng = np.random.Generator(np.random.PCG64([seed, TaskContext.get().partitionId()]))
+        sums: dict = {}
+        for pdf in batches:
+            for k, v in pdf.groupby("__key", dropna=False)["__value"]:
+                total = sums.setdefault(k, np.zeros((2, resamples)))
+                for at in range(0, len(v), chunk):
+                    x = v.to_numpy(np.float64)[at : at + chunk]
+                    w = rng.poisson(1.0, (len(x), resamples)).astype(np.float32)
+                    total[0] += x @ w
+                    total[1] += w.sum(axis=0)
+        for k, total in sums.items():
+            yield pd.DataFrame({"__key": k, "b": np.arange(resamples), "s": total[0], "w": total[1]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    given = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(value).cast("double").alias("__value"))
+    parts = given.mapInPandas(drawn, f"__key {kind}, b int, s double, w double")
+    means = parts.groupBy("__key", "b").agg(ratio(F.sum("s"), F.sum("w")).alias("m"))
+    interval = means.groupBy("__key").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi")).withColumnRenamed("__key", key)
     return rows.groupBy(key).agg(F.avg(value).alias("mean")).join(interval, key)

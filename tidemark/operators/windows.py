@@ -7,8 +7,6 @@ A rolling value is NULL until its window is full.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
@@ -56,6 +54,16 @@ def rolling_vwap(n: int = 20) -> Column:
     return ratio(rolling(F.sum, typical() * F.col("volume"), n), rolling(F.sum, "volume", n))
 
 
+def adaptive_vwap(least: int = 20, most: int = 96) -> Column:
+    """VWAP over max(least, min(most, bars so far)) rows: at each bar what a frame that ends there has for its last one."""
+    return ratio(rolling(F.sum, typical() * F.col("volume"), most, least), rolling(F.sum, "volume", most, least))
+
+
+def filled(c: Column | str) -> Column:
+    """The value, or the last one before it."""
+    return F.last(col(c), ignorenulls=True).over(by_symbol().rowsBetween(W.unboundedPreceding, 0))
+
+
 def session_deviation(level: Column | str) -> Column:
     """Root of the running mean of (close - level)^2 within a UTC day."""
     return F.sqrt(F.avg(F.pow(F.col("close") - col(level), 2)).over(by_day()))
@@ -128,15 +136,16 @@ def with_ichimoku(bars: DataFrame) -> DataFrame:
     return base.withColumns({"senkou_a": lag((F.col("tenkan") + F.col("kijun")) / 2, 26), "senkou_b": lag("__b", 26)}).drop("__b")
 
 
-def weighted_mean(c: Column | str, n: int) -> Column:
-    """Linear weights n, n-1, ... from the newest."""
-    parts = [lag(c, k) * (n - k) if k else col(c) * n for k in range(n)]
-    return reduce(lambda a, b: a + b, parts) / (n * (n + 1) / 2)
+def weighted_mean(c: Column | str, n: int, rn: str = "rn") -> Column:
+    """Linear weights n, n-1, ... from the newest, from two running sums: of x and of x times its row number (a column)."""
+    w = last_rows(n)
+    weighed = F.sum(F.col(rn) * col(c)).over(w) - (F.col(rn) - n) * F.sum(col(c)).over(w)
+    return F.when(F.count(col(c)).over(w) == n, weighed / (n * (n + 1) / 2))
 
 
-def with_hull(bars: DataFrame, n: int, name: str) -> DataFrame:
+def with_hull(bars: DataFrame, n: int, name: str, rn: str = "rn") -> DataFrame:
     root = int(n**0.5)
-    return bars.withColumn("__raw", 2 * weighted_mean("close", n // 2) - weighted_mean("close", n)).withColumn(name, weighted_mean("__raw", root)).drop("__raw")
+    return bars.withColumn("__raw", 2 * weighted_mean("close", n // 2, rn) - weighted_mean("close", n, rn)).withColumn(name, weighted_mean("__raw", root, rn)).drop("__raw")
 
 
 def with_ols(bars: DataFrame, n: int = 20) -> DataFrame:

@@ -164,14 +164,24 @@ def wall_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return rounding(L.wall_clusters(books, "book"))
 
 
+def _half_up(x: str, digits: int) -> str:
+    return f"round({x}, {digits})"
+
+
 @query(
-    f"""WITH t AS (SELECT c_custkey, (c_acctbal / 500) - 3 AS change_pct, abs(c_acctbal) * 10000 AS quote_volume FROM customer), l AS (SELECT * FROM t WHERE quote_volume >= 10000000),
-a AS (SELECT count(*) AS n, quantile_cont(change_pct, 0.5) AS median, quantile_cont(change_pct, 0.9) AS p90, quantile_cont(change_pct, 0.4) AS p40, avg((change_pct > 0)::INTEGER) AS breadth, avg((abs(change_pct) >= 8)::INTEGER) AS hot FROM l)
-SELECT n, {r('median')} AS median, {r('p90')} AS p90, {r('p40')} AS p40, {r('breadth')} AS breadth, {r('hot')} AS hot, CASE WHEN n < 20 THEN 'unknown' WHEN hot >= 0.25 THEN 'hot' WHEN median >= 1 THEN 'up' WHEN median <= -1 THEN 'down' ELSE 'calm' END AS label FROM a"""
+    f"""WITH l AS (SELECT abs(d) AS change, d > 0 AS rose, q AS quote_volume, CASE WHEN lo > 0 AND hi > lo THEN (hi / lo - 1) * 100 END AS range FROM (
+  SELECT c_acctbal / 500 - 3 AS d, abs(c_acctbal) * 10000 AS q, 100 + abs(c_acctbal) / 400 AS hi, 100 - (c_custkey % 7) AS lo FROM customer) WHERE q >= 10000000),
+a AS (SELECT count(*) AS n, quantile_cont(change, 0.5) AS median, quantile_cont(change, 0.75) AS p75, quantile_cont(change, 0.9) AS p90, quantile_cont(range, 0.5) AS median_range, quantile_cont(range, 0.75) AS p75_range,
+  100 * avg((change >= 8)::INTEGER) AS hot, 100 * avg(rose::INTEGER) AS breadth, quantile_cont(quote_volume, 0.4) AS p40_volume FROM l)
+SELECT n, {", ".join(f"{r(c)} AS {c}" for c in ("median", "p75", "p90", "median_range", "p75_range", "hot", "breadth", "p40_volume"))},
+CASE WHEN median < 2.5 AND hot < 8 THEN 'quiet' WHEN p90 > 15 OR hot > 30 THEN 'extreme' WHEN median > 5 OR hot > 15 THEN 'hot' ELSE 'normal' END AS regime,
+{r("least(greatest(" + _half_up("p75 * 0.85", 1) + ", 4), 22)")} AS anomaly_change, {r("least(greatest(" + _half_up("greatest(median_range * 1.6, p75_range * 0.9)", 1) + ", 6), 28)")} AS anomaly_range,
+{r("least(greatest(" + _half_up("median * 0.55", 2) + ", 1), 4.5)")} AS ignition, {r("least(greatest(p40_volume, 2500000), 40000000)")} AS ignition_volume FROM a"""
 )
 def regime_cross_section(spark: SparkSession, folder: str) -> DataFrame:
-    t = table(spark, folder, "customer").select(((F.col("c_acctbal") / 500) - 3).alias("change_pct"), (F.abs("c_acctbal") * 10_000).alias("quote_volume"))
-    return rounding(S.regime(t, 1e7, 20))
+    balance = F.col("c_acctbal")
+    t = table(spark, folder, "customer").select((balance / 500 - 3).alias("change_pct"), (F.abs(balance) * 10_000).alias("quote_volume"), (100 + F.abs(balance) / 400).alias("high"), (100 - F.col("c_custkey") % 7).cast("double").alias("low"))
+    return rounding(S.regime(t))
 
 
 @query(
@@ -262,10 +272,9 @@ def blocker_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT o_orderstatus AS action, o_orderpriority AS gate, count(*) AS n, grouping(o_orderstatus, o_orderpriority)::BIGINT AS level FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
 def grouping_sets_actions(spark: SparkSession, folder: str) -> DataFrame:
-    table(spark, folder, "orders").createOrReplaceTempView("tidemark_orders")
-    return spark.sql(
-        "SELECT o_orderstatus AS action, o_orderpriority AS gate, count(*) AS n, grouping_id(o_orderstatus, o_orderpriority) AS level FROM tidemark_orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())"
-    )
+    orders = table(spark, folder, "orders")
+    counted = orders.groupingSets([["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.grouping_id("o_orderstatus", "o_orderpriority").alias("level"))
+    return counted.select(F.col("o_orderstatus").alias("action"), F.col("o_orderpriority").alias("gate"), "n", "level")
 
 
 @query(

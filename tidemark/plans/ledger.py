@@ -18,7 +18,7 @@ from tidemark.plans.registry import query
 from tidemark.plans.sql import LINE, r
 from tidemark.sources.tables import table
 
-_TRADES = """t AS (SELECT l_orderkey * 10 + l_linenumber AS trade_id, l_returnflag AS symbol, CASE WHEN l_linestatus = 'O' THEN 'long' ELSE 'short' END AS direction, o_orderpriority AS phase,
+_TRADES = """t AS (SELECT l_orderkey * 10 + l_linenumber AS trade_id, o_custkey AS customer, l_returnflag AS symbol, CASE WHEN l_linestatus = 'O' THEN 'long' ELSE 'short' END AS direction, o_orderpriority AS phase,
   epoch_us(o_orderdate) AS opened_us, epoch_us(l_shipdate) AS closed_us, l_extendedprice / l_quantity AS entry, l_extendedprice / l_quantity * (1 + (l_discount - l_tax)) AS exit,
   l_extendedprice / l_quantity * (1 + CASE WHEN l_linestatus = 'O' THEN -1 ELSE 1 END * (0.01 + (l_quantity::INTEGER % 5) / 100.0)) AS stop, 100 * l_tax / 10 AS cost_pct
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate >= o_orderdate),
@@ -27,7 +27,7 @@ r AS (SELECT *, gross_pct - cost_pct AS net_pct, CASE WHEN stop_pct >= 0.05 THEN
 
 
 def _trades(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     return G.with_r(G.trades_from_orders(orders, table(spark, folder, "lineitem")))
 
 
@@ -63,10 +63,7 @@ def concentration_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_TRADES}, q AS (SELECT phase, quantile_cont(net_pct, 0.1) AS lo, quantile_cont(net_pct, 0.9) AS hi FROM r GROUP BY phase) SELECT phase, {r('avg(net_pct)')} AS trimmed, count(*) AS n FROM r JOIN q USING (phase) WHERE net_pct BETWEEN lo - 1e-9 AND hi + 1e-9 GROUP BY phase")
 def trimmed_mean(spark: SparkSession, folder: str) -> DataFrame:
-    t = _trades(spark, folder)
-    bounds = t.groupBy("phase").agg(F.percentile("net_pct", F.lit(0.1)).alias("lo"), F.percentile("net_pct", F.lit(0.9)).alias("hi"))
-    met = t.join(bounds, "phase").where(F.col("net_pct").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9))
-    return rounding(met.groupBy("phase").agg(F.avg("net_pct").alias("trimmed"), F.count("*").alias("n")))
+    return rounding(G.trimmed_mean(_trades(spark, folder), "phase", "net_pct", slack=1e-9))
 
 
 @query(
@@ -93,16 +90,16 @@ def loss_streaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TRADES} SELECT trade_id, {r('before')} AS before FROM (SELECT trade_id, sum(r) OVER w AS before, count(r) OVER w AS seen FROM r WINDOW w AS (PARTITION BY symbol, direction ORDER BY closed_us, trade_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) WHERE seen = 10 AND before < -9"""
+    f"""WITH {_TRADES} SELECT trade_id, before::DOUBLE / 1000000 AS before FROM (SELECT trade_id, sum(round(r * 1000000)::BIGINT) OVER w AS before, count(r) OVER w AS seen FROM r WINDOW w AS (PARTITION BY symbol, direction ORDER BY closed_us, trade_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) WHERE seen = 10 AND before < -9000000"""
 )
 def repeat_losers(spark: SparkSession, folder: str) -> DataFrame:
-    return rounding(G.repeat_losers(_trades(spark, folder), 10, -9.0).select("trade_id", "before"))
+    return G.repeat_losers(_trades(spark, folder), 10, -9.0).select("trade_id", "before")
 
 
 @query()
 def equity_curve(spark: SparkSession, folder: str) -> DataFrame:
     t = _trades(spark, folder).where("r IS NOT NULL")
-    sized = t.select(F.col("symbol").alias("account"), "trade_id", F.unix_micros("opened_at").alias("opened"), F.unix_micros("closed_at").alias("closed"), "r")
+    sized = t.select(F.col("customer").cast("string").alias("account"), "trade_id", F.unix_micros("opened_at").alias("opened"), F.unix_micros("closed_at").alias("closed"), "r")
     return K.equity_curve(sized).select("account", "trade_id", "taken", rounded("equity", 4).alias("equity"), rounded("drawdown").alias("drawdown"))
 
 
@@ -197,7 +194,7 @@ def level_worked(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
     t = _trades(spark, folder).where("r IS NOT NULL").select("phase", "trade_id", "r")
-    return rounding(S.bootstrap_interval(t, "phase", "r", 200))
+    return rounding(S.bootstrap_interval(t, "phase", "r"))
 
 
 @query()
@@ -216,8 +213,3 @@ def prepared_frame(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.plans.prepare import prepare
 
     return rounding(prepare(hourly(spark, folder)).withColumn("ts", F.unix_seconds("ts")))
-
-
-@query()
-def trend_flips(spark: SparkSession, folder: str) -> DataFrame:
-    return Z.flips(_swings(spark, folder, 3, 1)).select("symbol", F.unix_seconds("ts").alias("ts_s"), "flip", rounded("level").alias("level"))

@@ -20,10 +20,10 @@ def hourly(spark: SparkSession, folder: str) -> DataFrame:
     return B.bars(B.trades_from_events(table(spark, folder, "events").select("event_type", "event_id", "ts", "value")), "1 hour")
 
 
-def shown(df: DataFrame, **columns: Column | str) -> DataFrame:
-    """symbol, ts_s and the columns given, doubles rounded to six digits."""
+def shown(df: DataFrame, digits: int = 6, **columns: Column | str) -> DataFrame:
+    """symbol, ts_s and the columns given, doubles rounded."""
     out = df.select("symbol", F.unix_seconds("ts").alias("ts_s"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
-    return out.select([rounded(n).alias(n) if t == "double" else F.col(n) for n, t in out.dtypes])
+    return out.select([rounded(n, digits).alias(n) if t == "double" else F.col(n) for n, t in out.dtypes])
 
 
 def _sql(body: str, seconds: int = HOUR, more: str = "", recursive: bool = False) -> str:
@@ -89,21 +89,24 @@ def volume_ratio20(spark: SparkSession, folder: str) -> DataFrame:
     return shown(hourly(spark, folder), volume_mean20=mean, volume_ratio20=ratio("volume", mean))
 
 
-_VWAP = full(20, f"(sum((high + low + close) / 3 * volume) {over(20)}) / (sum(volume) {over(20)})")
+_VWAP = full(20, f"(sum((high + low + close) / 3 * volume) {over(96)}) / nullif(sum(volume) {over(96)}, 0)")
+_FILLED = f"SELECT *, last_value(raw IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_s ROWS UNBOUNDED PRECEDING) AS vwap FROM (SELECT *, {_VWAP} AS raw FROM b)"
 
 
-@query(_sql(f"SELECT symbol, ts_s, {r(_VWAP)} AS vwap20 FROM b"))
+# Nine digits: means of 96 prices with two decimals lie on the border of six too often.
+@query(_sql(f"SELECT symbol, ts_s, {r('vwap', 9)} AS vwap FROM ({_FILLED})"))
 def rolling_vwap(spark: SparkSession, folder: str) -> DataFrame:
-    return shown(hourly(spark, folder), vwap20=R.rolling_vwap(20))
+    df = hourly(spark, folder).withColumn("vwap", R.adaptive_vwap())
+    return shown(df, 9, vwap=R.filled("vwap"))
 
 
 @query(
-    _sql(f"""SELECT symbol, ts_s, {r('vwap')} AS vwap, {r('vwap + sd')} AS upper1, {r('vwap - sd')} AS lower1, {r('(close - vwap) / vwap * 100')} AS deviation_pct FROM (
-  SELECT *, sqrt(avg(power(close - vwap, 2)) OVER (PARTITION BY symbol, ts_s // 86400 ORDER BY ts_s)) AS sd FROM (SELECT *, {_VWAP} AS vwap FROM b))""")
+    _sql(f"""SELECT symbol, ts_s, {r('vwap', 9)} AS vwap, {r('vwap + sd', 9)} AS upper1, {r('vwap - sd', 9)} AS lower1, {r('(close - vwap) / vwap * 100', 9)} AS deviation_pct FROM (
+  SELECT *, sqrt(avg(power(close - vwap, 2)) OVER (PARTITION BY symbol, ts_s // 86400 ORDER BY ts_s)) AS sd FROM ({_FILLED}))""")
 )
 def vwap_session_bands(spark: SparkSession, folder: str) -> DataFrame:
-    df = hourly(spark, folder).withColumn("vwap", R.rolling_vwap(20)).withColumn("sd", R.session_deviation("vwap"))
-    return shown(df, vwap="vwap", upper1=F.col("vwap") + F.col("sd"), lower1=F.col("vwap") - F.col("sd"), deviation_pct=(F.col("close") - F.col("vwap")) / F.col("vwap") * 100)
+    df = hourly(spark, folder).withColumn("vwap", R.adaptive_vwap()).withColumn("vwap", R.filled("vwap")).withColumn("sd", R.session_deviation("vwap"))
+    return shown(df, 9, vwap="vwap", upper1=F.col("vwap") + F.col("sd"), lower1=F.col("vwap") - F.col("sd"), deviation_pct=(F.col("close") - F.col("vwap")) / F.col("vwap") * 100)
 
 
 @query(_sql("SELECT symbol, ts_s, sum(2 * taker_buy - volume) OVER (PARTITION BY symbol, ts_s // 86400 ORDER BY ts_s) AS cvd FROM b"))
@@ -168,7 +171,7 @@ def _wma(x: str, n: int) -> str:
 
 @query(_sql(f"SELECT symbol, ts_s, {r('wma')} AS wma9, {r(_wma('raw', 3))} AS hma9 FROM (SELECT *, {_wma('close', 9)} AS wma, 2 * ({_wma('close', 4)}) - {_wma('close', 9)} AS raw FROM b)"))
 def wma_hma(spark: SparkSession, folder: str) -> DataFrame:
-    df = R.with_hull(hourly(spark, folder), 9, "hma9")
+    df = R.with_hull(hourly(spark, folder).withColumn("rn", F.row_number().over(R.by_symbol())), 9, "hma9")
     return shown(df, wma9=R.weighted_mean("close", 9), hma9="hma9")
 
 
@@ -402,11 +405,11 @@ def kama10(spark: SparkSession, folder: str) -> DataFrame:
         more=", ".join(
             [
                 _TR, recursion("a", "t", "tr", 1 / 10, 10),
-                f"q AS (SELECT t.symbol, t.rn, t.close, t.c1, (t.high + t.low) / 2 AS mid, (t.high + t.low) / 2 + 3 * a.y AS up, (t.high + t.low) / 2 - 3 * a.y AS dn FROM t JOIN a ON a.symbol = t.symbol AND a.rn = t.rn)",
-                """z AS (SELECT symbol, rn, up AS top, dn AS bot, CASE WHEN close >= mid THEN 1 ELSE -1 END AS trend FROM q WHERE rn = 10
+                "q AS (SELECT t.symbol, t.rn, t.close, t.c1, (t.high + t.low) / 2 + 3 * coalesce(a.y, 0) AS up, (t.high + t.low) / 2 - 3 * coalesce(a.y, 0) AS dn FROM t LEFT JOIN a ON a.symbol = t.symbol AND a.rn = t.rn)",
+                """z AS (SELECT symbol, rn, up AS top, dn AS bot, 1 AS trend FROM q WHERE rn = 1
   UNION ALL
   SELECT symbol, rn, top, bot, CASE WHEN trend = 1 AND close < bot THEN -1 WHEN trend = -1 AND close > top THEN 1 ELSE trend END FROM (
-    SELECT q.symbol, q.rn, q.close, z.trend, CASE WHEN q.up < z.top OR q.c1 > z.top THEN q.up ELSE z.top END AS top, CASE WHEN q.dn > z.bot OR q.c1 < z.bot THEN q.dn ELSE z.bot END AS bot
+    SELECT q.symbol, q.rn, q.close, z.trend, CASE WHEN q.c1 < z.top THEN least(q.up, z.top) ELSE q.up END AS top, CASE WHEN q.c1 > z.bot THEN greatest(q.dn, z.bot) ELSE q.dn END AS bot
     FROM z JOIN q ON q.symbol = z.symbol AND q.rn = z.rn + 1))""",
             ]
         ),
@@ -419,12 +422,12 @@ def supertrend(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     _sql(
-        f"SELECT b.symbol, b.ts_s, {r('s.sar')} AS sar, CASE WHEN s.up THEN 1.0 ELSE -1.0 END::DOUBLE AS sar_side FROM b JOIN s USING (symbol, rn)",
-        more=f"""w AS (SELECT *, lag(high) {LINE} AS h1, lag(low) {LINE} AS l1, coalesce(lag(high, 2) {LINE}, lag(high) {LINE}) AS h2, coalesce(lag(low, 2) {LINE}, lag(low) {LINE}) AS l2 FROM b),
-s AS (SELECT symbol, rn, low AS sar, high AS peak, 0.02::DOUBLE AS a, true AS up FROM w WHERE rn = 1
+        f"SELECT b.symbol, b.ts_s, {r('CASE WHEN s.up THEN s.sar ELSE 0 END')} AS psar_long, {r('CASE WHEN s.up THEN 0 ELSE s.sar END')} AS psar_short, CASE WHEN NOT turn THEN 0.0 WHEN s.up THEN 1.0 ELSE -1.0 END::DOUBLE AS psar_reversal FROM b JOIN s USING (symbol, rn)",
+        more=f"""w AS (SELECT *, lag(high) {LINE} AS h1, lag(low) {LINE} AS l1, coalesce(lag(high, 2) {LINE}, lag(high) {LINE}) AS h2, coalesce(lag(low, 2) {LINE}, lag(low) {LINE}) AS l2, coalesce(lead(close) {LINE} >= close, true) AS rises FROM b),
+s AS (SELECT symbol, rn, CASE WHEN rises THEN low ELSE high END AS sar, CASE WHEN rises THEN high ELSE low END AS peak, 0.02::DOUBLE AS a, rises AS up, false AS turn FROM w WHERE rn = 1
   UNION ALL
   SELECT symbol, rn, CASE WHEN flip THEN peak ELSE c END, CASE WHEN flip THEN CASE WHEN up THEN low ELSE high END WHEN up THEN greatest(peak, high) ELSE least(peak, low) END,
-    CASE WHEN flip THEN 0.02 WHEN (up AND high > peak) OR (NOT up AND low < peak) THEN least(a + 0.02, 0.2) ELSE a END::DOUBLE, up <> flip
+    CASE WHEN flip THEN 0.02 WHEN (up AND high > peak) OR (NOT up AND low < peak) THEN least(a + 0.02, 0.2) ELSE a END::DOUBLE, up <> flip, flip
   FROM (SELECT *, CASE WHEN up THEN low < c ELSE high > c END AS flip FROM (
     SELECT w.symbol, w.rn, w.high, w.low, s.peak, s.a, s.up, CASE WHEN s.up THEN least(s.sar + s.a * (s.peak - s.sar), w.l1, w.l2) ELSE greatest(s.sar + s.a * (s.peak - s.sar), w.h1, w.h2) END AS c
     FROM s JOIN w ON w.symbol = s.symbol AND w.rn = s.rn + 1)))""",
@@ -432,7 +435,7 @@ s AS (SELECT symbol, rn, low AS sar, high AS peak, 0.02::DOUBLE AS a, true AS up
     )
 )
 def psar(spark: SparkSession, folder: str) -> DataFrame:
-    return shown(K.parabolic(hourly(spark, folder)), sar="sar", sar_side="sar_side")
+    return shown(K.parabolic(hourly(spark, folder)), **{c: c for c in ("psar_long", "psar_short", "psar_reversal")})
 
 
 @query(
@@ -446,6 +449,15 @@ def heikin_ashi(spark: SparkSession, folder: str) -> DataFrame:
     return shown(K.heikin_ashi(hourly(spark, folder)), ha_open="ha_open", ha_close="ha_close")
 
 
-@query()
+@query(
+    _sql(
+        f"SELECT s.symbol, s.ts_s, {r('k.y')} AS fisher, {r('k.g')} AS fisher_signal FROM s JOIN k USING (symbol, rn)",
+        more=f"""s AS (SELECT symbol, ts_s, rn, coalesce(CASE WHEN rn >= 9 THEN (mid - min(mid) {over(9)}) / nullif(max(mid) {over(9)} - min(mid) {over(9)}, 0) END, 0.5) AS p FROM (SELECT *, (high + low) / 2 AS mid FROM b)),
+k AS (SELECT symbol, 0::BIGINT AS rn, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, NULL::DOUBLE AS g FROM (SELECT DISTINCT symbol FROM s)
+  UNION ALL SELECT symbol, rn, x, y, coalesce(g + 1.0 / 3 * (y - g), y) FROM (SELECT symbol, rn, x, 0.5 * ln((1 + x) / (1 - x)) + 0.5 * y AS y, g FROM (
+    SELECT s.symbol, s.rn, least(greatest(0.33 * 2 * (s.p - 0.5) + 0.67 * k.x, -0.999), 0.999) AS x, k.y, k.g FROM k JOIN s ON s.symbol = k.symbol AND s.rn = k.rn + 1)))""",
+        recursive=True,
+    )
+)
 def fisher_transform(spark: SparkSession, folder: str) -> DataFrame:
     return shown(K.fisher(hourly(spark, folder)), fisher="fisher", fisher_signal="fisher_signal")

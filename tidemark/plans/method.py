@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import ratio, rounded
 from tidemark.operators import bars as B
 from tidemark.operators import context as C
+from tidemark.operators import figures as G
 from tidemark.operators import recursive as K
 from tidemark.operators import windows as R
 from tidemark.plans.aggregates import rounding
@@ -100,23 +101,43 @@ def classic_pivots(spark: SparkSession, folder: str) -> DataFrame:
 def _snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as derivative snapshots; some planes are not measured."""
     c = table(spark, folder, "customer")
-    x = F.col("c_acctbal") / 10_000
+    x, n = F.col("c_acctbal") / 10_000, F.col("c_nationkey")
+    only = lambda every, v: F.when(n % every != 0, v)
     return c.select(
-        F.col("c_custkey").alias("key"), (x / 1000).alias("funding"), F.when(F.col("c_nationkey") % 3 != 0, 1 + x).alias("long_short"), (0.5 + x / 5).alias("taker"), F.when(F.col("c_nationkey") % 2 == 0, x * 20).alias("open_interest"),
-        x.alias("book"), F.abs(x).alias("spread"), (x / 100).alias("basis"), F.lit(None).cast("double").alias("liquidations"),
+        F.col("c_custkey").alias("key"), F.when(n % 7 == 0, "none").when(n % 2 == 0, "long").otherwise("short").alias("direction"),
+        only(5, x / 500).alias("funding"), only(3, 0.3 + x * 2).alias("long_short"), only(4, 0.5 + x).alias("taker"), only(2, x * 3 - 1).alias("oi_change"), only(6, x - 0.4).alias("price_change"),
+        only(8, x * x * 10).alias("bid_qty"), F.lit(4.0).alias("ask_qty"), (x * 1.5).alias("depth_imbalance"), F.lit(100.0).alias("bid"), (100 + F.abs(x) / 5).alias("ask"), only(9, x / 5).alias("basis_pct"),
+        F.when(n % 10 == 0, x).alias("liquidation_score"), only(11, x * 100).alias("liq_long"), only(12, F.lit(30.0)).alias("liq_short"),
     )
 
 
-_CLIP = "greatest({1}, least({2}, {0}))".format
-_PARTS = [("CASE WHEN f IS NOT NULL THEN " + _CLIP("-f * 2000", -1, 1) + " END", 1.0), ("CASE WHEN ls IS NOT NULL THEN " + _CLIP("1 - ls", -1, 1) + " END", 1.0), (_CLIP("(tk - 0.5) * 4", -1, 1), 1.5), ("CASE WHEN oi IS NOT NULL THEN " + _CLIP("oi / 10", -1, 1) + " END", 1.0), (_CLIP("x", -1, 1), 1.0), (_CLIP("-abs(x) / 10", -1, 0), 0.5), (_CLIP("-x / 100 * 100", -1, 1), 0.5)]
-_HAVE = " + ".join(f"CASE WHEN ({p}) IS NOT NULL THEN {w} ELSE 0 END" for p, w in _PARTS)
-_SUM = " + ".join(f"coalesce(({p}) * {w}, 0)" for p, w in _PARTS)
+def _side(a: float, b: float) -> str:
+    return f"CASE WHEN d > 0 THEN {a} ELSE {b} END"
+
+
+_PLANES = {
+    "f": (f"CASE WHEN f IS NOT NULL THEN (CASE WHEN abs(f) < 0.0002 THEN 0.05 WHEN f > 0 THEN {_side(-0.25, 0.25)} ELSE {_side(0.25, -0.25)} END) * CASE WHEN abs(f) >= 0.001 THEN 2 ELSE 1 END END", 0.18),
+    "l": (f"CASE WHEN ls > 0 THEN CASE WHEN ls >= 2 THEN {_side(-0.4, 0.25)} WHEN ls >= 1.6 THEN {_side(-0.25, 0.18)} WHEN ls <= 0.5 THEN {_side(0.25, -0.4)} WHEN ls <= 0.65 THEN {_side(0.18, -0.25)} ELSE 0 END END", 0.15),
+    "t": (f"CASE WHEN tk > 0 THEN CASE WHEN tk >= 1.25 THEN {_side(0.45, -0.35)} WHEN tk <= 0.8 THEN {_side(-0.35, 0.45)} ELSE 0 END END", 0.18),
+    "o": ("""CASE WHEN oi IS NULL THEN NULL WHEN abs(oi) < 0.15 THEN 0 WHEN dp IS NULL OR d = 0 THEN CASE WHEN oi > 0 THEN 0.1 ELSE -0.05 END
+      WHEN sign(d) = CASE WHEN dp > 0 THEN 1 ELSE -1 END THEN CASE WHEN oi > 0 THEN 0.35 ELSE 0.15 END ELSE CASE WHEN oi > 0 THEN -0.25 ELSE -0.1 END END""", 0.16),
+    "b": ("d * CASE WHEN bq + 4 > 0 THEN (bq - 4) / (bq + 4) ELSE greatest(-1, least(1, x * 1.5)) END", 0.12),
+    "s": ("CASE WHEN spread <= 2 THEN 0.15 WHEN spread <= 8 THEN 0 ELSE -0.35 END", 0.06),
+    "p": (f"CASE WHEN bs IS NULL THEN NULL WHEN bs > 0.08 THEN {_side(0.18, -0.12)} WHEN bs < -0.04 THEN {_side(-0.12, 0.18)} ELSE 0 END", 0.07),
+    "q": ("CASE WHEN sc IS NOT NULL OR ll + sh > 0 THEN greatest(-1, least(1, d * coalesce(sc, (sh - ll) / nullif(ll + sh, 0)))) END", 0.08),
+}
+_HAVE = " + ".join(f"CASE WHEN s_{k} IS NOT NULL THEN {w} ELSE 0 END" for k, (_, w) in _PLANES.items())
+_SUM = " + ".join(f"coalesce(s_{k} * {w}, 0)" for k, (_, w) in _PLANES.items())
 
 
 @query(
-    f"""WITH s AS (SELECT *, x / 1000 AS f, CASE WHEN n % 3 <> 0 THEN 1 + x END AS ls, 0.5 + x / 5 AS tk, CASE WHEN n % 2 = 0 THEN x * 20 END AS oi FROM (SELECT c_custkey AS key, c_nationkey AS n, c_acctbal / 10000 AS x FROM customer)),
-m AS (SELECT key, ({_SUM}) / nullif({_HAVE}, 0) AS score, ({_HAVE}) / 7.5 AS confidence FROM s)
-SELECT CASE WHEN score >= 0.25 THEN 'bullish' WHEN score <= -0.25 THEN 'bearish' ELSE 'neutral' END AS label, count(*) AS n, {r('avg(score)')} AS score, {r('avg(confidence)')} AS confidence FROM m GROUP BY 1"""
+    f"""WITH v AS (SELECT *, CASE WHEN n % 7 = 0 THEN 0 WHEN n % 2 = 0 THEN 1 ELSE -1 END AS d, CASE WHEN n % 5 <> 0 THEN x / 500 END AS f, CASE WHEN n % 3 <> 0 THEN 0.3 + x * 2 END AS ls, CASE WHEN n % 4 <> 0 THEN 0.5 + x END AS tk,
+  CASE WHEN n % 2 <> 0 THEN x * 3 - 1 END AS oi, CASE WHEN n % 6 <> 0 THEN x - 0.4 END AS dp, CASE WHEN n % 8 <> 0 THEN x * x * 10 END AS bq, (abs(x) / 5) / (100 + abs(x) / 10) * 10000 AS spread, CASE WHEN n % 9 <> 0 THEN x / 5 END AS bs,
+  CASE WHEN n % 10 = 0 THEN x END AS sc, greatest(coalesce(CASE WHEN n % 11 <> 0 THEN x * 100 END, 0), 0) AS ll, CASE WHEN n % 12 <> 0 THEN 30 ELSE 0 END AS sh
+  FROM (SELECT c_custkey AS key, c_nationkey AS n, c_acctbal / 10000 AS x FROM customer)),
+p AS (SELECT *, {", ".join(f"({e})::DOUBLE AS s_{k}" for k, (e, _) in _PLANES.items())} FROM v),
+m AS (SELECT *, coalesce(greatest(-1, least(1, ({_SUM}) / nullif({_HAVE}, 0))), 0) AS score, ({_HAVE}) / 1.0 AS confidence, (coalesce(abs(f) >= 0.001, false))::INTEGER + (coalesce(ls >= 2 OR ls <= 0.5, false))::INTEGER + (spread > 8)::INTEGER AS warned FROM p)
+SELECT CASE WHEN round(score, 9) >= 0.35 THEN 'supportive' WHEN round(score, 9) <= -0.35 THEN 'against' ELSE 'mixed' END AS label, count(*) AS n, {r('avg(score)')} AS score, {r('avg(confidence)')} AS confidence, sum(warned)::BIGINT AS warnings FROM m GROUP BY 1"""
 )
 def microstructure_context(spark: SparkSession, folder: str) -> DataFrame:
     return rounding(C.summarised(C.microstructure(_snapshots(spark, folder))))
@@ -150,14 +171,82 @@ def narrowing(spark: SparkSession, folder: str) -> DataFrame:
     return rounding(C.narrowing(hourly(spark, folder)))
 
 
+def _recent(n: int) -> str:
+    """CTEs w (the last n bars of a symbol, i from 0, last) and p (their pivots: i, kind, price, zone, seq)."""
+    before, after = "OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)", "OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)"
+    return f"""w AS (SELECT *, rn - min(rn) OVER (PARTITION BY symbol) AS i, max(rn) OVER (PARTITION BY symbol) - min(rn) OVER (PARTITION BY symbol) AS last FROM (SELECT *, max(rn) OVER (PARTITION BY symbol) AS top FROM b) WHERE rn > top - {n}),
+f AS (SELECT *, count(*) {before} = 3 AND count(*) {after} = 1 AND high > max(high) {before} AND high > max(high) {after} AS ph, count(*) {before} = 3 AND count(*) {after} = 1 AND low < min(low) {before} AND low < min(low) {after} AS pl FROM w),
+p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i, kind) AS seq FROM (
+  SELECT symbol, i, 'high' AS kind, high AS price, greatest(open, close) AS zlo, high AS zhi FROM f WHERE ph UNION ALL SELECT symbol, i, 'low', low, low, least(open, close) FROM f WHERE pl))"""
+
+
 @query(
     _sql(
-        f"""SELECT symbol, ts_s, {r('lft')} AS "left", {r('top')} AS top, {r('high')} AS "right" FROM (SELECT *, lag(high) {LINE} AS top, lag(high, 2) {LINE} AS lft FROM piv WHERE ph) WHERE top >= greatest(lft, high) * 1.03 AND abs(lft / nullif(high, 0) - 1) <= 0.08""",
-        more=_pivots(3, 1),
+        f"""SELECT symbol, side, {r('lft')} AS "left", {r('head')} AS head, {r('rgt')} AS "right" FROM (
+  SELECT t.symbol, CASE t.kind WHEN 'high' THEN 'short' ELSE 'long' END AS side, t.li, t.lft, t.head, t.rgt, count(*) AS n, max(q.price) AS hi, min(q.price) AS lo FROM (
+    SELECT a.symbol, a.kind, a.i AS li, c.i AS ri, a.price AS lft, h.price AS head, c.price AS rgt FROM s a JOIN s h ON h.symbol = a.symbol AND h.kind = a.kind AND h.k = a.k + 1 JOIN s c ON c.symbol = a.symbol AND c.kind = a.kind AND c.k = a.k + 2
+    WHERE a.k > a.m - 6 AND a.price > 0 AND c.price > 0 AND abs(c.price - a.price) / a.price <= 0.08
+      AND CASE a.kind WHEN 'high' THEN h.price > greatest(a.price, c.price) AND h.price / greatest(a.price, c.price) - 1 >= 0.03 ELSE h.price < least(a.price, c.price) AND (least(a.price, c.price) - h.price) / h.price >= 0.03 END) t
+  JOIN p q ON q.symbol = t.symbol AND q.kind <> t.kind AND q.i > t.li AND q.i < t.ri AND q.price > 0 GROUP BY ALL) WHERE n >= 2 AND hi / lo - 1 <= 0.05""",
+        more=_recent(700) + ", s AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY i) AS k, count(*) OVER (PARTITION BY symbol, kind) AS m FROM p)",
     )
 )
 def head_and_shoulders(spark: SparkSession, folder: str) -> DataFrame:
-    return shown(C.head_and_shoulders(_swings(spark, folder, 3, 1)), left="left", top="top", right="right")
+    return rounding(G.head_and_shoulders(hourly(spark, folder), 700))
+
+
+_FLIPS = """c AS (SELECT symbol, arg_max(close, i) AS close FROM w GROUP BY symbol), z AS (SELECT p.*, max(seq) OVER (PARTITION BY p.symbol) AS total, close FROM p JOIN c USING (symbol)),
+tp AS (SELECT symbol, arg_max(i, struct_pack(a := price, b := -seq)) AS i FROM z WHERE kind = 'high' AND seq > total - 6 GROUP BY symbol),
+bt AS (SELECT symbol, arg_min(i, struct_pack(a := price, b := seq)) AS i FROM z WHERE kind = 'low' AND seq > total - 6 GROUP BY symbol),
+pr AS (SELECT a.symbol, a.price AS ahead, o.* EXCLUDE (symbol), a.kind AS first FROM z a JOIN z o ON o.symbol = a.symbol AND o.seq = a.seq + 1 AND o.kind <> a.kind),
+hit AS (
+  SELECT z.symbol, 'short' AS side, 'true' AS kind, price AS level, zlo, zhi FROM z JOIN tp ON tp.symbol = z.symbol AND z.i < tp.i WHERE kind = 'low' QUALIFY row_number() OVER (PARTITION BY z.symbol ORDER BY seq DESC) = 1 AND close < price
+  UNION ALL SELECT z.symbol, 'long', 'true', price, zlo, zhi FROM z JOIN bt ON bt.symbol = z.symbol AND z.i < bt.i WHERE kind = 'high' QUALIFY row_number() OVER (PARTITION BY z.symbol ORDER BY seq DESC) = 1 AND close > price
+  UNION ALL SELECT symbol, CASE first WHEN 'high' THEN 'short' ELSE 'long' END, 'early', price, zlo, zhi FROM (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY symbol, first ORDER BY seq DESC) = 1) q
+    WHERE CASE first WHEN 'high' THEN close < price AND NOT EXISTS (SELECT 1 FROM p WHERE p.symbol = q.symbol AND p.i > q.i AND p.kind = 'high' AND p.price > q.ahead) ELSE close > price AND NOT EXISTS (SELECT 1 FROM p WHERE p.symbol = q.symbol AND p.i > q.i AND p.kind = 'low' AND p.price < q.ahead) END)"""
+
+
+@query(
+    _sql(
+        f"""SELECT symbol, side, kind, {r('level')} AS level, {r('zlo')} AS zone_lo, {r('zhi')} AS zone_hi,
+(SELECT max(last) - coalesce(max(CASE WHEN NOT CASE side WHEN 'short' THEN greatest(open, close) < level ELSE least(open, close) > level END THEN i END), -1) FROM w WHERE w.symbol = hit.symbol)::INTEGER AS bodies FROM hit""",
+        more=_recent(150) + ", " + _FLIPS,
+    )
+)
+def trend_flips(spark: SparkSession, folder: str) -> DataFrame:
+    return rounding(G.flips(hourly(spark, folder), 150))
+
+
+_EDGES = "e AS (SELECT symbol, side, CASE side WHEN 'short' THEN quantile_cont(high, 0.7) ELSE quantile_cont(low, 0.3) END AS level FROM w CROSS JOIN (VALUES ('short'), ('long')) s(side) GROUP BY symbol, side)"
+
+
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
+    """A level above and one below the newest bars of each symbol."""
+    recent = G.newest(hourly(spark, folder), 60)
+    both = recent.groupBy("symbol").agg(F.percentile("high", F.lit(0.7)).alias("short"), F.percentile("low", F.lit(0.3)).alias("long"))
+    return both.unpivot("symbol", ["short", "long"], "side", "level")
+
+
+@query(
+    _sql(
+        f"""SELECT symbol, side, {r('level')} AS level, bodies, CASE WHEN bodies >= 2 THEN 'proboy' WHEN wick THEN 'prokol' WHEN bodies > 0 THEN 'testing' END AS touch FROM (
+  SELECT e.symbol, e.side, e.level, (max(last) - coalesce(max(CASE WHEN NOT CASE side WHEN 'short' THEN least(open, close) > level ELSE greatest(open, close) < level END THEN i END), -1))::INTEGER AS bodies,
+    bool_or(i > last - 2 AND CASE side WHEN 'short' THEN high > level AND close <= level ELSE low < level AND close >= level END) AS wick FROM e JOIN w USING (symbol) GROUP BY 1, 2, 3)""",
+        more=_recent(60) + ", " + _EDGES,
+    )
+)
+def level_touches(spark: SparkSession, folder: str) -> DataFrame:
+    return rounding(G.touches(_edges(spark, folder), hourly(spark, folder)).select("symbol", "side", "level", "bodies", "touch"))
+
+
+@query(
+    _sql(
+        f"""SELECT e.symbol, e.side, {r('e.level')} AS level, count_if(open < level AND close > level) >= 3 AND count_if(open > level AND close < level) >= 3 AS saw FROM e JOIN w USING (symbol) WHERE i > last - 24 GROUP BY e.symbol, e.side, e.level""",
+        more=_recent(60) + ", " + _EDGES,
+    )
+)
+def level_saws(spark: SparkSession, folder: str) -> DataFrame:
+    return rounding(G.saws(_edges(spark, folder), hourly(spark, folder), 24).select("symbol", "side", "level", "saw"))
 
 
 @query(

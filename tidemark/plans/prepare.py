@@ -70,7 +70,7 @@ def _volume(df: DataFrame) -> DataFrame:
 
 @group("vwap")
 def _vwap(df: DataFrame) -> DataFrame:
-    df = df.withColumn("vwap", R.rolling_vwap(20)).withColumn("vwap_std", R.session_deviation("vwap"))
+    df = df.withColumn("vwap", R.adaptive_vwap()).withColumn("vwap", R.filled("vwap")).withColumn("vwap_std", R.session_deviation("vwap"))
     return df.withColumns({f"vwap_{side}{k}": F.col("vwap") + sign * k * F.col("vwap_std") for side, sign in (("upper", 1), ("lower", -1)) for k in (1, 2)})
 
 
@@ -103,7 +103,8 @@ def _ichimoku(df: DataFrame) -> DataFrame:
 
 @group("averages")
 def _averages(df: DataFrame) -> DataFrame:
-    return R.with_hull(R.with_hull(df, 9, "hma9"), 21, "hma21").withColumn("wma9", R.weighted_mean("close", 9))
+    df = df.withColumn("rn", F.row_number().over(R.by_symbol()))
+    return R.with_hull(R.with_hull(df, 9, "hma9"), 21, "hma21").withColumn("wma9", R.weighted_mean("close", 9)).drop("rn")
 
 
 @group("trend", "returns")
