@@ -14,12 +14,13 @@ at least SIMILARITY. Classes are the connected components of verified pairs.
 
 Skew: equal texts collapse first into one representative, by an aggregate that
 combines before the shuffle. In a bucket each member is compared with one lead,
-so a bucket of m makes m - 1 pairs. Where members then lie in several components,
-links may be left between them:
+so a bucket of m makes m - 1 pairs. Members then lie in components; those outside
+the bucket's largest one are its strays. Buckets of more than STRAYS are compared
+with a lead of the largest component again (up to LEADS times). Then
 
-* in a bucket of at most LISTED texts, all members of different components are
-  compared;
-* texts of larger buckets are compared through their rarest shingles. Two texts
+* in a bucket of at most STRAYS, each stray is compared with all members of other
+  components: at most STRAYS pairs a member;
+* texts of buckets with more are compared through their rarest shingles. Two texts
   are similar only if they share one of the first n - 0.8 n + 1 of their n
   shingles, in any order common to all texts; in ascending order of the number of
   texts that hold a shingle these are the rare ones, and what many unlike texts
@@ -60,8 +61,8 @@ SHORT_SKETCHES, SHORT_PICKS, LONG_FROM, SHORT_BELOW = 8, 2, 32, 40
 BAND = 0.25
 #: Hash ranges whose parities are compared before alignment.
 BITS = 1024
-#: Up to so many texts of a bucket are listed in one row and compared with one another.
-LISTED = 64
+#: Up to so many texts outside a bucket's largest component are compared with all its members, after up to so many more leads.
+STRAYS, LEADS = 64, 2
 #: The share of n1 + n2 shingles that two similar texts have in common at least (twice), and may differ in at most.
 COMMON, APART = SIMILARITY / (1 + SIMILARITY), (1 - SIMILARITY) / (1 + SIMILARITY)
 
@@ -172,26 +173,6 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a_root", "b_root"]).append_column("near", pa.array(ok, pa.bool_()))
 
 
-def _listed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a listed bucket's members of different roots that lengths and parities allow."""
-    for batch in batches:
-        out: dict[str, list] = {"a": [], "b": [], "a_root": [], "b_root": []}
-        for members in batch.column("members"):
-            m = members.values
-            digests, roots, n = m.field("digest").to_pylist(), m.field("root").to_pylist(), m.field("n").to_numpy()
-            odd = m.field("odd").flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
-            group = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
-            for i in range(len(n) - 1):
-                both = n[i] + n[i + 1 :]
-                may = (group[i + 1 :] != group[i]) & (np.minimum(n[i], n[i + 1 :]) >= SIMILARITY * np.maximum(n[i], n[i + 1 :]))
-                may &= np.bitwise_count(odd[i] ^ odd[i + 1 :]).sum(axis=1) <= APART * both + 1e-6
-                for j in (np.flatnonzero(may) + i + 1).tolist():
-                    x, y = (i, j) if digests[i] > digests[j] else (j, i)
-                    for name, value in (("a", digests[x]), ("b", digests[y]), ("a_root", roots[x]), ("b_root", roots[y])):
-                        out[name].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in out.values()], names=list(out))
-
-
 def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles and how many texts of the batch hold each."""
     for batch in batches:
@@ -225,8 +206,13 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for all nodes of edges (a, b): alternating large and small stars."""
     down = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = checkpointed(down(edges))
-    # Edges keep what is connected, so once no root hangs on another node each component is one star.
-    while not now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty() or not now.groupBy("a").count().where("count > 1").isEmpty():
+
+    def done() -> bool:
+        """Edges keep what is connected, so once no node hangs on two, and no root on another, each component is one star."""
+        ends = now.select(F.col("a").alias("v"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionAll(now.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("v").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 OR hangs = 1 AND holds = 1").isEmpty()
+
+    while not done():
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = down(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -285,20 +271,38 @@ def _classes(docs: DataFrame) -> DataFrame:
     start = holders.select("digest", F.col("digest").alias("root"))
     leads = buckets.where("digest <> first").select(F.col("digest").alias("a"), F.col("first").alias("b")).distinct()
     roots = joined(start, near(leads.select("a", "b", F.col("a").alias("a_root"), F.col("b").alias("b_root"))))
-    # Buckets of several components.
-    placed = buckets.select("key", "digest", "members").join(roots, "digest")
-    parted = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    opened = checkpointed(placed.join(parted, "key"))
-    if not opened.isEmpty():
-        sized = sequences.select("digest", "odd", F.expr("cast(length(items) div 4 as int)").alias("n"))
-        lists = opened.where(F.col("members") <= LISTED).join(sized, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "root", "n", "odd")).alias("members"))
-        listed = lists.select("members").mapInArrow(tidy(_listed_pairs), "a binary, b binary, a_root binary, b_root binary").distinct()
-        crowded = opened.where(F.col("members") > LISTED).select("digest").distinct()
+
+    def parts() -> tuple[DataFrame, DataFrame]:
+        """Buckets with their members' roots; of those of several roots the largest, a lead in it, and the number of strays."""
+        placed = buckets.select("key", "digest").join(roots, "digest")
+        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("digest", F.xxhash64("digest", "key")).alias("lead"))
+        most = sizes.groupBy("key").agg(F.max_by(F.struct("root", "lead", "n"), F.struct("n", "root")).alias("main"), F.sum("n").alias("members"))
+        return placed, checkpointed(most.select("key", F.col("main.root").alias("main"), F.col("main.lead").alias("lead"), (F.col("members") - F.col("main.n")).alias("strays")).where("strays > 0"))
+
+    placed, parted = parts()
+    for _ in range(LEADS):
+        many = parted.where(F.col("strays") > STRAYS)
+        if many.isEmpty():
+            break
+        astray = placed.join(many, "key").where("root <> main").select(F.struct("digest", "root").alias("x"), F.struct(F.col("lead").alias("digest"), F.col("main").alias("root")).alias("y"))
+        roots = joined(roots, near(astray.select(*_pair("x", "y")).distinct()))
+        placed, parted = parts()
+    sized = sequences.select("digest", "odd", F.expr("cast(length(items) div 4 as int)").alias("n"))
+    few = placed.join(parted.where(F.col("strays") <= STRAYS).select("key", "main"), "key").join(sized, "digest")
+    stray = few.where("root <> main").select(F.col("key").alias("b_key"), F.struct("digest", "root").alias("y"), F.col("n").alias("b_n"), F.col("odd").alias("b_odd"))
+    # A stray meets each member of other roots once: other strays only from the smaller digest.
+    once = (F.col("root") != F.col("y.root")) & ((F.col("root") == F.col("main")) | (F.col("digest") < F.col("y.digest")))
+    listed = few.join(stray, (F.col("key") == F.col("b_key")) & once & _alike("n", "odd", "b_n", "b_odd")).withColumn("x", F.struct("digest", "root")).select(*_pair("x", "y")).distinct()
+    many = parted.where(F.col("strays") > STRAYS)
+    if many.isEmpty():
+        roots = joined(roots, near(listed)) if not parted.isEmpty() else roots
+    else:
+        crowded = placed.join(many.select("key"), "key", "left_semi").select("digest").distinct()
         rarest = checkpointed(_rarest(sequences.join(crowded, "digest", "left_semi").select("digest", "items")))
         rare = rarest.join(roots, "digest").select("shingle", F.struct("digest", "root", "n", "place").alias("x"))
         lead = rare.groupBy("shingle").agg(F.min("x").alias("y"))
         star = rare.join(lead, "shingle").where(F.col("x.root") != F.col("y.root")).where(_may_share("x.n", "x.place", "y.n", "y.place"))
-        roots = joined(roots, near(_plausible(listed.unionAll(star.select(*_pair("x", "y")).distinct()).distinct(), sized)))
+        roots = joined(roots, near(listed.unionAll(_plausible(star.select(*_pair("x", "y")).distinct(), sized)).distinct()))
         # What is left: texts that share a rare shingle and are still apart. A pair meets at the first shingle it shares.
         rare = rarest.join(roots, "digest").select("digest", "shingle", F.struct("digest", "root", "n", "place").alias("x"))
         apart = checkpointed(rare.join(rare.groupBy("shingle").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high")).where("low < high").select("shingle"), "shingle"))
@@ -314,12 +318,16 @@ def _classes(docs: DataFrame) -> DataFrame:
     return placed.join(classes, "root").select("doc_id", "digest", "class_id", "class_size", "root").unionAll(alone)
 
 
+def _alike(n: str, odd: str, b_n: str, b_odd: str) -> Column:
+    """Lengths and parities allow a similarity of SIMILARITY."""
+    differ = sum((F.bit_count(F.col(odd)[i].bitwiseXOR(F.col(b_odd)[i])) for i in range(BITS // 64)), F.lit(0))
+    return (F.least(n, b_n) >= SIMILARITY * F.greatest(n, b_n)) & (differ <= APART * (F.col(n) + F.col(b_n)) + 1e-6)
+
+
 def _plausible(pairs: DataFrame, sized: DataFrame) -> DataFrame:
-    """Of pairs a, b those whose parities allow a similarity of SIMILARITY."""
+    """Of pairs a, b those whose lengths and parities allow a similarity of SIMILARITY."""
     side = lambda c: sized.select(F.col("digest").alias(c), F.col("odd").alias(f"{c}_odd"), F.col("n").alias(f"{c}_n"))
-    differ = sum((F.bit_count(F.col("a_odd")[i].bitwiseXOR(F.col("b_odd")[i])) for i in range(BITS // 64)), F.lit(0))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= APART * (F.col("a_n") + F.col("b_n")) + 1e-6)
-    return met.select("a", "b", "a_root", "b_root")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike("a_n", "a_odd", "b_n", "b_odd")).select("a", "b", "a_root", "b_root")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
