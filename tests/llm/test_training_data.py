@@ -543,9 +543,9 @@ def test_recall_by_band_of_similarity(spark):
 
 
 def test_pairs_of_large_buckets_meet_by_rare_shingles(spark, monkeypatch):
-    """The same classes whatever the size from which buckets are large."""
+    """The same classes whatever the number of strays from which texts meet by rare shingles."""
     rows = barely_similar(60)
-    monkeypatch.setattr(neardup, "LISTED", 2)
+    monkeypatch.setattr(neardup, "STRAYS", 2)
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(documents(spark, rows)).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
 
