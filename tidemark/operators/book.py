@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ratio
+from tidemark.operators.zones import clusters
 
 
 def price_bucket(price: Column | str, width: float) -> Column:
@@ -54,15 +55,7 @@ def within_caps(signals: DataFrame, per_day: int, burst: int, burst_s: int) -> D
     return signals.withColumn("nth", nth).join(counted, "signal_id").withColumns({"day_ok": F.col("nth") <= per_day, "burst_ok": F.col("in_burst") <= burst})
 
 
-def merged_ladder(levels: Column, tolerance: float = 0.015) -> Column:
-    """Of sorted prices, runs within tolerance of their running mean become that mean. The fold runs over one row's array."""
-    kind = "array<struct<m:double,n:bigint>>"
-
-    def step(s: Column, x: Column) -> Column:
-        last = F.try_element_at(s, F.lit(-1))
-        joins = (F.size(s) > 0) & (x <= last["m"] * (1 + tolerance))
-        grown = F.struct(((last["m"] * last["n"] + x) / (last["n"] + 1)).alias("m"), (last["n"] + 1).alias("n"))
-        fresh = F.struct(x.alias("m"), F.lit(1).cast("long").alias("n"))
-        return F.when(joins, F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(s, F.array(fresh)))
-
-    return F.transform(F.aggregate(F.array_sort(levels), F.expr(f"CAST(array() AS {kind})"), step), lambda x: x["m"])
+def merged_ladder(levels: DataFrame, key: str = "symbol", tolerance: float = 0.015) -> DataFrame:
+    """key, price, n: each key's prices (column price), runs within tolerance of their running mean become that mean. Equal prices count once."""
+    points = levels.select(key, "price").distinct().withColumn("weight", F.lit(0.0))
+    return clusters(points, [key], tolerance).select(key, F.col("mean").alias("price"), "n")

@@ -140,13 +140,18 @@ def pivot_divergence(swings: DataFrame, indicator: str) -> DataFrame:
     return apart.select("symbol", "ts", "side", F.when(regular, "regular").otherwise("hidden").alias("kind"))
 
 
-def ladder(levels: Column, start: Column, gap: float, most: int) -> Column:
-    """Of sorted levels, those beyond start that are each at least `gap` (a share) over the last taken, up to `most`.
+def ladders(levels: DataFrame, start: DataFrame, gap: float, most: int) -> DataFrame:
+    """symbol, step, price: from each symbol's start, up to `most` prices that are each at least `gap` (a share) over the last taken.
 
-    The fold runs over one row's array.
+    Each step takes the least price beyond the last one; levels: symbol, price; start: symbol, entry.
     """
-    step = lambda s, x: F.when((F.size(s) < most) & (x >= F.coalesce(F.try_element_at(s, F.lit(-1)), start) * (1 + gap)), F.concat(s, F.array(x))).otherwise(s)
-    return F.aggregate(F.array_sort(levels), F.expr("CAST(array() AS array<double>)"), step)
+    now, out = start.select("symbol", F.col("entry").alias("last")), None
+    distinct = levels.select("symbol", "price").distinct()
+    for step in range(1, most + 1):
+        now = distinct.join(now, "symbol").where(F.col("price") >= F.col("last") * (1 + gap)).groupBy("symbol").agg(F.min("price").alias("last"))
+        taken = now.select("symbol", F.lit(step).alias("step"), F.col("last").alias("price"))
+        out = taken if out is None else out.unionAll(taken)
+    return out
 
 
 def rungs(levels: DataFrame, n: int = 2) -> DataFrame:

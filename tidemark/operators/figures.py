@@ -74,16 +74,16 @@ def flips(bars: DataFrame, n: int = 150) -> DataFrame:
     return bodies_beyond(levels, recent).drop("sign")
 
 
-def head_and_shoulders(bars: DataFrame, n: int = 150) -> DataFrame:
+def head_and_shoulders(bars: DataFrame, n: int = 150, scan: int = SCAN, lean: float = NECKLINE) -> DataFrame:
     """symbol, side, left, head, right: a head beyond both near shoulders, with a level neckline of two pivots or more between.
 
-    short: pivot highs, long: pivot lows. Among the last SCAN pivots of the kind, every triple of neighbours counts.
+    short: pivot highs, long: pivot lows. Among the last `scan` pivots of the kind, every triple of neighbours counts.
     """
     p = pivots(newest(bars, n)).select("symbol", "i", "kind", "price")
     line = W.partitionBy("symbol", "kind").orderBy("i")
     ahead = lambda c, k: F.lead(c, k).over(line)
     place, size = F.row_number().over(line), F.count("*").over(W.partitionBy("symbol", "kind"))
-    t = p.withColumns({"head": ahead("price", 1), "right": ahead("price", 2), "right_i": ahead("i", 2), "near": place > size - SCAN}).where("near AND right IS NOT NULL")
+    t = p.withColumns({"head": ahead("price", 1), "right": ahead("price", 2), "right_i": ahead("i", 2), "near": place > size - scan}).where("near AND right IS NOT NULL")
     left, head, right = F.col("price"), F.col("head"), F.col("right")
     top = F.greatest(left, right)
     bottom = F.least(left, right)
@@ -93,7 +93,7 @@ def head_and_shoulders(bars: DataFrame, n: int = 150) -> DataFrame:
     neck = p.where("price > 0").select(F.col("symbol").alias("__s"), F.col("i").alias("__i"), F.col("kind").alias("__k"), F.col("price").alias("__p"))
     met = t.join(neck, (F.col("symbol") == F.col("__s")) & (F.col("kind") != F.col("__k")) & (F.col("__i") > F.col("left_i")) & (F.col("__i") < F.col("right_i")))
     shaped = met.groupBy("symbol", "kind", "left_i", "left", "head", "right").agg(F.count("*").alias("n"), F.max("__p").alias("hi"), F.min("__p").alias("lo"))
-    return shaped.where((F.col("n") >= 2) & ((F.col("hi") - F.col("lo")) / F.col("lo") <= NECKLINE)).select("symbol", F.when(F.col("kind") == "high", "short").otherwise("long").alias("side"), "left", "head", "right")
+    return shaped.where((F.col("n") >= 2) & ((F.col("hi") - F.col("lo")) / F.col("lo") <= lean)).select("symbol", F.when(F.col("kind") == "high", "short").otherwise("long").alias("side"), "left", "head", "right")
 
 
 def touches(levels: DataFrame, bars: DataFrame, n: int = 60, least_bodies: int = 2, within: int = 2) -> DataFrame:

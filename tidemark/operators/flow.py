@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ratio
+from tidemark.operators.zones import clusters
 
 
 def taker_flow(trades: DataFrame) -> DataFrame:
@@ -115,22 +116,9 @@ def venue_walls(levels: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def wall_clusters(levels: DataFrame, key: str, tolerance: float = 0.003) -> DataFrame:
-    """Levels grouped from the lowest price: a level joins while it is within tolerance of the group's first.
-
-    The fold runs over one book's array of levels, which the book's depth bounds.
-    """
-    ordered = levels.groupBy(key, "side").agg(F.array_sort(F.collect_list(F.struct("price", "qty"))).alias("l"))
-    kind = "array<struct<anchor:double,notional:double,n:bigint>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        same = (F.size(acc) > 0) & (x["price"] <= F.try_element_at(acc, F.lit(-1))["anchor"] * (1 + tolerance))
-        grown = F.struct(last["anchor"].alias("anchor"), (last["notional"] + x["price"] * x["qty"]).alias("notional"), (last["n"] + 1).alias("n"))
-        fresh = F.struct(x["price"].alias("anchor"), (x["price"] * x["qty"]).alias("notional"), F.lit(1).cast("long").alias("n"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
-
-    folded = ordered.select(key, "side", F.explode(F.aggregate("l", F.expr(f"CAST(array() AS {kind})"), step)).alias("c"))
-    return folded.select(key, "side", "c.*")
+    """Levels grouped from the lowest price: a level joins while it is within tolerance of the group's first."""
+    points = levels.select(key, "side", "price", (F.col("price") * F.col("qty")).alias("weight"))
+    return clusters(points, [key, "side"], tolerance, by="anchor").select(key, "side", "anchor", F.col("weight").alias("notional"), "n")
 
 
 def sticky_walls(history: DataFrame, least: int, digits: int = 2) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.windows import by_symbol as symbol_line
-from tidemark.operators.windows import lag, true_range
+from tidemark.operators.windows import bollinger, lag, rolling, true_range
 
 #: Seconds of a time chunk in which rows are numbered, and the weight below which what lies before a run adds nothing.
 CHUNK_S, NEGLIGIBLE = 30 * 86_400, 2.0**-60
@@ -61,8 +61,9 @@ def smoothed(rows: DataFrame, series: dict[str, Smooth], chunk_s: int = CHUNK_S,
     seeds = numbered.groupBy("symbol").agg(*[F.when(F.count_if(inside(q)) == q.n, F.avg(F.when(inside(q), F.col(q.x)))).alias(f"__seed_{c}") for c, q in series.items()])
     active, given = F.col("__in") == 1, {}
     for c, q in series.items():
-        x, first, w = F.col(q.x).cast("double"), q.offset + q.n, 1 - q.alpha
-        seed = F.col(f"__seed_{c}") if q.start is None else q.alpha * x + w * q.start
+        # Counted from `start`, if there is one, so that what lies before the first row is 0.
+        x, first, w = F.col(q.x).cast("double") - (q.start or 0.0), q.offset + q.n, 1 - q.alpha
+        seed = F.col(f"__seed_{c}") if q.start is None else q.alpha * x
         b = F.when(active & (F.col("__rn") == first), seed).when(active & (F.col("__rn") > first), q.alpha * x)
         given[f"__b_{c}"] = b * F.pow(F.lit(w), -F.col("__at"))
     weighed = numbered.join(seeds, "symbol").withColumns(given)
@@ -74,7 +75,7 @@ def smoothed(rows: DataFrame, series: dict[str, Smooth], chunk_s: int = CHUNK_S,
         w = F.lit(1 - q.alpha)
         y = F.pow(w, F.col("__at")) * F.coalesce(F.sum(f"__b_{c}").over(within), F.lit(0.0)) + F.pow(w, F.col("__at") + 1) * F.col(f"__end_{c}")
         seeded = F.lit(True) if q.start is not None else F.col(f"__seed_{c}").isNotNull()
-        out[c] = F.when(active & seeded & (F.col("__rn") >= q.offset + q.n), y)
+        out[c] = F.when(active & seeded & (F.col("__rn") >= q.offset + q.n), y + (q.start or 0.0))
     return weighed.join(carried, ["symbol", "__run"]).withColumns(out).select(*rows.columns, *series)
 
 
@@ -193,6 +194,20 @@ def keltner(bars: DataFrame, n: int = 20, width: float = 2.0, atr_n: int = 10) -
     return out.withColumns({"kc_upper": middle + reach, "kc_lower": middle - reach}).drop("__tp", "__tr", "__reach")
 
 
+def squeeze(bars: DataFrame, n: int = 20, width: float = 1.5, span: int = 5) -> DataFrame:
+    """squeeze_on (Bollinger bands inside the Keltner channel), _off (outside), _no (neither), _hist (smoothed distance from the middle; 0 before)."""
+    low, middle, high = bollinger(n)
+    top, bottom = rolling(F.max, "high", n), rolling(F.min, "low", n)
+    away = F.col("close") - ((top + bottom) / 2 + middle) / 2
+    given = _bars(bars, "high", "low", "close").withColumns({"__lo": low, "__hi": high, "__away": away, "__tp": (F.col("high") + F.col("low") + F.col("close")) / 3, "__tr": true_range()})
+    out = smoothed(given, {"__middle": Smooth("__tp", 2 / (n + 1)), "__reach": wilder_series("__tr", 10)})
+    out = smoothed(out, {"__hist": Smooth("__away", 2 / (span + 1))})
+    up, down = F.col("__middle") + width * F.col("__reach"), F.col("__middle") - width * F.col("__reach")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    on, off = flag((F.col("__lo") > down) & (F.col("__hi") < up)), flag((F.col("__lo") < down) & (F.col("__hi") > up))
+    return out.select("symbol", "ts", "high", "low", "close", on.alias("squeeze_on"), off.alias("squeeze_off"), F.greatest(1 - on - off, F.lit(0)).alias("squeeze_no"), F.coalesce("__hist", F.lit(0.0)).alias("squeeze_hist"))
+
+
 def kama(bars: DataFrame, n: int = 10, fast: int = 2, slow: int = 30) -> DataFrame:
     """Adaptive average seeded with the first close; efficiency counts 0 until n changes are there."""
     a, b = 2 / (fast + 1), 2 / (slow + 1)

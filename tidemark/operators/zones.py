@@ -1,50 +1,79 @@
-"""Accumulation zones.
+"""Clusters of prices and accumulation zones.
 
-Clustering along a price line is a fold over a symbol's pivots (a bounded list:
-bars, not trades), run per symbol in an Arrow-fed group.
+A cluster is a fold along sorted prices. Where two neighbours are further apart
+than the tolerance a new cluster begins whatever came before, so the line is cut
+there into islands, which are folded side by side.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-ZONES = "symbol string, lo double, hi double, touches long, volume double"
 
+def clusters(points: DataFrame, keys: list[str], tolerance: float, by: str = "mean") -> DataFrame:
+    """keys, lo, hi, mean, anchor, n, weight of each cluster. points: keys, price, weight (and count, if given).
 
-def _cluster(points: list[tuple[float, float]], tolerance: float) -> list[list[tuple[float, float]]]:
-    """Sorted points join a cluster while they are within tolerance of its running mean."""
-    out: list[list[tuple[float, float]]] = []
-    for p in sorted(points):
-        if out and p[0] <= sum(x[0] for x in out[-1]) / len(out[-1]) * (1 + tolerance):
-            out[-1].append(p)
-        else:
-            out.append([p])
-    return out
+    A price joins the cluster below it while it is within tolerance (a share) of its mean, or of its first price
+    (by="anchor"). Equal prices are summed before they meet.
+    """
+    count = F.sum("count") if "count" in points.columns else F.count("*")
+    merged = points.where("price IS NOT NULL").groupBy(*keys, "price").agg(F.sum("weight").alias("weight"), count.cast("long").alias("count"))
+    line = W.partitionBy(*keys).orderBy("price")
+    apart = F.coalesce(F.col("price") > F.lag("price").over(line) * (1 + tolerance), F.lit(False)).cast("int")
+    cut = merged.withColumn("__apart", apart).withColumn("island", F.sum("__apart").over(line.rowsBetween(W.unboundedPreceding, 0))).drop("__apart")
+    whole = W.partitionBy(*keys, "island")
+    # Most islands are one cluster: they span no more than the tolerance, and need no fold.
+    sized = cut.withColumns({"__lo": F.min("price").over(whole), "__hi": F.max("price").over(whole)})
+    narrow = F.col("__hi") <= F.col("__lo") * (1 + tolerance)
+    anchored = {"lo": F.min("price"), "hi": F.max("price"), "mean": F.sum(F.col("price") * F.col("count")) / F.sum("count"), "anchor": F.min("price"), "n": F.sum("count"), "weight": F.sum("weight")}
+    simple = sized.where(narrow).groupBy(*keys, "island").agg(*[v.alias(k) for k, v in anchored.items()]).drop("island")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("price", kind="stable")
+        price, count, weight = (pdf[c].to_numpy(np.float64) for c in ("price", "count", "weight"))
+        out, a, total, n = [], 0, 0.0, 0.0
+        for i in range(len(price) + 1):
+            if i == len(price) or (i > a and price[i] > (total / n if by == "mean" else price[a]) * (1 + tolerance)):
+                out.append((*[pdf[k].iat[0] for k in keys], price[a], price[i - 1], total / n, price[a], int(n), weight[a:i].sum()))
+                a, total, n = i, 0.0, 0.0
+            if i < len(price):
+                total, n = total + price[i] * count[i], n + count[i]
+        return pd.DataFrame(out, columns=[*keys, "lo", "hi", "mean", "anchor", "n", "weight"])
+
+    schema = "".join(f"`{k}` {points.schema[k].dataType.simpleString()}, " for k in keys) + "lo double, hi double, mean double, anchor double, n long, weight double"
+    folded = sized.where(~narrow).select(*keys, "island", "price", "count", "weight").groupBy(*keys, "island").applyInPandas(fold, schema)
+    return simple.unionByName(folded)
+
+
+def apart_by_rank(boxes: DataFrame, most: int, *order) -> DataFrame:
+    """Of each symbol's boxes (lo, hi, ...) up to `most` that don't overlap, taken in an order (columns, best last)."""
+    rest, taken = boxes, None
+    for _ in range(most):
+        best = rest.groupBy("symbol").agg(F.max_by(F.struct(*boxes.columns), F.struct(*order)).alias("b")).select("b.*")
+        taken = best if taken is None else taken.unionAll(best)
+        edge = best.select("symbol", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+        rest = rest.join(edge, "symbol").where("hi < __lo OR lo > __hi").select(*boxes.columns)
+    return taken
 
 
 def accumulation_zones(swings: DataFrame, tolerance: float = 0.006, width: float = 0.12, least: int = 4, most: int = 5) -> DataFrame:
     """symbol, lo, hi, touches, volume: boxes between a cluster of pivot lows and one of pivot highs above it.
 
-    At least `least` pivots touch a box of at most `width`; boxes are taken by
-    volume, narrower first of equals, and must not overlap.
+    At least `least` pivots touch a box of at most `width`; boxes are taken by volume, narrower first of equals, and
+    must not overlap. Clusters meet on log-price buckets of the width.
     """
+    import math
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        highs = _cluster([(h, v) for h, v, f in zip(pdf["high"], pdf["volume"], pdf["ph"], strict=True) if f], tolerance)
-        lows = _cluster([(p, v) for p, v, f in zip(pdf["low"], pdf["volume"], pdf["pl"], strict=True) if f], tolerance)
-        boxes = []
-        for a in lows:
-            lo = min(x[0] for x in a)
-            for b in highs:
-                hi = max(x[0] for x in b)
-                if lo > 0 and 0 < hi / lo - 1 <= width and len(a) + len(b) >= least:
-                    boxes.append((-sum(x[1] for x in a + b), hi - lo, lo, hi, len(a) + len(b)))
-        taken: list[tuple] = []
-        for x in sorted(boxes):
-            if len(taken) < most and all(x[3] < t[2] or x[2] > t[3] for t in taken):
-                taken.append(x)
-        s = pdf["symbol"].iat[0]
-        return pd.DataFrame([(s, t[2], t[3], t[4], -t[0]) for t in taken], columns=["symbol", "lo", "hi", "touches", "volume"])
-
-    return swings.where("ph OR pl").select("symbol", "ts", "high", "low", "volume", "ph", "pl").groupBy("symbol").applyInPandas(run, ZONES)
+    side = lambda flag, price: swings.where(flag).select("symbol", F.col(price).alias("price"), F.col("volume").alias("weight"))
+    low, high = clusters(side("pl", "low"), ["symbol"], tolerance), clusters(side("ph", "high"), ["symbol"], tolerance)
+    step = F.lit(math.log1p(width))
+    low = low.where("lo > 0").select("symbol", "lo", F.col("n").alias("n1"), F.col("weight").alias("v1"), F.floor(F.log("lo") / step).alias("bucket"))
+    at = F.floor(F.log("hi") / step)
+    high = high.where("hi > 0").select("symbol", "hi", F.col("n").alias("n2"), F.col("weight").alias("v2"), F.explode(F.array(at - 1, at)).alias("bucket"))
+    boxes = low.join(high, ["symbol", "bucket"]).where((F.col("hi") > F.col("lo")) & (F.col("hi") / F.col("lo") - 1 <= width) & (F.col("n1") + F.col("n2") >= least))
+    boxes = boxes.select("symbol", "lo", "hi", (F.col("n1") + F.col("n2")).alias("touches"), (F.col("v1") + F.col("v2")).alias("volume"))
+    return apart_by_rank(boxes, most, F.col("volume"), F.col("lo") - F.col("hi"), -F.col("lo"), -F.col("hi"))

@@ -158,10 +158,17 @@ def venue_walls(spark: SparkSession, folder: str) -> DataFrame:
     return L.venue_walls(_levels(spark, folder), 1).select("symbol", "side", rounded("price").alias("price"), rounded("notional", 4).alias("notional"), F.size("venues").cast("long").alias("venues"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_LEVELS}, m AS (SELECT symbol || '-' || venue AS book, side, price, sum(price * qty) AS w, count(*) AS c FROM lv GROUP BY 1, 2, 3),
+x AS (SELECT *, row_number() OVER (PARTITION BY book, side ORDER BY price) AS k FROM m),
+f AS (SELECT book, side, k, price AS anchor, w, c FROM x WHERE k = 1 UNION ALL
+  SELECT x.book, x.side, x.k, CASE WHEN x.price <= f.anchor * 1.003 THEN f.anchor ELSE x.price END, x.w, x.c FROM f JOIN x ON x.book = f.book AND x.side = f.side AND x.k = f.k + 1)
+SELECT book, side, {r('anchor')} AS anchor, {r('sum(w)', 4)} AS notional, sum(c)::BIGINT AS n FROM f GROUP BY book, side, anchor"""
+)
 def wall_clusters(spark: SparkSession, folder: str) -> DataFrame:
     books = _levels(spark, folder).withColumn("book", F.concat_ws("-", "symbol", "venue"))
-    return rounding(L.wall_clusters(books, "book"))
+    out = L.wall_clusters(books, "book")
+    return out.withColumns({"anchor": rounded("anchor"), "notional": rounded("notional", 4)})
 
 
 def _half_up(x: str, digits: int) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import rounded
 from tidemark.operators import book as D
 from tidemark.plans.aggregates import _LEVELS, _levels, rounding
-from tidemark.plans.market import _swings
+from tidemark.plans.market import _pivots, _sql, _swings
 from tidemark.plans.registry import query
 from tidemark.plans.relations import _trades
 from tidemark.plans.sql import TRADES, r
@@ -63,7 +63,16 @@ def signal_caps(spark: SparkSession, folder: str) -> DataFrame:
     return D.within_caps(s, 2, 4, 900).select("signal_id", "nth", "in_burst", "day_ok", "burst_ok")
 
 
-@query()
+@query(
+    _sql(
+        f"""SELECT symbol, {r('last(total / n ORDER BY k)')} AS price, max(n) AS n FROM f GROUP BY symbol, cluster""",
+        more=_pivots(5, 5)
+        + """, x AS (SELECT symbol, high AS v, row_number() OVER (PARTITION BY symbol ORDER BY high) AS k FROM (SELECT DISTINCT symbol, high FROM piv WHERE ph)),
+f AS (SELECT symbol, k, v AS total, 1::BIGINT AS n, 1 AS cluster FROM x WHERE k = 1
+  UNION ALL SELECT x.symbol, x.k, CASE WHEN x.v <= f.total / f.n * 1.015 THEN f.total + x.v ELSE x.v END, CASE WHEN x.v <= f.total / f.n * 1.015 THEN f.n + 1 ELSE 1 END, CASE WHEN x.v <= f.total / f.n * 1.015 THEN f.cluster ELSE f.cluster + 1 END
+  FROM f JOIN x ON x.symbol = f.symbol AND x.k = f.k + 1)""",
+        recursive=True,
+    )
+)
 def merged_ladders(spark: SparkSession, folder: str) -> DataFrame:
-    tops = _swings(spark, folder, 5, 5).where("ph").groupBy("symbol").agg(F.collect_set("high").alias("levels"))
-    return tops.select("symbol", D.merged_ladder(F.col("levels"), 0.015).alias("ladder"))
+    return rounding(D.merged_ladder(_swings(spark, folder, 5, 5).where("ph").select("symbol", F.col("high").alias("price")), "symbol", 0.015))

@@ -197,15 +197,40 @@ def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
     return rounding(S.bootstrap_interval(t, "phase", "r"))
 
 
-@query()
+# Clusters by recursion along sorted prices; boxes in order of volume; a box is taken if it overlaps none taken before.
+_ZONES = """pts AS (SELECT symbol, side, price, sum(volume) AS w, count(*) AS c, row_number() OVER (PARTITION BY symbol, side ORDER BY price) AS k FROM (SELECT symbol, 'hi' AS side, high AS price, volume FROM piv WHERE ph UNION ALL SELECT symbol, 'lo', low, volume FROM piv WHERE pl) GROUP BY symbol, side, price),
+cl AS (SELECT symbol, side, k, price, w, c, price * c AS total, c AS n, 1 AS cluster FROM pts WHERE k = 1 UNION ALL
+  SELECT p.symbol, p.side, p.k, p.price, p.w, p.c, CASE WHEN p.price <= cl.total / cl.n * 1.02 THEN cl.total ELSE 0 END + p.price * p.c, CASE WHEN p.price <= cl.total / cl.n * 1.02 THEN cl.n ELSE 0 END + p.c, CASE WHEN p.price <= cl.total / cl.n * 1.02 THEN cl.cluster ELSE cl.cluster + 1 END
+  FROM cl JOIN pts p ON p.symbol = cl.symbol AND p.side = cl.side AND p.k = cl.k + 1),
+cs AS (SELECT symbol, side, min(price) AS lo, max(price) AS hi, sum(c) AS n, sum(w) AS w FROM cl GROUP BY symbol, side, cluster),
+bx AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, hi - lo, lo, hi) AS k FROM (SELECT a.symbol, a.lo, z.hi, (a.n + z.n)::BIGINT AS touches, a.w + z.w AS volume FROM cs a JOIN cs z ON z.symbol = a.symbol AND a.side = 'lo' AND z.side = 'hi' WHERE a.lo > 0 AND z.hi > a.lo AND z.hi / a.lo - 1 <= 9.0 AND a.n + z.n >= 4)),
+tk AS (SELECT symbol, 0::BIGINT AS k, []::STRUCT(lo DOUBLE, hi DOUBLE)[] AS taken, false AS fits FROM (SELECT DISTINCT symbol FROM bx) UNION ALL
+  SELECT symbol, k, CASE WHEN fits THEN list_append(taken, {'lo': lo, 'hi': hi}) ELSE taken END, fits FROM (
+    SELECT bx.symbol, bx.k, bx.lo, bx.hi, tk.taken, len(tk.taken) < 5 AND len(list_filter(tk.taken, lambda t: t.lo <= bx.hi AND t.hi >= bx.lo)) = 0 AS fits FROM tk JOIN bx ON bx.symbol = tk.symbol AND bx.k = tk.k + 1)),
+zones AS (SELECT bx.symbol, lo, hi, touches, volume FROM bx JOIN tk ON tk.symbol = bx.symbol AND tk.k = bx.k WHERE fits)"""
+
+
+@query(_sql(f"SELECT symbol, {r('lo')} AS lo, {r('hi')} AS hi, touches, {r('volume')} AS volume FROM zones", more=_pivots(3, 1) + ", " + _ZONES, recursive=True))
 def accumulation_zones(spark: SparkSession, folder: str) -> DataFrame:
-    return rounding(Y.accumulation_zones(_swings(spark, folder, 3, 1), 0.02, 1.0))
+    return rounding(Y.accumulation_zones(_swings(spark, folder, 3, 1), 0.02, 9.0))
 
 
-@query()
+@query(
+    _sql(
+        f"""SELECT symbol, {r('lo')} AS lo, {r('hi')} AS hi, touches, {r('volume')} AS volume, {r('price')} AS price, direction, {r('entry')} AS entry, {r('stop')} AS stop, {r('target')} AS target, {r('rr')} AS rr, {r('strength')} AS strength,
+  CASE WHEN target IS NULL THEN 'no_target' WHEN rr < 2 THEN 'low_rr' END AS abstain, CASE WHEN strength >= 0.55 THEN 'A' WHEN strength >= 0.4 THEN 'B' ELSE 'C' END AS grade FROM (
+  SELECT *, CASE direction WHEN 'long' THEN (target - entry) / nullif(entry - stop, 0) ELSE (entry - target) / nullif(stop - entry, 0) END AS rr,
+    greatest(0, least(1, 0.5 * greatest(0.8, least(1.2, 1 + greatest(-0.15, least(0.15, 0.03 * (touches - 4))) + greatest(-0.1, least(0.15, 0.1 * (volume / avg(volume) OVER (PARTITION BY symbol) - 1))))))) AS strength FROM (
+    SELECT c.*, (SELECT CASE c.direction WHEN 'long' THEN min(CASE WHEN z.lo > c.entry * 1.003 THEN z.lo END) ELSE max(CASE WHEN z.hi < c.entry * 0.997 THEN z.hi END) END FROM zones z WHERE z.symbol = c.symbol) AS target FROM (
+      SELECT *, CASE direction WHEN 'long' THEN greatest(lo * 0.98, entry * 0.94) ELSE least(hi * 1.02, entry * 1.06) END AS stop FROM (
+        SELECT zones.*, price, CASE WHEN price > hi THEN 'long' ELSE 'short' END AS direction, CASE WHEN price > hi THEN hi ELSE lo END AS entry FROM zones JOIN (SELECT symbol, arg_max(close, ts_s) AS price FROM b GROUP BY symbol) USING (symbol) WHERE price > hi OR price < lo)) c))""",
+        more=_pivots(3, 1) + ", " + _ZONES,
+        recursive=True,
+    )
+)
 def zone_signals(spark: SparkSession, folder: str) -> DataFrame:
     bars = hourly(spark, folder)
-    return rounding(Z.signals(bars, Y.accumulation_zones(_swings(spark, folder, 3, 1), 0.02, 1.0)))
+    return rounding(Z.signals(bars, Y.accumulation_zones(_swings(spark, folder, 3, 1), 0.02, 9.0)))
 
 
 @query()

@@ -185,14 +185,15 @@ p AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i, kind) AS seq
         f"""SELECT symbol, side, {r('lft')} AS "left", {r('head')} AS head, {r('rgt')} AS "right" FROM (
   SELECT t.symbol, CASE t.kind WHEN 'high' THEN 'short' ELSE 'long' END AS side, t.li, t.lft, t.head, t.rgt, count(*) AS n, max(q.price) AS hi, min(q.price) AS lo FROM (
     SELECT a.symbol, a.kind, a.i AS li, c.i AS ri, a.price AS lft, h.price AS head, c.price AS rgt FROM s a JOIN s h ON h.symbol = a.symbol AND h.kind = a.kind AND h.k = a.k + 1 JOIN s c ON c.symbol = a.symbol AND c.kind = a.kind AND c.k = a.k + 2
-    WHERE a.k > a.m - 6 AND a.price > 0 AND c.price > 0 AND abs(c.price - a.price) / a.price <= 0.08
+    WHERE a.k > a.m - 60 AND a.price > 0 AND c.price > 0 AND abs(c.price - a.price) / a.price <= 0.08
       AND CASE a.kind WHEN 'high' THEN h.price > greatest(a.price, c.price) AND h.price / greatest(a.price, c.price) - 1 >= 0.03 ELSE h.price < least(a.price, c.price) AND (least(a.price, c.price) - h.price) / h.price >= 0.03 END) t
-  JOIN p q ON q.symbol = t.symbol AND q.kind <> t.kind AND q.i > t.li AND q.i < t.ri AND q.price > 0 GROUP BY ALL) WHERE n >= 2 AND hi / lo - 1 <= 0.05""",
+  JOIN p q ON q.symbol = t.symbol AND q.kind <> t.kind AND q.i > t.li AND q.i < t.ri AND q.price > 0 GROUP BY ALL) WHERE n >= 2 AND hi / lo - 1 <= 20""",
         more=_recent(700) + ", s AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY i) AS k, count(*) OVER (PARTITION BY symbol, kind) AS m FROM p)",
     )
 )
 def head_and_shoulders(spark: SparkSession, folder: str) -> DataFrame:
-    return rounding(G.head_and_shoulders(hourly(spark, folder), 700))
+    # Prices here jump, so a leaning neckline is let through; the operator's own bounds are the method's.
+    return rounding(G.head_and_shoulders(hourly(spark, folder), 700, 60, 20.0))
 
 
 _FLIPS = """c AS (SELECT symbol, arg_max(close, i) AS close FROM w GROUP BY symbol), z AS (SELECT p.*, max(seq) OVER (PARTITION BY p.symbol) AS total, close FROM p JOIN c USING (symbol)),
@@ -325,30 +326,60 @@ def zone_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return C.overlapping(zones).select("symbol", "horizon", F.col("zone_id").alias("zone_s"))
 
 
-@query()
+@query(
+    _sql(
+        f"""SELECT symbol, step, {r('v')} AS price FROM f WHERE step > 0 AND v IS NOT NULL""",
+        more=_pivots(5, 5)
+        + """, c AS (SELECT symbol, arg_max(close, ts_s) AS entry FROM b GROUP BY symbol), f AS (SELECT symbol, 0 AS step, entry AS v FROM c UNION ALL
+  SELECT symbol, step + 1, (SELECT min(high) FROM piv p WHERE p.ph AND p.symbol = f.symbol AND p.high >= f.v * 1.05) FROM f WHERE step < 5 AND v IS NOT NULL)""",
+        recursive=True,
+    )
+)
 def target_ladders(spark: SparkSession, folder: str) -> DataFrame:
-    levels = _swings(spark, folder, 5, 5).where("ph").groupBy("symbol").agg(F.collect_set("high").alias("levels"))
+    levels = _swings(spark, folder, 5, 5).where("ph").select("symbol", F.col("high").alias("price"))
     last = hourly(spark, folder).groupBy("symbol").agg(F.max_by("close", "ts").alias("entry"))
-    return levels.join(last, "symbol").select("symbol", rounded("entry").alias("entry"), C.ladder(F.col("levels"), F.col("entry"), 0.05, 5).alias("targets"))
+    return rounding(C.ladders(levels, last, 0.05, 5))
 
 
-@query()
+@query(
+    _sql(
+        f"""SELECT q.symbol, q.ts_s, on_::INTEGER AS squeeze_on, off_::INTEGER AS squeeze_off, greatest(1 - on_::INTEGER - off_::INTEGER, 0)::INTEGER AS squeeze_no, {r('coalesce(h.y, 0)')} AS squeeze_hist FROM (
+  SELECT symbol, ts_s, rn, coalesce(m - 2 * s > kl AND m + 2 * s < ku, false) AS on_, coalesce(m - 2 * s < kl AND m + 2 * s > ku, false) AS off_ FROM z) q LEFT JOIN h ON h.symbol = q.symbol AND h.rn = q.rn""",
+        more=", ".join(
+            [
+                _TR.replace("coalesce(greatest", "(high + low + close) / 3 AS tp, coalesce(greatest"), recursion("e", "t", "tp", 2 / 21, 1), recursion("a", "t", "tr", 1 / 10, 10),
+                f"""z AS (SELECT t.symbol, t.ts_s, t.rn, {full(20, 'avg(close) ' + over(20)).replace('rn >=', 't.rn >=')} AS m, {full(20, 'stddev_pop(close) ' + over(20)).replace('rn >=', 't.rn >=')} AS s, e.y + 1.5 * a.y AS ku, e.y - 1.5 * a.y AS kl,
+  close - ((({full(20, '(max(high) ' + over(20) + ' + min(low) ' + over(20) + ') / 2').replace('rn >=', 't.rn >=')}) + {full(20, 'avg(close) ' + over(20)).replace('rn >=', 't.rn >=')}) / 2) AS away
+  FROM t LEFT JOIN e ON e.symbol = t.symbol AND e.rn = t.rn LEFT JOIN a ON a.symbol = t.symbol AND a.rn = t.rn)""",
+                recursion("h", "z", "away", 2 / 6, 1, 19),
+            ]
+        ).replace("PARTITION BY symbol ORDER BY ts_s ROWS BETWEEN 19", "PARTITION BY t.symbol ORDER BY t.ts_s ROWS BETWEEN 19"),
+        recursive=True,
+    )
+)
 def squeeze_momentum(spark: SparkSession, folder: str) -> DataFrame:
-    bars = hourly(spark, folder)
-    low, middle, high = R.bollinger(20)
-    kc = K.keltner(bars, 20, 1.5).select("symbol", "ts", "kc_upper", "kc_lower")
-    both = bars.withColumns({"bb_lower": low, "bb_middle": middle, "bb_upper": high}).join(kc, ["symbol", "ts"])
-    on = (F.col("bb_lower") > F.col("kc_lower")) & (F.col("bb_upper") < F.col("kc_upper"))
-    off = (F.col("bb_lower") < F.col("kc_lower")) & (F.col("bb_upper") > F.col("kc_upper"))
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    return shown(both, squeeze_on=flag(on), squeeze_off=flag(off))
+    return shown(K.squeeze(hourly(spark, folder)), **{f"squeeze_{c}": f"squeeze_{c}" for c in ("on", "off", "no", "hist")})
 
 
-@query()
+@query(
+    _sql(
+        f"SELECT symbol, ts_s, {r('greatest(-50, least(50, sum(x - num / den) OVER (PARTITION BY symbol ORDER BY ts_s ROWS UNBOUNDED PRECEDING)))')} AS cusum FROM k JOIN s USING (symbol, rn)",
+        more=f"""s AS (SELECT symbol, ts_s, rn, taker_buy / volume AS x FROM b), k AS (SELECT symbol, rn, x AS num, 1.0::DOUBLE AS den FROM s WHERE rn = 1
+  UNION ALL SELECT s.symbol, s.rn, k.num * (1 - 2.0 / 97) + s.x, k.den * (1 - 2.0 / 97) + 1 FROM k JOIN s ON s.symbol = k.symbol AND s.rn = k.rn + 1)""",
+        recursive=True,
+    )
+)
 def taker_cusum(spark: SparkSession, folder: str) -> DataFrame:
     return shown(K.cusum(hourly(spark, folder).withColumn("flow", ratio("taker_buy", "volume")), "flow"), cusum="cusum")
 
 
-@query()
+@query(
+    _sql(
+        f"""SELECT b.symbol, b.ts_s, {r(f'100 * (q.y / lag(q.y) OVER (PARTITION BY b.symbol ORDER BY b.ts_s) - 1)')} AS trix, {r('100 * (f.y - w.y) / w.y')} AS ppo FROM b
+LEFT JOIN q ON q.symbol = b.symbol AND q.rn = b.rn LEFT JOIN f ON f.symbol = b.symbol AND f.rn = b.rn LEFT JOIN w ON w.symbol = b.symbol AND w.rn = b.rn""",
+        more=", ".join([recursion("f", "b", "close", 2 / 13, 12, 14), recursion("w", "b", "close", 2 / 27, 26), recursion("x", "b", "close", 2 / 15, 14), recursion("v", "x", "y", 2 / 15, 14, 13), recursion("q", "v", "y", 2 / 15, 14, 26)]),
+        recursive=True,
+    )
+)
 def trix_ppo(spark: SparkSession, folder: str) -> DataFrame:
     return shown(K.trix_ppo(hourly(spark, folder)), trix="trix", ppo="ppo")
