@@ -37,7 +37,9 @@ def test_same_as_sql(spark, sf, views, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, sf, name):
-    assert entry.queries()[name](spark, sf).count() >= 0
+    got = entry.queries()[name](spark, sf)
+    # Nothing to compare with here (tests/test_operators.py has the cases): rows, and a name for each column.
+    assert got.columns == list(dict.fromkeys(got.columns)) and (got.count() > 0 or name == "pennant_candidates")
 
 
 def test_entry(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ratio
+from tidemark.operators.stats import cumulated
 from tidemark.operators.zones import clusters
 
 
@@ -110,6 +111,38 @@ def depth_bins(levels: DataFrame, key: str, width: float) -> DataFrame:
     return binned.withColumn("intensity", ratio("notional", F.max("notional").over(W.partitionBy(key))))
 
 
+def _price_bucket(buckets: int, reach: float) -> Column:
+    """Of a row with price and ref: its bucket over ref +- reach, NULL outside."""
+    low = F.col("ref") * (1 - reach)
+    at = F.floor((F.col("price") - low) / (F.col("ref") * 2 * reach / buckets))
+    return F.when((F.col("ref") > 0) & F.col("price").between(low, F.col("ref") * (1 + reach)), F.least(at, F.lit(buckets - 1))).cast("int")
+
+
+def depth_voids(levels: DataFrame, prices: DataFrame, buckets: int = 20, reach: float = 0.05, share: float = 0.2, n: int = 5, scale: float = 1.0) -> DataFrame:
+    """symbol, bucket, price, depth, distance_pct: the n nearest buckets that hold no more than (scale times) the level at a share of all levels' sizes.
+
+    levels: symbol, price, qty; prices: symbol, ref. The level at the share is the one of place int(share x count), from 1, at least the first.
+    """
+    money = F.col("price") * F.col("qty")
+    near = levels.join(prices, "symbol").withColumns({"bucket": _price_bucket(buckets, reach), "money": money}).where("bucket IS NOT NULL")
+    ranked = cumulated(near, "symbol", "money")
+    at = F.greatest(F.floor(F.col("total") * share), F.lit(1)) - 1
+    cut = ranked.groupBy("symbol").agg(F.max(F.when((F.col("below") <= at) & (at < F.col("below") + F.col("n")), F.col("money"))).alias("cut"))
+    depth = near.groupBy("symbol", "bucket", "ref").agg(F.sum("money").alias("depth")).join(cut, "symbol").where(F.col("depth") <= F.col("cut") * scale)
+    centre = F.col("ref") * (1 - reach) + (F.col("bucket") + 0.5) * (F.col("ref") * 2 * reach / buckets)
+    out = depth.withColumn("price", centre).withColumn("distance_pct", F.abs(F.col("price") / F.col("ref") - 1) * 100)
+    place = F.row_number().over(W.partitionBy("symbol").orderBy(F.round("distance_pct", 9), "bucket"))
+    return out.withColumn("rank", place).where(F.col("rank") <= n).select("symbol", "rank", "bucket", "price", "depth", "distance_pct")
+
+
+def depth_matrix(history: DataFrame, prices: DataFrame, buckets: int = 20, reach: float = 0.05, samples: int = 12) -> DataFrame:
+    """symbol, sample, bucket, notional of the newest samples of a book's history (symbol, sample, price, qty)."""
+    place = F.dense_rank().over(W.partitionBy("symbol").orderBy(F.desc("sample")))
+    kept = history.select("symbol", "sample").distinct().withColumn("__n", place).where(F.col("__n") <= samples).drop("__n")
+    binned = history.where("price > 0 AND qty > 0").join(prices, "symbol").withColumn("bucket", _price_bucket(buckets, reach)).where("bucket IS NOT NULL")
+    return binned.groupBy("symbol", "sample", "bucket").agg(F.sum(F.col("price") * F.col("qty")).alias("notional")).join(kept, ["symbol", "sample"], "left_semi")
+
+
 def venue_walls(levels: DataFrame, digits: int = 4) -> DataFrame:
     """Walls of several venues merged by rounded price, with the venues that show them."""
     return levels.groupBy("symbol", "side", F.round("price", digits).alias("price")).agg(F.sum(F.col("price") * F.col("qty")).alias("notional"), F.array_sort(F.collect_set("venue")).alias("venues"))

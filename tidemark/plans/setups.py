@@ -13,13 +13,15 @@ from tidemark.operators import context as X
 from tidemark.operators import figures as G
 from tidemark.operators import flow as L
 from tidemark.operators import heatmap as H
+from tidemark.operators import prices as P
 from tidemark.operators import structure as T
-from tidemark.plans.aggregates import _PLAN, _TIERS, rounding
+from tidemark.plans.aggregates import _LEVELS, _PLAN, _TIERS, _levels, rounding
 from tidemark.plans.market import _sql, hourly
 from tidemark.plans.method import _FLIPS, _recent
 from tidemark.plans.registry import query
 from tidemark.plans.relations import _trades
 from tidemark.plans.sql import LINE, r
+from tidemark.sources.tables import table
 
 NOW = 1705276800
 
@@ -136,3 +138,67 @@ def level_candidates(spark: SparkSession, folder: str) -> DataFrame:
 def pennant_candidates(spark: SparkSession, folder: str) -> DataFrame:
     bars = hourly(spark, folder)
     return rounding(C.pennant(X.narrowing(bars), bars, C.context(bars), _bias(bars)))
+
+
+_NEAR = f"""{_LEVELS}, rf AS (SELECT symbol, round(avg(price)) AS ref FROM lv GROUP BY symbol),
+nr AS (SELECT lv.*, ref, least(floor((price - ref * 0.95) / (ref * 0.1 / 20)), 19)::INTEGER AS bucket FROM lv JOIN rf USING (symbol) WHERE price BETWEEN ref * 0.95 AND ref * 1.05)"""
+
+
+def _refs(spark: SparkSession, folder: str) -> DataFrame:
+    return _levels(spark, folder).groupBy("symbol").agg(F.round(F.avg("price")).alias("ref"))
+
+
+@query(
+    f"""WITH {_NEAR}, c AS (SELECT symbol, quantity AS cut FROM (SELECT symbol, price * qty AS quantity, row_number() OVER (PARTITION BY symbol ORDER BY price * qty) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM nr) WHERE k = greatest(floor(n * 0.995), 1)),
+d AS (SELECT symbol, bucket, ref, sum(price * qty) AS depth, ref * 0.95 + (bucket + 0.5) * (ref * 0.1 / 20) AS centre FROM nr GROUP BY 1, 2, 3)
+SELECT symbol, rank, bucket, {r('centre')} AS price, {r('depth', 2)} AS depth, {r('abs(centre / ref - 1) * 100')} AS distance_pct FROM (SELECT d.*, row_number() OVER (PARTITION BY symbol ORDER BY round(abs(centre / ref - 1) * 100, 9), bucket)::INTEGER AS rank FROM d JOIN c USING (symbol) WHERE depth <= cut * 20) WHERE rank <= 5"""
+)
+def depth_voids(spark: SparkSession, folder: str) -> DataFrame:
+    # Books here are deep, so a level's size counts twentyfold.
+    levels = _levels(spark, folder)
+    out = L.depth_voids(levels, _refs(spark, folder), share=0.995, scale=20.0)
+    return out.withColumns({"price": rounded("price"), "depth": rounded("depth", 2), "distance_pct": rounded("distance_pct")})
+
+
+@query(f"WITH {_NEAR} SELECT symbol, sample, bucket, {r('sum(price * qty)', 2)} AS notional FROM nr WHERE sample > 2 GROUP BY 1, 2, 3")
+def depth_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    return L.depth_matrix(_levels(spark, folder), _refs(spark, folder), samples=5).withColumn("notional", rounded("notional", 2))
+
+
+@query(
+    _sql(
+        f"""SELECT symbol, {r('hi')} AS high, {r('lo')} AS low, {r('CASE WHEN lo > 0 THEN 100 * (hi / lo - 1) END')} AS range_pct, {r('CASE WHEN hi > lo THEN greatest(0, least(1, (price - lo) / (hi - lo))) ELSE 0.5 END')} AS position, bars_used
+FROM (SELECT symbol, max(high) AS hi, min(low) AS lo, count(*) AS bars_used, arg_max(close, ts_s) AS price FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_s DESC) AS k FROM b) WHERE k <= 24 GROUP BY symbol)"""
+    )
+)
+def session_stats(spark: SparkSession, folder: str) -> DataFrame:
+    bars = hourly(spark, folder)
+    return rounding(P.session_stats(bars, bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("price")), 24))
+
+
+@query(
+    f"""WITH v AS (SELECT c_custkey AS key, c_acctbal AS x, c_nationkey AS n, CASE WHEN c_nationkey % 3 = 0 THEN c_acctbal END AS last, CASE WHEN c_nationkey % 4 < 2 THEN c_acctbal END AS bid, c_acctbal + c_custkey % 5 - 1 AS ask, CASE WHEN c_nationkey % 5 = 0 THEN c_acctbal - 1 END AS bb, c_acctbal + 1 AS ba FROM customer),
+m AS (SELECT *, CASE WHEN last > 0 THEN last WHEN bid > 0 AND ask >= bid THEN (bid + ask) / 2 WHEN bb > 0 AND ba >= bb THEN (bb + ba) / 2 WHEN x > 0 THEN x END AS price,
+  CASE WHEN last > 0 THEN 'ticker' WHEN bid > 0 AND ask >= bid THEN 'bbo_mid' WHEN bb > 0 AND ba >= bb THEN 'book_mid' WHEN x > 0 THEN 'mark' END AS source FROM v)
+SELECT key, {r('price')} AS price, source, CASE WHEN price IS NULL THEN 'missing_price' WHEN n % 2 = 0 AND abs(price - 4500) / 4500 * 100 > 25 THEN 'price_deviation' END AS doubt FROM m"""
+)
+def price_sources(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "customer")
+    x, n, k = F.col("c_acctbal"), F.col("c_nationkey"), F.col("c_custkey")
+    price, source = P.resolved(F.when(n % 3 == 0, x), F.when(n % 4 < 2, x), x + k % 5 - 1, F.when(n % 5 == 0, x - 1), x + 1, x)
+    out = c.select(k.alias("key"), price.alias("price"), source.alias("source"), n.alias("n"))
+    refs = F.when(F.col("n") % 2 == 0, F.array(F.lit(4000.0), F.lit(5000.0), F.lit(-1.0))).otherwise(F.expr("CAST(array() AS array<double>)"))
+    return out.select("key", rounded("price").alias("price"), "source", P.implausible(F.col("price"), refs).alias("doubt"))
+
+
+@query(
+    f"""WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS trade_id, l_linestatus = 'O' AS up, l_extendedprice / l_quantity AS p, l_discount AS d, l_tax AS t, l_quantity::INTEGER AS q FROM lineitem),
+w AS (SELECT *, CASE WHEN up THEN 1 ELSE -1 END AS s, CASE WHEN up THEN p * 1.002 ELSE p * 0.998 END AS base FROM v)
+SELECT trade_id, {r('CASE WHEN q % 3 = 0 THEN 0.4 * s * (p * (1 + s * 0.03) - base) / base * 100 + 0.6 * s * (p * (1 + d - t) - base) / base * 100 ELSE s * (p * (1 + d - t) - base) / base * 100 END')} AS pct, CASE WHEN q % 3 = 0 THEN 'partial' ELSE 'full' END AS basis FROM w"""
+)
+def partial_results(spark: SparkSession, folder: str) -> DataFrame:
+    l = table(spark, folder, "lineitem")  # noqa: E741
+    p, up = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_linestatus") == "O"
+    hit = F.col("l_quantity").cast("int") % 3 == 0
+    pct, basis = P.result_pct(F.when(up, "long").otherwise("short"), p * 0.998, p * 1.002, p * (1 + F.col("l_discount") - F.col("l_tax")), p * F.when(up, 1.03).otherwise(0.97), hit, F.lit(40.0))
+    return l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"), rounded(pct).alias("pct"), basis.alias("basis"))

@@ -63,49 +63,135 @@ def last_bars(updates: DataFrame) -> DataFrame:
 
 
 PHASES = {"registered": ("armed", "closed"), "armed": ("triggered", "invalidated", "closed"), "triggered": ("tp1_managed", "invalidated", "closed"), "tp1_managed": ("closed",), "invalidated": ("closed",), "closed": ()}
-TRADE_STATE = "phase string, stop double, best double"
+TRADE_STATE = "phase string, stop double, best double, opened_ms long, seen_ms long"
 TRANSITIONS = "trade_id long, event_ms long, phase string, reason string, stop double"
+HOUR_MS = 3_600_000
+# Hours by direction (long, short) to an orphan's end, a stall (no target, less than STALL in favour), a timeout;
+# the gain from which a stop goes to entry early, and from which it trails.
+ORPHAN, STALLED, TIMEOUT = (48, 12), (120, 8), (504, 48)
+STALL, EARLY, TRAIL = 0.01, 0.02, 0.025
+
+
+def _step(r, phase: str, stop: float, best: float | None, opened: int) -> tuple[str, float, float | None, int, list[tuple[str, str]]]:
+    """One observation: time rules first, then the stop, then the targets; a stop only ever moves nearer."""
+    short = r.direction != "long"
+    sign, age = (-1.0 if short else 1.0), (r.event_ms - opened) / HOUR_MS
+    adverse, favour = (r.high, r.low) if short else (r.low, r.high)
+    done = lambda why: ("closed", stop, best, opened, [("closed", why)])
+    if phase in ("registered", "armed"):
+        steps = [("armed", "seen")] if phase == "registered" else []
+        if not steps and age > ORPHAN[short]:
+            return done("orphan")
+        if r.low <= r.entry <= r.high and not steps:
+            return "triggered", stop, r.entry, r.event_ms, [("triggered", "entry")]
+        if r.low <= r.entry <= r.high:
+            return "triggered", stop, r.entry, r.event_ms, [*steps, ("triggered", "entry")]
+        return "armed", stop, best, opened, steps
+    gain = sign * (best / r.entry - 1)
+    if phase == "triggered" and age > STALLED[short] and gain < STALL:
+        return done("stall")
+    if age > TIMEOUT[short]:
+        return done("timeout")
+    if sign * (adverse - stop) <= 0:
+        return done("stop" if phase == "triggered" and sign * (stop - r.entry) < 0 else "trail")
+    if sign * (favour - r.tp2) >= 0:
+        return done("tp2")
+    best = favour if sign * (favour - best) > 0 else best
+    gain = sign * (best / r.entry - 1)
+    if phase == "triggered" and sign * (favour - r.tp1) >= 0:
+        return "tp1_managed", r.entry if sign * (r.entry - stop) > 0 else stop, best, opened, [("tp1_managed", "tp1")]
+    if gain >= EARLY and sign * (r.entry - stop) > 0:
+        stop = r.entry
+    if phase == "tp1_managed" and gain > TRAIL:
+        trail = r.entry + 0.5 * (best - r.entry)
+        stop = trail if sign * (trail - stop) > 0 else stop
+    return phase, stop, best, opened, []
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Stop before targets in one observation; after tp1 the stop is at entry and then trails, only ever nearer."""
-    phase, stop, best = state.get if state.exists else ("registered", None, None)
+    if state.hasTimedOut:
+        phase, stop, _, _, seen = state.get
+        state.remove()
+        yield pd.DataFrame([(key[0], seen, "closed", "unseen", stop)], columns=["trade_id", "event_ms", "phase", "reason", "stop"])
+        return
+    phase, stop, best, opened, seen = state.get if state.exists else ("registered", None, None, None, None)
     out = []
     for pdf in batches:
         for r in pdf.sort_values("event_ms", kind="stable").itertuples(index=False):
-            sign = 1.0 if r.direction == "long" else -1.0
-            stop = r.stop if stop is None else stop
-            adverse, favour = (r.low, r.high) if sign > 0 else (r.high, r.low)
-            steps: list[tuple[str, str]] = []
-            if phase == "registered":
-                steps.append(("armed", "seen"))
-                phase = "armed"
-            if phase == "armed" and r.low <= r.entry <= r.high:
-                steps.append(("triggered", "entry"))
-                phase, best = "triggered", r.entry
-            elif phase in ("triggered", "tp1_managed"):
-                if sign * (adverse - stop) <= 0:
-                    steps.append(("closed", "stop" if phase == "triggered" else "trail"))
-                    phase = "closed"
-                elif sign * (favour - r.tp2) >= 0:
-                    steps.append(("closed", "tp2"))
-                    phase = "closed"
-                else:
-                    best = favour if best is None or sign * (favour - best) > 0 else best
-                    if phase == "triggered" and sign * (favour - r.tp1) >= 0:
-                        steps.append(("tp1_managed", "tp1"))
-                        phase, stop = "tp1_managed", r.entry
-                    elif phase == "tp1_managed" and sign * (best / r.entry - 1) > 0.025:
-                        trail = r.entry + 0.5 * (best - r.entry)
-                        stop = trail if sign * (trail - stop) > 0 else stop
+            if phase == "closed" or seen is not None and r.event_ms < seen:
+                continue  # later than what it would change
+            stop, opened, seen = (r.stop if stop is None else stop), (r.event_ms if opened is None else opened), r.event_ms
+            phase, stop, best, opened, steps = _step(r, phase, stop, best, opened)
             out += [(key[0], r.event_ms, p, why, stop) for p, why in steps]
-    state.update((phase, stop, best))
+    if phase == "closed":
+        state.remove()
+    else:
+        state.update((phase, stop, best, opened, seen))
+        state.setTimeoutTimestamp(int(max(seen + UNSEEN_MS, state.getCurrentWatermarkMs() + 1)))
     yield pd.DataFrame(out, columns=["trade_id", "event_ms", "phase", "reason", "stop"])
 
 
-def trade_lifecycle(observations: DataFrame) -> DataFrame:
-    """Transitions of each trade. observations: trade_id, event_ms, direction, entry, stop, tp1, tp2, high, low."""
-    return observations.groupBy("trade_id").applyInPandasWithState(_advance, TRANSITIONS, TRADE_STATE, "append", GroupStateTimeout.NoTimeout)
+#: A trade that no observation reaches for so long is closed, so its state does not stay.
+UNSEEN_MS = 30 * 24 * HOUR_MS
+
+
+def trade_lifecycle(observations: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Transitions of each trade. observations: trade_id, event_ms, direction, entry, stop, tp1, tp2, high, low.
+
+    The state of a trade goes when it is closed, or when the watermark is UNSEEN_MS past its last observation. An
+    observation of a trade closed before opens it anew, so the source must not repeat what is older than the delay.
+    """
+    timed = observations.withColumn("__ts", F.timestamp_millis("event_ms")).withWatermark("__ts", delay)
+    return timed.groupBy("trade_id").applyInPandasWithState(_advance, TRANSITIONS, TRADE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+ZONE_STATE = "status string, reactions int, lo double, hi double, seen_ms long"
+ZONE_CHANGES = "symbol string, zone_id string, event_ms long, status string, role string, lo double, hi double"
+
+
+def _zone(expire_ms: int, confirm: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["symbol", "zone_id", "event_ms", "status", "role", "lo", "hi"]
+        if state.hasTimedOut:
+            status, _, lo, hi, seen = state.get
+            state.remove()
+            yield pd.DataFrame([(*key, seen, "expired", None, lo, hi)], columns=columns)
+            return
+        status, reactions, lo, hi, seen = state.get if state.exists else (None, 0, None, None, None)
+        out = []
+        for pdf in batches:
+            for r in pdf.sort_values("event_ms", kind="stable").itertuples(index=False):
+                if seen is not None and r.event_ms < seen:
+                    continue
+                now, lo, hi, seen = status or "forming", r.lo, r.hi, r.event_ms
+                role = "support" if r.side == "long" else "resistance"
+                if now in ("forming", "confirmed"):
+                    broken = r.close < r.lo if r.side == "long" else r.close > r.hi
+                    reactions += int(r.reacted)
+                    if broken:
+                        now, role = "broken", "resistance" if r.side == "long" else "support"
+                    elif r.worked:
+                        now = "worked"
+                    elif reactions >= confirm:
+                        now = "confirmed"
+                if now != status:
+                    out.append((*key, r.event_ms, now, role, lo, hi))
+                status = now
+        state.update((status, reactions, lo, hi, seen))
+        state.setTimeoutTimestamp(int(max(seen + expire_ms, state.getCurrentWatermarkMs() + 1)))
+        yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+def zone_lifecycle(sightings: DataFrame, bar_ms: int = HOUR_MS, bars: int = 8, confirm: int = 1, delay: str = "1 hour") -> DataFrame:
+    """Changes of status of each zone: forming, confirmed (a reaction), worked, broken (its role turns), expired (unseen for `bars` bars).
+
+    sightings: symbol, zone_id, event_ms, side, lo, hi, close, reacted, worked. Only changes are emitted; an expired
+    zone's state goes.
+    """
+    timed = sightings.withColumn("__ts", F.timestamp_millis("event_ms")).withWatermark("__ts", delay)
+    return timed.groupBy("symbol", "zone_id").applyInPandasWithState(_zone(bars * bar_ms, confirm), ZONE_CHANGES, ZONE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def write_each(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
