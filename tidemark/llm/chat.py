@@ -1,8 +1,8 @@
 """Chat formatting with collapse of cumulative snapshots, in DataFrame functions.
 
 A chat log often stores a conversation again each time it grows. The turns of
-each conversation are put in order and a rolling hash (md5 over the hash so far
-and the turn) is kept for every prefix. A conversation whose last hash is the
+each conversation are put in order, and a rolling hash (128 bits over the turns so
+far, each with its place) is kept for every prefix. A conversation whose last hash is the
 hash of a proper prefix of another is a snapshot of it: an anti-join removes it.
 Of conversations with all turns equal the smallest id stays. What stays is
 rendered as one text.
@@ -17,6 +17,7 @@ row, so its turns meet in one task; only hashes, never texts, are joined.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -25,12 +26,23 @@ def _part(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), c))
 
 
-def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id, turns (array in order), hashes (array: of the first 1, 2, ... turns)."""
+def conversations(turns: DataFrame) -> DataFrame:
+    """conv_id, turns (array in order): one row each."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), "role", "text")
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.array_distinct(F.collect_list(turn)), _before).alias("turns"))
-    step = lambda s, t: F.concat(s, F.array(F.md5(F.concat_ws("|", F.coalesce(F.element_at(s, F.size(s)), F.lit("")), _part(t["role"]), _part(t["text"])).cast("binary"))))
-    return grouped.withColumn("hashes", F.slice(F.aggregate("turns", F.array(F.lit("").cast("string")), step), 2, F.size("turns")))
+    return turns.groupBy("conv_id").agg(F.array_sort(F.array_distinct(F.collect_list(turn)), _before).alias("turns"))
+
+
+def prefix_hashes(convs: DataFrame) -> DataFrame:
+    """conv_id, n, i, a, b: for each of a conversation's n turns the hashes (128 bits) of its first i.
+
+    Each turn is hashed with its place, and a running exclusive or takes up one turn after the other, so a
+    conversation costs its length.
+    """
+    placed = convs.select("conv_id", F.size("turns").alias("n"), F.posexplode("turns").alias("i", "t"))
+    of = lambda seed: F.xxhash64(F.lit(seed), "i", _part(F.col("t.role")), _part(F.col("t.text")))
+    rows = placed.select("conv_id", "n", (F.col("i") + 1).alias("i"), of("a").alias("a"), of("b").alias("b"))
+    w = W.partitionBy("conv_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    return rows.select("conv_id", "n", "i", F.bit_xor("a").over(w).alias("a"), F.bit_xor("b").over(w).alias("b"))
 
 
 def _before(a: Column, b: Column) -> Column:
@@ -44,13 +56,13 @@ def _before(a: Column, b: Column) -> Column:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """The conversations that are neither a proper prefix nor a later copy of another."""
-    convs = prefix_hashes(turns)
-    last = F.element_at("hashes", -1)
-    whole = convs.select("conv_id", last.alias("hash"))
+    convs = conversations(turns)
+    hashes = prefix_hashes(convs)
+    key = ["i", "a", "b"]
     # Partial aggregation leaves one row per hash and map task, however many copies there are.
-    prefixes = convs.where(F.size("hashes") > 1).select(F.explode(F.expr("slice(hashes, 1, size(hashes) - 1)")).alias("hash")).groupBy("hash").agg(F.lit(1).alias("one"))
-    first = whole.groupBy("hash").agg(F.min(F.struct(F.col("conv_id").isNull().alias("last"), "conv_id")).alias("first"))
-    kept = first.join(prefixes.select("hash"), "hash", "left_anti").select(F.col("first.conv_id").alias("__conv"), F.lit(True).alias("__keep"))
+    prefixes = hashes.where("i < n").groupBy(*key).agg(F.lit(1).alias("one"))
+    first = hashes.where("i = n").groupBy(*key).agg(F.min(F.struct(F.col("conv_id").isNull().alias("last"), "conv_id")).alias("first"))
+    kept = first.join(prefixes.select(*key), key, "left_anti").select(F.col("first.conv_id").alias("__conv"), F.lit(True).alias("__keep"))
     return convs.join(kept, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv", "__keep")
 
 
