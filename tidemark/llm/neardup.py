@@ -26,7 +26,11 @@ with a lead of the largest component again (up to LEADS times). Then
   texts that hold a shingle these are the rare ones, and what many unlike texts
   have in common (a licence, a menu) comes too late to bring them together. Texts
   that share a rare shingle are compared with one of them first, then those still
-  in different components with one another.
+  in different components with one another. A bounded sample of the texts says
+  first what is common (SAMPLE; any order is right, only the work depends on it);
+  components none of whose texts shares a rare shingle with another's are done.
+  Texts of which more than CROWD still share a rare shingle in different
+  components are done again by exact counts over all of them.
 
 Pairs whose lengths, places of the shared shingle, or parities show that they
 can't be similar are left out. Parities of the number of shingles in each of BITS
@@ -63,6 +67,8 @@ BAND = 0.25
 BITS = 1024
 #: Up to so many texts outside a bucket's largest component are compared with all its members, after up to so many more leads.
 STRAYS, LEADS = 64, 2
+#: Texts whose first SAMPLE_ITEMS shingles say what is common, and from how many of them on; texts that share a rare shingle beyond which exact counts decide.
+SAMPLE, SAMPLE_ITEMS, COMMON_FROM, CROWD = 2048, 4096, 3, 2048
 #: The share of n1 + n2 shingles that two similar texts have in common at least (twice), and may differ in at most.
 COMMON, APART = SIMILARITY / (1 + SIMILARITY), (1 - SIMILARITY) / (1 + SIMILARITY)
 
@@ -173,6 +179,61 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a_root", "b_root"]).append_column("near", pa.array(ok, pa.bool_()))
 
 
+def _first_places(n: int) -> int:
+    """How many of the first of n shingles, in any common order, a similar text must share one of."""
+    return n - int(np.ceil(n * SIMILARITY - 1e-9)) + 1
+
+
+def _sampled_order(sequences: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample hold, ascending, and how many do."""
+    sample = sequences.orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE).select(F.substring("items", 1, 4 * SAMPLE_ITEMS).alias("items")).toArrow().column(0)
+    each = [np.unique(np.frombuffer(x.as_py(), np.uint32)) for x in sample]
+    value, n = np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    return value[n >= COMMON_FROM], n[n >= COMMON_FROM].astype(np.uint16)
+
+
+def _first_shingles(items: np.ndarray, common: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, int]:
+    """A text's first shingles in ascending order of what the sample says, then of a hash; and how many different ones it has."""
+    items = np.unique(items)
+    rank = np.zeros(len(items), np.uint16)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, items), len(common) - 1)
+        rank = np.where(common[at] == items, texts[at], rank)
+    return items[np.lexsort((mix(items.astype(np.uint64)), rank))[: _first_places(len(items))]].astype(np.int64), len(items)
+
+
+def _root_prefixes(common: np.ndarray, texts: np.ndarray):
+    """The first shingles of each component's texts, each once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[bytes, list[np.ndarray]] = {}
+            for root, x in zip(batch.column("root").to_pylist(), batch.column("items"), strict=True):
+                held.setdefault(root, []).append(_first_shingles(np.frombuffer(x.as_py(), np.uint32), common, texts)[0])
+            for root, lists in held.items():
+                shingles = np.unique(np.concatenate(lists))
+                yield pa.RecordBatch.from_arrays([pa.array([root] * len(shingles), pa.binary()), pa.array(shingles)], names=["root", "shingle"])
+
+    return run
+
+
+def _prefixes(common: np.ndarray, texts: np.ndarray):
+    """Each text's first shingles with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = [_first_shingles(np.frombuffer(x.as_py(), np.uint32), common, texts) for x in batch.column("items")]
+            if firsts:
+                lengths = np.array([len(f) for f, _ in firsts])
+                owner = np.repeat(np.arange(len(firsts)), lengths)
+                sizes = np.repeat(np.array([n for _, n in firsts]), lengths)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                arrays = [batch.column("digest").take(pa.array(owner)), pa.array(sizes, pa.int32()), pa.array(place, pa.int32()), pa.array(np.concatenate([f for f, _ in firsts]))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["digest", "n", "place", "shingle"])
+
+    return run
+
+
 def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles and how many texts of the batch hold each."""
     for batch in batches:
@@ -298,20 +359,35 @@ def _classes(docs: DataFrame) -> DataFrame:
         roots = joined(roots, near(listed)) if not parted.isEmpty() else roots
     else:
         crowded = placed.join(many.select("key"), "key", "left_semi").select("digest").distinct()
-        rarest = checkpointed(_rarest(sequences.join(crowded, "digest", "left_semi").select("digest", "items")))
-        rare = rarest.join(roots, "digest").select("shingle", F.struct("digest", "root", "n", "place").alias("x"))
-        lead = rare.groupBy("shingle").agg(F.min("x").alias("y"))
-        star = rare.join(lead, "shingle").where(F.col("x.root") != F.col("y.root")).where(_may_share("x.n", "x.place", "y.n", "y.place"))
-        roots = joined(roots, near(listed.unionAll(_plausible(star.select(*_pair("x", "y")).distinct(), sized)).distinct()))
-        # What is left: texts that share a rare shingle and are still apart. A pair meets at the first shingle it shares.
-        rare = rarest.join(roots, "digest").select("digest", "shingle", F.struct("digest", "root", "n", "place").alias("x"))
-        apart = checkpointed(rare.join(rare.groupBy("shingle").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high")).where("low < high").select("shingle"), "shingle"))
-        own = rarest.join(apart.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("place", "shingle")).alias("own"))
-        earlier = F.transform(F.filter("own", lambda e: e["place"] < F.col("x.place")), lambda e: e["shingle"])
-        left = apart.join(own, "digest").select("shingle", "x", earlier.alias("x_before"))
-        right = left.select("shingle", F.col("x").alias("y"), F.col("x_before").alias("y_before"))
-        met = left.join(right, "shingle").where((F.col("x.root") < F.col("y.root")) & _may_share("x.n", "x.place", "y.n", "y.place") & ~F.arrays_overlap("x_before", "y_before"))
-        roots = joined(roots, near(_plausible(met.select(*_pair("x", "y")), sized)))
+        order = _sampled_order(sequences.join(crowded, "digest", "left_semi").select("digest", "items"))
+        held = sequences.join(crowded, "digest", "left_semi").join(roots, "digest").select("root", "items").mapInArrow(tidy(_root_prefixes(*order)), "root binary, shingle long").distinct()
+        open_shingles = held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+        open_roots = held.join(open_shingles, "shingle").select("root").distinct()
+        crowded = checkpointed(roots.join(open_roots, "root", "left_semi").join(crowded, "digest", "left_semi").select("digest"))
+        for exact in (False, True):
+            asked = sequences.join(crowded, "digest", "left_semi").select("digest", "items")
+            # The sample doesn't know which shingles one text only has, so these take places too; exact counts leave them out.
+            rarest = _rarest(asked) if exact else asked.mapInArrow(tidy(_prefixes(*order)), "digest binary, n int, place int, shingle long")
+            rarest = checkpointed(rarest)
+            rare = rarest.join(roots, "digest").select("shingle", F.struct("digest", "root", "n", "place").alias("x"))
+            lead = rare.groupBy("shingle").agg(F.min("x").alias("y"), F.max("x.root").alias("high")).where("y.root < high").drop("high")
+            star = rare.join(lead, "shingle").where(F.col("x.root") != F.col("y.root")).where(_may_share("x.n", "x.place", "y.n", "y.place"))
+            pairs = _plausible(star.select(*_pair("x", "y")).distinct(), sized)
+            roots = joined(roots, near(pairs if exact else listed.unionAll(pairs).distinct()))
+            # What is left: texts that share a rare shingle and are still apart. A pair meets at the first shingle it shares.
+            rare = rarest.join(roots, "digest").select("digest", "shingle", F.struct("digest", "root", "n", "place").alias("x"))
+            groups = rare.groupBy("shingle").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high"), F.count("*").alias("texts")).where("low < high")
+            apart = checkpointed(rare.join(groups.select("shingle", "texts"), "shingle"))
+            crowd = apart.where(F.col("texts") > (2**62 if exact else CROWD))
+            own = rarest.join(apart.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("place", "shingle")).alias("own"))
+            earlier = F.transform(F.filter("own", lambda e: e["place"] < F.col("x.place")), lambda e: e["shingle"])
+            left = apart.where(F.col("texts") <= (2**62 if exact else CROWD)).join(own, "digest").select("shingle", "x", earlier.alias("x_before"))
+            right = left.select("shingle", F.col("x").alias("y"), F.col("x_before").alias("y_before"))
+            met = left.join(right, "shingle").where((F.col("x.root") < F.col("y.root")) & _may_share("x.n", "x.place", "y.n", "y.place") & ~F.arrays_overlap("x_before", "y_before"))
+            roots = joined(roots, near(_plausible(met.select(*_pair("x", "y")), sized)))
+            if exact or crowd.isEmpty():
+                break
+            crowded = checkpointed(crowd.select("digest").distinct())
     placed = worded.select("doc_id", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     alone = sketched.where("keys IS NULL").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("binary").alias("root"))
