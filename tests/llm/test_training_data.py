@@ -542,10 +542,12 @@ def test_recall_by_band_of_similarity(spark):
     assert set(bands) == set(range(40, 50)) and min(sum(x) / len(x) for x in bands.values()) >= 0.99, {k: (len(x), sum(x)) for k, x in bands.items()}
 
 
-def test_pairs_of_large_buckets_meet_by_rare_shingles(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [3, 2048])
+def test_pairs_of_large_buckets_meet_by_rare_shingles(spark, monkeypatch, crowd):
     """The same classes whatever the number of strays from which texts meet by rare shingles."""
     rows = barely_similar(60)
     monkeypatch.setattr(neardup, "STRAYS", 2)
+    monkeypatch.setattr(neardup, "CROWD", crowd)
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(documents(spark, rows)).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
 
