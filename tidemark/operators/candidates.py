@@ -45,7 +45,7 @@ def allowed(candidates: DataFrame, bars: DataFrame) -> DataFrame:
     keyed = candidates.select("symbol", F.col("entry").alias("level"), F.col("direction").alias("side")).distinct()
     judged = worked(G.saws(G.touches(keyed, bars), bars), bars)
     good = judged.where("NOT (touch <=> 'proboy') AND NOT saw AND NOT worked").select("symbol", F.col("level").alias("entry"), F.col("side").alias("direction"))
-    return candidates.join(good, ["symbol", "entry", "direction"], "left_semi")
+    return candidates.join(good, ["symbol", "entry", "direction"], "left_semi").select(*SHAPE)
 
 
 def _as(df: DataFrame, name: str) -> DataFrame:

@@ -20,10 +20,10 @@ def hourly(spark: SparkSession, folder: str) -> DataFrame:
     return B.bars(B.trades_from_events(table(spark, folder, "events").select("event_type", "event_id", "ts", "value")), "1 hour")
 
 
-def shown(df: DataFrame, digits: int = 6, **columns: Column | str) -> DataFrame:
-    """symbol, ts_s and the columns given, doubles rounded."""
+def shown(df: DataFrame, **columns: Column | str) -> DataFrame:
+    """symbol, ts_s and the columns given, doubles rounded to six digits."""
     out = df.select("symbol", F.unix_seconds("ts").alias("ts_s"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
-    return out.select([rounded(n, digits).alias(n) if t == "double" else F.col(n) for n, t in out.dtypes])
+    return out.select([rounded(n).alias(n) if t == "double" else F.col(n) for n, t in out.dtypes])
 
 
 def _sql(body: str, seconds: int = HOUR, more: str = "", recursive: bool = False) -> str:
@@ -93,20 +93,20 @@ _VWAP = full(20, f"(sum((high + low + close) / 3 * volume) {over(96)}) / nullif(
 _FILLED = f"SELECT *, last_value(raw IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_s ROWS UNBOUNDED PRECEDING) AS vwap FROM (SELECT *, {_VWAP} AS raw FROM b)"
 
 
-# Nine digits: means of 96 prices with two decimals lie on the border of six too often.
-@query(_sql(f"SELECT symbol, ts_s, {r('vwap', 9)} AS vwap FROM ({_FILLED})"))
+# A billionth more on both sides: means of prices with two decimals often lie on the very border of rounding.
+@query(_sql(f"SELECT symbol, ts_s, {r('vwap + 1e-9')} AS vwap FROM ({_FILLED})"))
 def rolling_vwap(spark: SparkSession, folder: str) -> DataFrame:
     df = hourly(spark, folder).withColumn("vwap", R.adaptive_vwap())
-    return shown(df, 9, vwap=R.filled("vwap"))
+    return shown(df, vwap=R.filled("vwap") + 1e-9)
 
 
 @query(
-    _sql(f"""SELECT symbol, ts_s, {r('vwap', 9)} AS vwap, {r('vwap + sd', 9)} AS upper1, {r('vwap - sd', 9)} AS lower1, {r('(close - vwap) / vwap * 100', 9)} AS deviation_pct FROM (
+    _sql(f"""SELECT symbol, ts_s, {r('vwap + 1e-9')} AS vwap, {r('vwap + sd')} AS upper1, {r('vwap - sd')} AS lower1, {r('(close - vwap) / vwap * 100')} AS deviation_pct FROM (
   SELECT *, sqrt(avg(power(close - vwap, 2)) OVER (PARTITION BY symbol, ts_s // 86400 ORDER BY ts_s)) AS sd FROM ({_FILLED}))""")
 )
 def vwap_session_bands(spark: SparkSession, folder: str) -> DataFrame:
     df = hourly(spark, folder).withColumn("vwap", R.adaptive_vwap()).withColumn("vwap", R.filled("vwap")).withColumn("sd", R.session_deviation("vwap"))
-    return shown(df, 9, vwap="vwap", upper1=F.col("vwap") + F.col("sd"), lower1=F.col("vwap") - F.col("sd"), deviation_pct=(F.col("close") - F.col("vwap")) / F.col("vwap") * 100)
+    return shown(df, vwap=F.col("vwap") + 1e-9, upper1=F.col("vwap") + F.col("sd"), lower1=F.col("vwap") - F.col("sd"), deviation_pct=(F.col("close") - F.col("vwap")) / F.col("vwap") * 100)
 
 
 @query(_sql("SELECT symbol, ts_s, sum(2 * taker_buy - volume) OVER (PARTITION BY symbol, ts_s // 86400 ORDER BY ts_s) AS cvd FROM b"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -135,13 +135,18 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 UNSEEN_MS = 30 * 24 * HOUR_MS
 
 
+def _in_time() -> Column:
+    """The time of an event, a millisecond on: Spark drops what lies at the watermark itself, and that is still in time."""
+    return F.timestamp_millis(F.col("event_ms") + 1)
+
+
 def trade_lifecycle(observations: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Transitions of each trade. observations: trade_id, event_ms, direction, entry, stop, tp1, tp2, high, low.
 
     The state of a trade goes when it is closed, or when the watermark is UNSEEN_MS past its last observation. An
     observation of a trade closed before opens it anew, so the source must not repeat what is older than the delay.
     """
-    timed = observations.withColumn("__ts", F.timestamp_millis("event_ms")).withWatermark("__ts", delay)
+    timed = observations.withColumn("__ts", _in_time()).withWatermark("__ts", delay)
     return timed.groupBy("trade_id").applyInPandasWithState(_advance, TRANSITIONS, TRADE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -190,7 +195,7 @@ def zone_lifecycle(sightings: DataFrame, bar_ms: int = HOUR_MS, bars: int = 8, c
     sightings: symbol, zone_id, event_ms, side, lo, hi, close, reacted, worked. Only changes are emitted; an expired
     zone's state goes.
     """
-    timed = sightings.withColumn("__ts", F.timestamp_millis("event_ms")).withWatermark("__ts", delay)
+    timed = sightings.withColumn("__ts", _in_time()).withWatermark("__ts", delay)
     return timed.groupBy("symbol", "zone_id").applyInPandasWithState(_zone(bars * bar_ms, confirm), ZONE_CHANGES, ZONE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
