@@ -194,15 +194,6 @@ def test_smoothing_over_many_runs_and_chunks(spark):
         assert [r[name] for r in got] == [None if v is None else pytest.approx(v, rel=1e-9) for v in want]
 
 
-def test_standard_columns_are_those_of_their_operators(spark):
-    rng = np.random.default_rng(13)
-    b = bars(spark, (100 + rng.normal(size=260).cumsum()).tolist())
-    got = K.standard(b)
-    for df, names in ((K.ema(b, 200), ["ema200"]), (K.rsi(b), ["rsi14"]), (K.adx(b).withColumnRenamed("adx", "adx14"), ["plus_di", "minus_di", "adx14"]), (K.atr(b), ["atr14"]), (K.macd(b), ["macd", "macd_signal", "macd_hist"]), (K.keltner(b), ["kc_upper", "kc_lower"]), (K.heikin_ashi(b), ["ha_open", "ha_high", "ha_low"])):
-        for name in names:
-            assert column(got, name) == [None if v is None else pytest.approx(v, abs=1e-9) for v in column(df, name)], name
-
-
 def test_supertrend_starts_up_at_the_first_bar(spark):
     got = column(K.supertrend(bars(spark, [10.0, 9.0, 8.0, 20.0]), 10), "trend")
     assert got == [1.0, -1.0, -1.0, 1.0]

@@ -212,34 +212,6 @@ def squeeze(bars: DataFrame, n: int = 20, width: float = 1.5, span: int = 5) ->
     return out.select("symbol", "ts", "high", "low", "close", on.alias("squeeze_on"), off.alias("squeeze_off"), F.greatest(1 - on - off, F.lit(0)).alias("squeeze_no"), F.coalesce("__hist", F.lit(0.0)).alias("squeeze_hist"))
 
 
-def standard(bars: DataFrame) -> DataFrame:
-    """bars with the averages, RSI, ADX, ATR, MACD, Keltner and Heikin-Ashi columns of a prepared frame, in three passes."""
-    up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
-    step, zero = F.coalesce(F.col("close") - lag("close"), F.lit(0.0)), F.lit(0.0)
-    mean = (F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4
-    given = bars.withColumn("ha_close", mean).withColumns({
-        "__tr": true_range(), "__tp": (F.col("high") + F.col("low") + F.col("close")) / 3, "__up": F.greatest(step, zero), "__down": F.greatest(-step, zero), "__ha": F.coalesce(lag("ha_close"), F.col("ha_close")),
-        "__p": F.coalesce(F.when((up > down) & (up > 0), up), zero), "__m": F.coalesce(F.when((down > up) & (down > 0), down), zero),
-    })
-    # Steps begin at the second bar; the first counts as one so that all series share their rows.
-    out = smoothed(given, {
-        "ema20": ema_series("close", 20), "ema50": ema_series("close", 50), "ema200": ema_series("close", 200), "__fast": ema_series("close", 12, 14), "__slow": ema_series("close", 26),
-        "atr14": wilder_series("__tr", 14), "__atr10": wilder_series("__tr", 10), "kc_middle": Smooth("__tp", 2 / 21), "ha_open": Smooth("__ha", 0.5),
-        "__u": wilder_series("__up", 14, 1), "__d": wilder_series("__down", 14, 1), "__t": wilder_series("__tr", 14, 1), "__pd": wilder_series("__p", 14, 1), "__md": wilder_series("__m", 14, 1),
-    })
-    both = F.col("__u") + F.col("__d")
-    out = out.withColumns({"rsi14": F.when(both > 0, 100 * F.col("__u") / both), "plus_di": F.try_divide(100 * F.col("__pd"), "__t"), "minus_di": F.try_divide(100 * F.col("__md"), "__t"), "macd": F.col("__fast") - F.col("__slow")})
-    p, m = F.col("plus_di"), F.col("minus_di")
-    out = out.withColumn("__dx", F.when(p + m > 0, 100 * F.abs(p - m) / (p + m)).when(F.col("__t").isNotNull(), 0.0))
-    out = smoothed(smoothed(out, {"adx14": wilder_series("__dx", 14)}), {"macd_signal": ema_series("macd", 9)})
-    reach = 2 * F.col("__atr10")
-    out = out.withColumns({
-        "macd_hist": F.col("macd") - F.col("macd_signal"), "kc_upper": F.col("kc_middle") + reach, "kc_lower": F.col("kc_middle") - reach, "natr14": 100 * F.try_divide("atr14", "close"),
-        "ha_high": F.greatest("high", "ha_open", "ha_close"), "ha_low": F.least("low", "ha_open", "ha_close"),
-    })
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
-
-
 def kama(bars: DataFrame, n: int = 10, fast: int = 2, slow: int = 30) -> DataFrame:
     """Adaptive average seeded with the first close; efficiency counts 0 until n changes are there."""
     a, b = 2 / (fast + 1), 2 / (slow + 1)

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import clip, ratio
-from tidemark.operators import recursive as K
 from tidemark.operators import windows as R
 
 Builder = Callable[[DataFrame], DataFrame]
@@ -123,22 +122,6 @@ def _candles(df: DataFrame) -> DataFrame:
     return df.withColumns({f"candle_{k}": v for k, v in R.candle_patterns().items()})
 
 
-@group("recursive")
-def _recursive(df: DataFrame) -> DataFrame:
-    return K.standard(df)
-
-
-@group("stoch_rsi", "recursive")
-def _stoch_rsi(df: DataFrame) -> DataFrame:
-    low, high = R.rolling(F.min, "rsi14", 14), R.rolling(F.max, "rsi14", 14)
-    return df.withColumn("stoch_rsi14", F.coalesce(ratio(F.col("rsi14") - low, high - low), F.lit(0.5)))
-
-
-@group("price_scale", "recursive", "vwap")
-def _price_scale(df: DataFrame) -> DataFrame:
-    return df.withColumns({"atr_pct": F.greatest(100 * ratio("atr14", "close"), F.lit(0.001)), "vwap_deviation_atr14": F.coalesce(ratio(F.col("close") - F.col("vwap"), F.col("atr14")), F.lit(0.0)), "vwap_deviation_pct": F.coalesce(100 * ratio(F.col("close") - F.col("vwap"), F.col("vwap")), F.lit(0.0))})
-
-
 @group("volatility", "risk")
 def _volatility(df: DataFrame) -> DataFrame:
     return df.withColumn("vol_of_vol_20", F.coalesce(R.rolling(F.stddev_samp, "realized_vol_20", 20, 1), F.lit(0.0)))
