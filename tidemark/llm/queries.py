@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, html, mixing, neardup, packing, quality, repeats, secrets, topk
+from . import ann, audit, chat, html, mixing, neardup, packing, quality, repeats, secrets, topk
 from .common import small_batches
 from .common import table as _table
 
@@ -59,6 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), remembered=1_000_000)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_substring, op3_quality, op4_topk, op5_html, op6_mixing, op7_minhash, op8_ann, op9_secrets, op10_packing)}
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
-ORACLE_SQL = {"op1_chat": chat.SQL, "op4_topk": topk.SQL, "op6_mixing": mixing.SQL}
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_substring, op3_quality, op4_topk, op5_html, op6_mixing, op7_minhash, op8_ann, op9_secrets, op10_packing, op12_audit)}
+
+ORACLE_SQL = {"op1_chat": chat.SQL, "op4_topk": topk.SQL, "op6_mixing": mixing.SQL, "op12_audit": audit.SQL}
