@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, chat, html, mixing, neardup, packing, quality, repeats, secrets, topk
+from . import ann, audit, chat, decontaminate, html, mixing, neardup, packing, quality, repeats, secrets, topk
 from .common import small_batches
 from .common import table as _table
 
@@ -63,6 +63,11 @@ def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_substring, op3_quality, op4_topk, op5_html, op6_mixing, op7_minhash, op8_ann, op9_secrets, op10_packing, op12_audit)}
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
-ORACLE_SQL = {"op1_chat": chat.SQL, "op4_topk": topk.SQL, "op6_mixing": mixing.SQL, "op12_audit": audit.SQL}
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_substring, op3_quality, op4_topk, op5_html, op6_mixing, op7_minhash, op8_ann, op9_secrets, op10_packing, op12_audit, op13_decontaminate)}
+
+ORACLE_SQL = {"op1_chat": chat.SQL, "op4_topk": topk.SQL, "op6_mixing": mixing.SQL, "op12_audit": audit.SQL, "op13_decontaminate": decontaminate.SQL}
