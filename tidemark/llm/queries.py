@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, chat, decontaminate, html, mixing, neardup, packing, quality, repeats, secrets, topk
+from . import ann, audit, chat, decontaminate, html, mixing, neardup, packing, periodic, quality, repeats, secrets, topk
 from .common import small_batches
 from .common import table as _table
 
@@ -59,6 +62,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), remembered=1_000_000)
 
 
+def _looped(doc_id: int | None, n: int) -> np.ndarray | None:
+    """One document in ten (by the CRC-32 of its id; none of null id) ends in a loop of its own words."""
+    h = -1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    read = np.arange(n)
+    read[a:] = a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))
+    return read
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), reading=_looped)
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    best = found.withColumn("best", periodic.longest_run())
+    exponent = F.expr("1000 * best.length DIV best.period").alias("exponent_milli")
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", exponent, F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
 def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -68,6 +91,6 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_substring, op3_quality, op4_topk, op5_html, op6_mixing, op7_minhash, op8_ann, op9_secrets, op10_packing, op12_audit, op13_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_substring, op3_quality, op4_topk, op5_html, op6_mixing, op7_minhash, op8_ann, op9_secrets, op10_packing, op11_periodic, op12_audit, op13_decontaminate)}
 
 ORACLE_SQL = {"op1_chat": chat.SQL, "op4_topk": topk.SQL, "op6_mixing": mixing.SQL, "op12_audit": audit.SQL, "op13_decontaminate": decontaminate.SQL}
