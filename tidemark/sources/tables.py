@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,3 +67,14 @@ def feature_counts(features: DataFrame) -> DataFrame:
 def with_all_columns(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union over the columns of both."""
     return a.unionByName(b, allowMissingColumns=True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written to spark.checkpoint.dir: what follows starts from there. A local session without one gets a folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        at = context.getConf().get("spark.checkpoint.dir")
+        if not at and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; executors need a folder that all of them share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
