@@ -169,7 +169,7 @@ def test_smoothing_over_many_runs_and_chunks(spark):
     x = rng.normal(size=500).cumsum() + 100
     rows = [("A", T0 + dt.timedelta(hours=i), None if i in (7, 260) else float(v)) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, x double")
-    out = K.smoothed(df, {"e": K.ema_series("x", 5), "w": K.wilder_series("x", 6, 3), "z": K.Smooth("x", 0.5, start=0.0)}, chunk_s=20 * 3600, least_run=1)
+    out = K.smoothed(df, {"e": K.ema_series("x", 5), "w": K.wilder_series("x", 6, 3), "z": K.Smooth("x", 0.5, start=0.0)}, least_run=1)
     assert "Python" not in out._jdf.queryExecution().toString() and "Pandas" not in out._jdf.queryExecution().toString()
     have = np.array([v for i, v in enumerate(x) if i not in (7, 260)])
     got = [r for r in out.orderBy("ts").collect() if r["x"] is not None]

@@ -1,10 +1,11 @@
 """Indicators that depend on their own last value.
 
 Spark has no recursive window. Smoothed values y = w y + b are linear in the last
-one, so they need none: rows are numbered over time chunks, cut into runs of
-consecutive numbers, and summed inside a run with weights w^-place; a run hands
-its end on through a table of one row per run. All of it is built-in functions,
-and a symbol's runs are worked on in parallel (`smoothed`). Only what is not
+one, so they need none: rows are numbered, cut into runs of consecutive numbers,
+and summed inside a run with weights w^-place; a run is so long that of all runs
+before it only the last one counts, which a frame over run numbers sums. All of
+it is windows within a symbol, as rolling columns are: whatever the number and
+the depth of the series there is one scan and one exchange (`smoothed`). Only what is not
 linear (the stop-and-reverse rules, the adaptive average, clipped filters) runs
 in order over one symbol's columns, in an Arrow-fed pandas group with the columns
 it needs; bars of one width are bounded, as trades are already aggregated.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.windows import by_symbol as symbol_line
 from tidemark.operators.windows import bollinger, lag, rolling, true_range
 
-#: Seconds of a time chunk in which rows are numbered, and the weight below which what lies before a run adds nothing.
-CHUNK_S, NEGLIGIBLE = 30 * 86_400, 2.0**-60
+#: The weight below which what lies before a run adds nothing.
+NEGLIGIBLE = 2.0**-60
 
 
 @dataclass(frozen=True)
@@ -43,26 +44,23 @@ class Smooth:
     start: float | None = None
 
 
-def smoothed(rows: DataFrame, series: dict[str, Smooth], chunk_s: int = CHUNK_S, least_run: int = 64) -> DataFrame:
+def smoothed(rows: DataFrame, series: dict[str, Smooth], least_run: int = 64) -> DataFrame:
     """`rows` (symbol, ts, ...) with the series as columns. Rows in which an input of any of them is NULL don't count."""
-    there = F.lit(True)
-    for q in series.values():
-        there = there & F.col(q.x).isNotNull()
-    timed = rows.withColumns({"__in": there.cast("int"), "__chunk": F.floor(F.unix_seconds("ts") / chunk_s)})
-    before = W.partitionBy("symbol").orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-    counts = timed.groupBy("symbol", "__chunk").agg(F.sum("__in").alias("__c")).select("symbol", "__chunk", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
-    so_far = F.sum("__in").over(W.partitionBy("symbol", "__chunk").orderBy("ts").rowsBetween(W.unboundedPreceding, 0))
     # A run is so long that the value before the last one weighs nothing.
     slowest = max(1 - q.alpha for q in series.values())
     run = max(least_run, math.ceil(math.log(NEGLIGIBLE) / math.log(slowest)))
     quick = {c: q for c, q in series.items() if -math.log(1 - q.alpha) * run > 600}
     if quick:  # their weights would leave the doubles in so long a run
         slow = {c: q for c, q in series.items() if c not in quick}
-        return smoothed(smoothed(rows, slow, chunk_s, least_run), quick, chunk_s, least_run).select(*rows.columns, *series)
-    numbered = timed.withColumn("__so_far", so_far).join(counts, ["symbol", "__chunk"]).withColumn("__rn", F.col("__base") + F.col("__so_far"))
-    numbered = numbered.withColumns({"__run": F.floor(F.col("__rn") / run), "__at": F.col("__rn") % run}).drop("__chunk", "__base", "__so_far")
+        return smoothed(smoothed(rows, slow, least_run), quick, least_run).select(*rows.columns, *series)
+    there = F.lit(True)
+    for q in series.values():
+        there = there & F.col(q.x).isNotNull()
+    so_far = symbol_line().rowsBetween(W.unboundedPreceding, 0)
+    numbered = rows.withColumn("__in", there.cast("int")).withColumn("__rn", F.sum("__in").over(so_far))
+    numbered = numbered.withColumns({"__run": F.floor(F.col("__rn") / run), "__at": F.col("__rn") % run})
     inside = lambda q: (F.col("__in") == 1) & F.col("__rn").between(q.offset + 1, q.offset + q.n)
-    seeds = numbered.groupBy("symbol").agg(*[F.when(F.count_if(inside(q)) == q.n, F.avg(F.when(inside(q), F.col(q.x)))).alias(f"__seed_{c}") for c, q in series.items()])
+    seeds = {f"__seed_{c}": F.avg(F.when(inside(q), F.col(q.x))).over(so_far) for c, q in series.items() if q.start is None}
     active, given = F.col("__in") == 1, {}
     for c, q in series.items():
         # Counted from `start`, if there is one, so that what lies before the first row is 0.
@@ -70,17 +68,17 @@ def smoothed(rows: DataFrame, series: dict[str, Smooth], chunk_s: int = CHUNK_S,
         seed = F.col(f"__seed_{c}") if q.start is None else q.alpha * x
         b = F.when(active & (F.col("__rn") == first), seed).when(active & (F.col("__rn") > first), q.alpha * x)
         given[f"__b_{c}"] = b * F.pow(F.lit(w), -F.col("__at"))
-    weighed = numbered.join(seeds, "symbol").withColumns(given)
-    ends = weighed.groupBy("symbol", "__run").agg(*[(F.sum(f"__b_{c}") * F.lit((1 - q.alpha) ** (run - 1))).alias(f"__end_{c}") for c, q in series.items()])
-    carried = ends.select("symbol", "__run", *[F.coalesce(F.lag(f"__end_{c}").over(W.partitionBy("symbol").orderBy("__run")), F.lit(0.0)).alias(f"__end_{c}") for c in series])
+    weighed = numbered.withColumns(seeds).withColumns(given)
     within = W.partitionBy("symbol", "__run").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    run_before = W.partitionBy("symbol").orderBy("__run").rangeBetween(-1, -1)
+    sums = {f"__sum_{c}": F.coalesce(F.sum(f"__b_{c}").over(within), F.lit(0.0)) for c in series}
+    ends = {f"__end_{c}": F.coalesce(F.sum(f"__b_{c}").over(run_before) * (1 - q.alpha) ** (run - 1), F.lit(0.0)) for c, q in series.items()}
     out = {}
     for c, q in series.items():
         w = F.lit(1 - q.alpha)
-        y = F.pow(w, F.col("__at")) * F.coalesce(F.sum(f"__b_{c}").over(within), F.lit(0.0)) + F.pow(w, F.col("__at") + 1) * F.col(f"__end_{c}")
-        seeded = F.lit(True) if q.start is not None else F.col(f"__seed_{c}").isNotNull()
-        out[c] = F.when(active & seeded & (F.col("__rn") >= q.offset + q.n), y + (q.start or 0.0))
-    return weighed.join(carried, ["symbol", "__run"]).withColumns(out).select(*rows.columns, *series)
+        y = F.pow(w, F.col("__at")) * F.col(f"__sum_{c}") + F.pow(w, F.col("__at") + 1) * F.col(f"__end_{c}")
+        out[c] = F.when(active & (F.col("__rn") >= q.offset + q.n), y + (q.start or 0.0))
+    return weighed.withColumns(sums).withColumns(ends).withColumns(out).select(*rows.columns, *series)
 
 
 def ema_series(x: str, n: int, offset: int = 0) -> Smooth:
