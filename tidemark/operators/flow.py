@@ -158,3 +158,26 @@ def sticky_walls(history: DataFrame, least: int, digits: int = 2) -> DataFrame:
     """Price levels seen in at least `least` samples of a book's history (symbol, sample, side, price, qty)."""
     seen = history.groupBy("symbol", "side", F.round("price", digits).alias("price")).agg(F.countDistinct("sample").alias("samples"), F.avg(F.col("price") * F.col("qty")).alias("notional"))
     return seen.where(F.col("samples") >= least)
+
+
+def imbalance_by_zone(levels: DataFrame, refs: DataFrame, zones: tuple[float, ...] = (0.5, 1.0, 2.0, 5.0)) -> DataFrame:
+    """symbol, zone_pct, imbalance, covered_pct: bids against asks within each per cent of the reference price, nearer levels weighing more.
+
+    levels: symbol, side (bid, ask), price, qty; refs: symbol, ref, one row a symbol. A level weighs exp(-2 d / zone) at
+    distance d. covered_pct is how far the thinner side of the book reaches into the zone (0 for a missing side); a zone
+    without levels has no row. All zones come out of one aggregate over the levels.
+    """
+    near = levels.join(refs.where("ref > 0"), "symbol").where("price IS NOT NULL AND qty > 0")
+    p, ref = F.col("price"), F.col("ref")
+    bid, ask = (F.col("side") == "bid") & (p <= ref), (F.col("side") == "ask") & (p >= ref)
+    away = F.abs(p - ref) / ref * 100
+    names, parts = [], []
+    for k, z in enumerate(zones):
+        band = ref * z / 100
+        inside = (p >= ref - band) & (p <= ref + band)
+        money = p * F.col("qty") * F.exp(F.lit(-2.0 / z) * away)
+        for side, one in (("bid", bid), ("ask", ask)):
+            parts += [F.sum(F.when(one & inside, money)).alias(f"__{side}_{k}"), F.max(F.when(one & inside, away)).alias(f"__{side}_far_{k}")]
+        held = lambda c, k=k: F.coalesce(F.col(f"__{c}_{k}"), F.lit(0.0))
+        names.append(F.struct(F.lit(float(z)).alias("zone_pct"), F.try_divide(held("bid") - held("ask"), held("bid") + held("ask")).alias("imbalance"), F.least(held("bid_far"), held("ask_far"), F.lit(float(z))).alias("covered_pct")))
+    return near.groupBy("symbol").agg(*parts).select("symbol", F.inline(F.array(*names))).where("imbalance IS NOT NULL")

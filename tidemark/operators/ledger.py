@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.beta import beta_quantile
+
 from tidemark.functions.scalar import ratio
 from tidemark.operators.stats import quantiles, wilson
 from tidemark.sources.tables import instant
@@ -148,3 +150,26 @@ def level_backtest(setups: DataFrame, bars: DataFrame, horizon: int) -> DataFram
     s, g = F.nullif(F.array_position(stop, True), F.lit(0)), F.nullif(F.array_position(goal, True), F.lit(0))
     result = F.when(s.isNotNull() & (g.isNull() | (s <= g)), "stop").when(g.isNotNull(), "tp").otherwise("open")
     return met.select("setup_id", result.alias("result"), F.least(s, g).cast("long").alias("bars"))
+
+
+#: The prior's successes and failures, and from how many results on a figure is of a tier.
+PRIOR = 2.0
+TIERS = ((200, "production"), (100, "calibrated"), (50, "conservative"), (30, "early"), (0, "exploratory"))
+
+
+def win_rates(counts: DataFrame, level: float = 0.95) -> DataFrame:
+    """counts (wins, n) with the mean of Beta(2 + wins, 2 + losses), its exact and its normal interval, and the sample's tier.
+
+    No results: NULL figures, lowest tier. Counts are few rows, made by an aggregate.
+    """
+    a, b = PRIOR + F.col("wins").cast("double"), PRIOR + (F.col("n") - F.col("wins")).cast("double")
+    some = F.col("n") > 0
+    mean, spread = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    tier = F.lit(None)
+    for least, name in reversed(TIERS):
+        tier = F.when(F.coalesce("n", F.lit(0)) >= least, name).otherwise(tier)
+    figures = {
+        "mean": mean, "exact_lo": beta_quantile((1 - level) / 2, a, b), "exact_hi": beta_quantile((1 + level) / 2, a, b),
+        "normal_lo": F.greatest(F.lit(0.0), mean - 1.96 * spread), "normal_hi": F.least(F.lit(1.0), mean + 1.96 * spread),
+    }
+    return counts.withColumns({c: F.when(some, x) for c, x in figures.items()} | {"tier": tier})
