@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,10 +101,10 @@ def test_rings_are_bounded_and_begin_with_a_table(spark, tmp_path):
         whole = live.replayed(rings.rings(live.stream(spark, str(tmp_path / "all"), schema, 1), **options), str(tmp_path / "o1"), str(tmp_path / "c1"))
         first = live.replayed(rings.rings(live.stream(spark, str(tmp_path / "in0"), schema), **options), str(tmp_path / "o2"), str(tmp_path / "c2"))
         # A second run starts from a table of what the rings held: here, all that was ever added.
-        later = live.replayed(rings.rings(live.stream(spark, str(tmp_path / "in1"), schema), begin=first.select("symbol", "ms", "snap"), ttl_ms=3_600_000, **options), str(tmp_path / "o3"), str(tmp_path / "c3"))
+        later = live.replayed(rings.rings(live.stream(spark, str(tmp_path / "in1"), schema), begin=first.select("symbol", "ms", "snap"), **options), str(tmp_path / "o3"), str(tmp_path / "c3"))
         assert sorted(map(repr, whole.collect())) == sorted(map(repr, first.unionAll(later).collect()))
         assert whole.agg(F.max("size")).first()[0] == 10 and whole.where("ms - oldest_ms > 60000").count() == 0
-        assert whole.where("snap = 'late'").first().size == 1 and whole.where("snap = 'later'").count() == 0
+        assert whole.where("snap = 'late'").first().size == 1 and whole.where("snap = 'later'").count() == 1
     finally:
         spark.conf.unset(provider)
 
@@ -146,3 +147,23 @@ def test_imbalance_by_zone(spark):
     bid, ask = 99 * exp(-2.0), 100.4 * exp(-0.8)
     assert got["A", 0.5] == (-1.0, 0.0) and got["A", 1.0] == (pytest.approx((bid - ask) / (bid + ask)), pytest.approx(0.4))
     assert got["B", 0.5] == (1.0, 0.0) and len(got) == 8
+
+
+def test_rings_with_a_time_to_live_run_by_the_clock(spark, tmp_path):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        frame = spark.createDataFrame([("A", i * 10_000, str(i)) for i in range(20)], rings.SAMPLES)
+        frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+        df = rings.rings(live.stream(spark, str(tmp_path / "in"), frame.schema), keep=5, ttl_ms=60_000)
+        q = df.writeStream.format("memory").queryName("ringed").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+        try:
+            for _ in range(60):
+                if spark.table("ringed").count() == 20 or not q.isActive:
+                    break
+                time.sleep(0.5)
+        finally:
+            q.stop()
+        assert spark.table("ringed").agg(F.max("size")).first()[0] == 5 and spark.table("ringed").count() == 20
+    finally:
+        spark.conf.unset(provider)

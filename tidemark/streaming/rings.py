@@ -62,7 +62,8 @@ class _Rings(StatefulProcessor):
 def rings(samples: DataFrame, keep: int = KEEP, spacing_ms: int = SPACING_MS, age_ms: int = AGE_MS, ttl_ms: int | None = None, begin: DataFrame | None = None) -> DataFrame:
     """The samples that enter their symbol's ring (SAMPLES), with the ring's size and oldest time after each.
 
-    begin: SAMPLES of a table that the rings start from. ttl_ms: milliseconds of the clock after which an idle ring goes.
+    begin: SAMPLES of a table that the rings start from. ttl_ms: milliseconds of the clock after which an idle ring goes; such
+    a query is never done (each batch looks at the clock), so it runs by a trigger of time, not once over what is there.
     Samples not after the last one of their symbol by the spacing are left out, late ones too.
     """
     grouped = samples.where("symbol IS NOT NULL").select("symbol", "ms", "snap").groupBy("symbol")
