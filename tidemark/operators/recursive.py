@@ -157,6 +157,11 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     return smoothed(ranged, {f"atr{n}": wilder_series("__tr", n)}).drop("__tr")
 
 
+def natr(bars: DataFrame, n: int = 14) -> DataFrame:
+    """The average range in per cent of the close."""
+    return atr(bars, n).withColumn(f"natr{n}", 100 * F.try_divide(f"atr{n}", "close"))
+
+
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's index; NULL where nothing moved."""
     step = F.col("close") - lag("close")

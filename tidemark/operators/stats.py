@@ -78,6 +78,17 @@ def two_sample(rows: DataFrame, key: str, value: str, late: str, alpha: float =
     return out.withColumn("critical", critical).withColumn("broken", F.col("ks") > F.col("critical"))
 
 
+def pearson(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """a, b, n (rows that have both), r per key for all pairs of columns, in one aggregate; NULL where a column does not vary."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    held = lambda c, a, b: F.when(both(a, b), F.col(c).cast("double"))
+    moving = lambda a, b: (F.min(held(a, a, b)) < F.max(held(a, a, b))) & (F.min(held(b, a, b)) < F.max(held(b, a, b)))
+    figures = [x for i, (a, b) in enumerate(pairs) for x in (F.count_if(both(a, b)).alias(f"__n{i}"), F.when(moving(a, b), F.corr(held(a, a, b), held(b, a, b))).alias(f"__r{i}"))]
+    listed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"__n{i}").alias("n"), F.col(f"__r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
+    return rows.groupBy(key).agg(*figures).select(key, F.inline(listed))
+
+
 def spearman(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """a, b, rho per key for all pairs of columns: correlation of average ranks (of the rows where the column is not NULL)."""
     ranked = rows

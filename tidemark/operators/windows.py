@@ -274,3 +274,13 @@ def factor_row(rsi: Column, adx: Column, taker: Column, funding: Column) -> dict
         "f_taker": clip((taker - 1) * 2, -1, 1),
         "f_funding": clip(funding * 5000, -1, 1),
     }
+
+
+def with_stochastic(bars: DataFrame, n: int = 14, d: int = 3) -> DataFrame:
+    """bars with stoch_k (the fast line, unsmoothed) and stoch_d, its mean over d bars."""
+    return bars.withColumn("stoch_k", stochastic(n)).withColumn("stoch_d", rolling(F.avg, "stoch_k", d))
+
+
+def delta(c: Column | str, n: int = 1) -> Column:
+    """The value less that of n bars before."""
+    return col(c) - F.lag(col(c), n).over(by_symbol())

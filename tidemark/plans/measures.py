@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import rounded
 from tidemark.operators import flow as L
 from tidemark.operators import ledger as G
+from tidemark.operators import recursive as K
+from tidemark.operators import stats as S
+from tidemark.operators import windows as R
 from tidemark.plans.aggregates import _LEVELS, _levels
-from tidemark.plans.market import _sql, hourly
+from tidemark.plans.market import _TR, _sql, hourly, shown
 from tidemark.plans.registry import query
+from tidemark.plans.relations import _trades
 from tidemark.plans.setups import _refs
-from tidemark.plans.sql import r
+from tidemark.plans.sql import LINE, TRADES, full, over, r, recursion
 from tidemark.sources import history as H
 from tidemark.sources.tables import table
 
@@ -54,3 +58,52 @@ def imbalance_by_zone(spark: SparkSession, folder: str) -> DataFrame:
 )
 def history_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return H.coverage(hourly(spark, folder), 3600).withColumn("coverage_pct", rounded("coverage_pct"))
+
+
+@query(
+    _sql(
+        f"SELECT k.symbol, k.ts_s, {r('100 * e.y / nullif(k.close, 0)')} AS natr14, {r('k.k')} AS stoch_k, {r(full(3, 'avg(k.k) ' + over(3), 'count(k.k) ' + over(3)))} AS stoch_d, {r('close - lag(close, 5) ' + LINE)} AS delta5 FROM (SELECT *, 100 * (close - lo) / nullif(hi - lo, 0) AS k FROM (SELECT *, {full(14, 'max(high) ' + over(14))} AS hi, {full(14, 'min(low) ' + over(14))} AS lo FROM t)) k LEFT JOIN e USING (symbol, rn)",
+        more=_TR + ", " + recursion("e", "t", "tr", 1 / 14, 14),
+        recursive=True,
+    )
+)
+def natr_stochastic(spark: SparkSession, folder: str) -> DataFrame:
+    bars = K.natr(hourly(spark, folder), 14)
+    return shown(R.with_stochastic(bars), natr14="natr14", stoch_k="stoch_k", stoch_d="stoch_d", delta5=R.delta("close", 5))
+
+
+_PAIRS = [("qty", "price"), ("qty", "discount"), ("price", "discount")]
+
+
+@query(
+    "WITH l AS (SELECT l_suppkey AS k, l_quantity::DOUBLE AS qty, CASE WHEN l_partkey % 5 > 0 THEN l_extendedprice END AS price, l_discount AS discount FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT k, '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, {r(f'corr({a}, {b})', 5)} AS r FROM l GROUP BY k" for a, b in _PAIRS)
+)
+def pearson_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    price = F.when(F.col("l_partkey") % 5 > 0, F.col("l_extendedprice")).alias("price")
+    rows = lines.select(F.col("l_suppkey").alias("k"), F.col("l_quantity").cast("double").alias("qty"), price, F.col("l_discount").alias("discount"))
+    return S.pearson(rows, "k", ["qty", "price", "discount"]).withColumn("r", rounded("r", 5))
+
+
+@query(
+    f"""WITH {TRADES}, ref AS (SELECT symbol, arg_max(price, struct_pack(a := us, b := trade_id)) AS ref FROM trades GROUP BY symbol),
+f AS (SELECT symbol, least(floor((price - ref * 0.5) / (ref * 1.0 / 20)), 19)::INTEGER AS bucket, sum(CASE WHEN is_buy THEN price * qty ELSE 0 END) - sum(CASE WHEN NOT is_buy THEN price * qty ELSE 0 END) AS net FROM trades JOIN ref USING (symbol) WHERE abs(price / ref - 1) <= 0.5 GROUP BY 1, 2),
+g AS (SELECT symbol, sign(net)::INTEGER AS side, bucket, bucket - row_number() OVER (PARTITION BY symbol, sign(net) ORDER BY bucket) AS island FROM f WHERE net <> 0)
+SELECT symbol, side, min(bucket) AS first, count(*) AS n FROM g GROUP BY symbol, side, island HAVING count(*) >= 2"""
+)
+def stacked_imbalance(spark: SparkSession, folder: str) -> DataFrame:
+    return L.stacked_imbalance(L.footprint(_trades(spark, folder), 20, 0.5), 2)
+
+
+@query(
+    """WITH c AS (SELECT l_returnflag AS symbol, l_linestatus AS action, l_suppkey::DOUBLE AS entry_lo, l_suppkey + 1.0::DOUBLE AS entry_hi, l_discount AS strength, l_tax AS confidence, l_quantity::DOUBLE AS rr, l_orderkey * 10 + l_linenumber AS candidate_id FROM lineitem)
+SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY symbol, action, entry_lo, entry_hi ORDER BY strength DESC, confidence DESC, rr DESC, candidate_id) AS k FROM c) WHERE k = 1"""
+)
+def best_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    entry = F.col("l_suppkey").cast("double")
+    given = table(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("symbol"), F.col("l_linestatus").alias("action"), entry.alias("entry_lo"), (entry + 1).alias("entry_hi"), F.col("l_discount").alias("strength"), F.col("l_tax").alias("confidence"),
+        F.col("l_quantity").cast("double").alias("rr"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("candidate_id"),
+    )
+    return G.best_candidates(given)
