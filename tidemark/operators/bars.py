@@ -107,3 +107,31 @@ def staleness(all_bars: DataFrame, now: Column, width_s: int, most: float = 2.0)
     """Per symbol, seconds since its last bar ended, and whether that is more than `most` widths."""
     age = F.unix_seconds(now) - (F.unix_seconds(F.max("ts")) + width_s)
     return all_bars.groupBy("symbol").agg(age.alias("age_s")).withColumn("stale", F.col("age_s") > most * width_s)
+
+
+def bar_faults(bars: DataFrame, width_s: int) -> DataFrame:
+    """Per symbol the bars of a table and what is wrong with them: repeats, off the grid, gaps, high below low, prices outside high and low, prices not above 0, negative volume, nulls."""
+    t = F.unix_seconds("ts")
+    o, h, l, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))  # noqa: E741
+    wrong = {
+        "off_grid": t % width_s != 0, "high_below_low": h < l, "outside": (F.greatest(o, c) > h) | (F.least(o, c) < l), "not_positive": F.least(o, h, l, c) <= 0, "negative_volume": v < 0,
+        "nulls": o.isNull() | h.isNull() | l.isNull() | c.isNull() | v.isNull(),
+    }
+    # One row per time first, so that the gaps are between times and repeats are counted once.
+    timed = bars.where(F.col("symbol").isNotNull() & F.col("ts").isNotNull()).groupBy("symbol", t.alias("t")).agg(F.count("*").alias("n"), *[F.count_if(x).alias(k) for k, x in wrong.items()])
+    step = F.col("t") - F.lag("t").over(W.partitionBy("symbol").orderBy("t"))
+    stepped = timed.withColumn("wide", F.coalesce(step > width_s * 1.5, F.lit(False)))
+    return stepped.groupBy("symbol").agg(F.sum("n").alias("bars"), F.min("t").alias("first_s"), F.max("t").alias("last_s"), F.sum(F.col("n") - 1).alias("repeats"), F.count_if("wide").alias("gaps"), *[F.sum(k).alias(k) for k in wrong])
+
+
+def frame_skew(frames: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """symbol, small, large, late_s: frames (by name: bars, width in seconds) whose history begins more than two bars of a larger frame after that frame's own."""
+    starts = None
+    for name, (df, width) in frames.items():
+        one = df.where("symbol IS NOT NULL").groupBy("symbol").agg(F.min(F.unix_seconds("ts")).alias("first_s")).select("symbol", F.struct(F.lit(width).alias("width"), F.lit(name).alias("name"), "first_s").alias("f"))
+        starts = one if starts is None else starts.unionAll(one)
+    # A handful of frames a symbol.
+    each = starts.groupBy("symbol").agg(F.collect_list("f").alias("all")).select("symbol", "all", F.explode("all").alias("large"))
+    pairs = each.select("symbol", "large", F.explode("all").alias("small")).where(F.col("small.width") < F.col("large.width"))
+    late = F.col("small.first_s") - F.col("large.first_s")
+    return pairs.where(late > 2 * F.col("large.width")).select("symbol", F.col("small.name").alias("small"), F.col("large.name").alias("large"), late.alias("late_s"))

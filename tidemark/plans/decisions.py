@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import rounded
+from tidemark.operators import bars as B
 from tidemark.operators import decisions as D
+from tidemark.operators import invalidation as I
 from tidemark.operators import windows as R
 from tidemark.plans.market import _sql, hourly
 from tidemark.plans.registry import query
-from tidemark.plans.sql import LINE, over, r
+from tidemark.plans.sql import over, r
+from tidemark.sources.tables import instant, table
 
 _MOVE = "CASE WHEN dir = 'long' THEN {0} - entry ELSE entry - {0} END / atr"
 _BEST, _WORST = _MOVE.format("CASE WHEN dir = 'long' THEN p.high ELSE p.low END"), _MOVE.format("CASE WHEN dir = 'long' THEN p.low ELSE p.high END")
@@ -60,3 +63,43 @@ def decision_paths(spark: SparkSession, folder: str) -> DataFrame:
 def gate_blindness(spark: SparkSession, folder: str) -> DataFrame:
     made, paths = _paths(spark, folder)
     return D.gate_blindness(paths.join(made.select("candidate_id", "gate"), "candidate_id")).withColumns({c: rounded(c) for c in ("mean_mfe", "hit_rate")})
+
+
+_ENDS = f"""v AS (SELECT *, count(volume) OVER w = 20 AND volume > 1.5 * avg(volume) OVER w AS loud FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts_s ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+si AS (SELECT *, entry - 0.3 * atr AS entry_lo, entry + 0.3 * atr AS entry_hi, CASE WHEN dir = 'long' THEN entry - 2 * atr WHEN at_s % 7200 = 0 THEN entry + 2 * atr END AS stop, CASE WHEN dir = 'long' THEN entry - atr ELSE entry + atr END AS middle FROM dc),
+sl AS (SELECT *, CASE WHEN dir = 'long' THEN CASE WHEN stop > 0 AND stop < entry_lo THEN stop ELSE entry_lo * (1 - 0.005::DOUBLE) END ELSE CASE WHEN stop > entry_hi THEN stop ELSE entry_hi * (1 + 0.005::DOUBLE) END END AS level,
+  CASE WHEN CASE WHEN dir = 'long' THEN middle > 0 AND middle < entry_lo ELSE middle > entry_hi END THEN middle END AS zone_level FROM si),
+en AS (SELECT candidate_id, any_value(level) AS level, any_value(zone_level) AS zone_level, min(e) FILTER (CASE WHEN dir = 'long' THEN c < level ELSE c > level END) AS structure_s, min(e) FILTER (CASE WHEN dir = 'long' THEN c < zone_level ELSE c > zone_level END) AS zone_s, min(e) FILTER (loud AND CASE WHEN dir = 'long' THEN c < o ELSE c > o END) AS volume_s
+  FROM (SELECT sl.*, v.ts_s + 3600 AS e, v.open AS o, v.close AS c, v.loud FROM sl LEFT JOIN v ON v.symbol = sl.symbol AND v.ts_s BETWEEN at_s AND at_s + 172800) GROUP BY candidate_id)"""
+
+
+@query(
+    _sql(
+        f"SELECT candidate_id AS scenario_id, {r('level')} AS level, {r('zone_level')} AS zone_level, structure_s, zone_s, volume_s, least(structure_s, zone_s, volume_s) AS ended_s, CASE least(structure_s, zone_s, volume_s) WHEN structure_s THEN 'structure' WHEN zone_s THEN 'zone' WHEN volume_s THEN 'volume' END AS reason FROM en",
+        more=f"{_DECISIONS}, {_ENDS}",
+    )
+)
+def scenario_ends(spark: SparkSession, folder: str) -> DataFrame:
+    made = _paths(spark, folder)[0]
+    long, away = F.col("direction") == "long", F.when(F.col("direction") == "long", F.col("entry") - F.col("atr")).otherwise(F.col("entry") + F.col("atr"))
+    stop = F.when(long, F.col("entry") - 2 * F.col("atr")).when(F.unix_seconds("decided") % 7200 == 0, F.col("entry") + 2 * F.col("atr"))
+    scenarios = made.select(F.col("candidate_id").alias("scenario_id"), "symbol", "decided", "direction", (F.col("entry") - 0.3 * F.col("atr")).alias("entry_lo"), (F.col("entry") + 0.3 * F.col("atr")).alias("entry_hi"), stop.alias("stop"), away.alias("zone_lo"), away.alias("zone_hi"))
+    out = I.first_invalidations(scenarios, hourly(spark, folder), 3600, 172_800)
+    return out.select("scenario_id", rounded("level").alias("level"), rounded("zone_level").alias("zone_level"), "structure_s", "zone_s", "volume_s", "ended_s", "reason")
+
+
+@query(
+    """WITH l AS (SELECT l_returnflag || l_linestatus AS symbol, (epoch_us(l_shipdate) // 1000000)::BIGINT AS t, l_quantity::DOUBLE AS open, l_partkey / 20.0::DOUBLE AS high, l_suppkey / 2.0::DOUBLE AS low, CASE WHEN l_linenumber <> 3 THEN l_quantity - 1.0 END::DOUBLE AS close, l_discount - 0.02 AS volume FROM lineitem),
+d AS (SELECT symbol, t, count(*) AS n FROM l GROUP BY 1, 2), g AS (SELECT symbol, n, t, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) > 129600 AS wide FROM d)
+SELECT * FROM (SELECT symbol, count(*) AS bars, min(t) AS first_s, max(t) AS last_s, count_if(t % 86400 <> 0)::BIGINT AS off_grid, count_if(high < low)::BIGINT AS high_below_low, count_if(coalesce(greatest(open, close) > high OR least(open, close) < low, false))::BIGINT AS outside, count_if(least(open, high, low, close) <= 0)::BIGINT AS not_positive, count_if(volume < 0)::BIGINT AS negative_volume, count_if(close IS NULL)::BIGINT AS nulls FROM l GROUP BY symbol)
+JOIN (SELECT symbol, sum(n - 1)::BIGINT AS repeats, count_if(coalesce(wide, false))::BIGINT AS gaps FROM g GROUP BY symbol) USING (symbol)"""
+)
+def bar_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as daily bars, full of faults."""
+    lines = table(spark, folder, "lineitem")
+    close = F.when(F.col("l_linenumber") != 3, F.col("l_quantity") - 1.0)
+    rows = lines.select(
+        F.concat("l_returnflag", "l_linestatus").alias("symbol"), instant(lines, "l_shipdate").alias("ts"), F.col("l_quantity").cast("double").alias("open"), (F.col("l_partkey") / 20.0).alias("high"), (F.col("l_suppkey") / 2.0).alias("low"), close.cast("double").alias("close"),
+        (F.col("l_discount") - 0.02).alias("volume"),
+    )
+    return B.bar_faults(rows, 86_400)
