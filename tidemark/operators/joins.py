@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.stats import correlation
+
 
 def asof(left: DataFrame, right: DataFrame, value: str, by: str = "symbol", on: str = "ts", chunk_s: int = 86_400) -> DataFrame:
     """left with the last `value` of right at or before each row's time (NULL if there is none).
@@ -95,7 +97,7 @@ def return_alignment(bars: DataFrame, benchmark: str) -> DataFrame:
 
 
 def corr_beta(aligned: DataFrame) -> DataFrame:
-    return aligned.groupBy("symbol").agg(F.corr("ret", "base").alias("corr"), F.regr_slope("ret", "base").alias("beta"), F.count("*").alias("n"))
+    return aligned.groupBy("symbol").agg(correlation(F.col("ret"), F.col("base")).alias("corr"), F.regr_slope("ret", "base").alias("beta"), F.count("*").alias("n"))
 
 
 def nearest_level(rows: DataFrame, levels: Column, price: Column) -> Column:

@@ -78,13 +78,18 @@ def two_sample(rows: DataFrame, key: str, value: str, late: str, alpha: float =
     return out.withColumn("critical", critical).withColumn("broken", F.col("ks") > F.col("critical"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """The aggregate corr over the rows that have both, NULL (not an error) where one of them does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def pearson(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """a, b, n (rows that have both), r per key for all pairs of columns, in one aggregate; NULL where a column does not vary."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    held = lambda c, a, b: F.when(both(a, b), F.col(c).cast("double"))
-    moving = lambda a, b: (F.min(held(a, a, b)) < F.max(held(a, a, b))) & (F.min(held(b, a, b)) < F.max(held(b, a, b)))
-    figures = [x for i, (a, b) in enumerate(pairs) for x in (F.count_if(both(a, b)).alias(f"__n{i}"), F.when(moving(a, b), F.corr(held(a, a, b), held(b, a, b))).alias(f"__r{i}"))]
+    figures = [x for i, (a, b) in enumerate(pairs) for x in (F.count_if(both(a, b)).alias(f"__n{i}"), correlation(F.col(a), F.col(b)).alias(f"__r{i}"))]
     listed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"__n{i}").alias("n"), F.col(f"__r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
     return rows.groupBy(key).agg(*figures).select(key, F.inline(listed))
 
@@ -96,7 +101,7 @@ def spearman(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
         met = cumulated(rows, key, c).select(F.col(key).alias("__k"), F.col(c).alias("__v"), (F.col("below") + (F.col("n") + 1) / 2).alias(f"__r_{c}"))
         ranked = ranked.join(met, (F.col(key) == F.col("__k")) & (F.col(c) == F.col("__v")), "left").drop("__k", "__v")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = ranked.groupBy(key).agg(*[F.corr(f"__r_{a}", f"__r_{b}").alias(f"{a}|{b}") for a, b in pairs])
+    wide = ranked.groupBy(key).agg(*[correlation(F.col(f"__r_{a}"), F.col(f"__r_{b}")).alias(f"{a}|{b}") for a, b in pairs])
     long = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("rho")) for a, b in pairs])
     return wide.select(key, F.explode(long).alias("p")).select(key, "p.*")
 
