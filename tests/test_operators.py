@@ -337,3 +337,15 @@ def test_cusum_follows_adjusted_mean(spark):
 def test_kdj_of_a_flat_range_stays_in_the_middle(spark):
     rows = [("A", T0 + dt.timedelta(hours=i), 5.0, 5.0, 5.0, 5.0, 1.0, 5.0, 0.0, 1) for i in range(12)]
     assert column(K.kdj(spark.createDataFrame(rows, BAR)), "k")[8:] == [50.0] * 4
+
+
+def test_recursive_groups_are_the_operators(spark):
+    rng = np.random.default_rng(5)
+    df = bars(spark, (100 + rng.normal(0, 1, 260).cumsum()).tolist())
+    got = prepare(df, ["rsi", "atr", "adx", "macd", "keltner"]).orderBy("ts")
+    assert not [c for c in got.columns if c.startswith("__")]
+    for made, names in ((K.adx(df, 14), {"adx14": "adx", "plus_di14": "plus_di"}), (K.macd(df), {"macd_signal": "macd_signal"}), (K.rsi(df, 14), {"rsi14": "rsi14"}), (K.keltner(df), {"kc_upper": "kc_upper"}), (K.natr(df), {"natr14": "natr14"}), (K.ema(df, 200), {"ema200": "ema200"})):
+        rows = made.orderBy("ts").collect()
+        for mine, theirs in names.items():
+            values = [r[mine] for r in got.select(mine).collect()]
+            assert values[-1] is not None and values == [None if r[theirs] is None else pytest.approx(r[theirs], rel=1e-9, abs=1e-9) for r in rows]

@@ -383,3 +383,30 @@ LEFT JOIN q ON q.symbol = b.symbol AND q.rn = b.rn LEFT JOIN f ON f.symbol = b.s
 )
 def trix_ppo(spark: SparkSession, folder: str) -> DataFrame:
     return shown(K.trix_ppo(hourly(spark, folder)), trix="trix", ppo="ppo")
+
+
+_ALL = ", ".join(
+    [
+        _TR, "y AS (SELECT *, (high + low + close) / 3 AS tp FROM t)",
+        *[recursion(f"e{n}", "t", "close", 2 / (n + 1), n) for n in (20, 50, 200)], recursion("a", "t", "tr", 1 / 14, 14), recursion("w", "t", "tr", 1 / 10, 10), recursion("k", "y", "tp", 2 / 21, 1),
+        recursion("u", "t", "up", 1 / 14, 14, 1), recursion("d", "t", "dn", 1 / 14, 14, 1), recursion("f", "t", "close", 2 / 13, 12, 14), recursion("s", "t", "close", 2 / 27, 26),
+        "m AS (SELECT symbol, s.rn - 25 AS rn, f.y - s.y AS macd FROM s JOIN f USING (symbol, rn))", recursion("g", "m", "macd", 2 / 10, 9),
+    ]
+)
+
+
+@query(
+    _sql(
+        f"""SELECT t.symbol, t.ts_s, {r('e20.y')} AS ema20, {r('e50.y')} AS ema50, {r('e200.y')} AS ema200, {r('a.y')} AS atr14, {r('100 * a.y / nullif(close, 0)')} AS natr14, {r('100 * u.y / nullif(u.y + d.y, 0)')} AS rsi14, {r('m.macd')} AS macd, {r('g.y')} AS macd_signal,
+  {r('k.y')} AS kc_middle, {r('k.y + 2 * w.y')} AS kc_upper, {r('k.y - 2 * w.y')} AS kc_lower FROM t {' '.join(f'LEFT JOIN {c} ON {c}.symbol = t.symbol AND {c}.rn = t.rn' for c in ('e20', 'e50', 'e200', 'a', 'w', 'k', 'u', 'd'))}
+  LEFT JOIN m ON m.symbol = t.symbol AND m.rn = t.rn - 25 LEFT JOIN g ON g.symbol = t.symbol AND g.rn = t.rn - 25""",
+        more=_ALL,
+        recursive=True,
+    )
+)
+def prepared_recursive(spark: SparkSession, folder: str) -> DataFrame:
+    """The recursive groups of the prepared frame."""
+    from tidemark.plans.prepare import RECURSIVE, prepare
+
+    columns = ("ema20", "ema50", "ema200", "atr14", "natr14", "rsi14", "macd", "macd_signal", "kc_middle", "kc_upper", "kc_lower")
+    return shown(prepare(hourly(spark, folder), RECURSIVE), **{c: c for c in columns})

@@ -1,4 +1,4 @@
-"""The prepared frame: all rolling columns of a set of groups over bars of all symbols in one plan.
+"""The prepared frame: rolling and recursive columns of a set of groups over bars of all symbols in one plan.
 
 Groups name column builders; a group's needs are resolved before building, and
 what the caller doesn't select is pruned by the optimizer.
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import clip, ratio
+from tidemark.operators import recursive as K
 from tidemark.operators import windows as R
 
 Builder = Callable[[DataFrame], DataFrame]
@@ -43,9 +44,14 @@ def resolved(names: Iterable[str]) -> list[str]:
 
 
 def prepare(bars: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    for name in resolved(GROUPS if names is None else names):
+    """bars with the columns of the groups (all) and of what they need; one exchange by symbol."""
+    # Recursive groups sort by runs, so they come while rows are narrow.
+    for name in resolved([*RECURSIVE, *GROUPS] if names is None else names):
         bars = GROUPS[name][1](bars)
-    return bars
+    return bars.drop(*[c for c in bars.columns if c.startswith("__")])
+
+
+RECURSIVE = ("rsi", "atr", "adx", "macd", "keltner")
 
 
 @group("returns")
@@ -132,6 +138,52 @@ def _order_flow(df: DataFrame) -> DataFrame:
     return df.withColumn("signed_order_flow", (clip("delta_ratio", 0, 1) - 0.5) * 2)
 
 
+@group("smoothed")
+def _smoothed(df: DataFrame) -> DataFrame:
+    """The inputs of the recursive groups: averages of the close, of the typical price, of ranges and of moves; what no group shows is pruned."""
+    step, up, down = F.col("close") - R.lag("close"), F.col("high") - R.lag("high"), R.lag("low") - F.col("low")
+    given = df.withColumns({
+        "__tp": (F.col("high") + F.col("low") + F.col("close")) / 3, "__tr": R.true_range(), "__up": F.greatest(step, step * 0), "__down": F.greatest(-step, step * 0), "__r": F.when(up.isNotNull(), R.true_range()),
+        "__p": F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)), "__m": F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)),
+    })
+    averages = {f"ema{n}": K.ema_series("close", n) for n in (20, 50, 200)} | {"__fast": K.ema_series("close", 12, 14), "__slow": K.ema_series("close", 26)}
+    ranges = {"atr14": K.wilder_series("__tr", 14), "__reach": K.wilder_series("__tr", 10), "kc_middle": K.Smooth("__tp", 2 / 21)}
+    out = K.smoothed(given, averages | ranges)
+    return K.smoothed(out, {"__u": K.wilder_series("__up", 14), "__d": K.wilder_series("__down", 14), "__t": K.wilder_series("__r", 14), "__pu": K.wilder_series("__p", 14), "__md": K.wilder_series("__m", 14)})
+
+
+@group("rsi", "smoothed")
+def _rsi(df: DataFrame) -> DataFrame:
+    both = F.col("__u") + F.col("__d")
+    df = df.withColumn("rsi14", F.when(both > 0, 100 * F.col("__u") / both))
+    top, bottom = R.rolling(F.max, "rsi14", 14), R.rolling(F.min, "rsi14", 14)
+    return df.withColumn("stoch_rsi14", F.coalesce(ratio(F.col("rsi14") - bottom, top - bottom), F.lit(0.5)))
+
+
+@group("atr", "smoothed")
+def _atr(df: DataFrame) -> DataFrame:
+    return df.withColumn("natr14", 100 * F.try_divide("atr14", "close"))
+
+
+@group("adx", "smoothed")
+def _adx(df: DataFrame) -> DataFrame:
+    df = df.withColumns({"plus_di14": F.try_divide(100 * F.col("__pu"), "__t"), "minus_di14": F.try_divide(100 * F.col("__md"), "__t")})
+    p, m = F.col("plus_di14"), F.col("minus_di14")
+    df = df.withColumn("__dx", F.when(p + m > 0, 100 * F.abs(p - m) / (p + m)).when(F.col("__t").isNotNull(), 0.0))
+    return K.smoothed(df, {"adx14": K.wilder_series("__dx", 14)})
+
+
+@group("macd", "smoothed")
+def _macd(df: DataFrame) -> DataFrame:
+    df = K.smoothed(df.withColumn("macd", F.col("__fast") - F.col("__slow")), {"macd_signal": K.ema_series("macd", 9)})
+    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+
+
+@group("keltner", "smoothed")
+def _keltner(df: DataFrame) -> DataFrame:
+    return df.withColumns({"kc_upper": F.col("kc_middle") + 2 * F.col("__reach"), "kc_lower": F.col("kc_middle") - 2 * F.col("__reach")})
+
+
 @group("sessions")
 def _sessions(df: DataFrame) -> DataFrame:
     hour = F.pmod(F.floor(F.unix_seconds("ts") / 3600), F.lit(24))
