@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from tidemark.sources.tables import cut
+
 LINES = "line string, log string, at long"
 #: Bytes of one task, and of the part of a file in which its first line must end.
 TASK_BYTES, HEAD_BYTES = 64 << 20, 1 << 20
@@ -193,7 +195,7 @@ def resume(rows: DataFrame, path: str, by: str = "symbol", on: str = "ts") -> Da
         if getattr(e, "getCondition", lambda: "")() != "PATH_NOT_FOUND":
             raise
         stored = spark.createDataFrame([], rows.schema)
-    fresh = newer(rows, stored, by, on).checkpoint()  # what is stored changes under it
+    fresh = cut(newer(rows, stored, by, on))  # what is stored changes under it
     fresh.write.mode("append").parquet(path)
     return fresh
 
