@@ -4,7 +4,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.operators import legs as L
 from tidemark.operators import lines as N

@@ -10,7 +10,7 @@ from tidemark.operators import multiframe as M
 from tidemark.operators import windows as R
 from tidemark.plans.market import _sql, hourly, shown
 from tidemark.plans.registry import query
-from tidemark.plans.sql import LINE, over, r, recursion
+from tidemark.plans.sql import over, r, recursion
 from tidemark.sources.tables import table
 
 WIDTHS = {"quick": 900, "h2": 7200, "h4": 14400, "h6": 21600}
