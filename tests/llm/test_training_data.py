@@ -586,6 +586,21 @@ def test_recall(spark):
         assert not hit or hit[0] == pytest.approx(s, abs=1e-9)
 
 
+def test_nearest_in_tight_clusters_and_among_rows_unlike_the_sample(spark, monkeypatch):
+    # Rows closer to one another than to their codes, and a few rows that the codebooks never saw.
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(3, 48)), 700, axis=0) + 1e-3 * rng.normal(size=(2100, 48))
+    x[::30] = 4 * rng.normal(size=(70, 48)) * np.exp(rng.normal(size=(70, 1)))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ann, "ROW_BLOCK", 600)
+    got = ann.nearest(df.where("vec_id % 20 = 0"), df, 20, fit_rows=64).collect()
+    exact = x.astype(np.float64) @ x.astype(np.float64).T
+    want = {(q, i) for q in range(0, 2100, 20) for i in [i for i in np.lexsort((np.arange(2100), -exact[q])) if i != q][:20]}
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    assert len(got) == len(found) == len(want) and len(found & want) / len(want) >= 0.999
+
+
 def test_nearest_of_few(spark):
     rows, df = vectors(spark, 6, 4)
     got = ann.nearest(df.where("vec_id = 0"), df, 20).collect()
