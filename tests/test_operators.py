@@ -317,6 +317,27 @@ def test_clusters_against_one_fold(spark):
         assert got == want
 
 
+def test_a_head_at_price_zero(spark):
+    from tidemark.operators import figures
+
+    # Pivot lows 10, 0, 10 with two pivot highs between; a pivot low of 0 as a left shoulder too.
+    lows = [20.0, 20.0, 20.0, 10.0, 21.0, 30.0, 20.0, 21.0, 0.0, 22.0, 30.0, 21.0, 20.0, 10.0, 21.0, 30.0, 22.0, 20.0, 0.0, 30.0]
+    rows = [("A", T0 + dt.timedelta(hours=i), x, x, x, x) for i, x in enumerate(lows)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double")
+    got = figures.head_and_shoulders(df).where("side = 'long'").collect()
+    assert [(r["left"], r["head"], r["right"]) for r in got] == [(10.0, 0.0, 10.0)]
+
+
+def test_trades_of_one_id_have_one_order(spark):
+    from tidemark.operators import ledger
+
+    # Two trades of id 1 close at one time; only one of them is among the last two before trade 3.
+    rows = [(1, "A", "long", T0, T0, -5.0), (1, "A", "long", T0, T0, -7.0), (2, "A", "long", T0, T0, -5.0), (3, "A", "long", T0, T0, 1.0)]
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        df = spark.createDataFrame(order, "trade_id long, symbol string, direction string, opened_at timestamp, closed_at timestamp, r double").coalesce(1)
+        assert [(r["trade_id"], r["before"]) for r in ledger.repeat_losers(df, 2, -9.0).orderBy("trade_id").collect()] == [(2, -12.0), (3, -10.0)]
+
+
 def test_burst_counts_over_cell_borders(spark):
     from tidemark.operators import book
 

@@ -87,8 +87,10 @@ def head_and_shoulders(bars: DataFrame, n: int = 150, scan: int = SCAN, lean: fl
     left, head, right = F.col("price"), F.col("head"), F.col("right")
     top = F.greatest(left, right)
     bottom = F.least(left, right)
-    stands = F.when(F.col("kind") == "high", (head > top) & ((head - top) / top >= PROMINENCE)).otherwise((head < bottom) & ((bottom - head) / head >= PROMINENCE))
-    t = t.where((left > 0) & (right > 0) & stands & (F.abs(right - left) / left <= SHOULDERS))
+    # A price of 0 divides nothing: below a positive shoulder it stands out by any share; shoulders of 0 are no shoulders.
+    deep = (head == 0) | (F.try_divide(bottom - head, head) >= PROMINENCE)
+    stands = F.when(F.col("kind") == "high", (head > top) & (F.try_divide(head - top, top) >= PROMINENCE)).otherwise((head < bottom) & deep)
+    t = t.where((left > 0) & (right > 0) & stands & (F.try_divide(F.abs(right - left), left) <= SHOULDERS))
     t = t.select("symbol", "kind", F.col("i").alias("left_i"), F.col("price").alias("left"), "head", "right", "right_i")
     neck = p.where("price > 0").select(F.col("symbol").alias("__s"), F.col("i").alias("__i"), F.col("kind").alias("__k"), F.col("price").alias("__p"))
     met = t.join(neck, (F.col("symbol") == F.col("__s")) & (F.col("kind") != F.col("__k")) & (F.col("__i") > F.col("left_i")) & (F.col("__i") < F.col("right_i")))
