@@ -94,9 +94,10 @@ def trimmed_mean(trades: DataFrame, key: str, value: str, cut: float = 0.1, slac
 def repeat_losers(trades: DataFrame, lookback: int, floor: float) -> DataFrame:
     """Trades opened while the symbol's last `lookback` closed results in that direction sum below the floor.
 
-    Results are summed in whole millionths, so that the sum doesn't depend on its order.
+    Results are summed in whole millionths, so that the sum doesn't depend on its order. Trades of one id closed at
+    one time stand in the order of their opening and results, so that the rows before a trade are always the same.
     """
-    w = W.partitionBy("symbol", "direction").orderBy("closed_at", "trade_id").rowsBetween(-lookback, -1)
+    w = W.partitionBy("symbol", "direction").orderBy("closed_at", "trade_id", "opened_at", "r").rowsBetween(-lookback, -1)
     millionths = F.round(F.col("r") * 1_000_000).cast("long")
     summed = trades.withColumns({"__sum": F.sum(millionths).over(w), "seen": F.count("r").over(w)}).where((F.col("seen") == lookback) & (F.col("__sum") < round(floor * 1_000_000)))
     return summed.withColumn("before", F.col("__sum") / 1_000_000).drop("__sum")
