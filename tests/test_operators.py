@@ -257,6 +257,16 @@ def test_bootstrap_covers_the_mean(spark):
     assert r["lo"] < r["mean"] < r["hi"] and r["hi"] - r["lo"] < 1
 
 
+def test_bootstrap_draws_by_value(spark):
+    # A billion draws if each row drew; the values do, and the partitioning doesn't change the result.
+    df = spark.range(200_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 11 > 0, (F.col("id") % 11).cast("double")).alias("v"))
+    one, many = (sorted(map(tuple, stats.bootstrap_interval(d, "k", "v", 5000).collect())) for d in (df.coalesce(1), df.repartition(7)))
+    assert [[round(x, 9) for x in r] for r in one] == [[round(x, 9) for x in r] for r in many]
+    for _, mean, lo, hi in one:
+        half = 1.96 * (99 / 12 / (100_000 * 10 / 11)) ** 0.5
+        assert mean == pytest.approx(5.5, abs=1e-3) and lo == pytest.approx(mean - half, abs=half / 10) and hi == pytest.approx(mean + half, abs=half / 10)
+
+
 def test_zones_do_not_overlap(spark):
     rows = []
     for i in range(40):

@@ -24,6 +24,22 @@ def cumulated(rows: DataFrame, key: str, value: str, *sums: Column, parts: int =
     return placed.withColumn("__to", inside).join(before, [key, "__part"]).withColumn("below", F.col("__base") + F.col("__to") - F.col("n")).drop("__part", "__base", "__to")
 
 
+def trailing_sums(rows: DataFrame, keys: list[str], at: str, span: int, value: Column) -> DataFrame:
+    """keys, at, total: for each place `at` (whole numbers) of a key, the sum of `value` over the places in (at - span, at].
+
+    Values are summed by place first. A sum enters at its place and leaves `span` later, so a running sum within
+    stretches of one span is enough: it begins with the stretch before, whose sums all leave in this one. No frame
+    slides over rows, so the work doesn't grow with the rows in a span. Rows without a place don't count.
+    """
+    sums = rows.where(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.coalesce(F.sum(value), F.lit(0)).alias("__in"))
+    enter = sums.select(*keys, at, F.col("__in").alias("__move"), F.lit(0).cast("long").alias("__leave"))
+    leave = sums.select(*keys, (F.col(at) + span).alias(at), (-F.col("__in")).alias("__move"), F.col("__in").alias("__leave"))
+    moves = enter.withColumn("__own", F.lit(True)).unionAll(leave.withColumn("__own", F.lit(False)))
+    stretch = W.partitionBy(*keys, F.col(at) - F.pmod(F.col(at), F.lit(span)))
+    total = F.sum("__leave").over(stretch) + F.sum("__move").over(stretch.orderBy(at).rangeBetween(W.unboundedPreceding, 0))
+    return moves.withColumn("total", total).where("__own").select(*keys, at, "total")
+
+
 def quantiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """key and one column per share: exact quantiles, between neighbouring values by distance."""
     c = cumulated(rows, key, value)
@@ -94,12 +110,21 @@ def pearson(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(*figures).select(key, F.inline(listed))
 
 
+#: Ranks of up to so many different values of a column are sent to the rows; beyond, both meet by a shuffle.
+BROADCAST_VALUES = 100_000
+
+
 def spearman(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """a, b, rho per key for all pairs of columns: correlation of average ranks (of the rows where the column is not NULL)."""
-    ranked = rows
-    for c in columns:
+    """a, b, rho per key for all pairs of columns: correlation of average ranks (of the rows where the column is not NULL).
+
+    The different values of each column are counted (about) first: rows travel only for columns of many values.
+    """
+    ranked = rows.select(key, *columns)
+    many = rows.agg(*[F.approx_count_distinct(F.struct(key, c)).alias(f"__{i}") for i, c in enumerate(columns)]).first()
+    few = {c: many[i] <= BROADCAST_VALUES for i, c in enumerate(columns)}
+    for c in sorted(columns, key=lambda c: not few[c]):
         met = cumulated(rows, key, c).select(F.col(key).alias("__k"), F.col(c).alias("__v"), (F.col("below") + (F.col("n") + 1) / 2).alias(f"__r_{c}"))
-        ranked = ranked.join(met, (F.col(key) == F.col("__k")) & (F.col(c) == F.col("__v")), "left").drop("__k", "__v")
+        ranked = ranked.join(F.broadcast(met) if few[c] else met, (F.col(key) == F.col("__k")) & (F.col(c) == F.col("__v")), "left").drop("__k", "__v", c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     wide = ranked.groupBy(key).agg(*[correlation(F.col(f"__r_{a}"), F.col(f"__r_{b}")).alias(f"{a}|{b}") for a, b in pairs])
     long = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("rho")) for a, b in pairs])
@@ -151,35 +176,42 @@ def cosine(a: str, b: str) -> Column:
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def bootstrap_interval(rows: DataFrame, key: str, value: str, resamples: int = 20_000, seed: int = 1, chunk: int = 256) -> DataFrame:
+def bootstrap_interval(rows: DataFrame, key: str, value: str, resamples: int = 20_000, seed: int = 1) -> DataFrame:
     """key, mean, lo, hi (95 %) by Poisson bootstrap over `resamples` resamples.
 
-    A resample weighs each row by a Poisson(1) count. Each task draws for the rows it holds, and keeps per key one
-    weighted sum and one weight for each resample, in numpy; a sum over tasks combines them. Rows that are equal draw
-    apart, by their place in the partition. The seed fixes the result for a given partitioning.
+    A resample weighs each row by a Poisson(1) count. The counts of n equal rows add up to a Poisson(n) count, so rows
+    are counted by value first and each different value draws once a resample: the work grows with the values, not
+    with the rows. Values are dealt to tasks; a task keeps one weighted sum and one weight for each resample of the key
+    at hand, and a sum over tasks combines them. A value's draws follow from the seed, the value and its count, so the
+    result doesn't depend on the partitioning.
     """
     import numpy as np
     import pandas as pd
 
     def drawn(batches):
-        from pyspark import TaskContext
+        key, total = None, None
+
+        def listed():
+            return pd.DataFrame({"__key": [key] * resamples, "b": np.arange(resamples), "s": total[0], "w": total[1]})
 
-        rng = np.random.Generator(np.random.PCG64([seed, TaskContext.get().partitionId()]))
-        sums: dict = {}
         for pdf in batches:
-            for k, v in pdf.groupby("__key", dropna=False)["__value"]:
-                total = sums.setdefault(k, np.zeros((2, resamples)))
-                for at in range(0, len(v), chunk):
-                    x = v.to_numpy(np.float64)[at : at + chunk]
-                    w = rng.poisson(1.0, (len(x), resamples)).astype(np.float32)
-                    total[0] += x @ w
-                    total[1] += w.sum(axis=0)
-        for k, total in sums.items():
-            yield pd.DataFrame({"__key": k, "b": np.arange(resamples), "s": total[0], "w": total[1]})
+            for k, v, n, h in zip(pdf["__key"], pdf["__value"], pdf["__n"], pdf["__hash"], strict=True):
+                if total is None or k != key:
+                    if total is not None:
+                        yield listed()
+                    key, total = k, np.zeros((2, resamples))
+                w = np.random.Generator(np.random.SFC64([seed, h & (2**64 - 1)])).poisson(float(n), resamples)
+                total[0] += v * w
+                total[1] += w
+        if total is not None:
+            yield listed()
 
     kind = rows.schema[key].dataType.simpleString()
     given = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(value).cast("double").alias("__value"))
-    parts = given.mapInPandas(drawn, f"__key {kind}, b int, s double, w double")
+    counts = given.groupBy("__key", "__value").agg(F.count("*").alias("__n"))
+    # A set number of partitions: a few bytes of values are much work, which must not be put together.
+    dealt = counts.withColumn("__hash", F.xxhash64("__key", "__value")).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "__key", "__value").sortWithinPartitions("__key", "__value")
+    parts = dealt.mapInPandas(drawn, f"__key {kind}, b int, s double, w double")
     means = parts.groupBy("__key", "b").agg(ratio(F.sum("s"), F.sum("w")).alias("m"))
     interval = means.groupBy("__key").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi")).withColumnRenamed("__key", key)
     return rows.groupBy(key).agg(F.avg(value).alias("mean")).join(interval, key)
