@@ -246,6 +246,23 @@ def test_equity_skips_over_the_cap_and_draws_down(spark):
     assert got[-1]["equity"] == pytest.approx(9400.0) and got[-1]["drawdown"] == pytest.approx(-0.06)
 
 
+def test_equity_of_many_accounts_in_one_task(spark):
+    # Trades of one id and opening have one order too, however the rows arrive; batches end within accounts.
+    rows = [(f"a{i}", 1, 0, 10 + j, r) for i in range(30) for j, r in enumerate((-1.0, 2.0))] + [(f"a{i}", 2, 20, 30, 1.0) for i in range(30)] + [(None, 1, 0, 10, 1.0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        runs = []
+        for order in (rows, rows[::-1]):
+            df = spark.createDataFrame(order, "account string, trade_id long, opened long, closed long, r double").coalesce(1)
+            out = K.equity_curve(df)
+            assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+            runs.append([tuple(r) for r in out.orderBy("account", "trade_id", "equity").collect()])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert runs[0] == runs[1] and len(runs[0]) == 91
+    assert all(r[3] == pytest.approx(10_000 - 100 + 200) for r in runs[0] if r[1] == 2)
+
+
 def test_constant_series_has_no_z(spark):
     df = spark.range(40).select(F.lit("a").alias("k"), F.lit(5.0).alias("v"), F.col("id").alias("t"))
     assert stats.robust_z(df, "k", "v", "t").first()["z"] is None

@@ -17,11 +17,12 @@ and the recursion goes on after them.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -316,27 +317,35 @@ def equity_curve(trades: DataFrame, risk: float = 0.01, most_at_risk: float = 0.
     """trade_id, taken, equity, drawdown: trades in order of opening, each risking a share of the equity then held.
 
     A trade is skipped while open trades risk `most_at_risk` together. The state is
-    one account's, so the kernel needs one sequence: an account's closed trades,
-    not market data. Accounts (column `account`) run in parallel.
+    one account's, so it needs one sequence: an account's closed trades, not market
+    data. Accounts (column `account`) are dealt to tasks, each sorted by account and
+    opening; a task walks through its rows once and holds one account's open trades,
+    so many small accounts cost no more than a few large ones.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["opened", "trade_id"], kind="stable")
-        equity = peak = start
-        held: list[tuple[int, int, float, float]] = []
-        out = []
-        for t in pdf.itertuples(index=False):
-            for x in sorted(h for h in held if h[0] <= t.opened):
-                equity += x[3]
-                peak = max(peak, equity)
-            held = [h for h in held if h[0] > t.opened]
-            taken = len(held) * risk + risk <= most_at_risk + 1e-12
-            if taken:
-                held.append((t.closed, t.trade_id, risk, t.r * risk * equity))
-            out.append((t.account, t.trade_id, int(taken), equity, equity / peak - 1))
-        return pd.DataFrame(out, columns=["account", "trade_id", "taken", "equity", "drawdown"])
-
-    return trades.select("account", "trade_id", "opened", "closed", "r").groupBy("account").applyInPandas(run, "account string, trade_id long, taken int, equity double, drawdown double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        account, known = None, False
+        for batch in batches:
+            taken, worth, down = [], [], []
+            names = batch.column("account").to_pylist()
+            for a, opened, trade_id, closed, r in zip(names, *[batch.column(c).to_pylist() for c in ("opened", "trade_id", "closed", "r")], strict=True):
+                if not known or a != account:
+                    account, known, equity, peak, held = a, True, start, start, []
+                if held and min(held)[0] <= opened:
+                    for x in sorted(h for h in held if h[0] <= opened):
+                        equity += x[3]
+                        peak = max(peak, equity)
+                    held = [h for h in held if h[0] > opened]
+                takes = len(held) * risk + risk <= most_at_risk + 1e-12
+                if takes:
+                    held.append((closed, trade_id, risk, r * risk * equity))
+                taken.append(int(takes))
+                worth.append(equity)
+                down.append(equity / peak - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("account"), batch.column("trade_id"), pa.array(taken, pa.int32()), pa.array(worth, pa.float64()), pa.array(down, pa.float64())], names=["account", "trade_id", "taken", "equity", "drawdown"])
+
+    sequences = trades.select("account", "trade_id", "opened", "closed", "r").repartition("account").sortWithinPartitions("account", "opened", "trade_id", "closed", "r")
+    return sequences.mapInArrow(run, "account string, trade_id long, taken int, equity double, drawdown double")
 
 
 def kdj(bars: DataFrame, n: int = 9) -> DataFrame:
