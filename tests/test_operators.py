@@ -373,6 +373,60 @@ def test_burst_counts_over_cell_borders(spark):
     assert [r["in_burst"] for r in got] == [1, 2, 2, 3, 1]
 
 
+def test_trailing_sums_without_sliding_frames(spark):
+    from tidemark.operators import book, ledger
+
+    rng = np.random.default_rng(14)
+    at, flag = rng.integers(0, 40_000, 500) * 7, rng.integers(0, 3, 500)
+    rows = [(i, "A" if i % 3 else None, "long", T0 + dt.timedelta(seconds=int(a)), float(f) - 1 if f else None) for i, (a, f) in enumerate(zip(at, flag, strict=True))]
+    df = spark.createDataFrame(rows, "signal_id long, symbol string, direction string, closed_at timestamp, net_pct double")
+    signals = df.withColumn("ts", F.col("closed_at"))
+    capped, losing = book.within_caps(signals, 2, 4, 900), ledger.loss_streak(df, 2, 1)
+    assert "specifiedwindowframe(RangeFrame, -" not in (capped._jdf.queryExecution().toString() + losing._jdf.queryExecution().toString())
+    assert {r["signal_id"]: r["in_burst"] for r in capped.collect()} == {i: sum(a - 900 < b <= a for b in at) for i, a in enumerate(at)}
+    want = {i: sum(a - 7200 < b <= a and (j % 3 > 0) == (i % 3 > 0) and (rows[j][4] or 0) < 0 for j, b in enumerate(at)) for i, a in enumerate(at)}
+    assert {r["signal_id"]: r["losses"] for r in losing.collect()} == {i: n for i, n in want.items() if n}
+
+
+def test_spearman_sends_ranks_of_few_values_to_the_rows(spark, monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(15)
+    x = rng.integers(0, 5, 400)
+    pdf = pd.DataFrame({"k": np.where(np.arange(400) % 2, "a", "b"), "x": x, "y": x + rng.normal(size=400), "z": rng.integers(0, 3, 400)})
+    df = spark.createDataFrame([(k, float(a), float(b) if i % 7 else None, float(c)) for i, (k, a, b, c) in enumerate(pdf.itertuples(index=False))], "k string, x double, y double, z double")
+    pdf.loc[pdf.index % 7 == 0, "y"] = np.nan
+    for bound in (100_000, 20):
+        monkeypatch.setattr(stats, "BROADCAST_VALUES", bound)
+        out = stats.spearman(df, "k", ["x", "y", "z"])
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == (3 if bound > 20 else 2)
+        for r in out.collect():
+            part = pdf[pdf["k"] == r["k"]].copy()
+            ranks = part[[r["a"], r["b"]]].rank().dropna()
+            assert r["rho"] == pytest.approx(np.corrcoef(ranks[r["a"]], ranks[r["b"]])[0, 1], abs=1e-9)
+
+
+def test_clusters_of_one_dense_line_are_folded_in_batches(spark):
+    # No gap wider than the tolerance: one island; neither a window nor a group holds it.
+    prices = [100 * 1.0005**i for i in range(3000)]
+    points = spark.createDataFrame([(k, p, 1.0) for k in ("A", None) for p in prices], "symbol string, price double, weight double")
+    out = Y.clusters(points, ["symbol"], 0.003, "anchor")
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "Window" not in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = out.orderBy("symbol", "lo").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, first = [], None
+    for p in prices:
+        if first is None or p > first * 1.003:
+            first = p
+            want.append([p, 0])
+        want[-1][1] += 1
+    assert [(r["anchor"], r["n"]) for r in got] == 2 * [tuple(w) for w in want] and sum(r["weight"] for r in got) == 6000
+
+
 def test_cusum_follows_adjusted_mean(spark):
     import pandas as pd
 

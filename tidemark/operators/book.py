@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ratio
+from tidemark.operators.stats import trailing_sums
 from tidemark.operators.zones import clusters
 
 
@@ -43,16 +44,13 @@ def vanished(history: DataFrame, now_sample: Column, samples: int = 3, keep: flo
 def within_caps(signals: DataFrame, per_day: int, burst: int, burst_s: int) -> DataFrame:
     """Signals (signal_id, symbol, direction, ts) with whether the day's cap of their symbol and direction and the burst cap over all still leave room.
 
-    The burst cap looks at all symbols, so time is cut into stretches of burst_s: a
-    signal counts those of its own and the stretch before, and no window holds more.
+    The burst cap looks at all symbols; its counts are trailing sums by time, which no single task makes.
     """
     day = F.floor(F.unix_seconds("ts") / 86_400)
     nth = F.row_number().over(W.partitionBy("symbol", "direction", day).orderBy("ts", "signal_id"))
-    cell = F.floor(F.unix_seconds("ts") / burst_s)
-    near = signals.select("signal_id", F.unix_micros("ts").alias("t"), F.explode(F.array(cell, cell + 1)).alias("cell"), cell.alias("own"))
-    w = W.partitionBy("cell").orderBy("t").rangeBetween(-burst_s * 1_000_000 + 1, 0)
-    counted = near.withColumn("n", F.count("*").over(w)).where("cell = own").groupBy("signal_id").agg(F.max("n").alias("in_burst"))
-    return signals.withColumn("nth", nth).join(counted, "signal_id").withColumns({"day_ok": F.col("nth") <= per_day, "burst_ok": F.col("in_burst") <= burst})
+    timed = signals.withColumn("__t", F.unix_micros("ts"))
+    counted = trailing_sums(timed, [], "__t", burst_s * 1_000_000, F.lit(1)).withColumnRenamed("total", "in_burst")
+    return timed.withColumn("nth", nth).join(counted, "__t").drop("__t").withColumns({"day_ok": F.col("nth") <= per_day, "burst_ok": F.col("in_burst") <= burst})
 
 
 def merged_ladder(levels: DataFrame, key: str = "symbol", tolerance: float = 0.015) -> DataFrame:
