@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.beta import beta_quantile
 
 from tidemark.functions.scalar import ratio
-from tidemark.operators.stats import quantiles, wilson
+from tidemark.operators.stats import quantiles, trailing_sums, wilson
 from tidemark.sources.tables import instant
 
 
@@ -105,8 +105,10 @@ def repeat_losers(trades: DataFrame, lookback: int, floor: float) -> DataFrame:
 
 def loss_streak(trades: DataFrame, hours: int, least: int) -> DataFrame:
     """Trades closed with at least `least` losses of the symbol in the hours up to them, their own included."""
-    w = W.partitionBy("symbol").orderBy(F.unix_seconds("closed_at")).rangeBetween(-hours * 3600 + 1, 0)
-    return trades.withColumn("losses", F.sum((F.col("net_pct") < 0).cast("int")).over(w)).where(F.col("losses") >= least)
+    timed = trades.withColumn("__at", F.unix_seconds("closed_at"))
+    lost = trailing_sums(timed, ["symbol"], "__at", hours * 3600, (F.col("net_pct") < 0).cast("int")).where(F.col("total") >= least)
+    lost = lost.select(F.col("symbol").alias("__symbol"), F.col("__at").alias("__then"), F.col("total").alias("losses"))
+    return timed.join(lost, F.col("symbol").eqNullSafe(F.col("__symbol")) & (F.col("__at") == F.col("__then"))).drop("__at", "__symbol", "__then")
 
 
 def best_candidates(candidates: DataFrame) -> DataFrame:
