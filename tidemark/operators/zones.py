@@ -1,14 +1,14 @@
 """Clusters of prices and accumulation zones.
 
-A cluster is a fold along sorted prices. Where two neighbours are further apart
-than the tolerance a new cluster begins whatever came before, so the line is cut
-there into islands, which are folded side by side.
+A cluster is a fold along sorted prices: a task has its keys' prices in order and
+passes through them once.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,35 +18,34 @@ def clusters(points: DataFrame, keys: list[str], tolerance: float, by: str = "me
     """keys, lo, hi, mean, anchor, n, weight of each cluster. points: keys, price, weight (and count, if given).
 
     A price joins the cluster below it while it is within tolerance (a share) of its mean, or of its first price
-    (by="anchor"). Equal prices are summed before they meet.
+    (by="anchor"). Equal prices are summed before they meet. A task walks once through its keys' prices in order and
+    holds the cluster at hand, so neither a dense line of prices nor many small clusters take memory.
     """
     count = F.sum("count") if "count" in points.columns else F.count("*")
-    merged = points.where("price IS NOT NULL").groupBy(*keys, "price").agg(F.sum("weight").alias("weight"), count.cast("long").alias("count"))
-    line = W.partitionBy(*keys).orderBy("price")
-    apart = F.coalesce(F.col("price") > F.lag("price").over(line) * (1 + tolerance), F.lit(False)).cast("int")
-    cut = merged.withColumn("__apart", apart).withColumn("island", F.sum("__apart").over(line.rowsBetween(W.unboundedPreceding, 0))).drop("__apart")
-    whole = W.partitionBy(*keys, "island")
-    # Most islands are one cluster: they span no more than the tolerance, and need no fold.
-    sized = cut.withColumns({"__lo": F.min("price").over(whole), "__hi": F.max("price").over(whole)})
-    narrow = F.col("__hi") <= F.col("__lo") * (1 + tolerance)
-    anchored = {"lo": F.min("price"), "hi": F.max("price"), "mean": F.sum(F.col("price") * F.col("count")) / F.sum("count"), "anchor": F.min("price"), "n": F.sum("count"), "weight": F.sum("weight")}
-    simple = sized.where(narrow).groupBy(*keys, "island").agg(*[v.alias(k) for k, v in anchored.items()]).drop("island")
+    merged = points.where("price IS NOT NULL").groupBy(*keys, F.col("price").cast("double").alias("price")).agg(F.sum("weight").cast("double").alias("weight"), count.cast("long").alias("count"))
+    names = [*keys, "lo", "hi", "mean", "anchor", "n", "weight"]
+    kinds = [points.schema[k].dataType for k in keys]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("price", kind="stable")
-        price, count, weight = (pdf[c].to_numpy(np.float64) for c in ("price", "count", "weight"))
-        out, a, total, n = [], 0, 0.0, 0.0
-        for i in range(len(price) + 1):
-            if i == len(price) or (i > a and price[i] > (total / n if by == "mean" else price[a]) * (1 + tolerance)):
-                out.append((*[pdf[k].iat[0] for k in keys], price[a], price[i - 1], total / n, price[a], int(n), weight[a:i].sum()))
-                a, total, n = i, 0.0, 0.0
-            if i < len(price):
-                total, n = total + price[i] * count[i], n + count[i]
-        return pd.DataFrame(out, columns=[*keys, "lo", "hi", "mean", "anchor", "n", "weight"])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, types = None, None
+        for batch in batches:
+            types = types or [batch.schema.field(k).type for k in keys] + [pa.float64()] * 4 + [pa.int64(), pa.float64()]
+            out = []
+            lists = [batch.column(c).to_pylist() for c in (*keys, "price", "weight", "count")]
+            for key, price, w, c in zip(zip(*lists[:-3], strict=True), *lists[-3:], strict=True):
+                if at is None or key != at or price > (total / n if by == "mean" else first) * (1 + tolerance) or price != price:
+                    if at is not None:
+                        out.append((*at, first, last, total / n, first, n, weight))
+                    at, first, total, n, weight = key, price, 0.0, 0, None
+                total, n, last = total + price * c, n + c, price
+                weight = w if weight is None else weight if w is None else weight + w
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*at, first, last, total / n, first, n, weight), types, strict=True)], names=names)
 
-    schema = "".join(f"`{k}` {points.schema[k].dataType.simpleString()}, " for k in keys) + "lo double, hi double, mean double, anchor double, n long, weight double"
-    folded = sized.where(~narrow).select(*keys, "island", "price", "count", "weight").groupBy(*keys, "island").applyInPandas(fold, schema)
-    return simple.unionByName(folded)
+    schema = "".join(f"`{k}` {t.simpleString()}, " for k, t in zip(keys, kinds, strict=True)) + "lo double, hi double, mean double, anchor double, n long, weight double"
+    return merged.repartition(*keys).sortWithinPartitions(*keys, "price").mapInArrow(fold, schema)
 
 
 def apart_by_rank(boxes: DataFrame, most: int, *order) -> DataFrame:
