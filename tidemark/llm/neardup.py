@@ -311,8 +311,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     entries = texts.select("digest", "holder", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("digest").alias("first")).where("members > 1")
     buckets = checkpointed(entries.join(shared, "key"))
-    # The texts that share a bucket with another, one row each, as sequences.
-    holders = buckets.groupBy("digest").agg(F.min("holder").alias("__holder"))
+    # The texts that share a bucket with another, one row each with its buckets: so they meet their roots, and as sequences.
+    owned = checkpointed(buckets.groupBy("digest").agg(F.min("holder").alias("__holder"), F.collect_list("key").alias("keys")))
+    holders = owned.select("digest", "__holder")
     held = given.join(holders, "digest").where(F.col("doc_id").eqNullSafe(F.col("__holder"))).select("digest", "__text")
     sequences = checkpointed(held.mapInArrow(tidy(_sequencer), "digest binary, items binary, odd array<long>").dropDuplicates(["digest"]))
 
@@ -335,7 +336,7 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     def parts() -> tuple[DataFrame, DataFrame]:
         """Buckets with their members' roots; of those of several roots the largest, a lead in it, and the number of strays."""
-        placed = buckets.select("key", "digest").join(roots, "digest")
+        placed = owned.select("digest", "keys").join(roots, "digest").select("digest", "root", F.explode("keys").alias("key"))
         sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("digest", F.xxhash64("digest", "key")).alias("lead"))
         most = sizes.groupBy("key").agg(F.max_by(F.struct("root", "lead", "n"), F.struct("n", "root")).alias("main"), F.sum("n").alias("members"))
         return placed, checkpointed(most.select("key", F.col("main.root").alias("main"), F.col("main.lead").alias("lead"), (F.col("members") - F.col("main.n")).alias("strays")).where("strays > 0"))
