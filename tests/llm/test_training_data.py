@@ -552,6 +552,35 @@ def test_pairs_of_large_buckets_meet_by_rare_shingles(spark, monkeypatch, crowd)
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_components_over_several_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2)) if a != b]
+    up = list(range(300))
+    for _ in range(300):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    table = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    for most in (neardup.EDGES, 40):
+        monkeypatch.setattr(neardup, "EDGES", most)
+        rows = neardup.stars(table).collect()
+        assert {r["a"]: r["b"] for r in rows} == {x: y for x, y in enumerate(up) if x != y} and len(rows) == sum(x != y for x, y in enumerate(up))
+
+
+def test_small_tables_have_few_parts(spark):
+    wide = neardup.checkpointed(spark.range(500).repartition(100))
+    assert wide.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and wide.count() == 500
+
+
+def test_first_shingles_of_one_component_are_left_out():
+    items = [np.arange(a, a + 20, dtype=np.uint32) for a in (0, 0, 1000, 1000)]
+    roots = [b"a" * 16, b"a" * 16, b"b" * 16, b"c" * 16]
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes([i]) * 16 for i in range(4)]), pa.array(roots), pa.array([x.tobytes() for x in items])], names=["digest", "root", "items"])
+    none = np.zeros(0, np.uint32), np.zeros(0, np.uint16)
+    got = [r for b in neardup._first_lists(*none, 3)(iter([batch])) for i in range(len(b)) for r in neardup._open_entries(pa.Table.from_batches([b.slice(i, 1)])).to_pylist()]
+    first, n = neardup._first_shingles(items[2], *none)
+    assert sorted((r["digest"][0], r["root"], r["n"], r["place"], r["shingle"]) for r in got) == sorted((i, roots[i], n, p, x) for i in (2, 3) for p, x in enumerate(first.tolist()))
+
+
 def test_parities_leave_no_similar_pair_out():
     rng = np.random.default_rng(5)
     for n in (3, 40, 200, 3000):

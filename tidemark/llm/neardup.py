@@ -55,7 +55,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, gram_hashes, mix, signed, slices, tidy
+from .common import Words, gram_hashes, mix, signed, slices, tidy
+from .common import checkpointed as _checkpointed
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 32, 6
@@ -72,9 +73,23 @@ SAMPLE, SAMPLE_ITEMS, COMMON_FROM, CROWD = 2048, 4096, 3, 2048
 #: The share of n1 + n2 shingles that two similar texts have in common at least (twice), and may differ in at most.
 COMMON, APART = SIMILARITY / (1 + SIMILARITY), (1 - SIMILARITY) / (1 + SIMILARITY)
 
+#: Edges that one task joins at once; more of them are dealt over tasks first, and their stars joined by alternation.
+EDGES = 1 << 16
+#: A text's entry in the list of a first shingle.
+_ENTRY = np.dtype([("shingle", "<u4"), ("n", "<i4"), ("place", "<i4"), ("digest", "<u8", 2), ("root", "<u8", 2)])
+
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 
 
+def _gathered(df: DataFrame) -> DataFrame:
+    """A few parts a core. Of a table that is small against the input: split joins and unions leave many parts of few rows."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    return _checkpointed(_gathered(df))
+
+
 def labelled(hashes: np.ndarray) -> np.ndarray:
     """Mixes into each shingle hash which occurrence of it this is."""
     if len(hashes) < 2:
@@ -161,7 +176,7 @@ def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sequencer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled shingles of each text, four bytes each: enough to align two texts."""
+    """Labelled shingles of each text, four bytes each: enough to align two texts; their number, parities, and the text's buckets."""
     for whole in batches:
         for batch in slices(whole, "__text"):
             w = Words(batch.column("__text"))
@@ -169,7 +184,8 @@ def _sequencer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wide = [shingles(hashes[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
             items = [(x >> np.uint64(32)).astype(np.uint32) for x in wide]
             odd = [parities(x) for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([x.tobytes() for x in items], pa.binary()), pa.array(odd, pa.list_(pa.int64()))], names=["digest", "items", "odd"])
+            arrays = [batch.column("digest"), pa.array([x.tobytes() for x in items], pa.binary()), pa.array([len(x) for x in items], pa.int32()), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column("keys"), batch.column("firsts")], names=["digest", "items", "n", "odd", "keys", "firsts"])
 
 
 def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,36 +218,41 @@ def _first_shingles(items: np.ndarray, common: np.ndarray, texts: np.ndarray) ->
     return items[np.lexsort((mix(items.astype(np.uint64)), rank))[: _first_places(len(items))]].astype(np.int64), len(items)
 
 
-def _root_prefixes(common: np.ndarray, texts: np.ndarray):
-    """The first shingles of each component's texts, each once a batch."""
+def _first_lists(common: np.ndarray, texts: np.ndarray, parts: int):
+    """Entries of each text's first shingles, those of a batch packed into one row for each of `parts` parts of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[bytes, list[np.ndarray]] = {}
-            for root, x in zip(batch.column("root").to_pylist(), batch.column("items"), strict=True):
-                held.setdefault(root, []).append(_first_shingles(np.frombuffer(x.as_py(), np.uint32), common, texts)[0])
-            for root, lists in held.items():
-                shingles = np.unique(np.concatenate(lists))
-                yield pa.RecordBatch.from_arrays([pa.array([root] * len(shingles), pa.binary()), pa.array(shingles)], names=["root", "shingle"])
+            firsts = [_first_shingles(np.frombuffer(x.as_py(), np.uint32), common, texts) for x in batch.column("items")]
+            if not firsts:
+                continue
+            lengths = np.array([len(f) for f, _ in firsts])
+            owner = np.repeat(np.arange(len(firsts)), lengths)
+            entries = np.zeros(len(owner), _ENTRY)
+            entries["shingle"] = np.concatenate([f for f, _ in firsts])
+            entries["n"] = np.array([n for _, n in firsts])[owner]
+            entries["place"] = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            for name in ("digest", "root"):
+                entries[name] = np.frombuffer(b"".join(batch.column(name).to_pylist()), "<u8").reshape(-1, 2)[owner]
+            part = entries["shingle"] % np.uint32(parts)
+            order = np.argsort(part, kind="stable")
+            value, begin = np.unique(part[order], return_index=True)
+            packed = [x.tobytes() for x in np.split(entries[order], begin[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "entries"])
 
     return run
 
 
-def _prefixes(common: np.ndarray, texts: np.ndarray):
-    """Each text's first shingles with their places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            firsts = [_first_shingles(np.frombuffer(x.as_py(), np.uint32), common, texts) for x in batch.column("items")]
-            if firsts:
-                lengths = np.array([len(f) for f, _ in firsts])
-                owner = np.repeat(np.arange(len(firsts)), lengths)
-                sizes = np.repeat(np.array([n for _, n in firsts]), lengths)
-                place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                arrays = [batch.column("digest").take(pa.array(owner)), pa.array(sizes, pa.int32()), pa.array(place, pa.int32()), pa.array(np.concatenate([f for f, _ in firsts]))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["digest", "n", "place", "shingle"])
-
-    return run
+def _open_entries(table: pa.Table) -> pa.Table:
+    """Of one part, the entries of shingles that texts of several components have among their first."""
+    entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), _ENTRY)
+    entries = entries[np.argsort(entries["shingle"], kind="stable")]
+    begin = np.flatnonzero(np.diff(entries["shingle"].astype(np.int64), prepend=-1))
+    size = np.diff(np.append(begin, len(entries)))
+    other = (entries["root"] != np.repeat(entries["root"][begin], size, axis=0)).any(axis=1)
+    entries = entries[np.repeat(np.logical_or.reduceat(other, begin), size)]
+    wide = {name: pa.array([x.tobytes() for x in entries[name]], pa.binary()) for name in ("digest", "root")}
+    return pa.table({"digest": wide["digest"], "root": wide["root"], "n": entries["n"].copy(), "place": entries["place"].copy(), "shingle": entries["shingle"].astype(np.int64)})
 
 
 def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,17 +284,42 @@ def _rarest(sequences: DataFrame) -> DataFrame:
     return held.where(first > 0).select("digest", "n", alone.alias("alone"), F.posexplode(F.slice("held", 1, first.cast("int"))).alias("i", "h")).select("digest", "n", (F.col("alone") + F.col("i")).alias("place"), F.col("h.shingle").alias("shingle"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) for all nodes of edges (a, b): alternating large and small stars."""
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars: each node but the least of what they connect hangs on that one."""
+    up: dict = {}
+
+    def top(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        kind = batch.schema.field("a").type
+    if hung := [x for x in up if top(x) != x]:
+        yield pa.RecordBatch.from_arrays([pa.array(hung, kind), pa.array([top(x) for x in hung], kind)], names=["a", "b"])
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """a, b for each node a of edges (a, b) but the least of its component, which is b.
+
+    Each task joins a bounded number of edges by itself; where that takes several tasks, alternating large and small
+    stars join what they found.
+    """
     down = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now = checkpointed(down(edges))
+    tasks = -(-edges.count() // EDGES)
+    kind = edges.schema["a"].dataType.simpleString()
+    now = checkpointed(edges.select("a", "b").coalesce(max(tasks, 1)).mapInArrow(tidy(_forest), f"a {kind}, b {kind}"))
 
     def done() -> bool:
         """Edges keep what is connected, so once no node hangs on two, and no root on another, each component is one star."""
         ends = now.select(F.col("a").alias("v"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionAll(now.select("b", F.lit(0), F.lit(1)))
         return ends.groupBy("v").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 OR hangs = 1 AND holds = 1").isEmpty()
 
-    while not done():
+    while tasks > 1 and not done():
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = down(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -281,7 +327,7 @@ def components(edges: DataFrame) -> DataFrame:
         # A node's smaller neighbours and itself hang on the least of them.
         small = large.join(least, "a").select("b", "m").unionAll(least.select(F.col("a").alias("b"), "m"))
         now = checkpointed(down(small.select(F.col("b").alias("a"), F.col("m").alias("b"))))
-    return now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))).alias("x")).select("x.*").distinct()
+    return now
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -304,91 +350,90 @@ def _may_share(n: str, place: str, b_n: str, b_place: str) -> Column:
 def _classes(docs: DataFrame) -> DataFrame:
     """Columns of near_duplicate_classes and root, the least digest of the class; both digests are null without words."""
     given = _keyed(docs)
-    sketched = checkpointed(given.mapInArrow(tidy(_sketcher), "doc_id long, digest binary, keys array<long>"))
+    sketched = _checkpointed(given.mapInArrow(tidy(_sketcher), "doc_id long, digest binary, keys array<long>"))
     worded = sketched.where("keys IS NOT NULL")
     # One row per text, however many copies it has; its buckets are those that another text is in too.
     texts = worded.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.first("keys").alias("keys"))
     entries = texts.select("digest", "holder", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("digest").alias("first")).where("members > 1")
-    buckets = checkpointed(entries.join(shared, "key"))
-    # The texts that share a bucket with another, one row each with its buckets: so they meet their roots, and as sequences.
-    owned = checkpointed(buckets.groupBy("digest").agg(F.min("holder").alias("__holder"), F.collect_list("key").alias("keys")))
-    holders = owned.select("digest", "__holder")
-    held = given.join(holders, "digest").where(F.col("doc_id").eqNullSafe(F.col("__holder"))).select("digest", "__text")
-    sequences = checkpointed(held.mapInArrow(tidy(_sequencer), "digest binary, items binary, odd array<long>").dropDuplicates(["digest"]))
+    # The texts that share a bucket with another, one row each with its buckets and their first texts, and as sequences.
+    owned = entries.join(shared, "key").groupBy("digest").agg(F.min("holder").alias("__holder"), F.collect_list("key").alias("keys"), F.collect_set("first").alias("firsts"))
+    held = given.join(owned, "digest").where(F.col("doc_id").eqNullSafe(F.col("__holder"))).select("digest", "__text", "keys", "firsts")
+    sequences = checkpointed(held.mapInArrow(tidy(_sequencer), "digest binary, items binary, n int, odd array<long>, keys array<long>, firsts array<binary>").dropDuplicates(["digest"]))
 
     def near(pairs: DataFrame) -> DataFrame:
         """Of pairs a, b with their roots, the different pairs of roots that a similar pair joins."""
         side = lambda c: sequences.select(F.col("digest").alias(c), F.col("items").alias(f"{c}_items"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a_root", "b_root", "a_items", "b_items")
-        return checkpointed(met.mapInArrow(tidy(_verifier), "a_root binary, b_root binary, near boolean").where("near").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+        met = (pairs if "a_items" in pairs.columns else pairs.join(side("a"), "a")).join(side("b"), "b").select("a_root", "b_root", "a_items", "b_items")
+        return checkpointed(_gathered(met).mapInArrow(tidy(_verifier), "a_root binary, b_root binary, near boolean").where("near").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
 
     def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-        """node, root for all texts in buckets, after links between roots."""
-        if links.isEmpty():
+        """The texts in buckets after links between roots; `roots` itself without any."""
+        if not links.count():
             return roots
-        merged = components(links).select(F.col("node").alias("root"), F.col("root").alias("__root"))
-        return checkpointed(roots.join(merged, "root", "left").select("digest", F.coalesce("__root", "root").alias("root")))
-
-    start = holders.select("digest", F.col("digest").alias("root"))
-    leads = buckets.where("digest <> first").select(F.col("digest").alias("a"), F.col("first").alias("b")).distinct()
-    roots = joined(start, near(leads.select("a", "b", F.col("a").alias("a_root"), F.col("b").alias("b_root"))))
-
-    def parts() -> tuple[DataFrame, DataFrame]:
-        """Buckets with their members' roots; of those of several roots the largest, a lead in it, and the number of strays."""
-        placed = owned.select("digest", "keys").join(roots, "digest").select("digest", "root", F.explode("keys").alias("key"))
-        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("digest", F.xxhash64("digest", "key")).alias("lead"))
-        most = sizes.groupBy("key").agg(F.max_by(F.struct("root", "lead", "n"), F.struct("n", "root")).alias("main"), F.sum("n").alias("members"))
-        return placed, checkpointed(most.select("key", F.col("main.root").alias("main"), F.col("main.lead").alias("lead"), (F.col("members") - F.col("main.n")).alias("strays")).where("strays > 0"))
-
-    placed, parted = parts()
+        merged = stars(links).select(F.col("a").alias("root"), F.col("b").alias("__root"))
+        return checkpointed(roots.join(merged, "root", "left").select("digest", F.coalesce("__root", "root").alias("root"), "n", "odd", "keys"))
+
+    start = sequences.select("digest", F.col("digest").alias("root"), "n", "odd", "keys")
+    leads = sequences.select(F.col("digest").alias("a"), F.col("items").alias("a_items"), F.explode("firsts").alias("b")).where("a <> b")
+    roots = joined(start, near(leads.select("a", "b", F.col("a").alias("a_root"), F.col("b").alias("b_root"), "a_items")))
+
+    def parts() -> tuple[DataFrame, DataFrame, int, int]:
+        """Buckets with their members' roots; of those of several roots the largest, a lead in it, and the number of strays; how many have few, and many."""
+        placed = roots.select("digest", "root", "n", "odd", F.explode("keys").alias("key"))
+        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"), F.min_by("digest", F.xxhash64("digest", "key")).alias("lead"))
+        most = sizes.groupBy("key").agg(F.max_by(F.struct("root", "lead", "size"), F.struct("size", "root")).alias("main"), F.sum("size").alias("members"))
+        parted = checkpointed(most.select("key", F.col("main.root").alias("main"), F.col("main.lead").alias("lead"), (F.col("members") - F.col("main.size")).alias("strays")).where("strays > 0"))
+        return placed, parted, *parted.agg(F.count_if(F.col("strays") <= STRAYS), F.count_if(F.col("strays") > STRAYS)).first()
+
+    placed, parted, few_strays, many_strays = parts()
     for _ in range(LEADS):
-        many = parted.where(F.col("strays") > STRAYS)
-        if many.isEmpty():
+        if not many_strays:
+            break
+        astray = placed.join(parted.where(F.col("strays") > STRAYS), "key").where("root <> main").select(F.struct("digest", "root").alias("x"), F.struct(F.col("lead").alias("digest"), F.col("main").alias("root")).alias("y"))
+        before, roots = roots, joined(roots, near(astray.select(*_pair("x", "y")).distinct()))
+        if roots is before:
             break
-        astray = placed.join(many, "key").where("root <> main").select(F.struct("digest", "root").alias("x"), F.struct(F.col("lead").alias("digest"), F.col("main").alias("root")).alias("y"))
-        roots = joined(roots, near(astray.select(*_pair("x", "y")).distinct()))
-        placed, parted = parts()
-    sized = sequences.select("digest", "odd", F.expr("cast(length(items) div 4 as int)").alias("n"))
-    few = placed.join(parted.where(F.col("strays") <= STRAYS).select("key", "main"), "key").join(sized, "digest")
+        placed, parted, few_strays, many_strays = parts()
+    few = placed.join(parted.where(F.col("strays") <= STRAYS).select("key", "main"), "key")
     stray = few.where("root <> main").select(F.col("key").alias("b_key"), F.struct("digest", "root").alias("y"), F.col("n").alias("b_n"), F.col("odd").alias("b_odd"))
     # A stray meets each member of other roots once: other strays only from the smaller digest.
     once = (F.col("root") != F.col("y.root")) & ((F.col("root") == F.col("main")) | (F.col("digest") < F.col("y.digest")))
-    listed = few.join(stray, (F.col("key") == F.col("b_key")) & once & _alike("n", "odd", "b_n", "b_odd")).withColumn("x", F.struct("digest", "root")).select(*_pair("x", "y")).distinct()
-    many = parted.where(F.col("strays") > STRAYS)
-    if many.isEmpty():
-        roots = joined(roots, near(listed)) if not parted.isEmpty() else roots
+    listed = _gathered(few.join(stray, (F.col("key") == F.col("b_key")) & once & _alike("n", "odd", "b_n", "b_odd")).withColumn("x", F.struct("digest", "root")).select(*_pair("x", "y"))).distinct()
+    if not many_strays:
+        roots = joined(roots, near(listed)) if few_strays else roots
     else:
-        crowded = placed.join(many.select("key"), "key", "left_semi").select("digest").distinct()
-        order = _sampled_order(sequences.join(crowded, "digest", "left_semi").select("digest", "items"))
-        held = sequences.join(crowded, "digest", "left_semi").join(roots, "digest").select("root", "items").mapInArrow(tidy(_root_prefixes(*order)), "root binary, shingle long").distinct()
-        open_shingles = held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-        open_roots = held.join(open_shingles, "shingle").select("root").distinct()
-        crowded = checkpointed(roots.join(open_roots, "root", "left_semi").join(crowded, "digest", "left_semi").select("digest"))
+        sized = sequences.select("digest", "odd", "n")
+        crowded = placed.join(parted.where(F.col("strays") > STRAYS).select("key"), "key", "left_semi").select("digest").distinct()
+        asked = checkpointed(roots.select("digest", "root").join(crowded, "digest", "left_semi").join(sequences.select("digest", "items"), "digest"))
+        order = _sampled_order(asked)
+        lists = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         for exact in (False, True):
-            asked = sequences.join(crowded, "digest", "left_semi").select("digest", "items")
             # The sample doesn't know which shingles one text only has, so these take places too; exact counts leave them out.
-            rarest = _rarest(asked) if exact else asked.mapInArrow(tidy(_prefixes(*order)), "digest binary, n int, place int, shingle long")
-            rarest = checkpointed(rarest)
-            rare = rarest.join(roots, "digest").select("shingle", F.struct("digest", "root", "n", "place").alias("x"))
+            if exact:
+                rarest = checkpointed(_rarest(asked.join(crowded, "digest", "left_semi").select("digest", "items")))
+                rare = rarest.join(roots.select("digest", "root"), "digest")
+            else:
+                rarest = asked.mapInArrow(tidy(_first_lists(*order, lists)), "part int, entries binary").groupBy("part").applyInArrow(_open_entries, "digest binary, root binary, n int, place int, shingle long")
+                rare = rarest = checkpointed(rarest)
+            rare = rare.select("shingle", F.struct("digest", "root", "n", "place").alias("x"))
             lead = rare.groupBy("shingle").agg(F.min("x").alias("y"), F.max("x.root").alias("high")).where("y.root < high").drop("high")
             star = rare.join(lead, "shingle").where(F.col("x.root") != F.col("y.root")).where(_may_share("x.n", "x.place", "y.n", "y.place"))
-            pairs = _plausible(star.select(*_pair("x", "y")).distinct(), sized)
+            pairs = _plausible(_gathered(star.select(*_pair("x", "y"))).distinct(), sized)
             roots = joined(roots, near(pairs if exact else listed.unionAll(pairs).distinct()))
-            # What is left: texts that share a rare shingle and are still apart. A pair meets at the first shingle it shares.
-            rare = rarest.join(roots, "digest").select("digest", "shingle", F.struct("digest", "root", "n", "place").alias("x"))
-            groups = rare.groupBy("shingle").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high"), F.count("*").alias("texts")).where("low < high")
+            # What is left: texts that share a rare shingle and are still apart, met there if their parities allow it too.
+            rare = checkpointed(rarest.select("digest", "shingle", "place").join(roots.select("digest", "root", "n", "odd"), "digest"))
+            groups = rare.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts")).where("low < high")
             apart = checkpointed(rare.join(groups.select("shingle", "texts"), "shingle"))
             crowd = apart.where(F.col("texts") > (2**62 if exact else CROWD))
-            own = rarest.join(apart.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("place", "shingle")).alias("own"))
-            earlier = F.transform(F.filter("own", lambda e: e["place"] < F.col("x.place")), lambda e: e["shingle"])
-            left = apart.where(F.col("texts") <= (2**62 if exact else CROWD)).join(own, "digest").select("shingle", "x", earlier.alias("x_before"))
-            right = left.select("shingle", F.col("x").alias("y"), F.col("x_before").alias("y_before"))
-            met = left.join(right, "shingle").where((F.col("x.root") < F.col("y.root")) & _may_share("x.n", "x.place", "y.n", "y.place") & ~F.arrays_overlap("x_before", "y_before"))
-            roots = joined(roots, near(_plausible(met.select(*_pair("x", "y")), sized)))
+            left = apart.where(F.col("texts") <= (2**62 if exact else CROWD)).select("shingle", F.struct("digest", "root").alias("x"), "n", "place", "odd")
+            right = left.select("shingle", F.col("x").alias("y"), *(F.col(c).alias(f"b_{c}") for c in ("n", "place", "odd")))
+            met = left.join(right, "shingle").where((F.col("x.root") < F.col("y.root")) & _may_share("n", "place", "b_n", "b_place") & _alike("n", "odd", "b_n", "b_odd"))
+            roots = joined(roots, near(_gathered(met.select(*_pair("x", "y"))).distinct()))
             if exact or crowd.isEmpty():
                 break
             crowded = checkpointed(crowd.select("digest").distinct())
+    roots = roots.select("digest", "root")
     placed = worded.select("doc_id", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     alone = sketched.where("keys IS NULL").select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("binary").alias("root"))
