@@ -40,7 +40,8 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.select(*COLUMNS), with_ids=True)
+    # Workers live through all stages beside an executor's full heap, and what the tokenizer remembers lives with them.
+    return packing.pack(docs.select(*COLUMNS), with_ids=True, remembered=50_000, encoded_bytes=1 << 19)
 
 
 STAGES = [("quality", _quality), ("near_duplicates", _near_duplicates), ("secrets", _secrets), ("mixing", _mixing), ("packing", _packing)]

@@ -722,6 +722,24 @@ def test_packing_round_trip(spark, corpus):
     assert packing.pack(documents(spark, rows).where("false")).count() == 0
 
 
+def test_small_slices_bound_what_is_remembered():
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], names=["doc_id", "__text"])
+    encoder = packing.ChunkEncoder.of(packing.tokenizer_path())
+
+    def run(*sizes):
+        encoder._forget()
+        rows, most = [], 0
+        for x in packing._packer(packing.tokenizer_path(), ["doc_id"], 4096, True, *sizes)(iter([batch])):
+            rows += x.to_pylist()
+            most = max(most, len(encoder.known))
+        return rows, most
+
+    whole, all_chunks = run(1000, 2 << 20)
+    cut, most = run(1000, 4000)
+    assert whole == cut and all_chunks == 8000 and most <= 2000
+
+
 def test_piece_lengths():
     for n in [1, 2, 3, 4095, 4096, 4097, 12_345]:
         got = packing.piece_lengths(n)

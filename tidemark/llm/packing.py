@@ -111,11 +111,11 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _packer(path: str, keep: list[str], longest: int, with_ids: bool, remembered: int):
+def _packer(path: str, keep: list[str], longest: int, with_ids: bool, remembered: int, encoded_bytes: int = ENCODED_BYTES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(path)
         for whole in batches:
-            for batch in slices(whole, "__text", ENCODED_BYTES):
+            for batch in slices(whole, "__text", encoded_bytes):
                 ids, counts = encoder.encode(batch.column("__text"), remembered)
                 owner, start, length, crc, total, tokens, at = [], [], [], [], [], [], 0
                 for i, n in enumerate(counts.tolist()):
@@ -143,18 +143,19 @@ def _packer(path: str, keep: list[str], longest: int, with_ids: bool, remembered
     return run
 
 
-def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, longest: int = LONGEST, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, longest: int = LONGEST, with_ids: bool = False, remembered: int = REMEMBERED, encoded_bytes: int = ENCODED_BYTES) -> DataFrame:
     """One row per piece: where it lies in its document, its sequence, and `bucket` (log2 of the length).
 
     with_ids: also `ids`, the piece's tokens, for write_buckets(). remembered: chunks that a worker keeps, about 200
-    bytes each; more of them save time where the worker has the memory.
+    bytes each; more of them save time where the worker has the memory. encoded_bytes: of text, encoded together; less of it
+    takes less memory. Neither changes the result.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     given = docs.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]] + ["start long, length long, ids_crc32 long, doc_tokens long"] + ["ids array<int>"] * with_ids)
     return (
-        given.mapInArrow(tidy(_packer(path or tokenizer_path(), list(keep), longest, with_ids, remembered)), schema)
+        given.mapInArrow(tidy(_packer(path or tokenizer_path(), list(keep), longest, with_ids, remembered, encoded_bytes)), schema)
         .withColumn("sequence_id", F.monotonically_increasing_id())
         .withColumn("offset", F.lit(0).cast("long"))
         .withColumn("bucket", F.log2("length").cast("int"))
