@@ -571,6 +571,45 @@ def test_small_tables_have_few_parts(spark):
     assert wide.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and wide.count() == 500
 
 
+def test_texts_that_meet_nothing_do_not_travel(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(str(rng.getrandbits(40)) for _ in range(400))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(3)] + [(2000, rows[5][1])]
+    docs = documents(spark, rows).repartition(3).cache()
+    docs.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(docs).collect()}
+    docs.unpersist()
+    assert got == {i: 5 if i == 2000 else i % 1000 for i, _ in rows}
+    # Each text's buckets are counted by their keys, 32 of some 13 bytes; the texts themselves have some 5,200 bytes each.
+    assert written() - before < 0.2 * sum(len(t) for _, t in rows)
+
+
+def test_bit_filters_lose_no_value(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    values = np.unique(rng.integers(-(2**63), 2**63, 20_000))
+    given = spark.createDataFrame([(int(x),) for x in values], "value long").repartition(3)
+    others = rng.integers(0, 2**64, 50_000, dtype=np.uint64)
+    for most, share in ((neardup.FILTER_MOST, 0.02), (16, 0.3)):
+        monkeypatch.setattr(neardup, "FILTER_MOST", most)
+        table = neardup.bit_filter(given)
+        assert common.passes(table, values.view(np.uint64)).tolist() == list(range(len(values)))
+        assert len(common.passes(table, others)) <= share * len(others)
+    assert not len(common.passes(neardup.bit_filter(given.where("false")), others))
+
+
+def test_keys_that_meet_nothing_go_with_their_rows():
+    table = np.zeros(1 << 9, np.uint64)
+    kept = [3, 3 | 5 << 15]
+    for x in (3, 0, 5):
+        table[x >> 6] |= np.uint64(1 << x)
+    rows = [(1, b"a", [3, 77]), (None, b"b", [78]), (3, b"c", [kept[1], 3])]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in [(0, b"-", [3]), *rows]], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64())))], names=["doc_id", "digest", "keys"])
+    got = [r for b in neardup._met_keys(table)(iter([batch.slice(1), batch.slice(4)])) for r in b.to_pylist()]
+    assert got == [{"doc_id": 1, "digest": b"a", "keys": [3]}, {"doc_id": 3, "digest": b"c", "keys": [kept[1], 3]}]
+
+
 def test_first_shingles_of_one_component_are_left_out():
     items = [np.arange(a, a + 20, dtype=np.uint32) for a in (0, 0, 1000, 1000)]
     roots = [b"a" * 16, b"a" * 16, b"b" * 16, b"c" * 16]

@@ -182,3 +182,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that a bit filter (64-bit words, two bits a value, a power of two in all) lets through."""
+    bits = np.uint64(len(table).bit_length() + 5)
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    hit = np.arange(len(hashes))
+    for x in (hashes & low, (hashes >> bits) & low):
+        x = x[hit]
+        hit = hit[(table[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1]
+    return hit

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, mix, ragged, signed, slices, text_bytes, tidy
+from .common import Words, checkpointed, mix, passes, ragged, signed, slices, text_bytes, tidy
 
 WINDOW, SHINGLE = 10, 5
 FILTER_BITS = 24
@@ -111,16 +111,6 @@ def _filter(shingles: DataFrame) -> tuple[list[int], np.ndarray]:
     return sorted(set(rows["width"].to_pylist())), table
 
 
-def _passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bits = np.uint64(len(table).bit_length() + 5)
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    hit = np.arange(len(hashes))
-    for x in (hashes & low, (hashes >> bits) & low):
-        x = x[hit]
-        hit = hit[(table[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1]
-    return hit
-
-
 def _counter(widths: list[int], table: np.ndarray) -> Callable:
     """Occurrences of shingles that pass the filter: shingle, n in the slice."""
 
@@ -128,7 +118,7 @@ def _counter(widths: list[int], table: np.ndarray) -> Callable:
         for whole in batches:
             for batch in slices(whole, "__text"):
                 terms = Terms(batch.column("__text"))
-                hashes = [h[_passes(table, h)] for width in widths for _, h in [terms.shingles(width)]]
+                hashes = [h[passes(table, h)] for width in widths for _, h in [terms.shingles(width)]]
                 value, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(n, pa.int64())], names=["shingle", "n"])
 
@@ -149,7 +139,7 @@ def _finder(widths: list[int], table: np.ndarray) -> Callable:
                 row, place, shingle, begin, around = [np.arange(len(batch))], [], [], [], []
                 for width in widths:
                     at, h = terms.shingles(width)
-                    hit = _passes(table, h)
+                    hit = passes(table, h)
                     doc = np.searchsorted(terms.first, at[hit], side="right") - 1
                     a = np.maximum(at[hit] - (WINDOW - width if width == SHINGLE else 0), terms.first[doc])
                     b = np.minimum(at[hit] + (WINDOW if width == SHINGLE else width), terms.first[doc + 1])

@@ -38,6 +38,12 @@ hash ranges differ in no more ranges than shingles differ, and texts of n1 and n
 shingles at similarity s differ in at most (1 - s) / (1 + s) (n1 + n2). So no link
 between two texts of a bucket is lost, and no list of members or candidates is cut.
 
+What meets nothing does not travel: keys are counted by themselves, and a bit filter
+of those in several rows, then one of the texts in shared buckets, say which go on.
+Filters lose nothing, and the joins after them are exact. Texts themselves are never
+shuffled, only the sequences (four bytes a shingle) of those in shared buckets, and
+of these only the ones that pairs ask for.
+
 A document of fewer than five words has its words as one shingle. Documents
 without words (null, empty, blank) are alone in their class. Repeated rows and
 equal texts share a class. The class id is the smallest doc_id in it. Rows of
@@ -55,7 +61,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, mix, signed, slices, tidy
+from .common import Words, gram_hashes, mix, passes, signed, slices, tidy
 from .common import checkpointed as _checkpointed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -73,6 +79,9 @@ SAMPLE, SAMPLE_ITEMS, COMMON_FROM, CROWD = 2048, 4096, 3, 2048
 #: The share of n1 + n2 shingles that two similar texts have in common at least (twice), and may differ in at most.
 COMMON, APART = SIMILARITY / (1 + SIMILARITY), (1 - SIMILARITY) / (1 + SIMILARITY)
 
+#: As powers of two: the bits of a filter for each of its values at least, and all bits at most (16 MB). A fuller filter only lets more through.
+FILTER_EACH, FILTER_MOST = 4, 27
+
 #: Edges that one task joins at once; more of them are dealt over tasks first, and their stars joined by alternation.
 EDGES = 1 << 16
 #: A text's entry in the list of a first shingle.
@@ -90,6 +99,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return _checkpointed(_gathered(df))
 
 
+def bit_filter(values: DataFrame) -> np.ndarray:
+    """The filter for passes() of the 64-bit hashes `value`, which all differ. The driver sees its bits only, as parts of 4 KB."""
+    values = checkpointed(values)
+    bits = min(max(values.count().bit_length() + FILTER_EACH, 15), FILTER_MOST)
+    low = (1 << bits) - 1
+    places = F.array(F.col("value").bitwiseAND(low), F.shiftrightunsigned("value", bits).bitwiseAND(low))
+    parts = values.select(F.explode(places).alias("bit")).groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("bits")).toArrow()
+    table = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for part, held in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        table[part] = np.frombuffer(held, np.uint8)
+    return table.reshape(-1).view(np.uint64)
+
+
 def labelled(hashes: np.ndarray) -> np.ndarray:
     """Mixes into each shingle hash which occurrence of it this is."""
     if len(hashes) < 2:
@@ -175,17 +197,47 @@ def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
 
 
-def _sequencer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled shingles of each text, four bytes each: enough to align two texts; their number, parities, and the text's buckets."""
-    for whole in batches:
-        for batch in slices(whole, "__text"):
-            w = Words(batch.column("__text"))
-            hashes = w.hashes()
-            wide = [shingles(hashes[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-            items = [(x >> np.uint64(32)).astype(np.uint32) for x in wide]
-            odd = [parities(x) for x in items]
-            arrays = [batch.column("digest"), pa.array([x.tobytes() for x in items], pa.binary()), pa.array([len(x) for x in items], pa.int32()), pa.array(odd, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column("keys"), batch.column("firsts")], names=["digest", "items", "n", "odd", "keys", "firsts"])
+def _met_keys(table: np.ndarray):
+    """Of each row the keys that pass the filter; rows of none go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            flat, ends = keys.flatten(), keys.offsets.to_numpy()
+            hit = passes(table, flat.to_numpy(zero_copy_only=False).view(np.uint64))
+            ends = np.searchsorted(hit, ends - ends[0])
+            met = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat.take(pa.array(hit)))
+            yield batch.select(["doc_id", "digest"]).append_column("keys", met).filter(pa.array(np.diff(ends) > 0))
+
+    return run
+
+
+def _passing(table: np.ndarray):
+    """Rows whose `value` passes the filter, without it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = passes(table, batch.column("value").to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.take(pa.array(hit)).drop_columns(["value"])
+
+    return run
+
+
+def _sequencer(table: np.ndarray):
+    """Labelled shingles of each text that passes the filter, four bytes each: enough to align two texts; their number and parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _passing(table)(batches):
+            for batch in slices(whole, "__text"):
+                w = Words(batch.column("__text"))
+                hashes = w.hashes()
+                wide = [shingles(hashes[a:b]) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                items = [(x >> np.uint64(32)).astype(np.uint32) for x in wide]
+                odd = [parities(x) for x in items]
+                arrays = [batch.column("digest"), pa.array([x.tobytes() for x in items], pa.binary()), pa.array([len(x) for x in items], pa.int32()), pa.array(odd, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["digest", "items", "n", "odd"])
+
+    return run
 
 
 def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,19 +404,33 @@ def _classes(docs: DataFrame) -> DataFrame:
     given = _keyed(docs)
     sketched = _checkpointed(given.mapInArrow(tidy(_sketcher), "doc_id long, digest binary, keys array<long>"))
     worded = sketched.where("keys IS NOT NULL")
+    # Few keys are in several rows. Only these travel with their texts; what a filter lets through besides, the joins leave out.
+    often = worded.select(F.explode("keys").alias("value")).groupBy("value").agg(F.count("*").alias("rows")).where("rows > 1")
+    met = worded.mapInArrow(tidy(_met_keys(bit_filter(often.select("value")))), "doc_id long, digest binary, keys array<long>")
     # One row per text, however many copies it has; its buckets are those that another text is in too.
-    texts = worded.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.first("keys").alias("keys"))
+    texts = checkpointed(met.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.first("keys").alias("keys")))
     entries = texts.select("digest", "holder", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("digest").alias("first")).where("members > 1")
     # The texts that share a bucket with another, one row each with its buckets and their first texts, and as sequences.
-    owned = entries.join(shared, "key").groupBy("digest").agg(F.min("holder").alias("__holder"), F.collect_list("key").alias("keys"), F.collect_set("first").alias("firsts"))
-    held = given.join(owned, "digest").where(F.col("doc_id").eqNullSafe(F.col("__holder"))).select("digest", "__text", "keys", "firsts")
-    sequences = checkpointed(held.mapInArrow(tidy(_sequencer), "digest binary, items binary, n int, odd array<long>, keys array<long>, firsts array<binary>").dropDuplicates(["digest"]))
+    owned = checkpointed(entries.join(shared, "key").groupBy("digest").agg(F.min("holder").alias("holder"), F.collect_list("key").alias("keys"), F.collect_set("first").alias("firsts")))
+    held = given.withColumn("value", F.xxhash64("digest", "doc_id")).mapInArrow(tidy(_sequencer(bit_filter(owned.select(F.xxhash64("digest", "holder").alias("value"))))), "digest binary, items binary, n int, odd array<long>")
+    sequences = checkpointed(held.dropDuplicates(["digest"]).join(owned.drop("holder"), "digest"))
+
+    def among(digests: DataFrame) -> DataFrame:
+        """digest, items of the sequences of these digests, and of a few more."""
+        table = bit_filter(digests.select(F.xxhash64("digest").alias("value")).distinct())
+        return sequences.select("digest", "items", F.xxhash64("digest").alias("value")).mapInArrow(tidy(_passing(table)), "digest binary, items binary")
 
     def near(pairs: DataFrame) -> DataFrame:
         """Of pairs a, b with their roots, the different pairs of roots that a similar pair joins."""
-        side = lambda c: sequences.select(F.col("digest").alias(c), F.col("items").alias(f"{c}_items"))
-        met = (pairs if "a_items" in pairs.columns else pairs.join(side("a"), "a")).join(side("b"), "b").select("a_root", "b_root", "a_items", "b_items")
+        side = lambda of, c: of.select(F.col("digest").alias(c), F.col("items").alias(f"{c}_items"))
+        if "a_items" in pairs.columns:
+            met = pairs.join(side(among(pairs.select(F.col("b").alias("digest"))), "b"), "b")
+        else:
+            pairs = checkpointed(pairs)
+            some = among(pairs.select(F.explode(F.array("a", "b")).alias("digest")))
+            met = pairs.join(side(some, "a"), "a").join(side(some, "b"), "b")
+        met = met.select("a_root", "b_root", "a_items", "b_items")
         return checkpointed(_gathered(met).mapInArrow(tidy(_verifier), "a_root binary, b_root binary, near boolean").where("near").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
 
     def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -404,8 +470,8 @@ def _classes(docs: DataFrame) -> DataFrame:
         roots = joined(roots, near(listed)) if few_strays else roots
     else:
         sized = sequences.select("digest", "odd", "n")
-        crowded = placed.join(parted.where(F.col("strays") > STRAYS).select("key"), "key", "left_semi").select("digest").distinct()
-        asked = checkpointed(roots.select("digest", "root").join(crowded, "digest", "left_semi").join(sequences.select("digest", "items"), "digest"))
+        crowded = checkpointed(placed.join(parted.where(F.col("strays") > STRAYS).select("key"), "key", "left_semi").select("digest").distinct())
+        asked = checkpointed(roots.select("digest", "root").join(crowded, "digest", "left_semi").join(among(crowded), "digest"))
         order = _sampled_order(asked)
         lists = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         for exact in (False, True):
