@@ -243,6 +243,25 @@ def test_queries_of_one_id_and_other_vectors_rank_apart(spark):
         assert got == [(1, 1), (1, 2), (2, 1), (2, 2)]
 
 
+def test_topk_over_many_blocks(spark, monkeypatch):
+    """Vectors of several lengths in blocks of a few rows; two queries of one id that are equal once they are whole numbers."""
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=5 + i % 3).astype(np.float32).tolist()) for i in range(400)] + [(9, [1.0] * 5), (9, [1.0005] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = lambda v: [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]
+    want = brute_top(rows, set(range(0, 400, 9)), 5, lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b))), is_finite)
+    assert sorted(tuple(r) for r in topk.top_k(df.where("vec_id % 9 = 0"), df, 5).collect()) == want and len(want) == 47 * 5
+
+
+def test_queries_are_not_sent_through_the_driver(spark):
+    """A few queries for each of many blocks are many bytes: by the rows' size alone Spark would broadcast them."""
+    _, df = vectors(spark, 3000, 12)
+    found = topk.top_k(df.where("vec_id % 50 = 0"), df, 5)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topk_of_nothing(spark):
     _, df = vectors(spark, 5, 3)
     assert topk.top_k(df.where("false"), df).count() == 0 and topk.top_k(df, df.where("false")).count() == 0

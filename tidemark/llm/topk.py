@@ -9,6 +9,11 @@ the parts still open bound what a row can gain. Processing stops only where this
 bound proves that few rows can still be members (or no segment is left); the
 possible members are scored exactly. Ties go to the smaller id.
 
+Rows are dealt to blocks by hash, once; the queries, a small part of the rows, go
+to each block as rows too. A task reads a block's rows, indexes them, and then
+takes the block's queries as they stream past, so it holds one index and one
+batch, and the driver holds two numbers.
+
 Rows of null id or of a vector that is null, empty or holds null or non-finite
 components take no part. Vectors of different lengths are not compared. Rows of
 the query's id are not its candidates. Rows equal in id and vector count once, as
@@ -22,48 +27,31 @@ the exact sum.
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .vectors import QUERY_BLOCK, ROW_BLOCK, blocked, finite, paired
+from .vectors import dealt, finite, matrix
 
 SCALE = 256
-#: Segments per dimension, segments between two tests of the bound, and the possible members at which it stops.
-SEGMENTS, STEP, FEW = 8, 32, 512
+#: Blocks are of so many rows until there are BLOCKS of them, then larger, up to so many components (unless one row has more).
+ROW_BLOCK, BLOCKS, BLOCK_COMPONENTS = 8192, 24, 2**22
+#: Segments per dimension, segments between two tests of the bound, and the possible members at which it stops: so many or this part of the rows.
+SEGMENTS, STEP, FEW, PART = 8, 32, 512, 16
 #: Sums below it are exact in double precision; beyond it all rows are scored. Below WHOLE they are exact in 64 bits.
 EXACT, WHOLE = 2**52, 2.0**62
 #: What orders sums beyond a long: the sum plus this, as so many bytes. Components of 4 bytes give sums far below it.
 SHIFT, WIDE = 2**400, 51
 
 
-def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, dims, embedding of the vectors that take part, each once."""
-    return vectors.where(F.col("vec_id").isNotNull() & finite()).select("vec_id", F.size("embedding").alias("dims"), "embedding").dropDuplicates(["vec_id", "embedding"])
-
-
-def _block_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, and the integer components as doubles (a double times 256 is exact)."""
-    pdf = pdf.sort_values("vec_id", kind="stable")
-    return pdf["vec_id"].to_numpy(np.int64), np.floor(np.stack(pdf["embedding"].to_list()).astype(np.float64) * SCALE)
-
-
-def _query_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    ids, q = _block_of(pdf)
-    return pd.DataFrame({"dims": [key[0]], "lb": [key[1]], "query_ids": [ids.tobytes()], "weights": [q.tobytes()]})
-
-
-def _index_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Postings by dimension: row numbers in descending value."""
-    ids, v = _block_of(pdf)
-    order = np.argsort(-v, axis=0, kind="stable").T.astype(np.int32)
-    return pd.DataFrame({"row_dims": [key[0]], "rb": [key[1]], "ids": [ids.tobytes()], "values": [v.tobytes()], "postings": [order.tobytes()]})
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, dims, embedding of the vectors that take part."""
+    return vectors.where(F.col("vec_id").isNotNull() & finite()).select("vec_id", F.size("embedding").alias("dims"), "embedding")
 
 
 def whole_products(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -79,13 +67,23 @@ def whole_products(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def quantised(column: pa.Array) -> np.ndarray:
+    """The integer components as doubles (a double times 256 is exact)."""
+    return np.floor(matrix(column) * SCALE)
+
+
 class ImpactIndex:
     def __init__(self, ids: np.ndarray, values: np.ndarray, postings: np.ndarray):
-        self.ids, self.values, self.postings = ids, values.astype(np.float64), postings.astype(np.int64)
-        self.sorted = np.take_along_axis(self.values.T, self.postings, axis=1)
+        # A dimension's postings lie side by side in memory.
+        self.ids, self.values, self.postings = ids, values.astype(np.float64), np.ascontiguousarray(postings, dtype=np.int64)
+        ordered = np.ascontiguousarray(np.take_along_axis(self.values.T, self.postings, axis=1))
         self.cuts = np.unique(np.linspace(0, len(ids), SEGMENTS + 1).astype(np.int64))
-        self.heads, self.lows = self.sorted[:, self.cuts[:-1]], self.sorted[:, self.cuts[1:] - 1]
-        self.largest = np.abs(self.sorted).max()
+        self.heads, self.lows = ordered[:, self.cuts[:-1]], ordered[:, self.cuts[1:] - 1]
+        self.largest = np.abs(ordered).max()
+        # What a posting adds above the dimension's least part, for a weight of 1 and for one of -1.
+        self.above, self.below = ordered - ordered[:, -1:], ordered[:, :1] - ordered
+        # Filled anew by each step: fresh arrays of this size cost more than the sums.
+        self.rows, self.parts = (np.empty(STEP * int(np.diff(self.cuts).max()), kind) for kind in (np.int64, np.float64))
         self.processed = 0
 
     def search(self, query_id: int, weights: np.ndarray, k: int) -> list[tuple[int, int]]:
@@ -94,39 +92,41 @@ class ImpactIndex:
         used = np.flatnonzero(weights)
         w = weights[used]
         own = slice(np.searchsorted(self.ids, query_id, "left"), np.searchsorted(self.ids, query_id, "right"))
-        members = None
-        if n > k and len(used) and np.abs(w).sum() * self.largest < EXACT:
+        members, small = None, np.abs(w).sum() * self.largest < EXACT
+        if n > k and len(used) and small:
             # Parts of each dimension in the order its segments are taken, highest first.
             down = w > 0
             heads, lows = self.heads[used], self.lows[used]
             least = np.where(down, w * lows[:, -1], w * heads[:, 0])
             impact = np.where(down[:, None], w[:, None] * heads, (w[:, None] * lows)[:, ::-1]) - least[:, None]
-            members = self._possible(weights, k, used, w, down, least, impact, own)
+            members = self._possible(weights, k, used, w, least, impact, own)
         if members is None:
             members = np.arange(n)
         members = members[(members < own.start) | (members >= own.stop)]
-        exact = whole_products(self.values[members], weights)
+        exact = self.values[members] @ weights if small else whole_products(self.values[members], weights)
         # Ids rise with the place, so a stable sort breaks ties by the smaller id.
         best = np.argsort(-exact, kind="stable")[:k]
         return [(int(exact[i]), int(self.ids[members[i]])) for i in best]
 
-    def _possible(self, weights, k, used, w, down, least, impact, own) -> np.ndarray:
+    def _possible(self, weights, k, used, w, least, impact, own) -> np.ndarray:
         """Rows that can be among the k best: what the open parts can still add is the bound of the others."""
         n, segments, base = len(self.ids), impact.shape[1], least.sum()
         order = np.argsort(-impact, axis=None, kind="stable")
         dims, places = np.divmod(order, segments)
-        begin = self.cuts[np.where(down[dims], places, segments - 1 - places)]
-        end = self.cuts[np.where(down[dims], places, segments - 1 - places) + 1]
+        places_down = np.where(w[dims] > 0, places, segments - 1 - places)
+        taken = list(zip(dims.tolist(), used[dims].tolist(), w[dims].tolist(), self.cuts[places_down].tolist(), self.cuts[places_down + 1].tolist(), strict=True))
         after = np.concatenate([impact[:, 1:], np.zeros((len(used), 1))], axis=1)[dims, places]
         sums, open_at, members = np.zeros(n), impact[:, 0].copy(), np.arange(n)
+        few = max(FEW, n // PART)
         for at in range(0, len(order), STEP):
-            rows, parts = [], []
-            for i in range(at, min(at + STEP, len(order))):
-                d, a, b = dims[i], begin[i], end[i]
-                rows.append(self.postings[used[d], a:b])
-                parts.append(w[d] * self.sorted[used[d], a:b] - least[d])
-                open_at[d] = after[i]
-            sums += np.bincount(np.concatenate(rows), np.concatenate(parts), n)
+            end = 0
+            for d, dim, weight, a, b in taken[at : at + STEP]:
+                begin, end = end, end + b - a
+                self.rows[begin:end] = self.postings[dim, a:b]
+                np.multiply((self.above if weight > 0 else self.below)[dim, a:b], abs(weight), out=self.parts[begin:end])
+            # A dimension's segments come in falling order, so its last one here leaves the least open.
+            open_at[dims[at : at + STEP]] = after[at : at + STEP]
+            sums += np.bincount(self.rows[:end], self.parts[:end], n)
             self.processed = at + STEP
             if 3 * at < len(order):
                 continue  # a third of the parts proves nothing yet
@@ -136,39 +136,63 @@ class ImpactIndex:
             best = best[low[best] >= 0]
             if len(best) == k:
                 members = np.flatnonzero(low + (open_at.sum() + base) >= (self.values[best] @ weights).min())
-                if len(members) <= FEW:
+                if len(members) <= few:
                     break
         return members
 
 
+def _indexed(parts: list[tuple[np.ndarray, np.ndarray]]) -> ImpactIndex:
+    ids, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
+    return ImpactIndex(ids, values, np.argsort(-values, axis=0, kind="stable").T)
+
+
 def _searcher(k: int):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, index = None, [], None
         for batch in batches:
-            for r in batch.to_pylist():
-                dims = r["dims"]
-                index = ImpactIndex(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["values"], np.float64).reshape(-1, dims), np.frombuffer(r["postings"], np.int32).reshape(dims, -1))
-                weights = np.frombuffer(r["weights"], np.float64).reshape(-1, dims)
+            keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("dims", "rb", "asks")])
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for at, to in zip([0, *edges], [*edges, len(keys)], strict=True):
+                if at == to:
+                    continue
+                if block != (block := tuple(keys[at, :2])):
+                    parts, index = [], None
+                ids, own, values = batch.column("vec_id")[at:to].to_numpy(), batch.column("own")[at:to].to_numpy(), quantised(batch.column("embedding")[at:to])
+                if not keys[at, 2]:
+                    parts.append((ids, values))
+                    continue
+                if parts:  # the rows of a block come before its queries
+                    parts, index = [], _indexed(parts)
                 out = []
-                for q, w in zip(np.frombuffer(r["query_ids"], np.int64).tolist(), weights, strict=True):
-                    own = hashlib.md5(w.tobytes()).digest()
+                for q, o, w in zip(ids.tolist(), own.tolist(), values, strict=True) if index else ():
                     for s, i in index.search(q, w, k):
                         shown = min(max(s, -(2**63)), 2**63 - 1)
-                        out.append((q, own, i, shown, None if s == shown else (s + SHIFT).to_bytes(WIDE, "big")))
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+                        out.append((q, o, i, shown, None if s == shown else (s + SHIFT).to_bytes(WIDE, "big")))
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=["query_id", "own", "vec_id", "score", "beyond"])
 
     return run
 
 
+def blocks(rows: int, components: int, tasks: int) -> int:
+    """How many blocks: enough of them to share the work, but no more, since each gets all queries."""
+    return max(1, math.ceil(components / BLOCK_COMPONENTS), min(math.ceil(rows / ROW_BLOCK), max(BLOCKS, 2 * tasks)))
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of the k highest integer inner products. Inputs have vec_id and embedding."""
-    asked, rows = quantised(queries), quantised(vectors)
-    left, _ = blocked(asked, asked.count(), QUERY_BLOCK, "lb", "vec_id", "embedding")
-    right, n_right = blocked(rows, rows.count(), ROW_BLOCK, "rb", "vec_id", "embedding")
-    left = left.groupBy("dims", "lb").applyInPandas(_query_block, "dims int, lb int, query_ids binary, weights binary")
-    right = right.groupBy("dims", "rb").applyInPandas(_index_block, "row_dims int, rb int, ids binary, values binary, postings binary")
-    pairs = paired(left, right, n_right).where("dims = row_dims").select("dims", "query_ids", "weights", "ids", "values", "postings")
-    found = pairs.mapInArrow(_searcher(k), "query_id long, own binary, vec_id long, score long, beyond binary")
+    asked, rows = usable(queries), usable(vectors)
+    # Repeated rows count here, so that nothing is shuffled for it; they make blocks smaller.
+    size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum("dims"), F.lit(0)).alias("components")).first()
+    n = blocks(size["rows"], size["components"], rows.sparkSession.sparkContext.defaultParallelism)
+    asked, rows = (df.dropDuplicates(["vec_id", "embedding"]).withColumn("own", F.xxhash64("embedding")) for df in (asked, rows))
+    asked = asked.withColumns({"asks": F.lit(True), "rb": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
+    rows = dealt(rows, n, "rb", "vec_id", "embedding").withColumn("asks", F.lit(False))
+    streams = rows.unionByName(asked).repartition(2 * n, "dims", "rb").sortWithinPartitions("dims", "rb", "asks")
+    found = streams.mapInArrow(_searcher(k), "query_id long, own long, vec_id long, score long, beyond binary")
     # A sum beyond the longs has `beyond` too; above them it is larger than the largest long itself, below them smaller than the smallest.
     beyond = F.coalesce("beyond", F.lit(SHIFT.to_bytes(WIDE, "big")))
     w = W.partitionBy("query_id", "own").orderBy(F.desc("score"), beyond.desc(), "vec_id")

@@ -1,9 +1,8 @@
 """Vectors in blocks, shared by the two searches.
 
-Searches compare a stated query set with all rows. Both sides are dealt to
-blocks of a fixed number of rows by hash. An index block is shuffled once; the
-blocks of queries, a small part of the rows, are sent to each. A pair of blocks
-is one row of that join, so a task holds one pair at a time, whatever the input.
+Searches compare a stated query set with all rows. Rows are dealt to blocks by
+hash. An index block is shuffled once; the queries, a small part of the rows, are
+sent to each.
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 1024, 8192
-
 
 def finite(vector: str = "embedding") -> Column:
     """Not null, not empty, and all components are finite numbers."""
@@ -25,10 +22,15 @@ def finite(vector: str = "embedding") -> Column:
     return c.isNotNull() & (F.size(c) > 0) & F.coalesce(F.forall(c, lambda x: F.coalesce(ok(x), F.lit(False))), F.lit(False))
 
 
+def dealt(vectors: DataFrame, n: int, name: str, *by: str) -> DataFrame:
+    """Adds the block number `name`, one of n, by hash of the columns `by`."""
+    return vectors.withColumn(name, F.pmod(F.xxhash64(*by, F.lit(name)), F.lit(n)).cast("int"))
+
+
 def blocked(vectors: DataFrame, rows: int, size: int, name: str, *by: str) -> tuple[DataFrame, int]:
     """Adds the block number `name`, by hash of the columns `by`; of the `rows` rows about `size` fall in each. Also the number of blocks."""
     n = max(1, math.ceil(rows / size))
-    return vectors.withColumn(name, F.pmod(F.xxhash64(*by, F.lit(name)), F.lit(n)).cast("int")), n
+    return dealt(vectors, n, name, *by), n
 
 
 def paired(left: DataFrame, right: DataFrame, n_right: int) -> DataFrame:
