@@ -191,7 +191,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     asked, rows = (df.dropDuplicates(["vec_id", "embedding"]).withColumn("own", F.xxhash64("embedding")) for df in (asked, rows))
     asked = asked.withColumns({"asks": F.lit(True), "rb": F.explode(F.sequence(F.lit(0), F.lit(n - 1)))})
     rows = dealt(rows, n, "rb", "vec_id", "embedding").withColumn("asks", F.lit(False))
-    streams = rows.unionByName(asked).repartition(2 * n, "dims", "rb").sortWithinPartitions("dims", "rb", "asks")
+    # More ranges than blocks, so that each block has a task of its own; by hash some tasks would get several.
+    streams = rows.unionByName(asked).repartitionByRange(4 * n, "dims", "rb").sortWithinPartitions("dims", "rb", "asks")
     found = streams.mapInArrow(_searcher(k), "query_id long, own long, vec_id long, score long, beyond binary")
     # A sum beyond the longs has `beyond` too; above them it is larger than the largest long itself, below them smaller than the smallest.
     beyond = F.coalesce("beyond", F.lit(SHIFT.to_bytes(WIDE, "big")))
