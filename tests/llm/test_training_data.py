@@ -262,6 +262,13 @@ def test_queries_are_not_sent_through_the_driver(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_of_blocks_are_not_broadcast(spark):
+    from tidemark.llm.vectors import paired
+
+    pairs = paired(spark.range(3).withColumnRenamed("id", "lb"), spark.range(4).select(F.col("id").cast("int").alias("rb")), 4)
+    assert pairs.count() == 12 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topk_of_nothing(spark):
     _, df = vectors(spark, 5, 3)
     assert topk.top_k(df.where("false"), df).count() == 0 and topk.top_k(df, df.where("false")).count() == 0

@@ -34,8 +34,11 @@ def blocked(vectors: DataFrame, rows: int, size: int, name: str, *by: str) -> tu
 
 
 def paired(left: DataFrame, right: DataFrame, n_right: int) -> DataFrame:
-    """One row for each pair of a query block and an index block `rb`. Inputs have one row per block."""
-    return left.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).join(right, "rb")
+    """One row for each pair of a query block and an index block `rb`. Inputs have one row per block.
+
+    The query blocks are repeated before the join; from the size of their rows Spark takes them for small and would broadcast all of that.
+    """
+    return left.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).join(right.hint("merge"), "rb")
 
 
 def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
